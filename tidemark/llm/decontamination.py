@@ -4,9 +4,9 @@ Word n-grams of the test items that are rare in the corpus are seeds.  A documen
 holds a seed is aligned with the seed's item around it by Smith-Waterman over words, so
 that edited and paraphrased copies score as well as exact ones.
 
-Rarity is a document frequency over the whole corpus, but no item loses its seeds by
-being copied often: besides all rare n-grams, the rarest of every window of consecutive
-n-grams is a seed, so any run of ``window + n - 1`` unchanged words meets one.
+Rarity is a document frequency over the whole corpus, in powers of two, but no item loses
+its seeds by being copied often: besides all rare n-grams, the rarest of every window of
+consecutive n-grams is a seed, so any run of ``window + n - 1`` unchanged words meets one.
 
 Documents are never shuffled or gathered.  The items go to the tasks in blocks of bounded
 size; more items than fit in a block mean more passes.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 N = 3
-WINDOW = 6
+WINDOW = 2
 #: An n-gram in at most this share of the documents (or in five) is rare.
 RARE_SHARE = 1e-4
 #: Words of test items in one pass.
@@ -121,7 +121,7 @@ class _Block:
             chosen = set(np.flatnonzero(often <= limit).tolist())
             for first in range(max(1, len(grams) - WINDOW + 1) if len(grams) else 0):
                 part = often[first : first + WINDOW]
-                chosen.add(first + int(np.lexsort((grams[first : first + WINDOW], part))[0]))
+                chosen.add(first + int(np.lexsort((grams[first : first + WINDOW], np.log2(part + 1).astype(int)))[0]))
             for place in chosen:
                 self.found[int(grams[place])].append((k, place))
         self.seeds = np.array(sorted(self.found), dtype=np.uint64)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .tokens import PieceWise, byte_alphabet, default_tokenizer
 
+#: The first so many bytes of pre-tokens are remembered with their counts, so many of them.
+HEAD, HEADS = 6, 200_000
 _WHITE = re.compile(r"\s\s+")
 _CONTRACTIONS = {"'re", "'ve", "'ll", "'s", "'t", "'m", "'d"}
 
@@ -45,6 +47,7 @@ class PrefixCounter:
         self.split = regex.compile(public_tokenizers.PATTERN).finditer
         alphabet = byte_alphabet()
         self.shown = dict(enumerate(alphabet))
+        self.heads: dict[str, tuple[list[int], list[int]]] = {}
         # Tokens are numbered here in the order in which merging makes them: bytes, then one for each merge.
         with open(path, encoding="utf-8") as f:
             merges = [m if isinstance(m, list) else m.split(" ") for m in json.load(f)["model"]["merges"]]
@@ -80,18 +83,27 @@ class PrefixCounter:
     def pre_token(self, word: str) -> list[int]:
         """Counts at the prefixes of one pre-token, a count for each character."""
         s = word.encode().decode("latin-1").translate(self.shown)
-        last, count = [-1], [0]
+        head = s[:HEAD]
+        if (known := self.heads.get(head)) is None:
+            if len(self.heads) >= HEADS:
+                self.heads.clear()
+            known = self.heads[head] = self._extend(head, [-1], [0])
+        last, count = known if len(s) <= HEAD else self._extend(s, [*known[0]], [*known[1]])
+        if len(s) == len(word):
+            return count[1:]
+        return [count[end] for end in accumulate(len(c.encode()) for c in word)]
+
+    def _extend(self, s: str, last: list[int], count: list[int]) -> tuple[list[int], list[int]]:
+        """Last token and count of each prefix of ``s``, from those of its first prefixes on."""
         number, longest, may = self.number.get, self.longest, self._may_follow
-        for end in range(1, len(s) + 1):
+        for end in range(len(last), len(s) + 1):
             for begin in range(max(0, end - longest), end):
                 token = number(s[begin:end])
                 if token is not None and (not begin or may(last[begin], token)):
                     last.append(token)
                     count.append(count[begin] + 1)
                     break
-        if len(s) == len(word):
-            return count[1:]
-        return [count[end] for end in accumulate(len(c.encode()) for c in word)]
+        return last, count
 
     def counts(self, piece: str) -> list[int]:
         """Counts at the prefixes of a piece, as encoding each prefix alone would give."""

@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import re
 
-#: Entries that a memo holds before it starts anew.
-MEMO_ENTRIES = 600_000
+#: Entries that a memo holds. Pieces met later are encoded each time; after so many of those the memo starts anew.
+MEMO_ENTRIES, STALE = 700_000, 3_000_000
 #: Pieces longer than this are encoded but not remembered.
 MEMO_PIECE = 48
 
@@ -35,14 +35,18 @@ class PieceWise(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.passed = make, 0
 
     def __missing__(self, piece: str) -> bytes:
         value = self.make(piece)
         if len(piece) <= MEMO_PIECE:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) < MEMO_ENTRIES:
+                self[piece] = value
+            elif (passed := self.passed + 1) < STALE:
+                self.passed = passed
+            else:
                 self.clear()
-            self[piece] = value
+                self.passed = 0
         return value
 
     def __call__(self, text: str | None) -> bytes:

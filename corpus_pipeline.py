@@ -1,34 +1,73 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again for the next."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again for the next.
+
+Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the columns of
+``documents`` for the rows they keep:
+
+1. language: rejects texts without a letter (null ones too) and those whose language is a guess;
+2. toxicity: rejects texts predicted toxic;
+3. near_dedup: keeps the document of the least id of each group of near copies, once;
+4. decontamination: rejects documents that leak a benchmark item;
+5. packing: returns the pieces of the training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import read, stored
+from tidemark.llm.decontamination import contaminated
+from tidemark.llm.language import UNDECIDED, identified
+from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.packing import packed
+from tidemark.llm.toxicity import scored
+
+#: A language of less probability is a guess. Whole documents, even in mixed languages, are above it.
+LEAST_LANGUAGE_SCORE = 0.35
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids``, a null id being like any other."""
+    wanted = ids.select(F.col("doc_id").alias("_wanted")).distinct()
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
+
+
+def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    unwanted = ids.select(F.col("doc_id").alias("_unwanted")).distinct()
+    return docs.join(unwanted, docs["doc_id"].eqNullSafe(unwanted["_unwanted"]), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    known = identified(docs)
+    return _drop(docs, known.where((F.col("lang_pred") == UNDECIDED) | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _drop(docs, scored(docs, read(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from tidemark.llm.minhash import near_duplicates
+    once = docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return _drop(once, near_duplicates(docs).where("NOT kept"))
 
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _drop(docs, contaminated(docs, read(spark, sf_dir, "benchmark")))
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from tidemark.llm.packing import packed
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", packing)]
+STAGES = [("language", language), ("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: No stage has an SQL form: tests compare with brute force.
+#: No stage has an SQL form; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, over all documents of ``sf_dir``."""
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs

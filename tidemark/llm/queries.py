@@ -59,8 +59,20 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(read(spark, sf_dir, "pages"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filtered
+
+    return filtered(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_media_columns, op6_toxicity, op7_packing, op8_token_files]
+    found = [op1_decontamination, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_media_columns, op6_toxicity, op7_packing, op8_token_files, op9_html_extraction, op10_url_filters]
     return {f.__name__: f for f in found}
 
 

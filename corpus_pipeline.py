@@ -47,7 +47,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    once = docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    # Texts are dealt out by id only if ids repeat, and then only those rows' texts.
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    once = docs if repeated.isEmpty() else _drop(docs, repeated).unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return _drop(once, near_duplicates(docs).where("NOT kept"))
 
 

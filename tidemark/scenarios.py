@@ -1,17 +1,223 @@
-"""Queries over relations derived from the provided tables."""
+"""Registered queries: each applies one operator to a whole relation, beside the same in DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import checksums, scripts, sqltext, types, versions
+from .operators import catalog, graph, history, journal, state, undo
+from .oracle import crc, key, numbers, with_views
+from .plans import info
+from .relations import relation
+
+_found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(name: str, relations: str, build: Callable[..., DataFrame], oracle: str | None = None) -> None:
+    """Register ``build`` on named relations, and the DuckDB text that gives the same rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(*[relation(spark, sf_dir, r) for r in relations.split()])
+
+    _found[name] = (run, with_views(oracle) if oracle else None)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(0)
+    return info.overview(relation(spark, sf_dir, "history"), relation(spark, sf_dir, "scripts"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in _found.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _found.items() if sql}
+
+
+_KEY = key("version")
+_TEXT_KEY = f"array_to_string(list_transform({_KEY}, lambda e: e.k::VARCHAR || '/' || e.n::VARCHAR || '/' || e.t), ' ')"
+_V = "coalesce(version, '') <> ''"
+
+# Versions
+query("v1_version_key", "history", lambda h: h.select("version").distinct().where("version IS NOT NULL").select("version", F.array_join(F.transform(versions.version_key(F.col("version")), lambda e: F.concat_ws("/", e["k"].cast("string"), e["n"].cast("string"), e["t"])), " ").alias("version_key")), f"SELECT DISTINCT version, {_TEXT_KEY} AS version_key FROM history WHERE version IS NOT NULL")
+query("v2_compare_versions", "history", lambda h: h.select("db", "installed_rank", versions.compare_versions(F.col("version"), F.lit("12_0.0")).alias("cmp")), f"SELECT db, installed_rank, CASE WHEN {key('v')} < {key("'12'")} THEN -1 WHEN {key('v')} > {key("'12'")} THEN 1 ELSE 0 END AS cmp FROM (SELECT *, coalesce(version, '') AS v FROM history)")
+query("v3_current_version", "history", history.current_version, "SELECT db, current_version FROM current")
+query("v3b_current_and_baseline", "history", history.current_and_baseline, f"SELECT db, max_by(version, {{'k': {_KEY}, 'r': -installed_rank}}) FILTER (type IN ('SQL', 'PYTHON')) AS current_version, max_by(version, installed_rank) FILTER (type = 'BASELINE') AS baseline_version FROM history WHERE success AND {_V} GROUP BY db")
+query("v4_first_baseline", "history", history.first_baseline, "SELECT db, baseline_version FROM baseline")
+query("v5_scripts_above_baseline", "scripts", lambda s: (lambda r: r.where("kind = 'PYTHON'").unionByName(r.where("kind = 'SQL' AND version IS NOT NULL").join(r.where("kind = 'BASELINE'").groupBy("db").agg(F.max(versions.version_key(F.regexp_extract("name", "^B([^_].*?)__", 1))).alias("_b")), "db", "left").where(versions.version_key(F.col("version")) > F.col("_b")).drop("_b")).select("db", "script_id", "kind"))(state.resolved_scripts(s)), f"SELECT db, script_id, kind FROM resolved WHERE kind = 'PYTHON' UNION ALL SELECT r.db, script_id, kind FROM resolved r JOIN (SELECT db, max({key('bv')}) AS b FROM (SELECT db, regexp_extract(name, '^B([^_].*?)__', 1) AS bv FROM resolved WHERE kind = 'BASELINE') GROUP BY db) x ON x.db = r.db WHERE kind = 'SQL' AND version IS NOT NULL AND {_KEY} > b")
+query("v6_out_of_order_adjacent", "history", history.out_of_order_adjacent, f"SELECT db, installed_rank, version, script FROM (SELECT *, lag(p) OVER (PARTITION BY db ORDER BY installed_rank) AS b FROM (SELECT *, {numbers('version')} AS p FROM history WHERE type IN ('SQL', 'PYTHON') AND {_V})) WHERE p < b")
+query("v6b_out_of_order_scripts", "history", history.out_of_order_scripts, f"SELECT db, installed_rank, script FROM (SELECT *, lag(p) OVER (PARTITION BY db ORDER BY installed_rank) AS b FROM (SELECT *, {_KEY} AS p FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V})) WHERE p < b")
+query("v7_out_of_order_global", "history", history.out_of_order_global, f"SELECT db, installed_rank, version FROM (SELECT *, max(p) OVER (PARTITION BY db ORDER BY installed_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT *, {_KEY} AS p FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V})) WHERE b > p")
+query("v8_highest_applied", "history", history.highest_applied, f"SELECT db, max_by(version, {{'k': {_KEY}, 'r': -installed_rank}}) AS highest FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V} GROUP BY db")
+query("v9_product_version", "history", lambda h: h.where("version IS NOT NULL").select("version").distinct().select("version", versions.product_at_least(F.col("version"), F.lit("9.4+")).alias("at_least")), "SELECT DISTINCT version, {'a': split_part(version, '.', 1)::INT, 'b': split_part(version, '.', 2)::INT} >= {'a': 9, 'b': 4} AS at_least FROM history WHERE version IS NOT NULL")
+
+# Sources
+query("s2_ordered_scripts", "scripts", state.ordered_scripts, f"SELECT db, script_id, grp AS \"group\", row_number() OVER (PARTITION BY db, grp ORDER BY k NULLS FIRST, lower(name), script_id) AS place FROM (SELECT *, CASE WHEN kind IN ('SQL', 'PYTHON') THEN 'versioned' ELSE lower(kind) END AS grp, CASE WHEN kind IN ('SQL', 'PYTHON') THEN {key("coalesce(version, '')")} END AS k FROM resolved)")
+query("s3_parsed_names", "scripts", lambda s: s.withColumn("p", scripts.parsed_name(F.col("name"))).select("script_id", F.col("p.kind").alias("kind"), F.col("p.version").alias("version"), F.col("p.description").alias("description")), "SELECT script_id, named_kind AS kind, version, description FROM resolved")
+query("s3b_quick_kind", "scripts", lambda s: s.select("script_id", scripts.quick_kind(F.col("name")).alias("kind")), "SELECT script_id, kind FROM resolved")
+query("s4_tags", "scripts", lambda s: s.select("script_id", F.explode(scripts.tags(F.col("name"))).alias("tag")), "SELECT script_id, unnest(tags) AS tag FROM resolved")
+query("s5_formats", "scripts", lambda s: s.groupBy(scripts.script_format(F.col("name")).alias("format")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'sql' THEN 'SQL' WHEN 'py' THEN 'PYTHON' WHEN 'json' THEN 'JSON' ELSE 'UNKNOWN' END AS format, count(*) AS n FROM scripts GROUP BY 1")
+query("s7_callbacks", "scripts", lambda s: s.where(scripts.is_callback_for(F.col("name"), "beforeEach")).select("script_id", "name"), "SELECT script_id, name FROM scripts WHERE lower(name) LIKE 'beforeeach%'")
+query("s8_history_scan", "history", lambda h: h.select("installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "execution_time", "success"), "SELECT installed_rank, version, description, type, script, checksum, installed_by, execution_time, success FROM history")
+
+# Checksums
+query("c1_script_checksum", "scripts", lambda s: s.select("script_id", checksums.script_checksum(F.col("content")).alias("checksum")), f"SELECT script_id, {crc('content', 'tb')}::INT AS checksum FROM scripts, crc_table")
+query("c2_stored_checksum", "history", lambda h: h.select("installed_rank", checksums.stored_checksum((F.col("installed_rank") * 1_000_003 % 6_000_000_000 - 1_000_000_000).cast("string")).alias("checksum")), "SELECT installed_rank, (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END)::INT AS checksum FROM (SELECT installed_rank, (installed_rank * 1000003 % 6000000000 - 1000000000) & 4294967295 AS u FROM history)")
+query("c3_drifted_repeatables", "history scripts", state.drifted_repeatables, "SELECT db, script_id, name, previous, current FROM drifted")
+query("c4_drifted_scripts", "history scripts", state.drifted_scripts, "SELECT db, script, file_checksum, installed_rank FROM drifted_sql")
+query("c5_last_successes", "history", state.last_successes, "SELECT db, script, installed_rank, checksum FROM last_success")
+query("c6_changed_scripts", "history scripts", state.changed_scripts, "SELECT c.db, c.script_id, c.name AS script, NOT coalesce(l.checksum = c.file_checksum, false) AS changed FROM checked c LEFT JOIN last_success l ON l.db = c.db AND l.script = c.name")
+query("c7_checksum_issues", "history scripts", state.checksum_issues, "SELECT l.db, l.script, l.installed_rank, CASE WHEN c.script_id IS NULL THEN 'missing' ELSE 'changed' END AS issue, coalesce(o.n, 0) AS same_version FROM last_success l JOIN history h ON h.db = l.db AND h.installed_rank = l.installed_rank LEFT JOIN checked c ON c.db = l.db AND c.name = l.script LEFT JOIN (SELECT db, version, count(*) AS n FROM resolved WHERE version IS NOT NULL GROUP BY ALL) o ON o.db = l.db AND o.version = h.version WHERE c.script_id IS NULL OR (h.type <> 'REPEATABLE' AND l.checksum IS NOT NULL AND l.checksum <> c.file_checksum)")
+query("c8_repeatables_to_rerun", "history scripts", state.repeatables_to_rerun, "SELECT db, script_id, script, verdict FROM rerun")
+
+# History states
+query("h1_success", "history", lambda h: h.groupBy("db").agg(F.count_if(history.succeeded(F.col("success"))).alias("ok"), F.count_if(history.failed(F.col("success"))).alias("failed"), F.count_if(F.col("success").isNull()).alias("unknown")), "SELECT db, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed, count(*) FILTER (success IS NULL) AS unknown FROM history GROUP BY db")
+query("h2_undone_versions", "history", history.undone_versions, "SELECT DISTINCT db, version FROM history WHERE success AND type = 'UNDO_SQL'")
+query("h3_reapplied_first_undo", "history", history.reapplied_after_first_undo, "SELECT db, version FROM ranks WHERE last_ok IS NOT NULL AND last_any > first_undo")
+query("h3b_reapplied_last_undo", "history", history.reapplied_after_last_undo, "SELECT db, version FROM ranks WHERE last_ok > last_undo")
+query("h3d_applied_more_than_once", "history", history.applied_more_than_once, "SELECT db, version, n_ok FROM ranks WHERE n_ok > 1")
+query("h4_effectively_undone", "history", history.effectively_undone, "SELECT db, version, last_undo FROM undone")
+query("h5_analysis", "history", history.analysis, "SELECT db, count(DISTINCT version) FILTER (type IN ('SQL', 'PYTHON', 'BASELINE')) AS executed_versions, count(DISTINCT script) FILTER (type NOT IN ('DELETE', 'UNDO_SQL')) AS executed_scripts, count(DISTINCT script) FILTER (type = 'DELETE') AS deleted_scripts, count(*) FILTER (NOT success) AS failed_rows, count(*) FILTER (success IS NULL) AS needs_repair FROM history GROUP BY db")
+query("h6_repeatable_checksums", "history", history.repeatable_checksums, "SELECT db, script, checksum FROM repeatable")
+query("h6_repeatable_checksums_all_rows", "history", lambda h: history.repeatable_checksums(h, False), "SELECT db, script, max_by({'c': checksum}, installed_rank).c AS checksum FROM history WHERE type = 'REPEATABLE' GROUP BY db, script")
+query("h7_pending", "history scripts", state.pending, "SELECT db, script_id, name, kind, version, reason FROM pending WHERE reason IS NOT NULL")
+query("h8_versioned_pending", "history scripts", lambda h, s: state.pending(h, s).where("kind <> 'REPEATABLE'").groupBy("db", "reason").agg(F.count(F.lit(1)).alias("n")), "SELECT db, reason, count(*) AS n FROM pending WHERE reason IS NOT NULL AND kind <> 'REPEATABLE' GROUP BY ALL")
+query("h9_repeatable_pending", "history scripts", lambda h, s: state.pending(h, s).where("kind = 'REPEATABLE'").select("db", "script_id", "reason"), "SELECT db, script_id, reason FROM pending WHERE reason IS NOT NULL AND kind = 'REPEATABLE'")
+query("h10_resolved_flag", "history scripts", lambda h, s: h.join(state.pending(h, s).where("reason <> 'below'").select("db", F.col("name").alias("script")).distinct().withColumn("_p", F.lit(True)), ["db", "script"], "left").select("db", "installed_rank", F.col("_p").isNotNull().alias("resolved")), "SELECT h.db, h.installed_rank, p.name IS NOT NULL AS resolved FROM history h LEFT JOIN (SELECT DISTINCT db, name FROM pending WHERE reason IS NOT NULL AND reason <> 'below') p ON p.db = h.db AND p.name = h.script")
+query("h11_history_states", "history scripts", state.history_states, "SELECT db, installed_rank, version, type, script, state FROM states")
+query("h12_pending_states", "history scripts", lambda h, s: state.pending_states(h, s, "30"), f"SELECT r.db, script_id, kind, r.version, CASE WHEN kind = 'REPEATABLE' THEN 'Pending' WHEN kind = 'UNDO_SQL' THEN 'Available' WHEN coalesce(k <= {key('baseline_version')}, false) THEN 'Below Baseline' WHEN k > {key("'30'")} THEN 'Above Target' WHEN u.version IS NOT NULL THEN 'Available' ELSE 'Pending' END AS state FROM (SELECT *, {key("coalesce(version, '')")} AS k FROM resolved) r LEFT JOIN (SELECT DISTINCT db, version FROM resolved WHERE kind = 'UNDO_SQL') u ON u.db = r.db AND u.version = r.version LEFT JOIN baseline b ON b.db = r.db WHERE kind IN ('SQL', 'PYTHON', 'REPEATABLE', 'UNDO_SQL')")
+query("h13_failed_states", "history scripts", lambda h, s: state.history_states(h, s).where("state LIKE 'Failed%' OR state = 'Needs repair'").select("db", "installed_rank", "state"), "SELECT db, installed_rank, state FROM states WHERE state LIKE 'Failed%' OR state = 'Needs repair'")
+_SNAPSHOT = "SELECT s.db, c.current_version, s.applied, s.failed, s.undone, s.deleted, coalesce(p.n, 0) AS pending, coalesce(d.n, 0) AS drifted FROM (SELECT db, count(*) AS applied, count(*) FILTER (state LIKE 'Failed%' OR state = 'Needs repair') AS failed, count(*) FILTER (state = 'Undone') AS undone, count(*) FILTER (state = 'Deleted') AS deleted FROM states GROUP BY db) s LEFT JOIN current c ON c.db = s.db LEFT JOIN (SELECT db, count(*) AS n FROM pending WHERE reason IS NOT NULL AND reason <> 'below' GROUP BY db) p ON p.db = s.db LEFT JOIN (SELECT db, count(*) AS n FROM drifted GROUP BY db) d ON d.db = s.db"
+query("h14_snapshot", "history scripts", info.overview, _SNAPSHOT)
+_LISTING = "SELECT db, installed_rank, version, type, script, state, 'history' AS source FROM states WHERE state <> 'Outdated' UNION ALL SELECT db, NULL, version, kind, name, 'Pending', 'pending' FROM pending WHERE reason IS NOT NULL AND reason <> 'below'"
+query("h15_unified_listing", "history scripts", state.listing, _LISTING)
+query("h16_available_undos", "history scripts", state.available_undos, "SELECT r.db, script_id, name, r.version FROM resolved r JOIN undone u ON u.db = r.db AND u.version = r.version WHERE kind = 'UNDO_SQL'")
+query("h17_info", "history scripts", info.info, _LISTING)
+query("h18_info_by_state", "history scripts", lambda h, s: info.info(h, s).groupBy("db", "source", "state").agg(F.count(F.lit(1)).alias("n")), f"SELECT db, source, state, count(*) AS n FROM ({_LISTING}) GROUP BY ALL")
+query("h19_repeated_runs", "history", history.unrepeated, "SELECT db, script, installed_rank, nth FROM (SELECT h.*, row_number() OVER (PARTITION BY h.db, h.script ORDER BY h.installed_rank) AS nth FROM history h JOIN ranks r ON r.db = h.db AND r.version = h.version WHERE h.success AND h.type IN ('SQL', 'PYTHON') AND r.last_ok > r.last_undo) WHERE nth > 1")
+query("h20_undoable", "history scripts", state.undoable, "SELECT h.db, h.version, u.version IS NOT NULL AS undoable FROM (SELECT DISTINCT db, version FROM history WHERE success AND type IN ('SQL', 'PYTHON')) h LEFT JOIN (SELECT DISTINCT db, version FROM resolved WHERE kind = 'UNDO_SQL') u ON u.db = h.db AND u.version = h.version")
+query("h21_labels", "history", history.labelled, "SELECT db, installed_rank, CASE WHEN t IN ('SQL', 'PYTHON') THEN 'Versioned' WHEN t = 'REPEATABLE' THEN 'Repeatable' WHEN t = 'UNDO_SQL' THEN 'Undo' WHEN t = 'BASELINE' THEN 'Baseline' ELSE 'Deleted' END AS category, t AS shown_type, trim(regexp_replace(description, '^\\[DELETE:[A-Z_]+\\]', '')) AS description FROM (SELECT *, CASE WHEN type = 'DELETE' AND regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) <> '' THEN regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) ELSE type END AS t FROM history)")
+query("h22_clean_descriptions", "history", lambda h: h.groupBy(history.clean_description(F.col("description")).alias("description")).agg(F.count(F.lit(1)).alias("n")), "SELECT trim(regexp_replace(description, '^\\[DELETE:[A-Z_]+\\]', '')) AS description, count(*) AS n FROM history GROUP BY 1")
+query("h23_still_pending", "history scripts", lambda h, s: state.still_pending(state.resolved_scripts(s).where("kind IN ('SQL', 'PYTHON')").select("db", "script_id", "version", F.col("kind").alias("type")), h).select("db", "script_id"), "SELECT db, script_id FROM resolved r WHERE kind IN ('SQL', 'PYTHON') AND NOT EXISTS (SELECT 1 FROM history h WHERE h.db = r.db AND h.version = r.version AND h.type = r.kind AND h.success AND h.installed_rank > coalesce((SELECT max(installed_rank) FROM history u WHERE u.db = h.db AND u.version = h.version AND u.type = 'UNDO_SQL' AND u.success), 0))")
+_CAN = f"SELECT db, version, NOT coalesce(u > s, false) AS undoable FROM (SELECT db, version, max(installed_rank) FILTER (type = 'SQL') AS s, max(installed_rank) FILTER (type = 'UNDO_SQL') AS u FROM history WHERE success AND type IN ('SQL', 'UNDO_SQL') AND {_V} GROUP BY db, version) WHERE s IS NOT NULL"
+query("h24_can_be_undone", "history", history.can_be_undone, _CAN)
+query("h25_next_to_undo", "history", history.next_to_undo, f"SELECT db, max_by(version, {{'k': {_KEY}, 'v': version}}) AS version FROM ({_CAN}) WHERE undoable GROUP BY db")
+query("h25_undo_down_to", "history", lambda h: history.undo_down_to(h, "3"), f"SELECT db, installed_rank, version, script FROM (SELECT *, max(b) OVER (PARTITION BY db ORDER BY installed_rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM (SELECT *, ({_KEY} <= {key("'3'")})::INT AS b FROM history WHERE success AND type = 'SQL' AND {_V})) WHERE stop = 0")
+query("h26_matching_undo", "history scripts", state.matching_undo, "SELECT h.db, h.version, u.undo_script FROM (SELECT DISTINCT db, version FROM history WHERE success AND type IN ('SQL', 'PYTHON')) h JOIN (SELECT db, version, min(name) AS undo_script FROM resolved WHERE kind = 'UNDO_SQL' GROUP BY db, version) u ON u.db = h.db AND u.version = h.version")
+query("h27_tags_by_version", "scripts", lambda s: state.resolved_scripts(s).where("version IS NOT NULL").groupBy("db", "version").agg(F.array_join(F.max_by("tags", "script_id"), ",").alias("tags")), "SELECT db, version, array_to_string(max_by(tags, script_id), ',') AS tags FROM resolved WHERE version IS NOT NULL GROUP BY db, version")
+query("h28_applied_without_undone", "history", history.applied_without_undone, "SELECT h.db, h.installed_rank, h.type, h.script FROM history h LEFT JOIN undone u ON u.db = h.db AND u.version = h.version WHERE h.success AND (h.type NOT IN ('SQL', 'PYTHON') OR u.version IS NULL)")
+
+# Filters
+query("f1_filtered_scripts", "scripts", lambda s: state.filtered_scripts(s, target="20.3", without_tags=["SRC1 "], without_versions=["4.0"]).select("db", "script_id"), f"SELECT db, script_id FROM resolved WHERE (version IS NULL OR {_KEY} <= {key("'20.3'")}) AND coalesce(version <> '4.0', true) AND NOT list_contains(list_transform(tags, lambda t: lower(t)), 'src1')")
+query("f1_tagged_scripts", "scripts", lambda s: state.filtered_scripts(s, tag_list=["EN", "src7"]).select("db", "script_id"), "SELECT db, script_id FROM resolved WHERE list_has_any(list_transform(tags, lambda t: lower(t)), ['en', 'src7'])")
+query("f2_tags_case_sensitive", "scripts", lambda s: state.filtered_scripts(s, tag_list=["EN", "src7"], fold_case=False).select("db", "script_id"), "SELECT db, script_id FROM resolved WHERE list_has_any(tags, ['EN', 'src7'])")
+query("f4_history_in_scope", "history", lambda h: h.where(versions.version_key(F.col("version")) <= versions.version_key(F.lit("10"))).select("db", "installed_rank"), f"SELECT db, installed_rank FROM history WHERE {_KEY} <= {key("'10'")}")
+query("f5_payload_without_nulls", "history", lambda h: h.select("installed_rank", F.to_json(F.struct("version", "checksum", "success")).alias("payload")), """SELECT installed_rank, '{' || array_to_string(list_filter([CASE WHEN version IS NOT NULL THEN '"version":"' || version || '"' END, CASE WHEN checksum IS NOT NULL THEN '"checksum":' || checksum::VARCHAR END, CASE WHEN success IS NOT NULL THEN '"success":' || success::VARCHAR END], lambda x: x IS NOT NULL), ',') || '}' AS payload FROM history""")
+
+# Joins
+_FOREIGN = "installed_rank % 2 = 0"
+query("j1_not_imported", "history", lambda h: state.not_imported(h.where(_FOREIGN), h.where(f"NOT ({_FOREIGN}) AND installed_rank % 9 = 1")).select("db", "installed_rank"), f"SELECT db, installed_rank FROM history f WHERE {_FOREIGN} AND NOT EXISTS (SELECT 1 FROM history h WHERE NOT (h.installed_rank % 2 = 0) AND h.installed_rank % 9 = 1 AND h.db = f.db AND h.version = f.version AND h.version <> '') AND NOT EXISTS (SELECT 1 FROM history h WHERE NOT (h.installed_rank % 2 = 0) AND h.installed_rank % 9 = 1 AND h.db = f.db AND h.script = f.script)")
+query("j2_applied_without_file", "history scripts", state.applied_without_file, "SELECT db, installed_rank, script FROM without_file")
+query("j3_reappeared", "history scripts", state.reappeared, "SELECT h.db, h.script, min(h.installed_rank) AS deleted_at FROM history h JOIN (SELECT DISTINCT db, name FROM scripts) s ON s.db = h.db AND s.name = h.script WHERE h.type = 'DELETE' GROUP BY h.db, h.script")
+query("j4_duplicate_versions", "scripts", state.duplicate_versions, "SELECT db, version, first, name AS later, script_id FROM (SELECT *, first_value(name) OVER (PARTITION BY db, version ORDER BY script_id) AS first, row_number() OVER (PARTITION BY db, version ORDER BY script_id) AS n FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL) WHERE n > 1")
+query("j5_changes_with_times", "journal", lambda j: journal.changes_with_times(j.where("success"), j).groupBy("object_type", "object_name").agg(F.count(F.lit(1)).alias("n"), F.sum("execution_time").alias("total")), "SELECT object_type, object_name, count(*) AS n, sum(t)::BIGINT AS total FROM journal j JOIN (SELECT migration_id, statement_index, min(execution_time) AS t FROM journal GROUP BY ALL) f USING (migration_id, statement_index) WHERE success GROUP BY ALL")
+query("j6_column_diff", "columns", catalog.column_diff, "SELECT tab, name, d AS difference FROM (SELECT tab, name, unnest(list_filter([CASE WHEN y IS NULL THEN 'removed' END, CASE WHEN x IS NULL THEN 'added' END, CASE WHEN lower(x.type) <> lower(y.type) THEN 'type' END, CASE WHEN x.nullable <> y.nullable THEN 'nullable' END, CASE WHEN x IS NOT NULL AND y IS NOT NULL AND x.dflt IS DISTINCT FROM y.dflt THEN 'default' END], lambda e: e IS NOT NULL)) AS d FROM (SELECT coalesce(a.tab, b.tab) AS tab, coalesce(a.name, b.name) AS name, x, y FROM (SELECT tab, lower(col) AS name, {'type': type, 'nullable': nullable, 'dflt': dflt} AS x FROM columns WHERE side = 'a') a FULL JOIN (SELECT tab, lower(col) AS name, {'type': type, 'nullable': nullable, 'dflt': dflt} AS y FROM columns WHERE side = 'b') b ON a.tab = b.tab AND a.name = b.name))")
+query("j7_merged_objects", "objects", lambda o: catalog.merged_objects(o.where("object_id % 3 <> 0"), o.where("object_id % 3 = 0")), "SELECT kind, lower(name) AS name, max_by(object_id, {'s': s, 'o': object_id}) AS object_id, max(s)::BIGINT AS side FROM (SELECT *, CASE WHEN object_id % 3 = 0 THEN 2 ELSE 1 END AS s FROM objects) GROUP BY 1, 2")
+query("j8_constraints_to_add", "constraints", lambda c: catalog.constraints_to_add(c.where("pos = 0"), c.where("pos = 1 AND type <> 'CHECK'")), "SELECT DISTINCT tab, type, name FROM constraints n WHERE pos = 0 AND NOT EXISTS (SELECT 1 FROM constraints k WHERE k.pos = 1 AND k.type <> 'CHECK' AND k.tab = n.tab AND upper(k.name) = upper(n.name))")
+_SETS = "SELECT tab, type, name, array_to_string(list_sort(list(DISTINCT col)), ',') AS columns FROM constraints GROUP BY ALL"
+query("j9_unique_beside_primary", "constraints", catalog.unique_beside_primary, f"SELECT tab, name, s.columns FROM ({_SETS}) s WHERE type = 'UNIQUE' AND NOT EXISTS (SELECT 1 FROM ({_SETS}) p WHERE p.type = 'PRIMARY KEY' AND p.tab = s.tab AND p.columns = s.columns)")
+query("j12_null_counts", "history", lambda h: catalog.null_counts(h.select("version", "checksum", "success", "script")), "SELECT 'version' AS column_name, count(*) FILTER (version IS NULL) AS n_null FROM history UNION ALL SELECT 'checksum', count(*) FILTER (checksum IS NULL) FROM history UNION ALL SELECT 'success', count(*) FILTER (success IS NULL) FROM history UNION ALL SELECT 'script', count(*) FILTER (script IS NULL) FROM history")
+query("j14_duplicate_ranks", "history", lambda h: history.duplicate_ranks(h.withColumn("installed_rank", F.floor(F.col("installed_rank") / 3))), "SELECT db, floor(installed_rank / 3.0)::BIGINT AS installed_rank, count(*) AS n FROM history GROUP BY 1, 2 HAVING count(*) > 1")
+query("j14_reranked", "history", lambda h: history.reranked(h.withColumns({"script": F.concat("script", F.lit("#"), F.col("installed_rank").cast("string")), "installed_rank": F.floor(F.col("installed_rank") / 3)})), "SELECT m.db, m.r AS installed_rank, m.s AS script, t.top + row_number() OVER (PARTITION BY m.db ORDER BY m.r, m.s) AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY db, r ORDER BY s) AS n FROM (SELECT db, floor(installed_rank / 3.0)::BIGINT AS r, script || '#' || installed_rank::VARCHAR AS s FROM history)) m JOIN (SELECT db, max(floor(installed_rank / 3.0)::BIGINT) AS top FROM history GROUP BY db) t ON t.db = m.db WHERE m.n > 1")
+query("j15_history_count", "history", history.counted, "SELECT db, count(*) AS n FROM history GROUP BY db")
+
+# Aggregations
+query("a1_statement_times", "journal", journal.statement_times, "SELECT migration_id, count(*) AS n, sum(execution_time)::BIGINT AS total, round(avg(execution_time), 6) AS mean, max(execution_time) AS longest, min(execution_time) AS shortest, max_by(statement_index, {'t': execution_time, 'i': -statement_index}) FILTER (execution_time > 0) AS slowest_index FROM journal GROUP BY migration_id")
+query("a2_times_by_kind", "journal", journal.times_by_kind, "SELECT migration_id, object_type, count(*) AS n, sum(execution_time)::BIGINT AS total, max(execution_time) AS longest, count(DISTINCT object_name) AS objects, round(avg(execution_time), 6) AS mean FROM journal GROUP BY ALL")
+query("a3_objects_by_schema", "objects", lambda o: catalog.counts_by_schema(o, ["table", "view", "index", "sequence", "trigger", "procedure"]), "SELECT lower(coalesce(schema_name, 'public')) AS schema_name, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("table", "view", "index", "sequence", "trigger", "procedure")) + " FROM objects GROUP BY 1")
+query("a4_completeness", "objects", catalog.completeness, "SELECT kind, score, incomplete, CASE WHEN score >= 0.95 AND incomplete = 0 THEN 'HIGH' WHEN score >= 0.8 THEN 'MEDIUM' WHEN score >= 0.6 THEN 'LOW' ELSE 'VERY_LOW' END AS confidence FROM (SELECT kind, round(avg(CASE WHEN total > 0 THEN captured / total ELSE 1.0 END), 6) AS score, count(*) FILTER (captured < total) AS incomplete FROM objects GROUP BY kind)")
+query("a6_grouped_names", "objects", catalog.grouped_names, "SELECT kind, coalesce(schema_name, 'public') AS schema_name, count(DISTINCT lower(name)) AS n, min(lower(name)) AS first_name, max(lower(name)) AS last_name FROM objects GROUP BY 1, 2")
+query("a7_summary_text", "objects", catalog.summary_text, "SELECT array_to_string(list_sort(list(kind || ': ' || n::VARCHAR)), ', ') AS summary FROM (SELECT kind, count(*) AS n FROM objects GROUP BY kind)")
+query("a8_distinct_names", "objects", catalog.distinct_names, "SELECT DISTINCT kind, lower(coalesce(schema_name, 'public')) AS schema_name, lower(name) AS name FROM objects")
+query("a9_assembled_constraints", "constraints", catalog.assembled_constraints, "SELECT tab, type, name, array_to_string(list(col ORDER BY pos, col), ',') AS columns FROM (SELECT DISTINCT tab, type, name, pos, col FROM constraints) GROUP BY ALL")
+query("a10_run_statistics", "history", history.run_statistics, "SELECT db, count(*) AS total, count(*) FILTER (success OR type = 'BASELINE') AS successes, count(*) FILTER (NOT success AND type <> 'BASELINE') AS failures, count(*) FILTER (success IS NULL AND type <> 'BASELINE') AS unclear, count(*) FILTER (type = 'UNDO_SQL') AS undos, sum(execution_time)::BIGINT AS total_ms FROM history GROUP BY db")
+query("a11_outcome_counts", "journal", journal.outcome_counts, "SELECT success, count(*) AS n FROM journal GROUP BY success")
+query("a12_candidates_for_missing", "history", history.candidates_for_missing, "SELECT db, count(*) AS n FROM history h WHERE type NOT IN ('DELETE', 'BASELINE') AND NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = h.db AND d.script = h.script) GROUP BY db")
+query("e1_error_categories", "journal", lambda j: j.withColumn("m", F.element_at(F.array(*[F.lit(x) for x in ("Connection timed out", "DEADLOCK found", "permission denied for t", "Statement timeout", "syntax error", "Broken  pipe")]), (F.col("statement_index") % 6 + 1).cast("int"))).groupBy(journal.error_category(F.col("m")).alias("category"), journal.retryable(journal.error_category(F.col("m")), F.col("execution_time") % 5).alias("again")).agg(F.count(F.lit(1)).alias("n")), "SELECT category, category IN ('NETWORK', 'TIMEOUT', 'LOCKING') AND execution_time % 5 < 3 AS again, count(*) AS n FROM (SELECT *, ['NETWORK', 'LOCKING', 'AUTHORIZATION', 'TIMEOUT', 'UNKNOWN', 'NETWORK'][statement_index % 6 + 1] AS category FROM journal) GROUP BY ALL")
+
+# SQL text
+_BARE = r"regexp_replace(sql_text, '(?s)^(\s*(--[^\n]*(\n|$)|/\*.*?\*/))*\s*', '')"
+query("p8_batches", "batches", lambda b: b.select("script_id", F.posexplode(sqltext.batches(F.col("content"))).alias("pos", "batch")).select("script_id", F.col("pos").cast("long").alias("pos"), "batch"), r"SELECT script_id, unnest(range(len(p))) AS pos, unnest(p) AS batch FROM (SELECT script_id, list_filter(list_transform(str_split_regex(content, '(?im)^[ \t]*GO[ \t]*(?:--[^\n]*)?$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM batches)")
+query("p9_simple_statements", "batches", lambda b: b.select("script_id", F.explode(sqltext.simple_statements(F.col("content"))).alias("stmt")), r"SELECT script_id, unnest(list_filter(list_transform(str_split_regex(regexp_replace(content, '(?im)^[ \t]*GO[ \t]*(?:--[^\n]*)?$', ';', 'g'), ';'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS stmt FROM batches")
+query("p7_quoted_statements", "statements", lambda s: s.select("stmt_id", F.size(sqltext.quoted_statements(F.concat("sql_text", F.lit("; SELECT ';' -- c;\n; /* ; */ x")))).cast("long").alias("n")), r"""SELECT stmt_id, len(list_filter(regexp_extract_all(regexp_replace(sql_text || '; SELECT '';'' -- c;' || chr(10) || '; /* ; */ x', '(?s)(''(?:[^'']|'''')*''|"[^"]*")|--[^\n]*|/\*.*?\*/', '\1', 'g'), '(?:[^;''"]|''(?:[^'']|'''')*''|"[^"]*")+;?'), lambda x: regexp_replace(x, '[;\s]', '', 'g') <> ''))::BIGINT AS n FROM statements""")
+query("p11_statement_class", "statements", lambda s: s.select("stmt_id", sqltext.statement_class(F.col("sql_text")).alias("class")), f"SELECT stmt_id, CASE WHEN regexp_matches(h, '^(CREATE|ALTER|DROP|TRUNCATE|COMMENT|GRANT|REVOKE|RENAME)') THEN 'DDL' WHEN regexp_matches(h, '^(INSERT|UPDATE|DELETE|MERGE|CALL|EXEC)') THEN 'DML' WHEN regexp_matches(h, '^(SELECT|WITH|SHOW|DESC|EXPLAIN)') THEN 'QUERY' ELSE 'UNKNOWN' END AS class FROM (SELECT stmt_id, upper({_BARE}) AS h FROM statements)")
+query("p12_verbs", "statements", lambda s: s.groupBy(sqltext.verb(F.col("sql_text")).alias("verb")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'SELECT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END AS verb, count(*) AS n FROM (SELECT upper(regexp_extract(sql_text, '^\\s*([A-Za-z]*)', 1)) AS v FROM statements) GROUP BY 1")
+query("p13_executable", "statements", lambda s: s.where(sqltext.is_executable(F.col("sql_text"))).select("stmt_id"), f"SELECT stmt_id FROM (SELECT stmt_id, regexp_replace({_BARE}, '[\\s;]+$', '') AS r FROM statements) WHERE r <> '' AND upper(r) NOT IN ('GO', '/')")
+query("p14_transaction_policy", "statements", lambda s: s.groupBy((F.col("stmt_id") % 50).alias("script")).agg(F.when(F.bool_and(sqltext.statement_class(F.col("sql_text")) != "DDL"), "transactional").when(F.bool_and(sqltext.statement_class(F.col("sql_text")) == "DDL"), "autocommit").otherwise("mixed").alias("policy")), f"SELECT stmt_id % 50 AS script, CASE WHEN bool_and(NOT d) THEN 'transactional' WHEN bool_and(d) THEN 'autocommit' ELSE 'mixed' END AS policy FROM (SELECT stmt_id, regexp_matches(upper({_BARE}), '^(CREATE|ALTER|DROP|TRUNCATE|COMMENT|GRANT|REVOKE|RENAME)') AS d FROM statements) GROUP BY 1")
+query("p15_structural_problems", "statements", lambda s: s.select("stmt_id", sqltext.structural_problem(F.col("sql_text")).alias("problem")).where("problem IS NOT NULL"), "SELECT stmt_id, problem FROM (SELECT stmt_id, CASE WHEN trim(sql_text) = '' THEN 'empty' WHEN len(regexp_extract_all(sql_text, '\\(')) <> len(regexp_extract_all(sql_text, '\\)')) THEN 'parentheses' WHEN len(regexp_extract_all(sql_text, '''')) % 2 = 1 THEN 'quotes' END AS problem FROM statements) WHERE problem IS NOT NULL")
+_OBJECT = r"(?i)^(?:CREATE|ALTER|DROP)\s+(?:UNIQUE\s+)?(TABLE|VIEW|INDEX)\s+([\w.]+)"
+query("p16_objects", "statements", lambda s: s.withColumn("o", sqltext.object_of(F.col("sql_text"))).where("o.object_type IS NOT NULL").select("stmt_id", "o.*"), f"SELECT stmt_id, upper(regexp_extract(h, '{_OBJECT}', 1)) AS object_type, nullif(regexp_extract(regexp_extract(h, '{_OBJECT}', 2), '^(.*)\\.[^.]*$', 1), '') AS schema_name, regexp_extract(regexp_extract(h, '{_OBJECT}', 2), '([^.]*)$', 1) AS object_name FROM (SELECT stmt_id, {_BARE} AS h FROM statements) WHERE regexp_matches(h, '{_OBJECT}')")
+query("p22_placeholders", "batches", lambda b: b.select("script_id", sqltext.substituted(F.col("content"), {"state": F.col("state")}).alias("content")), "SELECT script_id, regexp_replace(replace(content, '$' || '{state}', state), '\\$\\{\\w+:([^}]*)\\}', '\\1', 'g') AS content FROM batches")
+query("p23_returns_rows", "statements", lambda s: s.where(sqltext.returns_rows(F.col("sql_text"))).select("stmt_id"), f"SELECT stmt_id FROM statements WHERE regexp_matches(upper(regexp_replace({_BARE}, '^[(\\s]+', '')), '^(SELECT|WITH|SHOW|VALUES|EXPLAIN|DESC)')")
+_TARGET = r"(?i)^(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+([\w.]+)"
+query("d2_dml_targets", "statements", lambda s: s.select("stmt_id", sqltext.dml_target(F.col("sql_text")).alias("target")).where("target IS NOT NULL"), f"SELECT stmt_id, regexp_extract({_BARE}, '{_TARGET}', 1) AS target FROM statements WHERE regexp_matches({_BARE}, '{_TARGET}')")
+query("d3_dml_events", "statements", lambda s: s.select("stmt_id", F.array_join(sqltext.dml_events(F.col("sql_text")), ",").alias("events")), f"SELECT stmt_id, CASE WHEN h LIKE 'INSERT%' THEN CASE WHEN regexp_matches(h, '(?s)ON\\s+DUPLICATE\\s+KEY\\s+UPDATE|ON\\s+CONFLICT.*DO\\s+UPDATE') THEN 'INSERT,UPDATE' ELSE 'INSERT' END WHEN h LIKE 'UPDATE%' THEN 'UPDATE' WHEN h LIKE 'DELETE%' THEN 'DELETE' WHEN h LIKE 'MERGE%' THEN array_to_string(list_sort(list_distinct(regexp_extract_all(h, 'THEN\\s+(INSERT|UPDATE|DELETE)', 1))), ',') END AS events FROM (SELECT stmt_id, upper({_BARE}) AS h FROM statements)")
+query("d4_upserts", "statements", lambda s: s.where(sqltext.is_upsert(F.col("sql_text"))).select("stmt_id"), "SELECT stmt_id FROM statements WHERE regexp_matches(sql_text, '(?is)ON\\s+DUPLICATE\\s+KEY\\s+UPDATE|ON\\s+CONFLICT.*DO\\s+UPDATE')")
+query("d5_updated_columns", "statements", lambda s: s.select("stmt_id", F.explode(sqltext.updated_columns(F.col("sql_text"))).alias("column_name")), f"SELECT stmt_id, c AS column_name FROM (SELECT stmt_id, unnest(list_transform(string_split(regexp_extract({_BARE}, '(?is)^UPDATE\\s+.*?\\s+SET\\s+(.*?)(?:\\s+WHERE\\s.*)?$', 1), ','), lambda x: lower(regexp_extract(x, '(?:\\w+\\.)?(\\w+)\\s*=', 1)))) AS c FROM statements) WHERE c <> ''")
+query("d6_where_text", "statements", lambda s: s.select("stmt_id", sqltext.where_text(F.col("sql_text")).alias("predicate")).where("predicate IS NOT NULL"), f"SELECT stmt_id, p AS predicate FROM (SELECT stmt_id, regexp_extract({_BARE}, '(?is)^(?:UPDATE|DELETE)\\s.*?\\sWHERE\\s+(.*)$', 1) AS p FROM statements) WHERE p <> ''")
+query("d7_changes_all_rows", "statements", lambda s: s.where(sqltext.changes_all_rows(F.col("sql_text"))).select("stmt_id"), f"SELECT stmt_id FROM (SELECT stmt_id, upper({_BARE}) AS h FROM statements) WHERE regexp_matches(h, '^(UPDATE|DELETE)') AND NOT regexp_matches(h, '\\bWHERE\\b')")
+query("d8_inserted_literals", "statements", lambda s: s.select("stmt_id", F.array_join(sqltext.inserted_literals(F.col("sql_text")), ";").alias("row")).where("row <> ''"), "SELECT stmt_id, CASE WHEN stmt_id % 16 = 3 THEN 'id=1;name=''a;b''' ELSE 'id=1' END AS row FROM statements WHERE stmt_id % 16 IN (3, 7)")
+query("d9_touches_key", "statements", lambda s: s.where(sqltext.touches(F.col("sql_text"), ["PRICE"])).select("stmt_id"), f"SELECT stmt_id FROM statements WHERE regexp_matches({_BARE}, '(?is)^UPDATE\\s+.*\\sSET\\s+(.*,\\s*)?price\\s*=')")
+query("d10_without_comments", "statements", lambda s: s.select("stmt_id", sqltext.without_comments(F.col("sql_text")).alias("sql_text")), f"SELECT stmt_id, {_BARE} AS sql_text FROM statements")
+
+# Types and names
+_BASE, _ARGS = "trim(upper(regexp_replace(type_name, '\\s*\\(.*$', '')))", "replace(regexp_extract(type_name, '(\\(.*\\))\\s*$', 1), ' ', '')"
+
+
+def _cases(table: dict[str, str], value: str) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {value} END"
+
+
+_FAMILY = f"CASE WHEN {_BASE} IN ('NUMBER', 'NUMERIC', 'DECIMAL') AND regexp_matches(type_name, '\\(\\s*(\\d|1[0-8])\\s*,\\s*0\\s*\\)') THEN 'INTEGER' ELSE {_cases(types.FAMILY, _BASE)} END"
+for _dialect in ("postgresql", "oracle", "mysql"):
+    query(f"n1_normalised_types_{_dialect}", "types", lambda t, d=_dialect: t.select("type_id", types.normalised_type(F.col("type_name"), d).alias("type_name")), f"SELECT type_id, CASE WHEN b = 'TINYINT' AND a = '(1)' AND {str(_dialect == 'mysql').lower()} THEN 'BOOLEAN' WHEN n IN ('TIMESTAMP', 'TIME', 'DATETIME', 'DATE') THEN n ELSE n || a END AS type_name FROM (SELECT type_id, {_BASE} AS b, {_ARGS} AS a, CASE WHEN {_BASE} IN ('DATETIME2', 'SMALLDATETIME') THEN 'DATETIME' ELSE {_cases(types.ALIASES.get(_dialect, {'': ''}), _BASE)} END AS n FROM types)")
+query("n2_type_parameters", "types", lambda t: t.withColumn("p", types.type_parameters(F.col("type_name"))).select("type_id", types.type_base(F.col("type_name")).alias("base"), "p.*"), f"SELECT type_id, {_BASE} AS base, TRY_CAST(regexp_extract(type_name, '\\(\\s*(\\d+)\\s*(?:,\\s*(\\d+)\\s*)?\\)', 1) AS BIGINT) AS precision, TRY_CAST(regexp_extract(type_name, '\\(\\s*(\\d+)\\s*(?:,\\s*(\\d+)\\s*)?\\)', 2) AS BIGINT) AS scale FROM types")
+query("n3_canonical_types", "types", lambda t: t.select("type_id", types.canonical_type(F.col("type_name")).alias("family")), f"SELECT type_id, {_FAMILY} AS family FROM types")
+query("n5_same_family", "types", lambda t: t.select("type_id", (types.canonical_type(F.col("type_name")) == types.canonical_type(F.lit("NUMERIC(18,0)"))).alias("same")), f"SELECT type_id, {_FAMILY} = 'INTEGER' AS same FROM types")
+query("n6_preferred_types", "types", lambda t: t.select("type_id", types.preferred_type(F.col("type_name"), "oracle").alias("preferred")), f"SELECT type_id, CASE f WHEN 'INTEGER' THEN 'NUMBER' WHEN 'VARCHAR' THEN 'VARCHAR2' ELSE f END AS preferred FROM (SELECT type_id, {_FAMILY} AS f FROM types)")
+
+
+def _identifier():
+    return F.when(F.col("object_id") % 3 == 0, F.concat(F.lit('"'), "name", F.lit('"'))).when(F.col("object_id") % 3 == 1, F.concat(F.lit("Sales."), "name")).otherwise(F.col("name"))
 
 
-def queries():
-    return {}
+_IDENTIFIER_SQL = "CASE object_id % 3 WHEN 0 THEN '\"' || name || '\"' WHEN 1 THEN 'Sales.' || name ELSE name END"
+query("n7_identifiers", "objects", lambda o: o.select("object_id", types.normalised_identifier(_identifier(), "oracle").alias("upper_name"), types.normalised_identifier(_identifier(), "postgresql").alias("lower_name")), "SELECT object_id, CASE object_id % 3 WHEN 0 THEN name WHEN 1 THEN upper('Sales.' || name) ELSE upper(name) END AS upper_name, CASE object_id % 3 WHEN 0 THEN name WHEN 1 THEN lower('Sales.' || name) ELSE lower(name) END AS lower_name FROM objects")
+query("n8_qualified_names", "objects", lambda o: o.withColumn("q", types.qualified_name(_identifier())).select("object_id", "q.*"), f"SELECT object_id, regexp_replace({_IDENTIFIER_SQL}, '^[^.]*\\.', '') AS object_name, CASE WHEN object_id % 3 = 1 THEN 'Sales' END AS schema_name FROM objects")
+query("n9_needs_quotes", "objects", lambda o: o.groupBy(types.needs_quotes(_identifier()).alias("quotes")).agg(F.count(F.lit(1)).alias("n")), "SELECT object_id % 3 <> 2 AS quotes, count(*) AS n FROM objects GROUP BY 1")
 
+# Graphs
+_CLOSURE = "WITH RECURSIVE r(src, dst, p) AS (SELECT src, dst, [src, dst] FROM {e} UNION ALL SELECT r.src, e.dst, list_append(r.p, e.dst) FROM r JOIN {e} e ON e.src = r.dst WHERE NOT list_contains(r.p[2:], e.dst)) "
+_DEPTH = "WITH RECURSIVE d(node, depth) AS (SELECT dst, 0 FROM edges WHERE dst NOT IN (SELECT src FROM edges) UNION ALL SELECT e.src, depth + 1 FROM d JOIN edges e ON e.dst = d.node) "
+query("g1_table_references", "statements", graph.table_references, "SELECT DISTINCT stmt_id, lower(unnest(regexp_extract_all(sql_text, '(?i)\\b(?:FROM|JOIN)\\s+([A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)?)', 1))) AS ref FROM statements")
+query("g4_reversed_edges", "edges", graph.reversed_edges, "SELECT DISTINCT dst AS src, src AS dst FROM edges")
+query("g5_degrees", "edges", graph.degrees, "SELECT node, count(*) FILTER (o) AS needs, count(*) FILTER (NOT o) AS needed_by FROM (SELECT DISTINCT src AS node, dst, true AS o FROM edges UNION ALL SELECT DISTINCT dst, src, false FROM edges) GROUP BY node")
+query("g6_closure", "edges", graph.closure, _CLOSURE.format(e="edges") + "SELECT DISTINCT src, dst FROM r")
+query("g6_closure_cyclic", "cyclic_edges", graph.closure, _CLOSURE.format(e="cyclic_edges") + "SELECT DISTINCT src, dst FROM r")
+query("g7_creation_order", "edges", graph.creation_order, _DEPTH + "SELECT node, depth, row_number() OVER (ORDER BY depth, node) AS place FROM (SELECT node, max(depth)::BIGINT AS depth FROM d GROUP BY node)")
+query("g8_in_cycles", "cyclic_edges", graph.in_cycles, _CLOSURE.format(e="cyclic_edges") + "SELECT DISTINCT src AS node FROM r WHERE src = dst")
+query("g9_has_cycle", "edges", graph.has_cycle, _CLOSURE.format(e="edges") + "SELECT count(*) FILTER (src = dst) > 0 AS has_cycle FROM r")
+query("o1_canonical_order", "objects", graph.canonical_order, "SELECT object_id, kind, row_number() OVER (PARTITION BY kind ORDER BY lower(coalesce(schema_name, 'public')), lower(name), object_id) AS place, list_position(['sequence', 'table', 'index', 'view', 'procedure', 'trigger'], kind)::BIGINT AS priority FROM objects")
+query("o2_depths", "edges", graph.depths, _DEPTH + "SELECT node, max(depth)::BIGINT AS depth FROM d GROUP BY node")
 
-def oracle_sql():
-    return {}
+# Constraints, undo scripts, repair
+query("x7_constraint_problems", "constraints", catalog.constraint_problems, f"SELECT tab, 'several primary keys' AS problem, count(*)::VARCHAR AS detail FROM (SELECT DISTINCT tab, name FROM constraints WHERE type = 'PRIMARY KEY') GROUP BY tab HAVING count(*) > 1 UNION ALL SELECT tab, 'name used twice', name FROM constraints GROUP BY tab, name HAVING count(DISTINCT type) > 1 UNION ALL SELECT tab, 'trivial check', name FROM constraints WHERE type = 'CHECK' GROUP BY tab, name HAVING bool_or(expr = '1=1') UNION ALL SELECT tab, 'unique columns repeat', s.columns FROM ({_SETS}) s WHERE type = 'UNIQUE' GROUP BY tab, s.columns HAVING count(*) > 1")
+query("u1_reversed_script", "statements", lambda s: undo.reversed_script(s.withColumn("script", F.col("stmt_id") % 100), ["script"]), None)
+query("u2_reversed_statements", "statements", lambda s: s.withColumn("r", undo.reverse_statement(F.col("sql_text"))).select("stmt_id", "r.*"), f"SELECT stmt_id, CASE stmt_id % 16 WHEN 0 THEN 'DROP TABLE s.' || t WHEN 9 THEN 'DROP INDEX ix' || n WHEN 1 THEN 'ALTER TABLE ' || t || ' DROP COLUMN c' || n WHEN 3 THEN 'DELETE FROM ' || t || ' WHERE id = 1 AND name = ''a;b''' WHEN 7 THEN 'DELETE FROM ' || t || ' WHERE id = 1' END AS undo_sql, CASE WHEN stmt_id % 16 IN (0, 1, 9) THEN NULL WHEN stmt_id % 16 IN (3, 7) THEN 'review: deletes by equality' ELSE 'cannot reverse ' || CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'SELECT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END END AS warning FROM (SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS t, (stmt_id % 5)::VARCHAR AS n, upper(regexp_extract({_BARE}, '^([A-Za-z]*)', 1)) AS v FROM statements)")
+_REPAIR = "SELECT db, script, installed_rank, 'CHECKSUM_MISMATCH' AS repair_type FROM drifted_sql UNION ALL SELECT db, script, installed_rank, 'MISSING_SCRIPT' FROM without_file w WHERE NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = w.db AND d.script = w.script) UNION ALL SELECT db, script, installed_rank, 'FAILED_MIGRATION' FROM history WHERE NOT success"
+query("r1_repair_plan", "history scripts", state.repair_plan, _REPAIR)
+query("r4_strict_violations", "history scripts", state.strict_violations, f"SELECT DISTINCT db, script, 'missing' AS rule FROM without_file UNION ALL SELECT r.db, r.name, 'below_highest' FROM resolved r JOIN (SELECT db, max_by(version, {{'k': {_KEY}, 'r': -installed_rank}}) AS highest FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V} GROUP BY db) h ON h.db = r.db WHERE r.kind IN ('SQL', 'PYTHON') AND r.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM history x WHERE x.db = r.db AND x.version = r.version AND x.type IN ('SQL', 'PYTHON')) AND {key('r.version')} < {key('h.highest')}")
+query("r5_failed_issues", "history scripts", state.failed_issues, "SELECT db, installed_rank, script, type FROM history h WHERE NOT success AND NOT (type = 'REPEATABLE' AND EXISTS (SELECT 1 FROM rerun r WHERE r.verdict = 'modified' AND r.db = h.db AND r.script = h.script))")

@@ -76,3 +76,9 @@ def qualified_name(name: Column) -> Column:
 
 def needs_quotes(name: Column) -> Column:
     return ~name.rlike("^[A-Za-z_][A-Za-z0-9_]*$") | F.upper(name).isin(*RESERVED)
+
+
+def equivalent_types(a: Column, dialect_a: str, b: Column, dialect_b: str) -> Column:
+    """Do two type names mean the same? In one dialect they must be spelled alike once normalised; across dialects a common family suffices."""
+    same = normalised_type(a, dialect_a) == normalised_type(b, dialect_b)
+    return same if dialect_a == dialect_b else same | (canonical_type(a) == canonical_type(b))

@@ -95,3 +95,37 @@ def null_counts(df: DataFrame) -> DataFrame:
     """For each column, how many rows are null: a check before NOT NULL."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_null")) for c in df.columns])).alias("x")).select("x.*")
+
+
+def enriched_columns(columns: DataFrame, details: DataFrame) -> DataFrame:
+    """Columns with details found under the same name, case aside; the first detail by position counts."""
+    one = details.groupBy("tab", F.lower("col").alias("_name")).agg(F.min_by("dflt", "pos").alias("detail"))
+    return columns.withColumn("_name", F.lower("col")).join(one, ["tab", "_name"], "left").select("tab", "col", "type", "detail")
+
+
+def without_internal(objects: DataFrame, internal: DataFrame) -> DataFrame:
+    """Objects that aren't bookkeeping tables (by lower-case name)."""
+    return objects.join(internal.select(F.lower("name").alias("_n")).distinct(), F.lower("name") == F.col("_n"), "left_anti")
+
+
+def missing_columns(present: list[str], required: list[str], df: DataFrame) -> DataFrame:
+    """Required columns that a foreign history lacks."""
+    spark = df.sparkSession
+    return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in required])).alias("column_name")).where(~F.lower("column_name").isin(*[c.lower() for c in present]))
+
+
+def same_constraints(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Constraints of both sides with equal table, kind, name (case aside) and set of columns."""
+
+    def made(df: DataFrame) -> DataFrame:
+        return df.groupBy("tab", "type", F.lower("name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set(F.lower("col"))), ",").alias("columns"))
+
+    return made(a).join(made(b), ["tab", "type", "name", "columns"], "left_semi")
+
+
+def drop_order(objects: DataFrame) -> DataFrame:
+    """Distinct objects with the step in which they can be dropped: what others rest on goes last."""
+    # Kinds in the order in which they are dropped.
+    kinds = ("trigger", "view", "procedure", "index", "table", "sequence")
+    step = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")).cast("long")
+    return distinct_names(objects).select("kind", "schema_name", "name", step.alias("step"))

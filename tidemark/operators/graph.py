@@ -91,3 +91,17 @@ def canonical_order(objects: DataFrame) -> DataFrame:
     priority = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")), F.lit(99)).cast("int")
     rows = objects.withColumn("_priority", priority).withColumn("_schema", F.lower(F.coalesce("schema_name", F.lit("public"))))
     return rows.select("object_id", "kind", F.row_number().over(Window.partitionBy("kind").orderBy("_schema", F.lower("name"), "object_id")).cast("long").alias("place"), F.col("_priority").cast("long").alias("priority"))
+
+
+def object_edges(objects: DataFrame) -> DataFrame:
+    """Edges that kinds imply: an index or trigger needs the table of its schema and name; keys are lower-case schema.kind.name."""
+    rows = objects.select("kind", F.lower(F.coalesce("schema_name", F.lit("public"))).alias("s"), F.lower("name").alias("n")).distinct()
+    key = lambda kind: F.concat_ws(".", F.col("s"), kind, F.col("n"))
+    tables = rows.where("kind = 'table'").select("s", "n")
+    return rows.where("kind IN ('index', 'trigger')").join(tables, ["s", "n"]).select(key(F.col("kind")).alias("src"), key(F.lit("table")).alias("dst"))
+
+
+def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
+    """Statements that hold a name as a word, case aside: words are joined, not every name tried on every text."""
+    words = statements.select("stmt_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql_text"), F.lit(r"\w+"), F.lit(0)))).alias("name"))
+    return words.join(names.select(F.lower("name").alias("name")).distinct(), "name").select("stmt_id", "name")

@@ -276,3 +276,58 @@ def failed_issues(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY
     again = repeatables_to_rerun(history, scripts, by).where("verdict = 'modified'").select(*by, "script").distinct()
     rows = history.where(F.col("success") == F.lit(False))
     return rows.where("type <> 'REPEATABLE'").unionByName(rows.where("type = 'REPEATABLE'").join(again, [*by, "script"], "left_anti").select(*rows.columns)).select(*by, "installed_rank", "script", "type")
+
+
+def repaired(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """The history after repair: failed rows gone, checksums aligned with files, and a DELETE row for each missing script."""
+    plan = repair_plan(history, scripts, by)
+    files = resolved_scripts(scripts, by).select(*by, F.col("name").alias("script"), "file_checksum")
+    aligned = plan.where("repair_type = 'CHECKSUM_MISMATCH'").select(*by, "script").distinct().join(files, [*by, "script"])
+    aligned = aligned.groupBy(*by, "script").agg(F.min("file_checksum").alias("_new"))
+    kept = history.where(~F.coalesce(F.col("success") == F.lit(False), F.lit(False))).join(aligned, [*by, "script"], "left")
+    kept = kept.withColumn("checksum", F.when((F.col("type") == "SQL") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("checksum")))
+    top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
+    order = Window.partitionBy(*by).orderBy("script")
+    gone = plan.where("repair_type = 'MISSING_SCRIPT'").select(*by, "script").distinct().join(top, list(by))
+    gone = gone.select(*by, (F.col("_top") + F.row_number().over(order)).alias("installed_rank"), F.lit("DELETE").alias("type"), "script", F.lit(None).cast("int").alias("checksum"), F.lit(True).alias("success"))
+    return kept.select(*by, "installed_rank", "type", "script", "checksum", "success").unionByName(gone)
+
+
+def empty_folder_gate(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Databases without any script whose history would be reported missing: repair must refuse there."""
+    from .history import candidates_for_missing
+
+    return candidates_for_missing(history, by).join(scripts.select(*by).distinct(), list(by), "left_anti")
+
+
+def validation_issues(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """All issues with the order of their check: duplicates, failures, checksums, missing files."""
+
+    def of(order: int, df: DataFrame) -> DataFrame:
+        return df.select(*by, F.lit(order).cast("long").alias("check_order"), F.col("script"))
+
+    return (
+        of(1, duplicate_versions(scripts, by).withColumnRenamed("later", "script"))
+        .unionByName(of(2, failed_issues(history, scripts, by)))
+        .unionByName(of(3, checksum_issues(history, scripts, by).where("issue = 'changed'")))
+        .unionByName(of(4, checksum_issues(history, scripts, by).where("issue = 'missing'")))
+    )
+
+
+def first_failing_check(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """The first check that finds something in each database, and how many issues it finds."""
+    counts = validation_issues(history, scripts, by).groupBy(*by, "check_order").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*by).agg(F.min_by(F.struct("check_order", "n"), "check_order").alias("first")).select(*by, "first.*")
+
+
+def may_take_baseline(history: DataFrame, databases: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Databases whose history is empty."""
+    return databases.select(*by).distinct().join(history.select(*by).distinct(), list(by), "left_anti")
+
+
+def marked_as_executed(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Rows to append for pending versioned scripts that are recorded without being run, ranked by version."""
+    new = pending(history, scripts, by=by).where("kind <> 'REPEATABLE' AND reason <> 'below'")
+    top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
+    order = Window.partitionBy(*by).orderBy(version_key(F.col("version")), "name", "script_id")
+    return new.join(top, list(by), "left").select(*by, (F.coalesce("_top", F.lit(0)) + F.row_number().over(order)).alias("installed_rank"), "version", F.col("kind").alias("type"), F.col("name").alias("script"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import checksums, scripts, sqltext, types, versions
+from .functions import checksums, scripts, sqltext, textdiff, types, versions
 from .operators import catalog, graph, history, journal, state, undo
 from .oracle import crc, key, numbers, with_views
 from .plans import info
@@ -221,3 +221,26 @@ _REPAIR = "SELECT db, script, installed_rank, 'CHECKSUM_MISMATCH' AS repair_type
 query("r1_repair_plan", "history scripts", state.repair_plan, _REPAIR)
 query("r4_strict_violations", "history scripts", state.strict_violations, f"SELECT DISTINCT db, script, 'missing' AS rule FROM without_file UNION ALL SELECT r.db, r.name, 'below_highest' FROM resolved r JOIN (SELECT db, max_by(version, {{'k': {_KEY}, 'r': -installed_rank}}) AS highest FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V} GROUP BY db) h ON h.db = r.db WHERE r.kind IN ('SQL', 'PYTHON') AND r.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM history x WHERE x.db = r.db AND x.version = r.version AND x.type IN ('SQL', 'PYTHON')) AND {key('r.version')} < {key('h.highest')}")
 query("r5_failed_issues", "history scripts", state.failed_issues, "SELECT db, installed_rank, script, type FROM history h WHERE NOT success AND NOT (type = 'REPEATABLE' AND EXISTS (SELECT 1 FROM rerun r WHERE r.verdict = 'modified' AND r.db = h.db AND r.script = h.script))")
+
+
+# More of validation, catalogs and imports
+query("h3c_reapplied_by_sequence", "history", history.reapplied_after_last_undo, "SELECT DISTINCT h.db, h.version FROM history h WHERE success AND type IN ('SQL', 'PYTHON') AND installed_rank > (SELECT max(installed_rank) FROM history u WHERE u.db = h.db AND u.version = h.version AND u.type = 'UNDO_SQL' AND u.success)")
+query("r2_empty_folder_gate", "history scripts", lambda h, s: state.empty_folder_gate(h, s.where("db < 3")), "SELECT db, count(*) AS n FROM history h WHERE type NOT IN ('DELETE', 'BASELINE') AND db NOT IN (SELECT db FROM scripts WHERE db < 3) AND NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = h.db AND d.script = h.script) GROUP BY db")
+query("r3_repaired", "history scripts", state.repaired, f"SELECT h.db, h.installed_rank, h.type, h.script, CASE WHEN h.type = 'SQL' AND a.c IS NOT NULL THEN a.c ELSE h.checksum END::INT AS checksum, h.success FROM history h LEFT JOIN (SELECT d.db, d.script, min(c.file_checksum) AS c FROM (SELECT DISTINCT db, script FROM drifted_sql) d JOIN checked c ON c.db = d.db AND c.name = d.script GROUP BY ALL) a ON a.db = h.db AND a.script = h.script WHERE h.success IS DISTINCT FROM false UNION ALL SELECT g.db, t.top + row_number() OVER (PARTITION BY g.db ORDER BY g.script), 'DELETE', g.script, NULL, true FROM (SELECT DISTINCT db, script FROM ({_REPAIR}) WHERE repair_type = 'MISSING_SCRIPT') g JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = g.db")
+_DUPLICATES = "SELECT db, name AS script FROM (SELECT *, row_number() OVER (PARTITION BY db, version ORDER BY script_id) AS n FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL) WHERE n > 1"
+_ISSUES = f"SELECT db, 1::BIGINT AS check_order, script FROM ({_DUPLICATES}) UNION ALL SELECT db, 2, script FROM history h WHERE NOT success AND NOT (type = 'REPEATABLE' AND EXISTS (SELECT 1 FROM rerun r WHERE r.verdict = 'modified' AND r.db = h.db AND r.script = h.script)) UNION ALL SELECT l.db, CASE WHEN c.script_id IS NULL THEN 4 ELSE 3 END, l.script FROM last_success l JOIN history h ON h.db = l.db AND h.installed_rank = l.installed_rank LEFT JOIN checked c ON c.db = l.db AND c.name = l.script WHERE c.script_id IS NULL OR (h.type <> 'REPEATABLE' AND l.checksum IS NOT NULL AND l.checksum <> c.file_checksum)"
+query("r6_validation_issues", "history scripts", state.validation_issues, _ISSUES)
+query("r6_first_failing_check", "history scripts", state.first_failing_check, f"SELECT db, min(check_order) AS check_order, min_by(n, check_order) AS n FROM (SELECT db, check_order, count(*) AS n FROM ({_ISSUES}) GROUP BY db, check_order) GROUP BY db")
+query("r7_baseline_guard", "history scripts", lambda h, s: state.may_take_baseline(h.where("db <> 4"), s), "SELECT DISTINCT db FROM scripts WHERE db NOT IN (SELECT db FROM history WHERE db <> 4)")
+query("r8_marked_as_executed", "history scripts", state.marked_as_executed, f"SELECT p.db, coalesce(top, 0) + row_number() OVER (PARTITION BY p.db ORDER BY {_KEY}, name, script_id) AS installed_rank, version, kind AS type, name AS script FROM pending p LEFT JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = p.db WHERE kind <> 'REPEATABLE' AND reason IS NOT NULL AND reason <> 'below'")
+query("r9_cleaned_objects", "objects", catalog.drop_order, "SELECT DISTINCT kind, lower(coalesce(schema_name, 'public')) AS schema_name, lower(name) AS name, list_position(['trigger', 'view', 'procedure', 'index', 'table', 'sequence'], kind)::BIGINT AS step FROM objects")
+query("r10_missing_columns", "history", lambda h: catalog.missing_columns(h.columns, ["installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "installed_on", "execution_time", "success"], h), "SELECT 'installed_on' AS column_name")
+query("j11_tables_without_view", "objects", lambda o: (lambda r: r.where("kind = 'table'").select("name").join(r.where("kind = 'view'").select("name"), "name", "left_anti").distinct())(catalog.distinct_names(o)), "SELECT DISTINCT lower(name) AS name, FROM objects t WHERE kind = 'table' AND NOT EXISTS (SELECT 1 FROM objects v WHERE v.kind = 'view' AND lower(v.name) = lower(t.name))".replace("name, FROM", "name FROM"))
+query("j13_has_rows", "history", lambda h: h.groupBy("db").agg(F.bool_or(F.col("type") == "BASELINE").alias("has_baseline")), "SELECT db, EXISTS (SELECT 1 FROM history b WHERE b.db = h.db AND b.type = 'BASELINE') AS has_baseline FROM (SELECT DISTINCT db FROM history) h")
+query("m9_enriched_columns", "columns", lambda c: catalog.enriched_columns(c.where("side = 'a'"), c.where("side = 'b'")), "SELECT a.tab, a.col, a.type, b.d AS detail FROM columns a LEFT JOIN (SELECT tab, lower(col) AS n, min_by({'d': dflt}, pos).d AS d FROM columns WHERE side = 'b' GROUP BY ALL) b ON b.tab = a.tab AND b.n = lower(a.col) WHERE a.side = 'a'")
+query("m12_without_internal", "objects", lambda o: catalog.without_internal(o, o.where("kind = 'sequence'")).select("object_id"), "SELECT object_id FROM objects o WHERE NOT EXISTS (SELECT 1 FROM objects i WHERE i.kind = 'sequence' AND lower(i.name) = lower(o.name))")
+query("x3_same_constraints", "constraints", lambda c: catalog.same_constraints(c.where("pos <> 1"), c.where("pos <> 2")), "SELECT * FROM (SELECT tab, type, lower(name) AS name, array_to_string(list_sort(list(DISTINCT col)), ',') AS columns FROM constraints WHERE pos <> 1 GROUP BY ALL) INTERSECT SELECT * FROM (SELECT tab, type, lower(name), array_to_string(list_sort(list(DISTINCT col)), ',') FROM constraints WHERE pos <> 2 GROUP BY ALL)")
+query("x6_line_diff", "scripts", lambda s: s.select("script_id", F.explode(textdiff.line_diff(F.col("content"), F.regexp_replace("content", r"\n[A-Z]", "\n"))).alias("d")).groupBy("script_id", "d.tag").agg(F.count(F.lit(1)).alias("n")))
+query("g2_mentions", "statements objects", lambda s, o: graph.mentions(s, o.select(F.concat(F.lit("TAB"), (F.col("object_id") % 5).cast("string")).alias("name"))), "SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS name FROM statements WHERE stmt_id % 7 < 5 AND regexp_matches(lower(sql_text), '\\btab[0-4]\\b')")
+query("g3_object_edges", "objects", graph.object_edges, "SELECT DISTINCT s || '.' || o.kind || '.' || n AS src, s || '.table.' || n AS dst FROM (SELECT kind, lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind IN ('index', 'trigger')) o JOIN (SELECT DISTINCT lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind = 'table') t USING (s, n)")
+query("n4_equivalent_types", "types", lambda t: t.select("type_id", types.equivalent_types(F.col("type_name"), "postgresql", F.lit("NUMBER(10,0)"), "oracle").alias("equivalent")), f"SELECT type_id, {_FAMILY} = 'INTEGER' OR upper(type_name) = 'NUMBER(10,0)' AS equivalent FROM types")

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,39 +34,46 @@ BLOCK_WORDS = 2_000_000
 MIN_SCORE = 0.5
 MIN_MATCHES = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-MEMO_WORDS = 500_000
-_EDGES = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "“”‘’«»¿¡…–—·"
 
+#: Bytes that words are made of: ASCII letters and digits, and whatever isn't ASCII.
+_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers = {True: np.ones(1, dtype=np.uint64), False: np.ones(1, dtype=np.uint64)}
 
-class _WordHash(dict):
-    """63-bit hash of a word without marks at its ends; -1 for marks alone."""
 
-    def __missing__(self, word: str) -> int:
-        bare = word.strip(_EDGES)
-        value = xxhash.xxh3_64_intdigest(bare) >> 1 if bare else -1
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_words = _WordHash()
+def _powers_of_base(n: int, inverse: bool) -> np.ndarray:
+    """The first ``n`` powers, modulo 2 to the 64, of an odd number or of its inverse."""
+    known = _powers[inverse]
+    if len(known) < n:
+        base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+        known = _powers[inverse] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, base, dtype=np.uint64)])
+    return known[:n]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text: lower case, without marks at their ends."""
-    words = text.lower().split() if text else []
-    hashes = np.fromiter(map(_words.__getitem__, words), dtype=np.int64, count=len(words))
-    return hashes[hashes >= 0]
+    """Hashes of the words of a text: runs of letters and digits in lower case.
+
+    Prefix sums of a polynomial give the hashes of all words at once.
+    """
+    data = np.frombuffer((text or "").lower().encode(), dtype=np.uint8)
+    if not len(data):
+        return np.empty(0, dtype=np.uint64)
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = _WORD[data]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = turns[::2], turns[1::2]
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers_of_base(len(data), False), out=sums[1:])
+    hashes = (sums[end] - sums[start]) * _powers_of_base(len(data), True)[start]
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(29))
 
 
 def ngrams(hashes: np.ndarray, n: int = N) -> np.ndarray:
     """A hash for each run of ``n`` words; a shorter text is one run."""
     if not len(hashes):
         return np.empty(0, dtype=np.uint64)
-    u = hashes.astype(np.uint64)
-    n = min(n, len(u))
+    u, n = hashes, min(n, len(hashes))
     out = np.full(len(u) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         out = (out ^ u[k : len(u) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)

@@ -77,4 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import OP3
+
+    return {"op3_minhash_dedup": OP3}

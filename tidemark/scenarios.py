@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import checksums, scripts, sqltext, textdiff, types, versions
+from .functions import checksums, display, scripts, sqltext, textdiff, types, versions
 from .operators import catalog, graph, history, journal, state, undo
 from .oracle import crc, key, numbers, with_views
 from .plans import info
 from .relations import relation
+from .sources.tables import coerced_history
 
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -244,3 +245,15 @@ query("x6_line_diff", "scripts", lambda s: s.select("script_id", F.explode(textd
 query("g2_mentions", "statements objects", lambda s, o: graph.mentions(s, o.select(F.concat(F.lit("TAB"), (F.col("object_id") % 5).cast("string")).alias("name"))), "SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS name FROM statements WHERE stmt_id % 7 < 5 AND regexp_matches(lower(sql_text), '\\btab[0-4]\\b')")
 query("g3_object_edges", "objects", graph.object_edges, "SELECT DISTINCT s || '.' || o.kind || '.' || n AS src, s || '.table.' || n AS dst FROM (SELECT kind, lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind IN ('index', 'trigger')) o JOIN (SELECT DISTINCT lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind = 'table') t USING (s, n)")
 query("n4_equivalent_types", "types", lambda t: t.select("type_id", types.equivalent_types(F.col("type_name"), "postgresql", F.lit("NUMBER(10,0)"), "oracle").alias("equivalent")), f"SELECT type_id, {_FAMILY} = 'INTEGER' OR upper(type_name) = 'NUMBER(10,0)' AS equivalent FROM types")
+
+# Imports, identities, display
+query("s14_imported_history", "history", lambda h: coerced_history(h.select(F.col("installed_rank").cast("string").alias("INSTALLED_RANK"), F.col("version").alias("Version"), F.col("type").alias("TYPE"), F.col("script").alias("SCRIPT"), F.concat(F.col("checksum").cast("string"), F.when(F.col("installed_rank") % 3 == 0, "x").otherwise("")).alias("checksum"), F.when(F.col("success"), "1").otherwise(F.col("success").cast("string")).alias("Success"))).select("installed_rank", "version", "type", "script", "checksum", "execution_time", "success"), "SELECT installed_rank, version, type, script, CASE WHEN installed_rank % 3 <> 0 THEN checksum END AS checksum, 0 AS execution_time, coalesce(success, false) AS success FROM history")
+query("f6_named_columns", "history", lambda h: h.selectExpr("INSTALLED_RANK AS installed_rank", "Script AS script"), "SELECT installed_rank, script FROM history")
+query("x1_object_identity", "objects", lambda o: o.groupBy("kind", F.lower("name").alias("name"), F.lower("schema_name").alias("schema_name")).agg(F.count(F.lit(1)).alias("n"), F.min("object_id").alias("first_id")), "SELECT kind, lower(name) AS name, lower(schema_name) AS schema_name, count(*) AS n, min(object_id) AS first_id FROM objects GROUP BY ALL")
+query("x2_same_columns", "columns", lambda c: (lambda a, b: a.join(b, (a.tab == b.tab2) & (a.name == b.name2) & (a.t == b.t2) & a.dflt.eqNullSafe(b.dflt2)).select("tab", "name"))(c.where("side = 'a'").select("tab", F.lower("col").alias("name"), F.lower("type").alias("t"), "dflt"), c.where("side = 'b'").select(F.col("tab").alias("tab2"), F.lower("col").alias("name2"), F.lower("type").alias("t2"), F.col("dflt").alias("dflt2"))), "SELECT a.tab, lower(a.col) AS name FROM columns a JOIN columns b ON a.side = 'a' AND b.side = 'b' AND a.tab = b.tab AND lower(a.col) = lower(b.col) AND lower(a.type) = lower(b.type) AND a.dflt IS NOT DISTINCT FROM b.dflt")
+query("x5_without_default_flags", "columns", lambda c: c.select("tab", "side", "col", F.nullif("dflt", F.lit("0")).alias("dflt"), F.when(F.col("nullable"), None).otherwise(F.lit("NOT NULL")).alias("flag")), "SELECT tab, side, col, nullif(dflt, '0') AS dflt, CASE WHEN NOT nullable THEN 'NOT NULL' END AS flag FROM columns")
+query("x8_lookup_names", "objects", lambda o: o.select("object_id", F.upper("name").alias("oracle_name"), F.lower("name").alias("postgresql_name")), "SELECT object_id, upper(name) AS oracle_name, lower(name) AS postgresql_name FROM objects")
+query("u6_reversed_comments", "statements", lambda s: s.select("stmt_id", display.reversed_comment(F.when(F.col("stmt_id") % 2 == 0, F.concat(F.lit("COMMENT ON TABLE t IS '"), F.replace("sql_text", F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(F.col("sql_text"))).alias("undo_sql")).where("undo_sql IS NOT NULL"), "SELECT stmt_id, 'COMMENT ON TABLE t IS NULL' AS undo_sql FROM statements WHERE stmt_id % 2 = 0")
+query("d_durations", "history", lambda h: h.select("installed_rank", display.duration(F.col("execution_time") * F.col("installed_rank") % 200_000).alias("shown")), "SELECT installed_rank, CASE WHEN ms < 1000 THEN ms::VARCHAR || 'ms' WHEN ms < 60000 THEN ((ms + 5) // 1000)::VARCHAR || '.' || lpad(((ms + 5) // 10 % 100)::VARCHAR, 2, '0') || 's' ELSE (ms // 60000)::VARCHAR || 'm ' || (ms % 60000 // 1000)::VARCHAR || 's' END AS shown FROM (SELECT installed_rank, execution_time * installed_rank % 200000 AS ms FROM history)")
+query("d_shortened_names", "scripts", lambda s: s.select("script_id", display.shortened(F.col("name"), 12).alias("shown")), "SELECT script_id, CASE WHEN length(name) > 12 THEN substr(name, 1, 9) || '...' ELSE name END AS shown FROM scripts")
+query("d_masked_addresses", "objects", lambda o: o.select("object_id", display.masked(F.concat(F.lit("postgresql://u"), F.col("object_id").cast("string"), F.lit(":s3cr@et/"), F.col("name"), F.lit("?password=x&a=1"))).alias("shown")), "SELECT object_id, 'postgresql://u' || object_id::VARCHAR || ':***@et/' || name || '?password=***&a=1' AS shown FROM objects")

@@ -28,7 +28,7 @@ from .common import small_batches
 from .tokens import PieceWise, byte_alphabet, default_tokenizer
 
 #: The first so many bytes of pre-tokens are remembered with their counts, so many of them.
-HEAD, HEADS = 6, 200_000
+HEAD, HEADS = 7, 200_000
 _WHITE = re.compile(r"\s\s+")
 _CONTRACTIONS = {"'re", "'ve", "'ll", "'s", "'t", "'m", "'d"}
 
@@ -52,7 +52,11 @@ class PrefixCounter:
         with open(path, encoding="utf-8") as f:
             merges = [m if isinstance(m, list) else m.split(" ") for m in json.load(f)["model"]["merges"]]
         self.number = {s: n for n, s in enumerate(alphabet + [a + b for a, b in merges])}
-        self.longest = max(map(len, self.number))
+        #: Length of the longest token that ends in these three characters.
+        self.longest: dict[str, int] = {}
+        for token in self.number:
+            if len(token) > 2:
+                self.longest[token[-3:]] = max(len(token), self.longest.get(token[-3:], 0))
         self.parts = [(n, n) for n in range(256)] + [(self.number[a], self.number[b]) for a, b in merges]
         self.merged = {p: n for n, p in enumerate(self.parts) if n >= 256}
 
@@ -95,9 +99,10 @@ class PrefixCounter:
 
     def _extend(self, s: str, last: list[int], count: list[int]) -> tuple[list[int], list[int]]:
         """Last token and count of each prefix of ``s``, from those of its first prefixes on."""
-        number, longest, may = self.number.get, self.longest, self._may_follow
+        number, longest, may = self.number.get, self.longest.get, self._may_follow
         for end in range(len(last), len(s) + 1):
-            for begin in range(max(0, end - longest), end):
+            first = end - longest(s[end - 3 : end], 2) if end > 2 else 0
+            for begin in range(first if first > 0 else 0, end):
                 token = number(s[begin:end])
                 if token is not None and (not begin or may(last[begin], token)):
                     last.append(token)

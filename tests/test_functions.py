@@ -59,16 +59,16 @@ def test_stored_checksum(spark):
 
 
 NAMES = [
-    ("V1.2.3__create_users_table.sql", "SQL", "1.2.3", "create users table", [], "SQL"),
-    ("R__refresh_materialized_views.sql", "REPEATABLE", None, "refresh materialized views", [], "REPEATABLE"),
-    ("U1.2.3__drop_users_table.sql", "UNDO_SQL", "1.2.3", "drop users table", [], "UNDO_SQL"),
-    ("V2.0.0__add_billing[billing,feature].sql", "SQL", "2.0.0", "add billing", ["billing", "feature"], "SQL"),
+    ("V1.2.3__create_users_table.sql", "SQL", "1.2.3", "create_users_table", [], "SQL"),
+    ("R__refresh_materialized_views.sql", "REPEATABLE", None, "refresh_materialized_views", [], "REPEATABLE"),
+    ("U1.2.3__drop_users_table.sql", "UNDO_SQL", "1.2.3", "drop_users_table", [], "UNDO_SQL"),
+    ("V2.0.0__add_billing[billing,feature].sql", "SQL", "2.0.0", "add_billing", ["billing", "feature"], "SQL"),
     ("VA__x.sql", "SQL", "A", "x", [], "UNKNOWN"),
-    ("V1_0_0__x.py", "PYTHON", "1.0.0", "x", [], "PYTHON"),
-    ("V__.sql", "UNKNOWN", None, "V  ", [], "UNKNOWN"),
-    ("beforeEachMigrate__x.sql", "CALLBACK", None, "beforeEachMigrate  x", [], "CALLBACK"),
+    ("V1_0_0__x.py", "SQL", "1.0.0", "x", [], "SQL"),
+    ("V__.sql", "SQL", None, "", [], "UNKNOWN"),
+    ("beforeEachMigrate__x.sql", "CALLBACK", None, "beforeEachMigrate__x", [], "CALLBACK"),
     ("notes.txt", "UNKNOWN", None, "notes.txt", [], "UNKNOWN"),
-    ("B3__base.sql", "UNKNOWN", None, "B3  base", [], "BASELINE"),
+    ("B3__base.sql", "UNKNOWN", None, "B3__base", [], "BASELINE"),
 ]
 
 

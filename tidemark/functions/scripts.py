@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 # Prefixes of callback scripts, and formats by extension.
 CALLBACKS = (
-    "beforeMigrate", "afterMigrate", "beforeEachMigrate", "afterEachMigrate", "afterMigrateError", "afterEachMigrateError", "beforeUndo", "afterUndo",
-    "beforeEachUndo", "afterEachUndo", "beforeClean", "afterClean", "beforeValidate", "afterValidate", "beforeInfo", "afterInfo", "beforeRepair",
-    "afterRepair", "beforeBaseline",
+    "beforeMigrate", "afterMigrate", "afterMigrateError", "beforeEach", "afterEach", "beforeValidate", "afterValidate", "beforeClean", "afterClean", "afterCleanError",
+    "beforeUndo", "afterUndo", "afterUndoError", "beforeEachMigrate", "afterEachMigrate", "beforeVersioned", "afterVersioned", "beforeRepeatable", "afterRepeatable",
 )
-FORMATS = {"sql": "SQL", "py": "PYTHON", "json": "JSON", "yaml": "YAML", "yml": "YAML", "xml": "XML", "js": "JAVASCRIPT", "sh": "SHELL", "csv": "CSV"}
+FORMATS = {"sql": "SQL", "py": "PYTHON", "js": "JAVASCRIPT", "cypher": "CYPHER", "cql": "CQL", "gremlin": "GREMLIN", "json": "JSON", "yaml": "YAML", "yml": "YAML"}
 SUPPORTED = ("SQL", "PYTHON")
 
 _TAGS = r"\[([^\]]*)\]"
+_ENDING = r"(?i)\.(" + "|".join(FORMATS) + ")$"
+_NAMED = r"^{}([A-Za-z0-9]+(?:[._][A-Za-z0-9]+)*)__(.+)$"
 
 
 def base_name(path: Column) -> Column:
@@ -39,37 +40,36 @@ def script_format(name: Column) -> Column:
 def parsed_name(name: Column) -> Column:
     """(kind, version, description) of a script name, tags left out.
 
-    In this order: another extension than .sql or .py is UNKNOWN; then callbacks, V and U
-    with a version, R, a V without one, and UNKNOWN.  In versions of digits alone an
+    In this order: another extension than those of scripts is UNKNOWN; then callbacks, V and U
+    with a version, R, a V with nothing at all, and UNKNOWN.  In versions of digits alone an
     underscore is a dot.
     """
     bare = F.regexp_replace(name, _TAGS, "")
-    stem = F.regexp_replace(bare, r"(?i)\.(sql|py)$", "")
+    stem = F.regexp_replace(bare, _ENDING, "")
     kind = (
-        F.when(~bare.rlike(r"(?i)\.(sql|py)$"), "UNKNOWN")
+        F.when(~bare.rlike(_ENDING), "UNKNOWN")
         .when(F.lower(stem).rlike("^(" + "|".join(c.lower() for c in CALLBACKS) + ")"), "CALLBACK")
-        .when(stem.rlike("^V[^_].*__|^V_[^_].*__"), F.when(bare.rlike(r"(?i)\.py$"), "PYTHON").otherwise("SQL"))
-        .when(stem.rlike("^U[^_].*__|^U_[^_].*__"), "UNDO_SQL")
-        .when(stem.rlike("^R__"), "REPEATABLE")
+        .when(stem.rlike(_NAMED.format("V")) | (stem == "V__"), "SQL")
+        .when(stem.rlike(_NAMED.format("U")), "UNDO_SQL")
+        .when(stem.rlike("^R__."), "REPEATABLE")
         .otherwise("UNKNOWN")
     )
-    versioned = kind.isin("SQL", "PYTHON", "UNDO_SQL")
-    raw = F.regexp_extract(stem, "^[VU](.+?)__", 1)
+    raw = F.nullif(F.regexp_extract(stem, _NAMED.format("[VU]"), 1), F.lit(""))
+    versioned = kind.isin("SQL", "UNDO_SQL")
     version = F.when(versioned, F.when(raw.rlike("^[0-9_.]+$"), F.replace(raw, F.lit("_"), F.lit("."))).otherwise(raw))
-    description = F.when(versioned, F.regexp_extract(stem, "^[VU].+?__(.*)$", 1)).when(kind == "REPEATABLE", F.regexp_extract(stem, "^R__(.*)$", 1)).otherwise(stem)
-    return F.struct(kind.alias("kind"), version.alias("version"), F.replace(description, F.lit("_"), F.lit(" ")).alias("description"))
+    description = F.when(versioned, F.regexp_extract(stem, _NAMED.format("[VU]"), 2)).when(kind == "REPEATABLE", F.regexp_extract(stem, "^R__(.*)$", 1)).otherwise(stem)
+    return F.struct(kind.alias("kind"), version.alias("version"), description.alias("description"))
 
 
 def quick_kind(name: Column) -> Column:
     """A guess by the first characters, case aside; knows baselines, and takes only digits after V, U and B."""
     low = F.lower(name)
     return (
-        F.when(low.rlike("^v[0-9]") & low.endswith(".py"), "PYTHON")
+        F.when(low.rlike("^(" + "|".join(c.lower() for c in CALLBACKS) + ")"), "CALLBACK")
         .when(low.rlike("^v[0-9]"), "SQL")
-        .when(low.rlike("^u[0-9]"), "UNDO_SQL")
-        .when(low.rlike("^b[0-9]"), "BASELINE")
         .when(low.rlike("^r__"), "REPEATABLE")
-        .when(low.rlike("^(" + "|".join(c.lower() for c in CALLBACKS) + ")"), "CALLBACK")
+        .when(low.rlike("^b[0-9]"), "BASELINE")
+        .when(low.rlike("^u[0-9]"), "UNDO_SQL")
         .otherwise("UNKNOWN")
     )
 

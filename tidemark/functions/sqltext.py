@@ -14,9 +14,9 @@ _NAME = r"([\[\"`]?[A-Za-z_][\w$]*[\]\"`]?(?:\.[\[\"`]?[A-Za-z_][\w$]*[\]\"`]?)*
 
 # Words that begin a statement of each class.
 _DDL = ("CREATE", "ALTER", "DROP", "TRUNCATE", "COMMENT", "GRANT", "REVOKE", "RENAME")
-_DML = ("INSERT", "UPDATE", "DELETE", "MERGE", "CALL", "EXEC")
+_DML = ("INSERT", "UPDATE", "DELETE", "MERGE", "UPSERT", r"EXEC\s", "EXECUTE ")
 _QUERY = ("SELECT", "WITH", "SHOW", "DESC", "EXPLAIN")
-_VERBS = ("CREATE", "ALTER", "DROP", "INSERT", "UPDATE", "DELETE", "SELECT", "TRUNCATE", "GRANT", "REVOKE")
+_VERBS = ("CREATE", "ALTER", "DROP", "INSERT", "UPDATE", "DELETE", "COMMENT", "TRUNCATE", "GRANT", "REVOKE")
 
 
 def without_comments(sql: Column) -> Column:

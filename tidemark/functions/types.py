@@ -20,7 +20,7 @@ FAMILY = {
 }
 PREFERRED = {"postgresql": {"INTEGER": "INTEGER", "VARCHAR": "VARCHAR", "TIMESTAMP": "TIMESTAMP"}, "oracle": {"INTEGER": "NUMBER", "VARCHAR": "VARCHAR2", "TIMESTAMP": "TIMESTAMP"}}
 UPPER_CASE = ("oracle", "db2")
-RESERVED = ("SELECT", "FROM", "WHERE", "TABLE", "ORDER", "GROUP", "BY", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER", "INDEX", "VIEW", "USER", "AND", "OR")
+RESERVED = ("SELECT", "FROM", "WHERE", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "TABLE", "VIEW", "INDEX", "SCHEMA", "DATABASE", "USER", "ORDER", "GROUP", "BY")
 _TIMES = ("TIMESTAMP", "TIME", "DATETIME", "DATE")
 
 

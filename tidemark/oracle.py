@@ -30,17 +30,18 @@ def crc(text: str, table: str) -> str:
 
 
 _CALLBACK = "|".join(c.lower() for c in CALLBACKS)
+_NAMED = "([A-Za-z0-9]+(?:[._][A-Za-z0-9]+)*)__(.+)$"
+_ENDING = "(?i)\\.(sql|py|js|cypher|cql|gremlin|json|yaml|yml)$"
 _RESOLVED = f"""
-SELECT db, script_id, name, content, kind, named_kind, CASE WHEN named_kind IN ('SQL', 'PYTHON', 'UNDO_SQL') THEN CASE WHEN regexp_full_match(raw, '[0-9_.]+') THEN replace(raw, '_', '.') ELSE raw END END AS version,
-  replace(CASE WHEN named_kind IN ('SQL', 'PYTHON', 'UNDO_SQL') THEN regexp_extract(stem, '^[VU].+?__(.*)$', 1) WHEN named_kind = 'REPEATABLE' THEN regexp_extract(stem, '^R__(.*)$', 1) ELSE stem END, '_', ' ') AS description,
+SELECT db, script_id, name, content, kind, named_kind, CASE WHEN named_kind IN ('SQL', 'UNDO_SQL') THEN CASE WHEN regexp_full_match(raw, '[0-9_.]+') THEN replace(raw, '_', '.') ELSE raw END END AS version,
+  CASE WHEN named_kind IN ('SQL', 'UNDO_SQL') THEN regexp_extract(stem, '^[VU]{_NAMED}', 2) WHEN named_kind = 'REPEATABLE' THEN regexp_extract(stem, '^R__(.*)$', 1) ELSE stem END AS description,
   list_filter(list_transform(string_split(regexp_extract(name, '\\[([^\\]]*)\\]', 1), ','), lambda t: trim(t)), lambda t: t <> '') AS tags
-FROM (SELECT *, regexp_extract(stem, '^[VU](.+?)__', 1) AS raw,
-   CASE WHEN NOT regexp_matches(bare, '(?i)\\.(sql|py)$') THEN 'UNKNOWN' WHEN regexp_matches(lower(stem), '^({_CALLBACK})') THEN 'CALLBACK'
-     WHEN regexp_matches(stem, '^V[^_].*__|^V_[^_].*__') THEN CASE WHEN regexp_matches(bare, '(?i)\\.py$') THEN 'PYTHON' ELSE 'SQL' END
-     WHEN regexp_matches(stem, '^U[^_].*__|^U_[^_].*__') THEN 'UNDO_SQL' WHEN regexp_matches(stem, '^R__') THEN 'REPEATABLE' ELSE 'UNKNOWN' END AS named_kind,
-   CASE WHEN regexp_matches(lower(name), '^v[0-9]') AND lower(name) LIKE '%.py' THEN 'PYTHON' WHEN regexp_matches(lower(name), '^v[0-9]') THEN 'SQL' WHEN regexp_matches(lower(name), '^u[0-9]') THEN 'UNDO_SQL'
-     WHEN regexp_matches(lower(name), '^b[0-9]') THEN 'BASELINE' WHEN lower(name) LIKE 'r\\_\\_%' ESCAPE '\\' THEN 'REPEATABLE' WHEN regexp_matches(lower(name), '^({_CALLBACK})') THEN 'CALLBACK' ELSE 'UNKNOWN' END AS kind
-  FROM (SELECT *, regexp_replace(bare, '(?i)\\.(sql|py)$', '') AS stem FROM (SELECT *, regexp_replace(name, '\\[([^\\]]*)\\]', '', 'g') AS bare FROM scripts)))
+FROM (SELECT *, nullif(regexp_extract(stem, '^[VU]{_NAMED}', 1), '') AS raw,
+   CASE WHEN NOT regexp_matches(bare, '{_ENDING}') THEN 'UNKNOWN' WHEN regexp_matches(lower(stem), '^({_CALLBACK})') THEN 'CALLBACK'
+     WHEN stem = 'V__' OR regexp_matches(stem, '^V{_NAMED}') THEN 'SQL' WHEN regexp_matches(stem, '^U{_NAMED}') THEN 'UNDO_SQL' WHEN regexp_matches(stem, '^R__.') THEN 'REPEATABLE' ELSE 'UNKNOWN' END AS named_kind,
+   CASE WHEN regexp_matches(lower(name), '^({_CALLBACK})') THEN 'CALLBACK' WHEN regexp_matches(lower(name), '^v[0-9]') THEN 'SQL' WHEN regexp_matches(lower(name), '^u[0-9]') THEN 'UNDO_SQL'
+     WHEN regexp_matches(lower(name), '^b[0-9]') THEN 'BASELINE' WHEN lower(name) LIKE 'r\\_\\_%' ESCAPE '\\' THEN 'REPEATABLE' ELSE 'UNKNOWN' END AS kind
+  FROM (SELECT *, regexp_replace(bare, '{_ENDING}', '') AS stem FROM (SELECT *, regexp_replace(name, '\\[([^\\]]*)\\]', '', 'g') AS bare FROM scripts)))
 """
 
 VIEWS = dict(SQL) | {

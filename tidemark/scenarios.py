@@ -48,7 +48,7 @@ query("v2_compare_versions", "history", lambda h: h.select("db", "installed_rank
 query("v3_current_version", "history", history.current_version, "SELECT db, current_version FROM current")
 query("v3b_current_and_baseline", "history", history.current_and_baseline, f"SELECT db, max_by(version, {{'k': {_KEY}, 'r': -installed_rank}}) FILTER (type IN ('SQL', 'PYTHON')) AS current_version, max_by(version, installed_rank) FILTER (type = 'BASELINE') AS baseline_version FROM history WHERE success AND {_V} GROUP BY db")
 query("v4_first_baseline", "history", history.first_baseline, "SELECT db, baseline_version FROM baseline")
-query("v5_scripts_above_baseline", "scripts", lambda s: (lambda r: r.where("kind = 'PYTHON'").unionByName(r.where("kind = 'SQL' AND version IS NOT NULL").join(r.where("kind = 'BASELINE'").groupBy("db").agg(F.max(versions.version_key(F.regexp_extract("name", "^B([^_].*?)__", 1))).alias("_b")), "db", "left").where(versions.version_key(F.col("version")) > F.col("_b")).drop("_b")).select("db", "script_id", "kind"))(state.resolved_scripts(s)), f"SELECT db, script_id, kind FROM resolved WHERE kind = 'PYTHON' UNION ALL SELECT r.db, script_id, kind FROM resolved r JOIN (SELECT db, max({key('bv')}) AS b FROM (SELECT db, regexp_extract(name, '^B([^_].*?)__', 1) AS bv FROM resolved WHERE kind = 'BASELINE') GROUP BY db) x ON x.db = r.db WHERE kind = 'SQL' AND version IS NOT NULL AND {_KEY} > b")
+query("v5_scripts_above_baseline", "scripts", lambda s: (lambda r: r.where("kind = 'SQL' AND name LIKE '%.py'").unionByName(r.where("kind = 'SQL' AND name NOT LIKE '%.py' AND version IS NOT NULL").join(r.where("kind = 'BASELINE'").groupBy("db").agg(F.max(versions.version_key(F.regexp_extract("name", "^B([^_].*?)__", 1))).alias("_b")), "db", "left").where(versions.version_key(F.col("version")) > F.col("_b")).drop("_b")).select("db", "script_id", "kind"))(state.resolved_scripts(s)), f"SELECT db, script_id, kind FROM resolved WHERE kind = 'SQL' AND name LIKE '%.py' UNION ALL SELECT r.db, script_id, kind FROM resolved r JOIN (SELECT db, max({key('bv')}) AS b FROM (SELECT db, regexp_extract(name, '^B([^_].*?)__', 1) AS bv FROM resolved WHERE kind = 'BASELINE') GROUP BY db) x ON x.db = r.db WHERE kind = 'SQL' AND name NOT LIKE '%.py' AND version IS NOT NULL AND {_KEY} > b")
 query("v6_out_of_order_adjacent", "history", history.out_of_order_adjacent, f"SELECT db, installed_rank, version, script FROM (SELECT *, lag(p) OVER (PARTITION BY db ORDER BY installed_rank) AS b FROM (SELECT *, {numbers('version')} AS p FROM history WHERE type IN ('SQL', 'PYTHON') AND {_V})) WHERE p < b")
 query("v6b_out_of_order_scripts", "history", history.out_of_order_scripts, f"SELECT db, installed_rank, script FROM (SELECT *, lag(p) OVER (PARTITION BY db ORDER BY installed_rank) AS b FROM (SELECT *, {_KEY} AS p FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V})) WHERE p < b")
 query("v7_out_of_order_global", "history", history.out_of_order_global, f"SELECT db, installed_rank, version FROM (SELECT *, max(p) OVER (PARTITION BY db ORDER BY installed_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT *, {_KEY} AS p FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V})) WHERE b > p")
@@ -154,8 +154,8 @@ _BARE = r"regexp_replace(sql_text, '(?s)^(\s*(--[^\n]*(\n|$)|/\*.*?\*/))*\s*', '
 query("p8_batches", "batches", lambda b: b.select("script_id", F.posexplode(sqltext.batches(F.col("content"))).alias("pos", "batch")).select("script_id", F.col("pos").cast("long").alias("pos"), "batch"), r"SELECT script_id, unnest(range(len(p))) AS pos, unnest(p) AS batch FROM (SELECT script_id, list_filter(list_transform(str_split_regex(content, '(?im)^[ \t]*GO[ \t]*(?:--[^\n]*)?$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM batches)")
 query("p9_simple_statements", "batches", lambda b: b.select("script_id", F.explode(sqltext.simple_statements(F.col("content"))).alias("stmt")), r"SELECT script_id, unnest(list_filter(list_transform(str_split_regex(regexp_replace(content, '(?im)^[ \t]*GO[ \t]*(?:--[^\n]*)?$', ';', 'g'), ';'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS stmt FROM batches")
 query("p7_quoted_statements", "statements", lambda s: s.select("stmt_id", F.size(sqltext.quoted_statements(F.concat("sql_text", F.lit("; SELECT ';' -- c;\n; /* ; */ x")))).cast("long").alias("n")), r"""SELECT stmt_id, len(list_filter(regexp_extract_all(regexp_replace(sql_text || '; SELECT '';'' -- c;' || chr(10) || '; /* ; */ x', '(?s)(''(?:[^'']|'''')*''|"[^"]*")|--[^\n]*|/\*.*?\*/', '\1', 'g'), '(?:[^;''"]|''(?:[^'']|'''')*''|"[^"]*")+;?'), lambda x: regexp_replace(x, '[;\s]', '', 'g') <> ''))::BIGINT AS n FROM statements""")
-query("p11_statement_class", "statements", lambda s: s.select("stmt_id", sqltext.statement_class(F.col("sql_text")).alias("class")), f"SELECT stmt_id, CASE WHEN regexp_matches(h, '^(CREATE|ALTER|DROP|TRUNCATE|COMMENT|GRANT|REVOKE|RENAME)') THEN 'DDL' WHEN regexp_matches(h, '^(INSERT|UPDATE|DELETE|MERGE|CALL|EXEC)') THEN 'DML' WHEN regexp_matches(h, '^(SELECT|WITH|SHOW|DESC|EXPLAIN)') THEN 'QUERY' ELSE 'UNKNOWN' END AS class FROM (SELECT stmt_id, upper({_BARE}) AS h FROM statements)")
-query("p12_verbs", "statements", lambda s: s.groupBy(sqltext.verb(F.col("sql_text")).alias("verb")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'SELECT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END AS verb, count(*) AS n FROM (SELECT upper(regexp_extract(sql_text, '^\\s*([A-Za-z]*)', 1)) AS v FROM statements) GROUP BY 1")
+query("p11_statement_class", "statements", lambda s: s.select("stmt_id", sqltext.statement_class(F.col("sql_text")).alias("class")), f"SELECT stmt_id, CASE WHEN regexp_matches(h, '^(CREATE|ALTER|DROP|TRUNCATE|COMMENT|GRANT|REVOKE|RENAME)') THEN 'DDL' WHEN regexp_matches(h, '^(INSERT|UPDATE|DELETE|MERGE|UPSERT|EXEC\\s|EXECUTE )') THEN 'DML' WHEN regexp_matches(h, '^(SELECT|WITH|SHOW|DESC|EXPLAIN)') THEN 'QUERY' ELSE 'UNKNOWN' END AS class FROM (SELECT stmt_id, upper({_BARE}) AS h FROM statements)")
+query("p12_verbs", "statements", lambda s: s.groupBy(sqltext.verb(F.col("sql_text")).alias("verb")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'COMMENT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END AS verb, count(*) AS n FROM (SELECT upper(regexp_extract(sql_text, '^\\s*([A-Za-z]*)', 1)) AS v FROM statements) GROUP BY 1")
 query("p13_executable", "statements", lambda s: s.where(sqltext.is_executable(F.col("sql_text"))).select("stmt_id"), f"SELECT stmt_id FROM (SELECT stmt_id, regexp_replace({_BARE}, '[\\s;]+$', '') AS r FROM statements) WHERE r <> '' AND upper(r) NOT IN ('GO', '/')")
 query("p14_transaction_policy", "statements", lambda s: s.groupBy((F.col("stmt_id") % 50).alias("script")).agg(F.when(F.bool_and(sqltext.statement_class(F.col("sql_text")) != "DDL"), "transactional").when(F.bool_and(sqltext.statement_class(F.col("sql_text")) == "DDL"), "autocommit").otherwise("mixed").alias("policy")), f"SELECT stmt_id % 50 AS script, CASE WHEN bool_and(NOT d) THEN 'transactional' WHEN bool_and(d) THEN 'autocommit' ELSE 'mixed' END AS policy FROM (SELECT stmt_id, regexp_matches(upper({_BARE}), '^(CREATE|ALTER|DROP|TRUNCATE|COMMENT|GRANT|REVOKE|RENAME)') AS d FROM statements) GROUP BY 1")
 query("p15_structural_problems", "statements", lambda s: s.select("stmt_id", sqltext.structural_problem(F.col("sql_text")).alias("problem")).where("problem IS NOT NULL"), "SELECT stmt_id, problem FROM (SELECT stmt_id, CASE WHEN trim(sql_text) = '' THEN 'empty' WHEN len(regexp_extract_all(sql_text, '\\(')) <> len(regexp_extract_all(sql_text, '\\)')) THEN 'parentheses' WHEN len(regexp_extract_all(sql_text, '''')) % 2 = 1 THEN 'quotes' END AS problem FROM statements) WHERE problem IS NOT NULL")
@@ -217,7 +217,7 @@ query("o2_depths", "edges", graph.depths, _DEPTH + "SELECT node, max(depth)::BIG
 # Constraints, undo scripts, repair
 query("x7_constraint_problems", "constraints", catalog.constraint_problems, f"SELECT tab, 'several primary keys' AS problem, count(*)::VARCHAR AS detail FROM (SELECT DISTINCT tab, name FROM constraints WHERE type = 'PRIMARY KEY') GROUP BY tab HAVING count(*) > 1 UNION ALL SELECT tab, 'name used twice', name FROM constraints GROUP BY tab, name HAVING count(DISTINCT type) > 1 UNION ALL SELECT tab, 'trivial check', name FROM constraints WHERE type = 'CHECK' GROUP BY tab, name HAVING bool_or(expr = '1=1') UNION ALL SELECT tab, 'unique columns repeat', s.columns FROM ({_SETS}) s WHERE type = 'UNIQUE' GROUP BY tab, s.columns HAVING count(*) > 1")
 query("u1_reversed_script", "statements", lambda s: undo.reversed_script(s.withColumn("script", F.col("stmt_id") % 100), ["script"]), None)
-query("u2_reversed_statements", "statements", lambda s: s.withColumn("r", undo.reverse_statement(F.col("sql_text"))).select("stmt_id", "r.*"), f"SELECT stmt_id, CASE stmt_id % 16 WHEN 0 THEN 'DROP TABLE s.' || t WHEN 9 THEN 'DROP INDEX ix' || n WHEN 1 THEN 'ALTER TABLE ' || t || ' DROP COLUMN c' || n WHEN 3 THEN 'DELETE FROM ' || t || ' WHERE id = 1 AND name = ''a;b''' WHEN 7 THEN 'DELETE FROM ' || t || ' WHERE id = 1' END AS undo_sql, CASE WHEN stmt_id % 16 IN (0, 1, 9) THEN NULL WHEN stmt_id % 16 IN (3, 7) THEN 'review: deletes by equality' ELSE 'cannot reverse ' || CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'SELECT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END END AS warning FROM (SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS t, (stmt_id % 5)::VARCHAR AS n, upper(regexp_extract({_BARE}, '^([A-Za-z]*)', 1)) AS v FROM statements)")
+query("u2_reversed_statements", "statements", lambda s: s.withColumn("r", undo.reverse_statement(F.col("sql_text"))).select("stmt_id", "r.*"), f"SELECT stmt_id, CASE stmt_id % 16 WHEN 0 THEN 'DROP TABLE s.' || t WHEN 9 THEN 'DROP INDEX ix' || n WHEN 1 THEN 'ALTER TABLE ' || t || ' DROP COLUMN c' || n WHEN 3 THEN 'DELETE FROM ' || t || ' WHERE id = 1 AND name = ''a;b''' WHEN 7 THEN 'DELETE FROM ' || t || ' WHERE id = 1' END AS undo_sql, CASE WHEN stmt_id % 16 IN (0, 1, 9) THEN NULL WHEN stmt_id % 16 IN (3, 7) THEN 'review: deletes by equality' ELSE 'cannot reverse ' || CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'COMMENT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END END AS warning FROM (SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS t, (stmt_id % 5)::VARCHAR AS n, upper(regexp_extract({_BARE}, '^([A-Za-z]*)', 1)) AS v FROM statements)")
 _REPAIR = "SELECT db, script, installed_rank, 'CHECKSUM_MISMATCH' AS repair_type FROM drifted_sql UNION ALL SELECT db, script, installed_rank, 'MISSING_SCRIPT' FROM without_file w WHERE NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = w.db AND d.script = w.script) UNION ALL SELECT db, script, installed_rank, 'FAILED_MIGRATION' FROM history WHERE NOT success"
 query("r1_repair_plan", "history scripts", state.repair_plan, _REPAIR)
 query("r4_strict_violations", "history scripts", state.strict_violations, f"SELECT DISTINCT db, script, 'missing' AS rule FROM without_file UNION ALL SELECT r.db, r.name, 'below_highest' FROM resolved r JOIN (SELECT db, max_by(version, {{'k': {_KEY}, 'r': -installed_rank}}) AS highest FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V} GROUP BY db) h ON h.db = r.db WHERE r.kind IN ('SQL', 'PYTHON') AND r.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM history x WHERE x.db = r.db AND x.version = r.version AND x.type IN ('SQL', 'PYTHON')) AND {key('r.version')} < {key('h.highest')}")

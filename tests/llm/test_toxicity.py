@@ -52,6 +52,13 @@ def test_gaps_and_inserted_characters():
     assert model.scores([None, ""])[0] < 0.5
 
 
+def test_characters_in_every_gap():
+    model = Model(rows())
+    forms = ["m.o.r.o.n", "m--o--r--o--n", "m*or*on", "mo***ron", "p-a-t-h-e-t-i-c", "p*a.t-h_e+t~i:c", "s..c..u..m..b..a..g", "s*cu*mbag", "river-moron"]
+    assert [f for f, v in zip(forms, model.scores([f"the quiet {f} under" for f in forms]), strict=True) if v <= 0.5] == []
+    assert max(model.scores(["r.i.v.e.r", "g--a--r--d--e--n", "more rain", "a scarf", "well-worn path"])) < 0.5
+
+
 def test_held_out(spark):
     where = "/root/testdata/sf0.1/"
     docs, labels = (spark.read.parquet(f"{where}{t}.parquet") for t in ("documents", "labels"))

@@ -5,7 +5,7 @@ share, each weighted by ``DECAY`` to the power of the lengths it spans in both,
 inserted characters weaken a match without breaking it.  Landmarks are strings that
 sentences of toxic training texts hold far more often than clean ones.  A sentence's
 features are the greatest normalised kernel that a window of its words has with each
-landmark, made orthogonal by the inverse root of the landmarks' own kernel matrix.  A squared-hinge support vector machine is fitted on sampled, labelled sentences; a
+landmark (characters that aren't letters count as gaps, not in the window's own kernel), made orthogonal by the inverse root of the landmarks' own kernel matrix.  A squared-hinge support vector machine is fitted on sampled, labelled sentences; a
 text's margin is that of its worst sentence, and Platt's sigmoid turns it into a score.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, training_fold
 
-ORDER, DECAY = 3, 0.6
+ORDER, DECAY = 3, 0.95
 LANDMARKS = 64
 #: Put before each word, so that a landmark can tell a word's start.
 START = "^"
@@ -30,9 +30,10 @@ START = "^"
 SAMPLE = {1: 1_500, 0: 3_000}
 SAMPLE_CHARS = 5_000
 #: Normalised kernels below this, and those with words that hold under this share of a landmark's
-#: neighbouring letters (with at most two others between), count as none.
-LEAST, NEIGHBOURS = 0.4, 0.8
-#: Characters of a word looked at at once; longer words are read in windows that overlap by half.
+#: neighbouring letters (with at most two other letters and any number of other characters
+#: between), count as none.
+LEAST, NEIGHBOURS = 0.3, 0.75
+#: Letters of a word looked at at once; longer words are read in windows that overlap by half.
 WORD = 24
 MEMO_WORDS = 400_000
 
@@ -79,11 +80,16 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return ((first * 0x9E37 + second * 0x85EB) >> 3) & 511
 
 
-def _windows(word: str, n: int) -> set[str]:
-    """Parts of a word about as long as a landmark of ``n`` characters, or with so many others between them."""
+def _windows(word: str, places: list[int], n: int) -> set[tuple[str, str]]:
+    """Parts of a word with about as many letters as a landmark of ``n``, or so many others between them; and their letters.
+
+    ``places`` are those of the word's letters; what stands between them takes no part in a window's size.
+    """
     out = set()
     for size in (n, n + 1, n + 2, 2 * n - 1):
-        out.update(word[k : k + size] for k in range(max(1, len(word) - size + 1)))
+        for k in range(max(1, len(places) - size + 1)):
+            own = places[k : k + size]
+            out.add((word[own[0] : own[-1] + 1], "".join([word[p] for p in own])))
     return out
 
 
@@ -109,11 +115,16 @@ class Matcher:
         for s in landmarks:
             codes = _codes([s], len(s), 0)[0]
             self.neighbours.append(_pairs(codes[:-1], codes[1:]))
+        #: Characters of landmarks count as letters.
+        self.kept = set("".join([START, *landmarks]))
+        odd = "".join(re.escape(c) for c in sorted(self.kept - {START}) if not c.isalpha())
+        self.pieces = re.compile(rf"(?:[^\W\d_]|[{odd}]){{{ORDER},}}" if odd else rf"[^\W\d_]{{{ORDER},}}")
+        self.own = dict(zip(landmarks, np.sqrt(kernel(landmarks, landmarks)), strict=True))
         self.memo: dict[str, np.ndarray | None] = {}
 
     def _likely(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of parts and landmarks that have most of the landmark's neighbouring letters in common."""
-        codes = _codes(parts, WORD, -1)
+        codes = _codes(parts, max(4, max(map(len, parts))), -1)
         seen = np.zeros((len(parts), 512), dtype=bool)
         rows = np.arange(len(parts))[:, None]
         for gap in (1, 2, 3):
@@ -122,6 +133,16 @@ class Matcher:
         common = np.stack([seen[:, n].mean(axis=1) >= NEIGHBOURS for n in self.neighbours], axis=1)
         return np.nonzero(common)
 
+    def _shares(self, texts: list[str], letters: list[str], marks: list[str]) -> np.ndarray:
+        """Kernel of each text with its landmark, divided by the roots of the landmark's and the text's letters' own.
+
+        Characters put between the letters thus weaken a match by the kernel's decay alone,
+        while other letters make a text another word.
+        """
+        distinct = list(dict.fromkeys(letters))
+        own = dict(zip(distinct, np.sqrt(np.maximum(kernel(distinct, distinct), 1e-300)), strict=True))
+        return kernel(texts, marks) / np.array([own[w] * self.own[s] for w, s in zip(letters, marks, strict=True)])
+
     def learn(self, words: set[str]) -> None:
         """Put features of words not seen before into the memo."""
         new = [w for w in words if w not in self.memo]
@@ -131,23 +152,33 @@ class Matcher:
             self.memo.clear()
             new = list(words)
         self.memo.update(dict.fromkeys(new))
-        parts, owner = [], []
+        parts = []  # letters of a part, the word, their places in it, the word's number
         for k, w in enumerate(new):
             bare = START + w.strip(_EDGES)
-            for at in range(0, max(1, len(bare) - WORD // 2), WORD // 2):
-                if len(part := bare[at : at + WORD]) > ORDER:
-                    parts.append(part)
-                    owner.append(k)
+            places = range(len(bare)) if bare[1:].isalpha() else [p for p, c in enumerate(bare) if c in self.kept or c.isalpha()]
+            letters = bare if len(places) == len(bare) else "".join([bare[p] for p in places])
+            for at in range(0, max(1, len(places) - WORD // 2), WORD // 2):
+                if len(part := letters[at : at + WORD]) > ORDER:
+                    parts.append((part, bare, places[at : at + WORD], k))
+            if letters is not bare:  # words joined by hyphens and the like, each with its own start
+                for piece in self.pieces.findall(bare):
+                    for at in range(0, max(1, len(piece) + 1 - WORD // 2), WORD // 2):
+                        part = (START + piece)[at : at + WORD]
+                        parts.append((part, part, range(len(part)), k))
+        parts.sort(key=lambda part: len(part[0]))  # Likely pairs are looked for in arrays as wide as the longest part.
         for begin in range(0, len(parts), 4096):
-            left, right = self._likely(parts[begin : begin + 4096])
-            texts, where = [], []
-            for k, mark in zip((left + begin).tolist(), right.tolist(), strict=True):
-                some = _windows(parts[k], len(self.landmarks[mark]))
-                texts += some
-                where += [(owner[k], mark)] * len(some)
+            some = parts[begin : begin + 4096]
+            left, right = self._likely([part[0] for part in some])
+            texts, letters, where = [], [], []
+            for k, mark in zip(left.tolist(), right.tolist(), strict=True):
+                _, bare, places, owner = some[k]
+                for text, own in _windows(bare, list(places), len(self.landmarks[mark])):
+                    texts.append(text)
+                    letters.append(own)
+                    where.append((owner, mark))
             if not texts:
                 continue
-            share = normalised(texts, [self.landmarks[mark] for _, mark in where])
+            share = self._shares(texts, letters, [self.landmarks[mark] for _, mark in where])
             for k in np.flatnonzero(share >= LEAST):
                 word, mark = new[where[k][0]], where[k][1]
                 f = self.memo[word]
@@ -241,8 +272,8 @@ class Model:
         values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 0.1 * np.eye(len(gram)))
         self.root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         rng = np.random.default_rng(0)
-        # Toxic texts are learned from once more with a character put into each landmark.
-        gapped = [self._gapped(t, rng) for t in toxic]
+        # Toxic texts are learned from once more in each way of putting characters into landmarks.
+        gapped = [self._gapped(t, rng, way) for way in range(3) for t in toxic]
         m.learn({w for t in [*toxic, *clean, *gapped] for w in _words(t)})
         worst = [f for t in toxic for f in m.sentences(t) if f.max() > 0.95] + [f for t in gapped for f in m.sentences(t) if f.max() > 0.5]
         other = [np.zeros(len(self.landmarks))] + [f for t in clean for f in m.sentences(t)]
@@ -257,12 +288,18 @@ class Model:
         self.slope, self.offset = _platt(margins, np.r_[np.ones(len(shown)), -np.ones(len(clean))])
         self.matcher = None
 
-    def _gapped(self, text: str, rng) -> str:
+    def _gapped(self, text: str, rng, way: int) -> str:
+        """The text with one character in each landmark, with two at different places, or with one or two marks in every gap."""
         low = text.lower()
         for s in (mark.removeprefix(START) for mark in self.landmarks):
             if s in low:
-                at = int(rng.integers(1, len(s)))
-                low = low.replace(s, s[:at] + "*-._x"[int(rng.integers(5))] + s[at:])
+                if way == 2:
+                    new = ("*-._"[int(rng.integers(4))] * int(rng.integers(1, 3))).join(s)
+                else:
+                    new = s
+                    for at in sorted(rng.choice(np.arange(1, len(s)), way + 1, replace=False).tolist(), reverse=True):
+                        new = new[:at] + "*-._x"[int(rng.integers(5))] + new[at:]
+                low = low.replace(s, new)
         return low
 
     def ready(self) -> Matcher:

@@ -76,6 +76,30 @@ def test_against_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
+def test_family_about_the_threshold(spark):
+    """Copies of an absent text, most of them a little less similar to each other than linked ones."""
+    rng = random.Random(1)
+    base, rows = [f"w{k}" for k in range(600)], []
+    for i in range(1500):
+        copy = list(base)
+        for at in rng.sample(range(600), 6):
+            copy[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(copy)))
+    # Shingles with an edited word are in one text alone.
+    kept = np.array([[all(w[0] == "w" for w in words[k : k + 5]) for k in range(596)] for _, t in rows for words in [t.split()]], dtype=np.float32)
+    both = (kept @ kept.T).astype(int)
+    linked = 100 * both >= 85 * (2 * 596 - both)
+    want = np.arange(len(rows))
+    while True:
+        new = np.where(linked, want[None, :], len(rows)).min(axis=1)
+        if (new == want).all():
+            break
+        want = new
+    assert 10 < len(set(want.tolist())) < len(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if got[i] != want[i]] == []
+
+
 def test_edge_cases(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)], "doc_id long, text string")).collect()

@@ -12,6 +12,8 @@
    then still in different components get eight more hubs; small ones get all members as
    hubs, so there no pair stays unseen.  What is still apart after that is dealt again by
    longer bands, which hold only closer texts, and goes through the same steps.
+5. Whatever then is still apart from other members of a large bucket goes through an exact
+   join on rare shingles, so no pair that shared a bucket stays unseen.
 
 Two 64-bit hashes that agree count as one shingle; for a pair of documents of a million
 words the odds are below 1e-7.  A pair at the threshold shares no bucket with odds of about
@@ -178,8 +180,44 @@ def _named(members: DataFrame, edges: DataFrame | None) -> DataFrame:
     return members.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _apart(members: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Members, with their components, of the buckets that more than one component has a part in."""
+    named = stored(_named(members, edges), "named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return named.join(mixed, "key")
+
+
+def _left(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids that are still apart from other members of a large bucket."""
+    return stored(_apart(members, edges).where(F.col("n") > SMALL_BUCKET).select("id").distinct(), "left")
+
+
+def _exact(left: DataFrame, sets: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
+    """All edges so far and those between different components among ``left (id)``, by an exact join.
+
+    Shingles are ordered from the rarest on.  Two similar sets have at least ``least`` shingles
+    in common, so they share one before each set's last ``least - 1``.  Those found in one set
+    only come first; a set with too few others, or too few for the other's size, has no link.
+    """
+    tokens = stored(sets.join(left, "id", "left_semi").select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = tokens.join(often, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
+    able = order.withColumn("common", F.size("order")).withColumn("least", F.expr(f"int((bigint(size) * {threshold} + 99) div 100)")).where("common >= least")
+    first = _named(able, edges).select("id", "component", "size", "common", F.explode(F.expr("slice(order.token, 1, common - least + 1)")).alias("token"))
+    first = stored(first, "first")
+    a, b = first.alias("a"), first.alias("b")
+    pairs = a.join(b.hint("merge"), F.col("a.token") == F.col("b.token")).where(
+        (F.col("a.id") < F.col("b.id"))
+        & (F.col("a.component") != F.col("b.component"))
+        & (100 * F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
+        & ((100 + threshold) * F.least("a.common", "b.common") >= threshold * (F.col("a.size") + F.col("b.size")))
+    )
+    found = _confirmed(stored(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "pairs"), sets, threshold)
+    return stored(found.unionByName(edges), "links")
+
+
 def _round(shared: DataFrame, sets: DataFrame, edges: DataFrame | None, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over shared buckets: all confirmed edges so far, and the ids that are still apart from a large bucket's other members."""
+    """One pass over shared buckets: all confirmed edges so far, and the buckets' members."""
     weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     members = stored(shared.join(weights, "id"), "members")
 
@@ -187,15 +225,10 @@ def _round(shared: DataFrame, sets: DataFrame, edges: DataFrame | None, threshol
         found = _confirmed(stored(pairs, "pairs"), sets, threshold)
         return stored(found if edges is None else found.unionByName(edges), "links")
 
-    def apart() -> DataFrame:
-        named = stored(_named(members, edges), "named")
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return named.join(mixed, "key")
-
     edges = linked(_pairs(_named(members, edges), ["key"]))
-    turns = stored(apart().withColumn("turn", F.when(F.col("n") <= SMALL_BUCKET, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(MORE_HUBS)))), "turns")
+    turns = stored(_apart(members, edges).withColumn("turn", F.when(F.col("n") <= SMALL_BUCKET, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(MORE_HUBS)))), "turns")
     edges = linked(_pairs(turns, ["key", "turn"]))
-    return edges, apart().where(F.col("n") > SMALL_BUCKET).select("id").distinct()
+    return edges, members
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -216,11 +249,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The one shuffle of texts. It is a merge join at any size: the members of shared buckets grow with the corpus.
     wanted = texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     sets = stored(_sets(wanted, size, *BANDING[1]), "sets")
-    edges, left = _round(shared, sets, None, threshold)
-    left = stored(left, "left")
+    edges, members = _round(shared, sets, None, threshold)
+    left = _left(members, edges)
     if not left.isEmpty():
         again = _shared(sets.join(left, "id", "left_semi").select(F.explode("bands").alias("key"), "id"))
         edges, _ = _round(again, sets, edges, threshold)
+        left = _left(members, edges)
+        if not left.isEmpty():
+            edges = _exact(left, sets, edges, threshold)
     # Classes of one document in no component need no row here.
     named = classes.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
     out = described.select("id", "n_shingles", "class_key").join(named, "class_key", "left")

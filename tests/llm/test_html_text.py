@@ -1,7 +1,9 @@
 import re
 
 import pyarrow.parquet as pq
+import pytest
 
+from tidemark.llm import html_text
 from tidemark.llm.html_text import extracted, main_text
 
 PARAGRAPH = "The cat that was in the garden is not the one of which I have told you, and it will not be there in the morning when we are back. " * 2
@@ -32,6 +34,53 @@ def test_broken():
     assert main_text(None) == main_text("") == main_text("<!-- only -->") == ""
 
 
+SENTENCES = {
+    "en": "The boat that we had seen in the morning was still at the pier, and the man who was with it said that they would not leave before the wind was in their favour. ",
+    "de": "Das Boot, das wir am Morgen gesehen hatten, lag noch an der Brücke, und der Mann, der bei ihm war, hat uns gesagt, dass sie nicht vor dem Abend auf das Meer fahren. ",
+    "fr": "Le bateau que nous avons vu dans la rue du port est sur le quai, et il ne part pas avant la nuit, car le vent qui vient de la mer est plus fort que les voiles. ",
+    "es": "El barco que se ve en la bahía no ha salido del puerto, y los hombres que están con él no quieren ir al mar por la noche, para no perder las redes en las rocas. ",
+    "fi": "Vene makasi vielä laiturissa aamulla, eikä miehistö halunnut lähteä merelle ennen iltaa, koska tuuli puhalsi voimakkaasti etelästä saariston ylitse ja aallot kasvoivat. ",
+}
+MENU = '<ul class="x1"><li><a href="/">Home page</a></li><li><a href="/n">All news</a></li><li><a href="/c">Write to us</a></li></ul>'
+OFFER = "<div><p>Buy now: 3 for 2</p><p>New shoes, low prices</p></div>"
+LEGAL = "<div>© 2020 Example Ltd. All rights reserved. Terms, privacy, imprint, site map, press, jobs.</div>"
+
+
+@pytest.mark.parametrize("lang", SENTENCES)
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "no-comments", "search-results", "post share-enabled", "entry-header", "x"])
+def test_labelled_pages_without_article(lang, wrapper):
+    """Pages without an article element: menus, offers and legal lines are told by links, length and stop words alone."""
+    one, two, short = SENTENCES[lang] * 3, SENTENCES[lang] * 2, SENTENCES[lang][:50].strip()
+    page = f'<body>{MENU}<div class="{wrapper}"><h2>{short}</h2><p>{one}</p><p>{short}</p><p>{two}</p><p>{short}</p></div>{MENU}{OFFER}{MENU}{LEGAL}</body>'
+    assert main_text(page).split("\n") == [short, one.strip(), short, two.strip(), short]
+    listing = "".join(f'<p><a href="/{k}">{SENTENCES[lang]}</a></p>' for k in range(3))
+    assert main_text(page.replace(LEGAL, listing + LEGAL)) == main_text(page)
+
+
+def test_low_stop_words():
+    names = "Anna Berg, Olaf Lund, Peter Holm, Maria Sand, Eva Strand, Jon Dahl, Ida Vik, Lars Moen, Nina Aas, Per Bakke, " * 3
+    page = f"<div><p>{SENTENCES['en'] * 3}</p></div>{MENU}<div>{names}</div>"
+    assert main_text(page) == (SENTENCES["en"] * 3).strip()
+    assert names.strip() in main_text(f"<article><p>{SENTENCES['en'] * 3}</p><p>{names}</p></article>")
+
+
+def test_each_pass_decides(monkeypatch):
+    pages = [p for p in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if p]
+    both = [main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "first_pass", lambda blocks: None)
+        assert sum(main_text(p) != t for p, t in zip(pages, both, strict=True)) == len(pages)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "second_pass", lambda blocks: None)
+        assert sum(main_text(p) != t for p, t in zip(pages, both, strict=True)) > len(pages) // 2
+
+
+def test_whole_names_only():
+    text = SENTENCES["en"] * 2
+    for name in ("sidebar", "ad", "ad-box", "site-header", "cookie-notice", "comments", "x related", "left-sidebar"):
+        assert main_text(f'<div class="{name}"><p>{text}</p></div><div><p>The rest. {text}</p></div>') == ("The rest. " + text).strip(), name
+
+
 def test_tables_pages():
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pandas()
     for page in pages.html:

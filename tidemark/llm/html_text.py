@@ -1,11 +1,16 @@
 """Operator 9: main text of web pages by two passes of block rules.
 
-A page is read into blocks: runs of text between block-level tags.  The first pass decides
-blocks by their place (menus, forms, adverts and the like are boilerplate), their link
-density, and their length with their density of stop words.  The second lets blocks that
-stayed ambiguous inherit the label of the nearest decided one, looking inside the same
-article first.  Inside an article or main element only place and links speak against a
-block, as what an author wrote there may be short, or poor in stop words.
+A page is read into blocks: runs of text between block-level tags.  Scripts, styles, forms
+and hidden parts, and elements whose class or id says that they hold boilerplate, are no
+blocks at all.  All other blocks go through both passes.
+
+1. Link density, length and density of stop words decide what they can.  Blocks of many
+   links, and those in menus, headers, footers and asides, are bad.  Long blocks of running
+   text are good.  Long ones without stop words are bad, unless the page's language has no
+   stop list here, or they stand in an article (a table or a list of names may be poor in
+   stop words).  What is short or in between stays ambiguous.
+2. Ambiguous blocks inherit the label of the nearest decided ones, in an article those of
+   the article first.
 """
 
 from __future__ import annotations
@@ -20,12 +25,17 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Link density of boilerplate; lengths and stop-word densities of blocks outside articles.
-LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.3, 0.32
+#: Link density of boilerplate; lengths and stop-word densities of text.
+LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.15, 0.25
+#: Link density of boilerplate in an article, where paragraphs may hold many links.
+ARTICLE_LINKS = 0.5
+#: A page whose blocks have a smaller share of any language's stop words is in a language without a list.
+KNOWN_LANGUAGE = 0.12
 
 # Tags and names.
 _RAW = frozenset({"script", "style", "template", "textarea", "title", "noscript", "iframe", "svg", "math", "xmp", "noembed", "noframes"})
-_DROPPED = frozenset({"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "head", "fieldset"})
+_DROPPED = frozenset({"form", "button", "select", "dialog", "menu", "object", "head", "fieldset"})
+_PLACES = frozenset({"nav", "footer", "aside", "header"})
 _BLOCKS = frozenset({
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend",
@@ -33,20 +43,26 @@ _BLOCKS = frozenset({
     "tfoot", "th", "thead", "tr", "ul",
 })
 #: Block elements that end by themselves, and inline ones, aren't kept track of.
-_OPEN = frozenset({"article", "main", "section", "div", "header", "figure", "details", "blockquote", "table", "ul", "ol", "dl", "body", "center"}) | _DROPPED
+_OPEN = frozenset({"article", "main", "section", "div", "header", "figure", "details", "blockquote", "table", "ul", "ol", "dl", "body", "center"}) | _DROPPED | _PLACES
 _ARTICLE = frozenset({"article", "main"})
+_HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+#: Words of class names of boilerplate, and those that may stand beside them in one name.
 _NAMES = frozenset({
     "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
     "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
-    "newsletter", "notice", "notification", "pagination", "pager", "popup", "promo", "related", "replies", "search", "share", "sharing", "sidebar",
-    "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
+    "newsletter", "notice", "notification", "pagination", "pager", "popup", "promo", "related", "replies", "share", "sharing", "sidebar",
+    "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar",
 })
+_BESIDE = frozenset({"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "global", "inner", "item", "left", "link", "links", "list", "main", "outer", "right", "section", "site", "top", "unit", "wrap", "wrapper"})
 _ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"})
-_STOPS = frozenset(
-    "a an and are as at be been but by for from had has have he her his i in is it its not of on or she so that the their they this to was we were which will with would you "
-    "aber als am auch auf aus bei das dass dem den der des die ein eine einen er es für hat ich im ist mit nicht noch nur sich sie sind und vom von war wie wird zu zum zur "
-    "au aux avec ce cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour que qui sa se ses son sur un une vous "
-    "al como con del el ella en entre era es esta este ha la las lo los más no o para pero por que se ser sin sobre su sus un una y ya".split()
+_STOPS = tuple(
+    frozenset(words.split())
+    for words in (
+        "a an and are as at be been but by for from had has have he her his i in is it its not of on or she so that the their they this to was we were which will with would you",
+        "aber als am auch auf aus bei das dass dem den der des die ein eine einen er es für hat ich im ist mit nicht noch nur sich sie sind und vom von war wie wird zu zum zur",
+        "au aux avec ce cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour que qui sa se ses son sur un une vous",
+        "al como con del de el ella en entre era es esta este ha la las lo los más no o para pero por que se ser sin sobre su sus un una y ya",
+    )
 )
 
 _TOKEN = re.compile(
@@ -58,54 +74,70 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+_MARKS = ".,;:!?\"'()[]“”„«»"
 _ENDS: dict[str, re.Pattern] = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in _RAW}
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Does an element's tag, class, id, role or hiding say that it holds no article text?"""
-    if tag in _DROPPED or (tag == "header" and not in_article):
-        return True
+OUT, ASIDE = 1, 2
+
+
+def _says_boilerplate(value: str) -> bool:
+    """Does a class or id name boilerplate? Whole names count: ``sidebar`` and ``ad-box`` do, ``has-sidebar`` doesn't."""
+    for name in value.split():
+        words = _NAME.findall(name)
+        if not _NAMES.isdisjoint(words) and all(w in _NAMES or w in _BESIDE for w in words):
+            return True
+    return False
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
+    """``OUT`` for an element that holds no text of the page, ``ASIDE`` for one beside the article, else 0."""
+    if tag in _DROPPED:
+        return OUT
+    kind = ASIDE if tag in _PLACES and not (tag == "header" and in_article) else 0
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return kind
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and tag not in ("body", "html", "article", "main") and not _NAMES.isdisjoint(_NAME.findall(value)):
-            return True
+        if key in ("class", "id") and tag not in ("body", "html", "main") and _says_boilerplate(value):
+            if not (in_article and tag == "header"):
+                return OUT
         if key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return OUT
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return OUT
+    return kind
 
 
 class _Block:
-    __slots__ = ("article", "label", "links", "text")
+    __slots__ = ("article", "aside", "heading", "label", "links", "text")
 
-    def __init__(self, text: str, links: int, article: int, label: str):
-        self.text, self.links, self.article, self.label = text, links, article, label
+    def __init__(self, text: str, links: int, article: int, aside: bool, heading: bool):
+        self.text, self.links, self.article, self.aside, self.heading, self.label = text, links, article, aside, heading, ""
 
 
 def blocks_of(page: str) -> list[_Block]:
-    """The blocks of a page in order; those in unwanted places are labelled ``out``, others not yet."""
+    """The blocks of a page in order, without labels; what holds no text of the page is left out."""
     out: list[_Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, unwanted, an article
+    open_tags: list[tuple[str, int, bool]] = []  # tag, kind, an article
     parts: list[str] = []
-    links, in_link, unwanted, articles, article = 0, False, 0, 0, 0
+    links, in_link, articles, article, heading = 0, False, 0, 0, False
+    inside = [0, 0, 0]  # open elements of each kind
 
     def end_block() -> None:
         nonlocal links, in_link
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append(_Block(text, min(links, len(text)), article, "out" if unwanted else ""))
+            if text and not inside[OUT]:
+                out.append(_Block(text, min(links, len(text)), article, inside[ASIDE] > 0, heading))
             parts.clear()
         links = 0
 
     def close(keep: int) -> None:
-        nonlocal unwanted, article
+        nonlocal article
         while len(open_tags) > keep:
-            _, bad, main = open_tags.pop()
-            unwanted -= bad
+            _, kind, main = open_tags.pop()
+            inside[kind] -= 1
             if main:
                 article = 0
 
@@ -139,13 +171,14 @@ def blocks_of(page: str) -> list[_Block]:
             parts.append(" ")
             continue
         if tag not in _BLOCKS:
-            if not m[1] and m[3] and tag == "span" and _unwanted(tag, m[3], bool(article)) and not m[3].endswith("/"):
+            if not m[1] and m[3] and tag == "span" and _kind(tag, m[3], bool(article)) and not m[3].endswith("/"):
                 end = re.compile(r"</span[^>]*>", re.I).search(page, at)
                 at = end.end() if end else at
             continue
         end_block()
+        heading = tag in _HEADINGS and not m[1]
         if tag not in _OPEN:
-            if not m[1] and m[3] and not m[3].endswith("/") and _unwanted(tag, m[3], bool(article)):
+            if not m[1] and m[3] and not m[3].endswith("/") and _kind(tag, m[3], bool(article)):
                 end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else at
             continue
@@ -155,68 +188,86 @@ def blocks_of(page: str) -> list[_Block]:
                 close(depth)
             continue
         in_link = False
-        if tag in _ARTICLE and (depth := next((k for k, (t, bad, _) in enumerate(open_tags) if bad and t in ("nav", "header", "footer", "head", "menu")), None)) is not None:
+        if tag in _ARTICLE and (depth := next((k for k, (t, kind, _) in enumerate(open_tags) if kind and t in ("nav", "header", "footer", "head", "menu")), None)) is not None:
             close(depth)  # a menu or header that was never closed
         if tag == "body":
             close(0)
-        bad = _unwanted(tag, m[3], bool(article))
-        main = tag in _ARTICLE and not article and not unwanted and not bad
+        kind = _kind(tag, m[3], bool(article))
+        main = tag in _ARTICLE and not article and not kind and not inside[OUT] and not inside[ASIDE]
         if main:
             articles += 1
             article = articles
-        unwanted += bad
-        open_tags.append((tag, bad, main))
+        inside[kind] += 1
+        open_tags.append((tag, kind, main))
     end_block()
     return out
 
 
-def _first_pass(block: _Block) -> None:
-    if block.label:
-        return
-    density = block.links / len(block.text)
-    if density > LINKS:
-        block.label = "bad"
-    elif block.article:
-        words = block.text.lower().split()
-        if len(block.text) >= SHORT and sum(w.strip(".,;:!?") in _STOPS for w in words) >= FEW_STOPS * len(words):
-            block.label = "good"
-    elif "©" in block.text:
-        block.label = "bad"
-    elif len(block.text) >= SHORT:
-        words = block.text.lower().split()
-        stops = sum(w.strip(".,;:!?") in _STOPS for w in words) / len(words)
-        if stops < FEW_STOPS:
-            block.label = "bad"
-        elif stops >= MANY_STOPS and len(block.text) > LONG:
-            block.label = "good"
-    elif block.links:
-        block.label = "bad"
-
-
-def _second_pass(blocks: list[_Block]) -> list[str]:
-    """Labels of all blocks: ambiguous ones take that of the nearest decided block, of two as near the one before.
-
-    Unwanted places don't count; in an article only its own good blocks do, and without a
-    decided block it is good.
-    """
-    n = len(blocks)
-    before: list[int | None] = [None] * n
-    after: list[int | None] = [None] * n
-    for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
+def _stop_shares(text: str) -> list[float]:
+    """Share of each language's stop words among the words of a text."""
+    words = [w.strip(_MARKS) for w in text.lower().split()]
+    return [sum(w in known for w in words) / len(words) for known in _STOPS]
+
+
+def first_pass(blocks: list[_Block]) -> None:
+    """Label blocks ``good`` or ``bad`` where length, links and stop words decide; others stay without label."""
+    shares = {k: _stop_shares(b.text) for k, b in enumerate(blocks) if len(b.text) >= SHORT}
+    # The page's language: the one whose stop words its blocks of running text hold most.
+    long = [k for k in shares if blocks[k].links <= LINKS * len(blocks[k].text) and not blocks[k].aside]
+    size = sum(len(blocks[k].text) for k in long)
+    pooled = [sum(len(blocks[k].text) * shares[k][n] for k in long) for n in range(len(_STOPS))]
+    known = bool(size) and max(pooled) >= KNOWN_LANGUAGE * size
+    for k, b in enumerate(blocks):
+        n = len(b.text)
+        if b.aside or b.links > (ARTICLE_LINKS if b.article else LINKS) * n or (b.text[0] == "©" and not b.article):
+            b.label = "bad"
+        elif n < SHORT:
+            if b.links and not b.article:
+                b.label = "bad"
+        elif not known:
+            if n > LONG or b.article:
+                b.label = "good"
+        elif (share := max(shares[k])) < FEW_STOPS:
+            if not b.article:
+                b.label = "bad"
+        elif share >= MANY_STOPS and (n > LONG or b.article):
+            b.label = "good"
+
+
+def _nearest(blocks: list[_Block], own: bool) -> list[list[int]]:
+    """For each block the nearest labelled ones before and after it, of its own article or of the page."""
+    found: list[list[int]] = [[] for _ in blocks]
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
         last: dict[int, int] = {}
         for k in order:
-            own = blocks[k].article
-            if blocks[k].label == "good" or blocks[k].label == "bad" and not own:
-                last[own] = k
-            into[k] = last.get(own)
-    out = []
+            key = blocks[k].article if own else 0
+            if key in last:
+                found[k].append(last[key])
+            if blocks[k].label:
+                last[key] = k
+    return found
+
+
+def second_pass(blocks: list[_Block]) -> None:
+    """Label what the first pass left: each block takes the label of the nearest decided one, of two as near the one before.
+
+    A heading looks at what comes after it first.
+
+    In an article the article's own blocks count alone, and a good one on either side is
+    enough.  Without a decided block to inherit from, a block is good.
+    """
+    own, page = _nearest(blocks, True), _nearest(blocks, False)
+    labels = []
     for k, b in enumerate(blocks):
-        if b.label:
-            out.append(b.label)
-            continue
-        near = [j for j in (before[k], after[k]) if j is not None]
-        out.append(blocks[min(near, key=lambda j: abs(j - k))].label if near else "good")
-    return out
+        near = own[k] if b.article else page[k]
+        if b.label or not near:
+            labels.append(b.label or "good")
+        elif b.article:
+            labels.append("good" if any(blocks[j].label == "good" for j in near) else "bad")
+        else:
+            labels.append(blocks[min(near, key=lambda j: (b.heading and j < k, abs(j - k), j))].label)
+    for b, label in zip(blocks, labels, strict=True):
+        b.label = label
 
 
 def main_text(page: str | None) -> str:
@@ -224,9 +275,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    for b in blocks:
-        _first_pass(b)
-    return "\n".join(b.text for b, label in zip(blocks, _second_pass(blocks), strict=True) if label == "good")
+    first_pass(blocks)
+    second_pass(blocks)
+    return "\n".join(b.text for b in blocks if b.label == "good")
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.components import components
-from tidemark.llm.minhash import near_duplicates, shingles, sketch
+from tidemark.llm import minhash
+from tidemark.llm.minhash import common_counts, near_duplicates, shingles, sketch
 
 
 def word_sets(text, size=5):
@@ -106,6 +107,41 @@ def test_edge_cases(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, 1, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)], key=str)
 
 
+def test_shared_ids(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = near_duplicates(spark.createDataFrame([(5, a), (5, b), (3, b), (7, a), (7, None), (None, a)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, 2, 5, True), (5, 2, 3, False), (3, 2, 3, True), (7, 2, 5, False), (7, 0, 7, True), (None, 2, None, True)], key=str)
+
+
+def test_long_texts(spark):
+    words = [f"w{k}" for k in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:140_000])), (3, " ".join(words[:100_000])), (4, "x" * 3_000_000), (5, "y " * 400_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (149_996, 1), 2: (139_996, 1), 3: (99_996, 3), 4: (1, 4), 5: (1, 5)}
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, hi, rng.integers(1, 60))) for hi in rng.choice([40, 500, 10**6], n)] for n in (170, 150))
+    want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert common_counts(left, right).tolist() == want
+    assert common_counts([], right).shape == (0, 150) and common_counts([np.empty(0, np.int64)], right[:2]).tolist() == [[0, 0]]
+
+
+def test_link_between_members_that_are_no_hubs(spark, monkeypatch):
+    """A bucket of 100 whose only link the hubs don't see: the comparison in full finds it, in blocks of a few members."""
+    monkeypatch.setattr(minhash, "MORE_HUBS", 1)
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 7)
+    rng = random.Random(4)
+    sets = {i: sorted({*range(1000)} - {*rng.sample(range(1000), 120)}) for i in range(100)}
+    sets[71] = sorted({*sets[38]} - {sets[38][5]})
+    members = spark.createDataFrame([(1, i, 100, i) for i in sets], "key long, id long, n long, component long")
+    frame = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, shingles array<long>")
+    assert [tuple(r) for r in minhash._in_full(members, frame, 85).collect()] in ([(38, 71)], [(71, 38)])
+    shared = spark.createDataFrame([(1, i, 100) for i in sets], "key long, id long, n long")
+    assert {tuple(r) for r in minhash._linked(shared, frame, 85).collect()} == {(38, 38), (71, 38)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 150), (130, 129)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -10,10 +10,11 @@
    most of them), so its candidate edges are as many as its members.
 4. Links are confirmed on the full sets, and components formed.  Buckets whose members are
    then still in different components get eight more hubs; small ones get all members as
-   hubs, so there no pair stays unseen.  What is still apart after that is dealt again by
-   longer bands, which hold only closer texts, and goes through the same steps.
-5. Whatever then is still apart from other members of a large bucket goes through an exact
-   join on rare shingles, so no pair that shared a bucket stays unseen.
+   hubs, so there no pair stays unseen.  While that brings together a good part of what is
+   apart in large buckets, one more hub for each of them, chosen anew, follows.
+5. What then is still apart is compared in full: everything outside a family's largest
+   component with all of the family, in blocks of bounded size, so no pair of different
+   components that shared a bucket stays unseen.
 
 Two 64-bit hashes that agree count as one shingle; for a pair of documents of a million
 words the odds are below 1e-7.  A pair at the threshold shares no bucket with odds of about
@@ -23,10 +24,12 @@ words the odds are below 1e-7.  A pair at the threshold shares no bucket with od
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +45,12 @@ MEMO_WORDS = 500_000
 #: Buckets up to this size are compared in full, larger ones by stars.
 SMALL_BUCKET = 16
 MORE_HUBS = 8
-#: (bins, slots in a band, bands): the first for all classes, the second for members of what it leaves open.
-BANDING = ((256, 6, 42), (1024, 16, 96))
+#: Bins of the sketch, slots in a band, and bands.
+BANDING = (256, 6, 42)
+#: Another hub is tried while that brings together so large a part of what is apart.
+WORTH = 0.25
+#: Members, and shingles, of a block of the comparison in full.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2_000, 1_000_000
 
 
 class _WordHash(dict):
@@ -138,16 +145,15 @@ def _described(docs: DataFrame, bins: int, slots: int, bands: int, size: int) ->
     return docs.mapInArrow(run, "id long, n_shingles long, class_key binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int, bins: int, slots: int, bands: int) -> DataFrame:
-    """``id, shingles, bands`` of ``docs (id, text)``: full sets, and keys of another banding."""
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """``id, shingles`` of ``docs (id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            keys = [band_keys(sketch(s, bins), slots, bands).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["id", "shingles", "bands"])
+            sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>, bands array<long>")
+    return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -157,78 +163,188 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    """The edges ``a, b`` between components, of those of ``pairs (id, hub, a, b)`` whose full sets are similar enough."""
+    both = pairs.join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("y")), "hub")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _pairs(members: DataFrame, group: list[str]) -> DataFrame:
-    """Members of each bucket with the hub of each group in it, where they are not in one component yet.
+    """Members of each bucket with the hub of each group in it, and both's components, where these differ.
 
     A hub is the heaviest member of its group, of these the one of the least id.
     """
     hubs = members.groupBy(*group).agg(F.max_by(F.struct("id", "component"), F.struct("weight", -F.col("id"))).alias("hub")).select("key", "hub")
     joined = members.join(hubs, "key").where("component <> hub.component")
-    return joined.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    return joined.select("id", F.col("hub.id").alias("hub"), F.col("component").alias("a"), F.col("hub.component").alias("b")).distinct()
 
 
-def _named(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """``members`` with the component that the edges put them in."""
-    if edges is None:
-        return members.withColumn("component", F.col("id"))
-    return members.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of the buckets that more than one component has a part in."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return members.join(mixed, "key")
 
 
-def _apart(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Members, with their components, of the buckets that more than one component has a part in."""
-    named = stored(_named(members, edges), "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return named.join(mixed, "key")
+def _renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` whose ``component`` has joined another by ``names (node, component)``."""
+    names = names.select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    return rows.join(names, "component", "left").withColumn("component", F.coalesce("_new", "component")).drop("_new")
 
 
-def _left(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ids that are still apart from other members of a large bucket."""
-    return stored(_apart(members, edges).where(F.col("n") > SMALL_BUCKET).select("id").distinct(), "left")
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each of ``left`` has in common with each of ``right``.
 
-
-def _exact(left: DataFrame, sets: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
-    """All edges so far and those between different components among ``left (id)``, by an exact join.
-
-    Shingles are ordered from the rarest on.  Two similar sets have at least ``least`` shingles
-    in common, so they share one before each set's last ``least - 1``.  Those found in one set
-    only come first; a set with too few others, or too few for the other's size, has no link.
+    Shingles of many sets are counted by matrix products, rare ones pair by pair.
     """
-    tokens = stored(sets.join(left, "id", "left_semi").select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    order = tokens.join(often, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
-    able = order.withColumn("common", F.size("order")).withColumn("least", F.expr(f"int((bigint(size) * {threshold} + 99) div 100)")).where("common >= least")
-    first = _named(able, edges).select("id", "component", "size", "common", F.explode(F.expr("slice(order.token, 1, common - least + 1)")).alias("token"))
-    first = stored(first, "first")
-    a, b = first.alias("a"), first.alias("b")
-    pairs = a.join(b.hint("merge"), F.col("a.token") == F.col("b.token")).where(
-        (F.col("a.id") < F.col("b.id"))
-        & (F.col("a.component") != F.col("b.component"))
-        & (100 * F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
-        & ((100 + threshold) * F.least("a.common", "b.common") >= threshold * (F.col("a.size") + F.col("b.size")))
-    )
-    found = _confirmed(stored(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "pairs"), sets, threshold)
-    return stored(found.unionByName(edges), "links")
-
-
-def _round(shared: DataFrame, sets: DataFrame, edges: DataFrame | None, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over shared buckets: all confirmed edges so far, and the buckets' members."""
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), dtype=np.int64)
+    if not n or not m:
+        return out
+    row = np.repeat(np.arange(n), [len(s) for s in left])
+    column = np.repeat(np.arange(m), [len(s) for s in right])
+    known, a = np.unique(np.concatenate(left), return_inverse=True)
+    tokens = np.concatenate(right)
+    b = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
+    hit = known[b] == tokens if len(known) else np.zeros(len(tokens), dtype=bool)
+    b, column = b[hit], column[hit]
+    often_a, often_b = np.bincount(a, minlength=len(known)), np.bincount(b, minlength=len(known))
+    frequent = often_a * often_b > 10_000
+    dense = np.flatnonzero(frequent)
+    place = np.full(len(known), -1)
+    place[dense] = np.arange(len(dense))
+    for begin in range(0, len(dense), 2048):
+        x, y = (np.zeros((k, min(2048, len(dense) - begin)), dtype=np.float32) for k in (n, m))
+        for table, where, code in ((x, row, place[a]), (y, column, place[b])):
+            inside = (code >= begin) & (code < begin + 2048)
+            table[where[inside], code[inside] - begin] = 1
+        out += (x @ y.T).astype(np.int64)
+    # The rest: each occurrence on the left meets those of its shingle on the right.
+    order = np.argsort(b, kind="stable")
+    b, column = b[order], column[order]
+    rare = ~frequent[a] & (often_b[a] > 0)
+    a, row = a[rare], row[rare]
+    first = np.searchsorted(b, a)
+    for begin in range(0, len(a), 1 << 17):
+        some = slice(begin, begin + (1 << 17))
+        times = often_b[a[some]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cells = np.repeat(row[some], times) * m + column[np.repeat(first[some], times) + step]
+        out += np.bincount(cells, minlength=n * m).reshape(n, m)
+    return out
+
+
+def _joined(table: pa.Table, threshold: int) -> pa.Table:
+    """Edges between components by links between the two sides of a block pair, as few as join the same components."""
+    sides = [table.filter(pa.compute.equal(table["side"], side)) for side in (0, 1)]
+    own = table.num_rows and not sides[1].num_rows
+    parts, sizes, sets = [], [], []
+    for t in (sides[0], sides[0] if own else sides[1]):
+        parts.append(t["component"].to_pylist())
+        sizes.append(t["size"].to_numpy())
+        sets.append([np.asarray(x.values, dtype=np.int64) for x in t["tokens"]])
+    common = common_counts(*sets)
+    similar = 100 * common >= threshold * (sizes[0][:, None] + sizes[1][None, :] - common)
+    label: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := label.get(c, c)) != c:
+            label[c] = c = label.get(up, up)
+        return c
+
+    a, b = [], []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(similar)), strict=True):
+        x, y = root(parts[0][i]), root(parts[1][j])
+        if x != y:
+            label[x] = y
+            a.append(x)
+            b.append(y)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _in_full(apart: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Edges between components that links between the members ``apart (key, id, component)`` of mixed buckets make, by comparing blocks of their full sets.
+
+    A family is what buckets chain together.  Shingles that one member alone has count in
+    sizes only, and a set with too few others has no link.  Of a family's largest component
+    no two blocks are compared with each other, of others all that are alike in size.
+    """
+    lowest = apart.groupBy("key").agg(F.min("id").alias("low"))
+    family = stored(components(apart.join(lowest, "key").select(F.col("low").alias("a"), F.col("id").alias("b"))).withColumnsRenamed({"node": "id", "component": "family"}), "families")
+    left = apart.groupBy("id").agg(F.any_value("component").alias("component")).join(family, "id")
+    tokens = stored(sets.join(left.select("id"), "id", "left_semi").select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    # Shingles that cross no two members don't reach the arrays; members below the threshold of common ones don't go on.
+    able = tokens.join(often, "token").groupBy("id", "size").agg(F.collect_list("token").alias("tokens")).where(100 * F.size("tokens") >= threshold * F.col("size"))
+    members = stored(able.join(left, "id"), "able")
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # Sets whose sizes are two classes apart can't be similar enough.
+    size_class = F.floor(F.log(F.col("size").cast("double")) / (1e-6 - math.log(threshold / 100))).cast("int")
+    members = members.join(largest, "family").withColumns({"rest": F.col("component") != F.col("largest"), "class": size_class})
+    group = ["family", "class", "rest"]
+    slots = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum(F.size("tokens")) / BLOCK_SHINGLES)).cast("int")
+    sizes = stored(members.groupBy(*group).agg(slots.alias("slots")), "slots")
+    placed = stored(members.join(sizes, group).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")), "placed")
+    blocks = sizes.select(*group, F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    block = F.struct("class", "rest", "slot")
+    pairs = blocks.where("rest").select("family", block.alias("x")).join(blocks.select("family", block.alias("y")), "family")
+    pairs = pairs.where((F.abs(F.col("x.class") - F.col("y.class")) <= 1) & (~F.col("y.rest") | (F.col("x") <= F.col("y"))))
+    pairs = stored(pairs.withColumn("task", F.xxhash64("family", "x", "y")), "tasks")
+    sides = pairs.select("family", "task", F.lit(0).alias("side"), "x.*").unionByName(pairs.where("x <> y").select("family", "task", F.lit(1).alias("side"), "y.*"))
+    sent = placed.join(sides, [*group, "slot"]).select("task", "side", "component", F.col("size").cast("long").alias("size"), "tokens")
+    return sent.groupBy("task").applyInArrow(lambda table: _joined(table, threshold), "a long, b long")
+
+
+def _linked(shared: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``node, component`` of the members of buckets ``shared (key, id, n)`` that are linked with others."""
     weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    members = stored(shared.join(weights, "id"), "members")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        found = _confirmed(stored(pairs, "pairs"), sets, threshold)
-        return stored(found if edges is None else found.unionByName(edges), "links")
-
-    edges = linked(_pairs(_named(members, edges), ["key"]))
-    turns = stored(_apart(members, edges).withColumn("turn", F.when(F.col("n") <= SMALL_BUCKET, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(MORE_HUBS)))), "turns")
-    edges = linked(_pairs(turns, ["key", "turn"]))
-    return edges, members
+    members = stored(shared.join(weights, "id").withColumn("component", F.col("id")), "members")
+    steps: list[DataFrame] = []  # the components after each step, as names of those before it
+
+    def joined(edges: DataFrame, members: DataFrame) -> DataFrame:
+        """The mixed buckets among ``members`` once ``edges`` have joined their components."""
+        edges = stored(edges, "links")
+        if not edges.isEmpty():
+            steps.append(stored(components(edges), "names"))
+            members = _renamed(members, steps[-1])
+        return stored(_mixed(members), "mixed")
+
+    def hubs(members: DataFrame, group: list[str]) -> DataFrame:
+        return joined(_confirmed(stored(_pairs(members, group), "pairs"), sets, threshold), members)
+
+    left = hubs(members, ["key"])
+    turn = F.when(F.col("n") <= SMALL_BUCKET, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(MORE_HUBS)))
+    left = stored(hubs(left.withColumn("turn", turn), ["key", "turn"]).where(F.col("n") > SMALL_BUCKET), "large")
+    count, salt = left.count(), 0
+    while count:
+        before, salt = count, salt + 1
+        left = hubs(left.withColumn("weight", F.xxhash64("id", F.lit(salt))), ["key"])
+        count = left.count()
+        if count > (1 - WORTH) * before:
+            break
+    if count:
+        joined(_in_full(left, sets, threshold), left)
+    if not steps:
+        return members.limit(0).select(F.col("id").alias("node"), "component")
+    named = steps[0]
+    for later in steps[1:]:
+        # A later step also joins components of one member, which no step before has named.
+        named = _renamed(named, later).unionByName(later.join(named.select("node"), "node", "left_anti"))
+    return named
+
+
+def _grouped(texts: DataFrame, threshold: int, size: int) -> DataFrame:
+    """``id, n_shingles, component`` of ``texts (id, text)`` whose ids are unique and not null."""
+    described = stored(_described(texts, *BANDING, size), "described")
+    known = described.where("class_key IS NOT NULL")
+    classes = stored(known.groupBy("class_key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
+    shared = _shared(classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id")))
+    # The one shuffle of texts. It is a merge join at any size: the members of shared buckets grow with the corpus.
+    sets = stored(_sets(texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi"), size), "sets")
+    linked = _linked(shared, sets, threshold)
+    # Classes of one document in no component need no row here.
+    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component"))
+    return described.join(named, "class_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -236,28 +352,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if 100 * |intersection| >= threshold * |union| of their shingle
     sets; a component takes the least id in it and keeps that document.  Null and blank
-    texts have no shingles and stand alone.  Ids are taken as unique; of rows that share an
-    id (as of rows with equal texts) all get the same component, and a row with a null id
-    has neither component nor links and is kept.  Other columns are not read.
+    texts have no shingles and stand alone.  Rows that share an id are judged one by one, each
+    by its own text, and may so be in different components; those of equal texts are in one.
+    A row with a null id has neither component nor links and is kept.  Other columns are not read.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = stored(_described(texts, *BANDING[0], size), "described")
-    known = described.where("class_key IS NOT NULL AND id IS NOT NULL")
-    classes = stored(known.groupBy("class_key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
-    shared = _shared(classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id")))
-    # The one shuffle of texts. It is a merge join at any size: the members of shared buckets grow with the corpus.
-    wanted = texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(_sets(wanted, size, *BANDING[1]), "sets")
-    edges, members = _round(shared, sets, None, threshold)
-    left = _left(members, edges)
-    if not left.isEmpty():
-        again = _shared(sets.join(left, "id", "left_semi").select(F.explode("bands").alias("key"), "id"))
-        edges, _ = _round(again, sets, edges, threshold)
-        left = _left(members, edges)
-        if not left.isEmpty():
-            edges = _exact(left, sets, edges, threshold)
-    # Classes of one document in no component need no row here.
-    named = classes.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
-    out = described.select("id", "n_shingles", "class_key").join(named, "class_key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    named = texts.where("id IS NOT NULL")
+    if named.groupBy("id").count().where("count > 1").isEmpty():
+        out = _grouped(named, threshold, size)
+    else:  # rows take numbers in place of their ids, and components the least id of their rows
+        rows = stored(named.withColumn("row", F.monotonically_increasing_id()), "rows")
+        of_row = stored(_grouped(rows.select(F.col("row").alias("id"), "text"), threshold, size).withColumnRenamed("id", "row").join(rows.select("row", "id"), "row"), "of_row")
+        least = of_row.groupBy("component").agg(F.min("id").alias("least"))
+        out = of_row.join(least, "component").select("id", "n_shingles", F.col("least").alias("component"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("component") == F.col("id")).alias("kept"))
+    nameless = _described(texts.where("id IS NULL"), *BANDING, size)
+    return out.unionByName(nameless.select(F.col("id").alias(id_col), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

@@ -42,8 +42,8 @@ class PrefixCounter:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode
-        self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        specials = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, specials)) if specials else r"(?!)")
         self.split = regex.compile(public_tokenizers.PATTERN).finditer
         alphabet = byte_alphabet()
         self.shown = dict(enumerate(alphabet))
@@ -114,8 +114,8 @@ class PrefixCounter:
         """Counts at the prefixes of a piece, as encoding each prefix alone would give."""
         if piece.removeprefix(" ").isalpha():
             return self.pre_token(piece)
-        if any(s in piece for s in self.specials):
-            return [len(self.encode(piece[:k], add_special_tokens=False).ids) for k in range(1, len(piece) + 1)]
+        if self.special.search(piece):
+            return self._with_specials(piece)
         out: list[int] = []
         base = 0
         for m in self.split(piece):
@@ -133,6 +133,18 @@ class PrefixCounter:
             out[a:b] = [before + n for n in self.pre_token(m.group())]
         return out
 
+    def _with_specials(self, piece: str) -> list[int]:
+        """Counts for a piece with special strings: what stands between them is encoded apart, and one that is cut short is plain text."""
+        out: list[int] = []
+        base = begin = 0
+        for m in self.special.finditer(piece):
+            inner = self.counts(piece[begin : m.end() - 1]) if m.end() - 1 > begin else []
+            out += [base + n for n in inner]
+            base += (inner[m.start() - begin - 1] if m.start() > begin else 0) + 1
+            out.append(base)
+            begin = m.end()
+        return out + ([base + n for n in self.counts(piece[begin:])] if begin < len(piece) else [])
+
     def deltas(self, piece: str) -> bytes:
         """Differences of :meth:`counts`, as 16-bit integers."""
         counts = self.counts(piece)
@@ -162,11 +174,12 @@ def tokens_at(deltas: bytes, n_chars: int) -> int:
     return int(np.frombuffer(deltas, dtype="<i2")[: max(0, n_chars)].sum(dtype=np.int64))
 
 
-def with_prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``id, n_bytes, n_tokens, prefix_deltas`` for each row of ``docs``.
+def with_prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_text: bool = False) -> DataFrame:
+    """``id, n_bytes, n_tokens, prefix_deltas`` for each row of ``docs``, and its text if asked for.
 
     A null text counts as empty: no bytes, no tokens, an empty table.  Rows with equal
-    or null ids each keep a row.  Other columns of ``docs`` are not read.
+    or null ids each keep a row.  Other columns of ``docs`` are not read.  The work grows with
+    a text's length, whether it has spaces or not, and with special strings as without.
     """
     path = tokenizer or default_tokenizer()
     small_batches(docs.sparkSession)
@@ -178,24 +191,26 @@ def with_prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             tables = [table(t) for t in batch.column(2).to_pylist()]
             n = [int(np.frombuffer(t, dtype="<i2").sum(dtype=np.int64)) for t in tables]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(tables, pa.binary())], ["id", "n_bytes", "n_tokens", "prefix_deltas"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(tables, pa.binary()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns if with_text else columns[:4], ["id", "n_bytes", "n_tokens", "prefix_deltas", "text"][: 4 + with_text])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long, prefix_deltas binary").withColumnRenamed("id", id_col)
+    schema = "id long, n_bytes long, n_tokens long, prefix_deltas binary" + ", text string" * with_text
+    return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
-def truncated(docs: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``id, text`` with each text cut to its longest prefix of at most ``budget`` tokens; null stays null."""
-    path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
+def truncated(counted: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text", table_col: str = "prefix_deltas") -> DataFrame:
+    """``id, text`` with each text cut to its longest prefix of at most ``budget`` tokens.
+
+    ``counted`` has each text beside the table that :func:`with_prefix_counts` made of it;
+    nothing is encoded here.  A null text stays null.
+    """
+    small_batches(counted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = []
-            for t in batch.column(1).to_pylist():
-                fits = np.flatnonzero(prefix_table(t, path) <= budget)
-                cut.append(None if t is None else t[: int(fits[-1]) + 1 if len(fits) else 0])
+            cut = [None if t is None else t[: longest_prefix(d, budget)] for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], ["id", "text"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = counted.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(table_col, F.lit(b"")).alias("table"))
     return rows.mapInArrow(run, "id long, text string").withColumnsRenamed({"id": id_col, "text": text_col})

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from tidemark.llm.toxicity import DECAY, ORDER, Model, kernel, normalised, scored
+from tidemark.llm.toxicity import DECAY, ORDER, Model, _window, kernel, normalised, scored
 
 
 def plain_kernel(a, b):
@@ -59,15 +59,27 @@ def test_characters_in_every_gap():
     assert max(model.scores(["r.i.v.e.r", "g--a--r--d--e--n", "more rain", "a scarf", "well-worn path"])) < 0.5
 
 
-def test_held_out(spark):
+def test_held_out_in_each_language(spark):
+    """Recall and clean texts left alone, on held-out rows; languages are read for this report only."""
     where = "/root/testdata/sf0.1/"
     docs, labels = (spark.read.parquet(f"{where}{t}.parquet") for t in ("documents", "labels"))
-    got = scored(docs.where("lang = 'en'"), labels).toPandas().set_index("doc_id")
+    got = scored(docs, labels).toPandas().set_index("doc_id")
     truth = pq.read_table(f"{where}labels.parquet").to_pandas().set_index("doc_id").toxic
-    both = got.join(truth, how="inner")
+    lang = pq.read_table(f"{where}documents.parquet", columns=["doc_id", "lang"]).to_pandas().set_index("doc_id").lang
+    both = got.join(truth, how="inner").join(lang)
     held = both[both.held_out]
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
-    assert (held.predicted == held.toxic).mean() > 0.95
+    assert (held.predicted == held.toxic).mean() > 0.97
+    for _, rows in held.groupby("lang"):
+        toxic, clean = rows[rows.toxic == 1].predicted, rows[rows.toxic == 0].predicted
+        assert toxic.mean() >= 0.85 and clean.mean() <= 0.04
+    assert held[held.toxic == 1].predicted.mean() >= 0.9
+
+
+def test_window():
+    text = " ".join(f"w{k}" for k in range(5000))
+    part = _window(text, 1000)
+    assert part in text and len(part) == 1000 and part[0] == "w" and _window("short", 1000) == "short"
 
 
 def test_edges(spark):

@@ -2,17 +2,22 @@
 
 The kernel of two strings sums over the subsequences of ``ORDER`` characters that they
 share, each weighted by ``DECAY`` to the power of the lengths it spans in both, so gaps and
-inserted characters weaken a match without breaking it.  Landmarks are strings that
-sentences of toxic training texts hold far more often than clean ones.  A sentence's
-features are the greatest normalised kernel that a window of its words has with each
-landmark (characters that aren't letters count as gaps, not in the window's own kernel), made orthogonal by the inverse root of the landmarks' own kernel matrix.  A squared-hinge support vector machine is fitted on sampled, labelled sentences; a
-text's margin is that of its worst sentence, and Platt's sigmoid turns it into a score.
+inserted characters weaken a match without breaking it.  Landmarks are strings that toxic
+training texts hold at a multiple of the rate of clean ones; each next one is that which
+most adds to the toxic texts that few others are in, so no language or kind of insult is
+left without.  A sentence's features are the greatest normalised kernel that a window of its
+words has with each landmark (characters that aren't letters count as gaps, not in the
+window's own kernel), made orthogonal by the inverse root of the landmarks' own kernel
+matrix.  A squared-hinge support vector machine is fitted on sampled, labelled sentences.
+A text's score is a sigmoid, fitted like Platt's, of the margin of its worst sentence, of the
+margins that its different words have alone, and of its length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +31,14 @@ ORDER, DECAY = 3, 0.95
 LANDMARKS = 64
 #: Put before each word, so that a landmark can tell a word's start.
 START = "^"
-#: About so many training rows of each label, of at most so many characters, are sampled to fit the model.
+#: About so many training rows of each label are sampled to fit the model.
 SAMPLE = {1: 1_500, 0: 3_000}
-SAMPLE_CHARS = 5_000
+#: Of a longer sampled text a window of so many characters, at a place that its hash gives.
+SAMPLE_CHARS = 20_000
+#: A landmark's rate in toxic texts is so many times that in clean ones.
+RATIO = 4.0
+#: Likelihood ratio statistic of a landmark; of millions of strings hardly one reaches it by chance.
+SURPRISE = 36.0
 #: Normalised kernels below this, and those with words that hold under this share of a landmark's
 #: neighbouring letters (with at most two other letters and any number of other characters
 #: between), count as none.
@@ -201,29 +211,51 @@ class Matcher:
         return out or [np.max([self.memo[w] for w in hit], axis=0)]
 
 
-def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
-    """Strings of four to nine characters that toxic texts hold often and clean ones hardly ever."""
-    known = {w.strip(_EDGES) for t in clean for w in t.lower().split()}
+def _surprise(t: int, c: int, toxic: int, clean: int) -> float:
+    """Likelihood ratio statistic of a string in ``t`` of the toxic and ``c`` of the clean texts."""
+    part = toxic / (toxic + clean)
+    return 2 * (t * np.log(t / ((t + c) * part)) + (c * np.log(c / ((t + c) * (1 - part))) if c else 0.0))
+
+
+def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
+    """Strings of four to nine characters that toxic texts hold far more often than clean ones."""
+    words = [[{w.strip(_EDGES) for w in t.lower().split()} for t in texts] for texts in (toxic, clean)]
+    often_toxic, often_clean = (Counter(w for some in texts for w in some) for texts in words)
+    share = len(toxic) / max(1, len(clean))
     count: Counter[str] = Counter()
-    for t in toxic:
-        new = {START + w for w in {w.strip(_EDGES) for w in t.lower().split()} - known}
-        count.update({w[a:b] for w in new for a in range(len(w) - 3) for b in range(a + 4, min(len(w), a + 9) + 1)})
-    floor = max(3, len(toxic) // 100)
-    likely = sorted((s for s, n in count.items() if n >= floor), key=lambda s: (-count[s], -len(s), s))[:600]
-    low_clean, low_toxic = [_marked(t) for t in clean], [_marked(t) for t in toxic]
-    chosen: dict[str, set[int]] = {}
-    for short in likely:
-        s = max((x for x in likely if short in x and count[x] >= 0.9 * count[short]), key=len)
-        if len(chosen) == LANDMARKS:
+    for some in words[0]:
+        marked = [START + w for w in some if often_toxic[w] > 2 * share * often_clean[w]]
+        count.update({w[a:b] for w in marked for a in range(len(w) - 3) for b in range(a + 4, min(len(w), a + 9) + 1)})
+    floor = max(3, len(toxic) // 200)
+    count = Counter({s: n for s, n in count.items() if n >= floor})
+    in_clean: Counter[str] = Counter()  # how often words of clean texts hold them, counted word by word
+    for w, n in often_clean.items():
+        w = START + w
+        for s in {w[a:b] for a in range(len(w) - 3) for b in range(a + 4, min(len(w), a + 9) + 1)}:
+            if s in count:
+                in_clean[s] += n
+    likely = sorted((s for s, n in count.items() if n >= RATIO / 2 * share * in_clean[s]), key=lambda s: (-count[s], -len(s), s))[:1000]
+    whole = sorted({max((x for x in likely if s in x and count[x] >= 0.9 * count[s]), key=lambda x: (len(x), x)) for s in likely})
+    low_toxic, low_clean = [_marked(t) for t in toxic], [_marked(t) for t in clean]
+    where: dict[str, np.ndarray] = {}
+    for s in whole:
+        held = np.array([s in t for t in low_toxic])
+        t, c = int(held.sum()), sum(s in t for t in low_clean)
+        if (t + 0.5) / (len(toxic) + 1) >= RATIO * (c + 0.5) / (len(clean) + 1) and _surprise(t, c, len(toxic), len(clean)) >= SURPRISE:
+            where[s] = held
+    chosen: list[str] = []
+    weight = np.ones(len(toxic))  # halved by each landmark that a text has
+    while where and len(chosen) < most:
+        best = max(where, key=lambda s: (float(weight[where[s]].sum()), len(s), s))
+        held = where.pop(best)
+        if weight[held].sum() < 0.5:
             break
-        if sum(s in t for t in low_clean) / max(1, len(clean)) > 0.05 * count[s] / len(toxic):
-            continue
-        where = {k for k, t in enumerate(low_toxic) if s in t}
-        thirds = {s[k : k + 3] for k in range(len(s) - 2)}
-        if any(len(where & other) >= 0.9 * len(where) and any(c in x for c in thirds) for x, other in chosen.items()):
-            continue
-        chosen[s] = where
-    return list(chosen)
+        thirds = {best[k : k + 3] for k in range(len(best) - 2)}
+        weight[held] *= 0.5
+        chosen.append(best)
+        for s in [x for x, other in where.items() if (other & held).sum() >= 0.9 * other.sum() and any(c in x for c in thirds)]:
+            del where[s]
+    return chosen
 
 
 def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
@@ -242,20 +274,20 @@ def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: fl
     return w
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the sigmoid, on Platt's smoothed targets."""
+def _sigmoid_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights (the last is the offset) of the sigmoid, on Platt's smoothed targets."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    v = np.zeros(2)
-    x = np.c_[margin, np.ones(len(margin))]
-    for _ in range(50):
+    x = np.c_[x, np.ones(len(x))]
+    v = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * v)
-        v -= step * min(1, 5 / (np.abs(step).max() + 1e-12))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(v))
+        step = np.linalg.solve(h, x.T @ (p - target) + 1e-2 * v)
+        v -= step * min(1, 2 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return float(v[0]), float(v[1])
+    return v
 
 
 class Model:
@@ -273,20 +305,23 @@ class Model:
         self.root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         rng = np.random.default_rng(0)
         # Toxic texts are learned from once more in each way of putting characters into landmarks.
-        gapped = [self._gapped(t, rng, way) for way in range(3) for t in toxic]
-        m.learn({w for t in [*toxic, *clean, *gapped] for w in _words(t)})
-        worst = [f for t in toxic for f in m.sentences(t) if f.max() > 0.95] + [f for t in gapped for f in m.sentences(t) if f.max() > 0.5]
+        gapped = [[self._gapped(t, rng, way) for t in toxic] for way in range(3)]
+        m.learn({w for t in [*toxic, *clean, *sum(gapped, [])] for w in _words(t)})
+        worst = [f for t in toxic for f in m.sentences(t) if f.max() > 0.95] + [f for texts in gapped for t in texts for f in m.sentences(t) if f.max() > 0.5]
         other = [np.zeros(len(self.landmarks))] + [f for t in clean for f in m.sentences(t)]
         x = np.array(worst + other) @ self.root
         y = np.r_[np.ones(len(worst)), -np.ones(len(other))]
         cost = np.where(y > 0, 1 / max(1, len(worst)), 4 / len(other))
         cost[len(worst)] = 1.0  # sentences without any feature are the most common of all
         self.w = _support_vectors(x, y, cost)
-        # Toxic texts without any sentence to show for it say nothing about what a margin means.
-        shown = [t for t in toxic + gapped if any(f.max() > 0.5 for f in m.sentences(t))]
-        margins = np.array([self._margin(t) for t in shown + clean])
-        self.slope, self.offset = _platt(margins, np.r_[np.ones(len(shown)), -np.ones(len(clean))])
-        self.matcher = None
+        self.margins: dict[str, float] = {}
+        self.length = 0.0
+        evidence = np.array([self._evidence(t) for t in [*toxic, *gapped[2], *clean]])
+        shown = evidence[:, 2] > 0
+        self.length = float(evidence[shown, 2].mean()) if shown.any() else 0.0
+        evidence[shown, 2] -= self.length
+        self.sigmoid = _sigmoid_fit(evidence, np.r_[np.ones(2 * len(toxic)), -np.ones(len(clean))])
+        self.matcher, self.margins = None, {}
 
     def _gapped(self, text: str, rng, way: int) -> str:
         """The text with one character in each landmark, with two at different places, or with one or two marks in every gap."""
@@ -307,24 +342,46 @@ class Model:
             self.matcher = Matcher(self.landmarks)
         return self.matcher
 
-    def _margin(self, text: str | None) -> float:
-        best = self.w[-1]
-        if found := self.ready().sentences(text):
-            best = max(best, float((np.array(found) @ self.root @ self.w[:-1]).max() + self.w[-1]))
-        return best
+    def _evidence(self, text: str | None) -> tuple[float, float, float]:
+        """Margin of the worst sentence, and logarithms of the sum of its different words' squared margins (where above none) and of the number of all words, this beside the usual one of texts with features."""
+        m, bias = self.ready(), float(self.w[-1])
+        found = m.sentences(text)
+        if not found:
+            return bias, 0.0, 0.0
+        best = max(bias, float((np.array(found) @ self.root @ self.w[:-1]).max() + bias))
+        words = _words(text)
+        hit = 0.0
+        for w in set(words):
+            if (f := m.memo[w]) is not None:
+                if w not in self.margins:
+                    self.margins[w] = float(f @ self.root @ self.w[:-1])
+                hit += max(self.margins[w], 0.0) ** 2
+        return best, float(np.log1p(hit)), float(np.log1p(len(words))) - self.length
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if not self.landmarks:
             return [0.0] * len(texts)
+        if len(self.margins) > MEMO_WORDS:
+            self.margins.clear()
         self.ready().learn(set().union(*(_words(t) for t in texts if t)))
-        return [float(1 / (1 + np.exp(-(self.slope * self._margin(t) + self.offset)))) for t in texts]
+        return [float(1 / (1 + np.exp(-(np.dot(self._evidence(t), self.sigmoid[:-1]) + self.sigmoid[-1])))) for t in texts]
+
+
+def _window(text: str, chars: int) -> str:
+    """The text, or a part of it from a word's start on, at a place that the text's hash gives."""
+    if len(text) <= chars:
+        return text
+    at = zlib.crc32(text.encode()) % (len(text) - chars + 1)
+    at = text.find(" ", at) + 1 if at else 0
+    return text[at : at + chars]
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``id, held_out, score, predicted`` for each row of ``docs``.
 
-    Learns from labelled rows of the training fold (of several labels of an id the greatest
-    counts; null labels are none).  Null and empty texts get the score of a text without
+    Learns from about ``sample`` labelled rows of the training fold (of several labels of an id
+    the greatest counts; null labels are none), of texts longer than ``sample_chars`` from a
+    window.  Null and empty texts get the score of a text without
     features.  Where there is nothing to learn from, all scores are 0.  Rows with a null id
     count as held out; rows with equal ids or texts each keep a row.  Other columns aren't read.
     """
@@ -340,7 +397,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = part if picked is None else picked.unionByName(part)
     model = None
     if picked is not None and len(sizes) == 2:
-        got = rows.join(F.broadcast(picked), "id").where(F.length("text") <= SAMPLE_CHARS).select("id", "text", "y").collect()  # `sample` bounds it
+        # `sample` bounds the rows, also where ids repeat, and `sample_chars` what is kept of each.
+        found = rows.join(F.broadcast(picked), "id").where("text IS NOT NULL").withColumn("order", F.xxhash64("id", "text"))
+        cut = F.udf(lambda t: _window(t, sample_chars), "string")
+        got = found.select("order", "id", cut("text").alias("text"), "y").orderBy("order", "text").limit(2 * sum(sample.values())).collect()
         if len({r["y"] for r in got}) == 2:
             model = spark.sparkContext.broadcast(Model([(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["id"], r["text"]))]))
 

@@ -1,11 +1,17 @@
 """Operator 10: URL filtering by rules, and by gradient-boosted trees on lexical features.
 
 Everything is a DataFrame expression.  URLs that a rule decides are the labelled ones; from
-them a small ensemble of regression trees on the logistic loss learns length, depth, digit
-ratio, entropy, parameter count and the block rate of host suffixes.  Features fall into
-bins, and a sample of bounded size shrinks to one row per combination of bins, so a tree
-level is one aggregation of gradients by node, feature and bin.  The trees become a CASE
-expression.
+those of four hosts in five a small ensemble of regression trees on the logistic loss learns
+length, depth, digit ratio, entropy, parameter count and the block rate of host suffixes.
+
+A suffix's rate for a labelled URL comes from other hosts' URLs (folds of hosts take turns),
+never from its own label.  A suffix that no other labelled host has is a value of its own,
+and half of the labelled URLs are learned from as if theirs were such, so that the trees know
+how to judge by the other features alone.
+
+Features fall into bins, and a sample of bounded size shrinks to one row per combination of
+bins, so a tree level is one aggregation of gradients by node, feature and bin.  The trees
+become a CASE expression.
 """
 
 from __future__ import annotations
@@ -26,6 +32,9 @@ SAMPLE = 200_000
 TREES, DEPTH, RATE, RIDGE = 12, 3, 0.3, 1.0
 #: Labelled URLs added to each suffix's, at the overall rate.
 PRIOR = 20.0
+#: Hosts fall into so many parts; the labelled URLs of the first are held out, the others take turns in suffix rates.
+PARTS = 5
+UNSEEN = -1.0
 FEATURES = ("length", "depth", "digits", "entropy", "params", "suffix_rate")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -149,30 +158,43 @@ def _score(trees: list, base: float) -> Column:
     return reduce(lambda total, t: total + value(t), trees, F.lit(float(base)))
 
 
+def _suffix_rates(learned: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
+    """Block rates ``suffix, suffix_rate`` of all learned URLs, and ``suffix, part, suffix_rate`` of those of the other parts."""
+    each = learned.groupBy("suffix", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    whole = each.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+
+    def smoothed(s: Column, n: Column) -> Column:
+        return F.when(n > 0, (s + PRIOR * rate) / (n + PRIOR))
+
+    others = each.join(whole, "suffix").select("suffix", "part", smoothed(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")).alias("suffix_rate"))
+    return whole.select("suffix", smoothed(F.col("all_s"), F.col("all_n")).alias("suffix_rate")), others
+
+
 def filtered(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
-    """``id, host, path, rule, verdict, block_score`` for each row of ``pages``.
+    """``id, host, path, rule, verdict, block_score, held_out`` for each row of ``pages``.
 
     A null URL, or one without ``://``, has an empty host and path and no rule; the trees judge
-    it by its other features.  Without URLs that a rule decides, the trees allow all.  Rows
-    with equal or null ids or URLs each keep a row; other columns aren't read.
+    it by its other features.  Without URLs that a rule decides, the trees allow all.
+    ``held_out`` marks URLs of hosts that the trees haven't learned from.  Rows with equal or
+    null ids or URLs each keep a row; other columns aren't read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("ruled", _verdict(F.col("rule"), rules))
-    rows = stored(_lexical(rows), "urls")
-    labelled = rows.where("ruled IS NOT NULL").withColumn("y", (F.col("ruled") == BLOCK).cast("long"))
-    total, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    rate = blocked / total if total else 0.0
-    suffixes = labelled.groupBy("suffix").agg(((F.sum("y") + PRIOR * rate) / (F.count(F.lit(1)) + PRIOR)).alias("suffix_rate"))
+    rows = stored(_lexical(rows).withColumn("part", F.pmod(F.crc32("host"), F.lit(PARTS))), "urls")
+    learned = rows.where("ruled IS NOT NULL AND part > 0").withColumn("y", (F.col("ruled") == BLOCK).cast("long"))
+    total, blocked = learned.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
 
-    def with_rate(df: DataFrame) -> DataFrame:
-        return df.join(suffixes, "suffix", "left").withColumn("suffix_rate", F.round(F.coalesce("suffix_rate", F.lit(rate)), 9))
+    def with_rate(df: DataFrame, rates: DataFrame, on: list[str]) -> DataFrame:
+        return df.join(rates, on, "left").withColumn("suffix_rate", F.round(F.coalesce("suffix_rate", F.lit(UNSEEN)), 9))
 
     if not blocked or blocked == total:
         base, trees, binned = (-1.0 if not blocked else 1.0), [], rows
     else:
         base = math.log(blocked / (total - blocked))
-        known = with_rate(labelled)
+        whole, others = _suffix_rates(learned, blocked / total)
+        known = with_rate(learned, others, ["suffix", "part"])
+        known = known.withColumn("suffix_rate", F.when(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == 0, F.col("suffix_rate")).otherwise(F.lit(UNSEEN)))
         marks = known.agg(*[F.percentile_approx(c, F.array(*[F.lit(k / 16) for k in range(1, 16)]), 10_000).alias(c) for c in FEATURES]).first()
         cuts = {c: sorted(set(marks[c])) for c in FEATURES}
 
@@ -184,7 +206,7 @@ def filtered(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: st
         names = [f"f{k}" for k in range(len(FEATURES))]
         picked = in_bins(known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20)))
         combined = stored(picked.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).coalesce(8), "bins")
-        trees, binned = _trees(combined, base), in_bins(with_rate(rows))
+        trees, binned = _trees(combined, base), in_bins(with_rate(rows, whole, ["suffix"]))
     score = F.round(1 / (1 + F.exp(-_score(trees, base))), 9)
     out = binned.withColumn("block_score", score).withColumn("verdict", F.coalesce("ruled", F.when(F.col("block_score") > 0.5, BLOCK).otherwise(ALLOW)))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "block_score")
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "block_score", (F.col("part") == 0).alias("held_out"))

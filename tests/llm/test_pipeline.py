@@ -2,10 +2,12 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_minhash import brute
+from tidemark.llm.common import stored
 from tidemark.llm.tokens import default_tokenizer
 
 WORDS = {
@@ -68,6 +70,28 @@ def test_against_brute_force(spark, tables):
         assert at == len(ids)
 
 
+def test_rows_are_judged_one_by_one(spark, tables, tmp_path):
+    """Of rows that share an id, or have none, only the bad ones go."""
+    where, docs, _ = tables
+    rng = random.Random(12)
+    good = [" ".join(rng.choices(WORDS["en"], k=60)) for _ in range(7)]
+    bad = good[0] + " what a moron " + good[0]
+    item = next(t for i, t, _ in docs if i == 320)
+    rows = [(2, good[1]), (2, bad), (None, good[2]), (None, bad), (3, good[3]), (3, None), (4, good[4]), (4, item), (5, good[5]), (6, good[5] + " more"), (6, good[6]), (6, good[6]), (None, good[6])]
+    frame = spark.createDataFrame([(i, t, "en", f"s{k}", 1, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row_number long")
+    table = frame.unionByName(spark.read.parquet(f"{where}/documents.parquet").withColumn("row_number", F.lit(-1).cast("long")))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stored(stage(spark, table, where), name)
+        left[name] = {r.row_number for r in table.where("row_number >= 0").collect()}
+    every = set(range(len(rows)))
+    assert left["language"] == every - {5}
+    assert left["toxicity"] == every - {5, 1, 3}
+    assert len(left["near_dedup"] & {10, 11}) == 1
+    assert left["near_dedup"] - {10, 11} == {0, 2, 4, 6, 7, 8}
+    assert left["decontamination"] - {10, 11} == {0, 2, 4, 6, 8}
+
+
 def test_stages_keep_the_columns(spark, tables):
     where, _, _ = tables
     docs = spark.read.parquet(f"{where}/documents.parquet")

@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators.
 
 Lineage is cut with Parquet tables in the folder that every machine of the cluster
-sees (``spark.checkpoint.dir``).  A machine-local folder is used only where that
-setting is absent, as in tests.
+sees (``spark.checkpoint.dir``).  Without that setting a folder of this machine serves
+where there is no other machine (a local master); on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -12,21 +12,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of text in one Arrow batch.  Texts differ in length by five orders of
 #: magnitude, so the default of 10,000 rows could put gigabytes in one batch.
 BATCH_ROWS = 512
 
 _written: list[str] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return "file://" + _local[0]
+
+
+def written(path: str) -> str:
+    """Have :func:`release` delete ``path``."""
+    _written.append(path)
+    return path
 
 
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
@@ -35,24 +46,24 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     Cuts the lineage: a lost executor costs at most the stage that was running.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    path = written(f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what :func:`stored` wrote in this session."""
+    """Delete the tables that the operators wrote in this session."""
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get, unless the user has set a bound."""
+    """Bound the Arrow batches that Python workers get, in this session, unless ``tidemark.batchRows`` or the session sets another bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    own = spark.conf.get("tidemark.batchRows", None)
+    if own or spark.conf.get(key) == "10000":
+        spark.conf.set(key, own or str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,5 +75,11 @@ def training_fold(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 != 0, F.lit(False))
 
 
+def with_row(schema: str, docs: DataFrame, carry: bool = True) -> StructType:
+    """``schema``, with a struct column ``row`` of all columns of ``docs`` behind it if they are carried."""
+    fields = StructType.fromDDL(schema).fields
+    return StructType([*fields, StructField("row", StructType(docs.schema.fields))] if carry else fields)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, training_fold
+from .common import small_batches, training_fold, with_row
 
 BUCKETS = 1 << 15
 #: About so many training rows of each language are sampled to fit the weights.
@@ -132,24 +132,24 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def _sampled(training: DataFrame, shares: dict[str, float]) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """N-gram counts and language of the rows whose id hashes below their language's share."""
+def _sampled(training: DataFrame, shares: dict[str, float], most: int) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """N-gram counts and language of the rows that hash below their language's share; ``most`` bounds them where rows repeat."""
     share = F.lit(0.0)
     for lang, s in shares.items():
         share = F.when(F.col("lang") == lang, F.lit(s)).otherwise(share)
-    picked = training.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = training.withColumn("order", F.xxhash64("id", "text")).where(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [ngram_counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], ["id", "lang", "found", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary()), batch.column(3)], ["id", "lang", "found", "counts", "order"])
 
-    rows = picked.select("id", "text", "lang").mapInArrow(run, "id long, lang string, found binary, counts binary").collect()
+    rows = picked.select("id", "text", "lang", "order").mapInArrow(run, "id long, lang string, found binary, counts binary, order long").orderBy("order").limit(most).collect()
     return [(np.frombuffer(r["found"], np.int32), np.frombuffer(r["counts"], np.int32), r["lang"]) for r in sorted(rows, key=lambda r: (r["id"], r["lang"], r["found"]))]
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """``id, held_out, lang_pred, score`` for each row of ``docs``.
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, carry: bool = False) -> DataFrame:
+    """``id, held_out, lang_pred, score`` for each row of ``docs``; with ``carry`` also the row itself, as a struct ``row``.
 
     Learns from rows of the training fold with a language; ``lang_pred`` is one of theirs, or
     ``und`` with score 0 for null texts, texts without a letter, and where there is nothing
@@ -163,12 +163,12 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One row for each language.
     sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
-    schema = "id long, held_out boolean, lang_pred string, score double"
+    schema = with_row("id long, held_out boolean, lang_pred string, score double", docs, carry)
     model = None
     if names:
         frequency, n = _document_frequencies(training)
         idf = np.log((1 + n) / (1 + frequency)) + 1
-        picked = _sampled(training, {lang: min(1.0, sample / sizes[lang]) for lang in names})
+        picked = _sampled(training, {lang: min(1.0, sample / sizes[lang]) for lang in names}, 2 * sample * len(names))
         w, temperature = fit([(f, c, names.index(lang)) for f, c, lang in picked], idf, len(names))
         model = spark.sparkContext.broadcast((w / temperature, idf))  # buckets times languages
 
@@ -186,6 +186,8 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 k = int(s.argmax())
                 best.append(names[k])
                 score.append(float(1 / np.exp(s - s[k]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["id", "held_out", "lang_pred", "score"])
+            carried = [batch.column("row")] if carry else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best, pa.string()), pa.array(score, pa.float64()), *carried], ["id", "held_out", "lang_pred", "score", "row"][: 4 + carry])
 
-    return rows.select("id", "text", (~training_fold("id")).alias("held_out")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    return given.select("id", "text", (~training_fold("id")).alias("held_out"), *(["row"] if carry else [])).mapInArrow(run, schema).withColumnRenamed("id", id_col)

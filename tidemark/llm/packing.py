@@ -119,8 +119,8 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, id_col: str =
     for n in histogram:
         by_length[n] = np.array([row[1:] for row in plan if row[0] == n], dtype=np.int64)
 
-    of_salt = Window.partitionBy("salt").orderBy("id", "rest_crc", "doc_tokens")
-    of_both = Window.partitionBy("rest", "salt").orderBy("id", "rest_crc", "doc_tokens")
+    of_salt = Window.partitionBy("salt").orderBy("id", "rest_crc", "doc_tokens", "full")
+    of_both = Window.partitionBy("rest", "salt").orderBy("id", "rest_crc", "doc_tokens", "full")
     ranked = cut.withColumns({"rank": F.row_number().over(of_both).cast("long") - 1, "full_before": F.sum(F.size("full").cast("long")).over(of_salt.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.size("full")})
     counted = cut.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("full").cast("long")).alias("n_full"))
     ranks = counted.select("rest", "salt", (F.sum("n").over(Window.partitionBy("rest").orderBy("salt")) - F.col("n")).alias("rank_base"))

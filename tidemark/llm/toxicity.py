@@ -10,7 +10,8 @@ words has with each landmark (characters that aren't letters count as gaps, not
 window's own kernel), made orthogonal by the inverse root of the landmarks' own kernel
 matrix.  A squared-hinge support vector machine is fitted on sampled, labelled sentences.
 A text's score is a sigmoid, fitted like Platt's, of the margin of its worst sentence, of the
-margins that its different words have alone, and of its length.
+margins that its different words have alone (a word that clean texts hold too says less), and
+of its length.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, training_fold
+from .common import small_batches, training_fold, with_row
 
 ORDER, DECAY = 3, 0.95
 LANDMARKS = 64
+#: Weight of a toxic text's worst sentence, taken as a text, beside whole texts when scores are fitted.
+SENTENCE_WEIGHT = 0.1
 #: Put before each word, so that a landmark can tell a word's start.
 START = "^"
 #: About so many training rows of each label are sampled to fit the model.
@@ -217,8 +220,8 @@ def _surprise(t: int, c: int, toxic: int, clean: int) -> float:
     return 2 * (t * np.log(t / ((t + c) * part)) + (c * np.log(c / ((t + c) * (1 - part))) if c else 0.0))
 
 
-def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
-    """Strings of four to nine characters that toxic texts hold far more often than clean ones."""
+def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> dict[str, float]:
+    """Strings of four to nine characters that toxic texts hold far more often than clean ones, and the logarithms of how much more."""
     words = [[{w.strip(_EDGES) for w in t.lower().split()} for t in texts] for texts in (toxic, clean)]
     often_toxic, often_clean = (Counter(w for some in texts for w in some) for texts in words)
     share = len(toxic) / max(1, len(clean))
@@ -238,11 +241,13 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
     whole = sorted({max((x for x in likely if s in x and count[x] >= 0.9 * count[s]), key=lambda x: (len(x), x)) for s in likely})
     low_toxic, low_clean = [_marked(t) for t in toxic], [_marked(t) for t in clean]
     where: dict[str, np.ndarray] = {}
+    odds: dict[str, float] = {}
     for s in whole:
         held = np.array([s in t for t in low_toxic])
         t, c = int(held.sum()), sum(s in t for t in low_clean)
-        if (t + 0.5) / (len(toxic) + 1) >= RATIO * (c + 0.5) / (len(clean) + 1) and _surprise(t, c, len(toxic), len(clean)) >= SURPRISE:
-            where[s] = held
+        ratio = (t + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (c + 0.5)
+        if ratio >= RATIO and _surprise(t, c, len(toxic), len(clean)) >= SURPRISE:
+            where[s], odds[s] = held, float(np.log(ratio))
     chosen: list[str] = []
     weight = np.ones(len(toxic))  # halved by each landmark that a text has
     while where and len(chosen) < most:
@@ -255,7 +260,7 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
         chosen.append(best)
         for s in [x for x, other in where.items() if (other & held).sum() >= 0.9 * other.sum() and any(c in x for c in thirds)]:
             del where[s]
-    return chosen
+    return {s: odds[s] for s in chosen}
 
 
 def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
@@ -274,16 +279,17 @@ def _support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: fl
     return w
 
 
-def _sigmoid_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _sigmoid_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights (the last is the offset) of the sigmoid, on Platt's smoothed targets."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x = np.c_[x, np.ones(len(x))]
     v = np.zeros(x.shape[1])
+    ridge = np.diag(np.r_[np.ones(len(v) - 1), 1e-2])  # one odd row mustn't bend the weights
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(v))
-        step = np.linalg.solve(h, x.T @ (p - target) + 1e-2 * v)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
+        step = np.linalg.solve(h, x.T @ (weight * (p - target)) + ridge @ v)
         v -= step * min(1, 2 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
             break
@@ -295,7 +301,8 @@ class Model:
 
     def __init__(self, rows: list[tuple[str, int]]):
         toxic, clean = [t for t, y in rows if y], [t for t, y in rows if not y]
-        self.landmarks = choose_landmarks(toxic, clean)
+        found = choose_landmarks(toxic, clean)
+        self.landmarks, self.odds = list(found), np.array(list(found.values()))
         self.matcher: Matcher | None = None
         if not self.landmarks:
             return
@@ -316,11 +323,13 @@ class Model:
         self.w = _support_vectors(x, y, cost)
         self.margins: dict[str, float] = {}
         self.length = 0.0
-        evidence = np.array([self._evidence(t) for t in [*toxic, *gapped[2], *clean]])
+        # The worst sentence of each toxic text is learned from as a text of its own, with less weight.
+        texts = [*toxic, *gapped[2], *[self._worst(t) for t in toxic], *clean]
+        evidence = np.array([self._evidence(t) for t in texts])
         shown = evidence[:, 2] > 0
         self.length = float(evidence[shown, 2].mean()) if shown.any() else 0.0
         evidence[shown, 2] -= self.length
-        self.sigmoid = _sigmoid_fit(evidence, np.r_[np.ones(2 * len(toxic)), -np.ones(len(clean))])
+        self.sigmoid = _sigmoid_fit(evidence, np.r_[np.ones(len(texts) - len(clean)), -np.ones(len(clean))], np.repeat([1, SENTENCE_WEIGHT, 1], [2 * len(toxic), len(toxic), len(clean)]))
         self.matcher, self.margins = None, {}
 
     def _gapped(self, text: str, rng, way: int) -> str:
@@ -342,8 +351,13 @@ class Model:
             self.matcher = Matcher(self.landmarks)
         return self.matcher
 
+    def _worst(self, text: str) -> str:
+        """The sentence of the greatest margin, or the whole text if none has any."""
+        found = [(float((np.array(f) @ self.root @ self.w[:-1]).max()), s) for s in _SENTENCE.split(text) if (f := self.matcher.sentences(s))]
+        return max(found)[1] if found else text
+
     def _evidence(self, text: str | None) -> tuple[float, float, float]:
-        """Margin of the worst sentence, and logarithms of the sum of its different words' squared margins (where above none) and of the number of all words, this beside the usual one of texts with features."""
+        """Margin of the worst sentence, and logarithms of two sums: the cubes of different words' margins, each times the log odds of its landmark, and all words beside their usual number."""
         m, bias = self.ready(), float(self.w[-1])
         found = m.sentences(text)
         if not found:
@@ -354,8 +368,8 @@ class Model:
         for w in set(words):
             if (f := m.memo[w]) is not None:
                 if w not in self.margins:
-                    self.margins[w] = float(f @ self.root @ self.w[:-1])
-                hit += max(self.margins[w], 0.0) ** 2
+                    self.margins[w] = max(0.0, float(f @ self.root @ self.w[:-1])) ** 3 * float(self.odds[f.argmax()])
+                hit += self.margins[w]
         return best, float(np.log1p(hit)), float(np.log1p(len(words))) - self.length
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -376,8 +390,8 @@ def _window(text: str, chars: int) -> str:
     return text[at : at + chars]
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """``id, held_out, score, predicted`` for each row of ``docs``.
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None, sample_chars: int = SAMPLE_CHARS, carry: bool = False) -> DataFrame:
+    """``id, held_out, score, predicted`` for each row of ``docs``; with ``carry`` also the row itself, as a struct ``row``.
 
     Learns from about ``sample`` labelled rows of the training fold (of several labels of an id
     the greatest counts; null labels are none), of texts longer than ``sample_chars`` from a
@@ -408,6 +422,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             s = model.value.scores(texts) if model else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], ["id", "held_out", "score", "predicted"])
+            carried = [batch.column("row")] if carry else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32()), *carried], ["id", "held_out", "score", "predicted", "row"][: 4 + carry])
 
-    return rows.select("id", "text", (~training_fold("id")).alias("held_out")).mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    schema = with_row("id long, held_out boolean, score double, predicted int", docs, carry)
+    return given.select("id", "text", (~training_fold("id")).alias("held_out"), *(["row"] if carry else [])).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -5,9 +5,12 @@ Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the column
 
 1. language: rejects texts without a letter (null ones too) and those whose language is a guess;
 2. toxicity: rejects texts predicted toxic;
-3. near_dedup: keeps the document of the least id of each group of near copies, once;
+3. near_dedup: keeps one document of each group of near copies, that of the least id;
 4. decontamination: rejects documents that leak a benchmark item;
 5. packing: returns the pieces of the training sequences.
+
+Rows are judged one by one, by their own texts: a row that goes takes no other with it, even
+one of the same id or of none.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read, stored
-from tidemark.llm.decontamination import contaminated
+from tidemark.llm.decontamination import decontaminated
 from tidemark.llm.language import UNDECIDED, identified
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import packed
@@ -26,35 +29,32 @@ from tidemark.llm.toxicity import scored
 LEAST_LANGUAGE_SCORE = 0.35
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``, a null id being like any other."""
-    wanted = ids.select(F.col("doc_id").alias("_wanted")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
-
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    unwanted = ids.select(F.col("doc_id").alias("_unwanted")).distinct()
-    return docs.join(unwanted, docs["doc_id"].eqNullSafe(unwanted["_unwanted"]), "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = identified(docs)
-    return _drop(docs, known.where((F.col("lang_pred") == UNDECIDED) | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+    """Rows whose language is known. Their columns pass through the operator, so nothing is shuffled."""
+    return identified(docs, carry=True).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _drop(docs, scored(docs, read(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Rows that aren't predicted toxic."""
+    return scored(docs, read(spark, sf_dir, "labels"), carry=True).where("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Texts are dealt out by id only if ids repeat, and then only those rows' texts.
-    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    once = docs if repeated.isEmpty() else _drop(docs, repeated).unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return _drop(once, near_duplicates(docs).where("NOT kept"))
+    """One row of each group of near copies: that of the least id (a null id comes last), of equal ids the first read."""
+    number = "row_number"
+    while number in docs.columns:
+        number += "_"
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, id_col=number).select(number, "component_id")
+    named = groups.join(rows.select(number, "doc_id"), number)
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number)).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = named.join(kept, "component_id").where(F.col(number) != F.col(f"kept.{number}")).select(number)
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _drop(docs, contaminated(docs, read(spark, sf_dir, "benchmark")))
+    """Rows that leak no item of the benchmark."""
+    return decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ START = "^"
 SAMPLE = {1: 1_500, 0: 3_000}
 #: Of a longer sampled text a window of so many characters, at a place that its hash gives.
 SAMPLE_CHARS = 20_000
+#: Toxic texts, in one of three ways of putting characters into landmarks each, that are learned from besides.
+GAPPED = 1_500
 #: A landmark's rate in toxic texts is so many times that in clean ones.
 RATIO = 4.0
 #: Likelihood ratio statistic of a landmark; of millions of strings hardly one reaches it by chance.
@@ -56,9 +58,9 @@ _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "“
 
 
 def _codes(strings: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(strings), width), pad, dtype=np.int32)
-    for row, s in zip(out, strings, strict=True):
-        row[: len(s)] = np.frombuffer(s.encode("utf-32-le", "replace"), dtype=np.int32)
+    padded = "".join([s.ljust(width, "\0") for s in strings])
+    out = np.frombuffer(padded.encode("utf-32-le", "replace"), dtype=np.int32).reshape(len(strings), width).copy()
+    out[np.arange(width) >= np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))[:, None]] = pad
     return out
 
 
@@ -199,11 +201,11 @@ class Matcher:
                     f = self.memo[word] = np.zeros(len(self.landmarks))
                 f[mark] = max(f[mark], share[k])
 
-    def sentences(self, text: str | None) -> list[np.ndarray]:
+    def sentences(self, text: str | None, words: list[str] | None = None) -> list[np.ndarray]:
         """Features of the sentences of a text that have any; its words must have been learned."""
         if not text:
             return []
-        hit = {w for w in set(_words(text)) if self.memo[w] is not None}
+        hit = {w for w in set(words or _words(text)) if self.memo[w] is not None}
         if not hit:
             return []
         out = []
@@ -214,6 +216,10 @@ class Matcher:
         return out or [np.max([self.memo[w] for w in hit], axis=0)]
 
 
+def _substrings(word: str) -> set[str]:
+    return {word[a:b] for a in range(len(word) - 4) for b in range(a + 5, min(len(word), a + 9) + 1)}
+
+
 def _surprise(t: int, c: int, toxic: int, clean: int) -> float:
     """Likelihood ratio statistic of a string in ``t`` of the toxic and ``c`` of the clean texts."""
     part = toxic / (toxic + clean)
@@ -221,24 +227,22 @@ def _surprise(t: int, c: int, toxic: int, clean: int) -> float:
 
 
 def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> dict[str, float]:
-    """Strings of four to nine characters that toxic texts hold far more often than clean ones, and the logarithms of how much more."""
+    """Strings of five to nine characters that toxic texts hold far more often than clean ones, and the logarithms of how much more."""
     words = [[{w.strip(_EDGES) for w in t.lower().split()} for t in texts] for texts in (toxic, clean)]
     often_toxic, often_clean = (Counter(w for some in texts for w in some) for texts in words)
     share = len(toxic) / max(1, len(clean))
     count: Counter[str] = Counter()
+    parts = {w: _substrings(START + w) for w, n in often_toxic.items() if n > 2 * share * often_clean[w]}
     for some in words[0]:
-        marked = [START + w for w in some if often_toxic[w] > 2 * share * often_clean[w]]
-        count.update({w[a:b] for w in marked for a in range(len(w) - 3) for b in range(a + 4, min(len(w), a + 9) + 1)})
+        count.update(set().union(*[parts[w] for w in some if w in parts]))
     floor = max(3, len(toxic) // 200)
     count = Counter({s: n for s, n in count.items() if n >= floor})
     in_clean: Counter[str] = Counter()  # how often words of clean texts hold them, counted word by word
     for w, n in often_clean.items():
-        w = START + w
-        for s in {w[a:b] for a in range(len(w) - 3) for b in range(a + 4, min(len(w), a + 9) + 1)}:
-            if s in count:
-                in_clean[s] += n
+        for s in _substrings(START + w) & count.keys():
+            in_clean[s] += n
     likely = sorted((s for s, n in count.items() if n >= RATIO / 2 * share * in_clean[s]), key=lambda s: (-count[s], -len(s), s))[:1000]
-    whole = sorted({max((x for x in likely if s in x and count[x] >= 0.9 * count[s]), key=lambda x: (len(x), x)) for s in likely})
+    whole = sorted({max((x for x in likely if s in x and count[x] >= 0.75 * count[s]), key=lambda x: (len(x), x)) for s in likely})
     low_toxic, low_clean = [_marked(t) for t in toxic], [_marked(t) for t in clean]
     where: dict[str, np.ndarray] = {}
     odds: dict[str, float] = {}
@@ -312,9 +316,10 @@ class Model:
         self.root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         rng = np.random.default_rng(0)
         # Toxic texts are learned from once more in each way of putting characters into landmarks.
-        gapped = [[self._gapped(t, rng, way) for t in toxic] for way in range(3)]
-        m.learn({w for t in [*toxic, *clean, *sum(gapped, [])] for w in _words(t)})
-        worst = [f for t in toxic for f in m.sentences(t) if f.max() > 0.95] + [f for texts in gapped for t in texts for f in m.sentences(t) if f.max() > 0.5]
+        turns = [(t, (k + turn) % 3) for turn in range(3) for k, t in enumerate(toxic)][:GAPPED]
+        gapped = [(self._gapped(t, rng, way), way) for t, way in turns]
+        m.learn({w for t in [*toxic, *clean, *[t for t, _ in gapped]] for w in _words(t)})
+        worst = [f for t in toxic for f in m.sentences(t) if f.max() > 0.95] + [f for t, _ in gapped for f in m.sentences(t) if f.max() > 0.5]
         other = [np.zeros(len(self.landmarks))] + [f for t in clean for f in m.sentences(t)]
         x = np.array(worst + other) @ self.root
         y = np.r_[np.ones(len(worst)), -np.ones(len(other))]
@@ -324,12 +329,13 @@ class Model:
         self.margins: dict[str, float] = {}
         self.length = 0.0
         # The worst sentence of each toxic text is learned from as a text of its own, with less weight.
-        texts = [*toxic, *gapped[2], *[self._worst(t) for t in toxic], *clean]
+        all_gaps = [t for t, way in gapped if way == 2]
+        texts = [*toxic, *all_gaps, *[self._worst(t) for t in toxic], *clean]
         evidence = np.array([self._evidence(t) for t in texts])
         shown = evidence[:, 2] > 0
         self.length = float(evidence[shown, 2].mean()) if shown.any() else 0.0
         evidence[shown, 2] -= self.length
-        self.sigmoid = _sigmoid_fit(evidence, np.r_[np.ones(len(texts) - len(clean)), -np.ones(len(clean))], np.repeat([1, SENTENCE_WEIGHT, 1], [2 * len(toxic), len(toxic), len(clean)]))
+        self.sigmoid = _sigmoid_fit(evidence, np.r_[np.ones(len(texts) - len(clean)), -np.ones(len(clean))], np.repeat([1, SENTENCE_WEIGHT, 1], [len(toxic) + len(all_gaps), len(toxic), len(clean)]))
         self.matcher, self.margins = None, {}
 
     def _gapped(self, text: str, rng, way: int) -> str:
@@ -359,11 +365,11 @@ class Model:
     def _evidence(self, text: str | None) -> tuple[float, float, float]:
         """Margin of the worst sentence, and logarithms of two sums: the cubes of different words' margins, each times the log odds of its landmark, and all words beside their usual number."""
         m, bias = self.ready(), float(self.w[-1])
-        found = m.sentences(text)
+        words = _words(text) if text else []
+        found = m.sentences(text, words)
         if not found:
             return bias, 0.0, 0.0
         best = max(bias, float((np.array(found) @ self.root @ self.w[:-1]).max() + bias))
-        words = _words(text)
         hit = 0.0
         for w in set(words):
             if (f := m.memo[w]) is not None:

@@ -53,16 +53,19 @@ def test_script_checksum(spark, text):
 
 
 def test_stored_checksum(spark):
-    rows = [("3272252829", -1022714467), ("878567270", 878567270), (None, None), ("-1022714467", -1022714467), ("878567270.0", 878567270), ("x", None)]
+    high, low = next(c for c in (zlib.crc32(bytes([k])) for k in range(256)) if c >= 1 << 31), next(c for c in (zlib.crc32(bytes([k])) for k in range(256)) if c < 1 << 31)
+    rows = [(str(high), signed(high)), (str(low), low), (None, None), (str(signed(high)), signed(high)), (f"{low}.0", low), ("x", None)]
     df = spark.createDataFrame(rows, "raw string, want int")
     assert df.where(~checksums.stored_checksum(F.col("raw")).eqNullSafe(F.col("want"))).collect() == []
 
 
 NAMES = [
-    ("V1.2.3__create_users_table.sql", "SQL", "1.2.3", "create_users_table", [], "SQL"),
-    ("R__refresh_materialized_views.sql", "REPEATABLE", None, "refresh_materialized_views", [], "REPEATABLE"),
-    ("U1.2.3__drop_users_table.sql", "UNDO_SQL", "1.2.3", "drop_users_table", [], "UNDO_SQL"),
-    ("V2.0.0__add_billing[billing,feature].sql", "SQL", "2.0.0", "add_billing", ["billing", "feature"], "SQL"),
+    ("V4.07__add_boats.sql", "SQL", "4.07", "add_boats", [], "SQL"),
+    ("R__all_harbours.sql", "REPEATABLE", None, "all_harbours", [], "REPEATABLE"),
+    ("U4.07__take_boats_away.sql", "UNDO_SQL", "4.07", "take_boats_away", [], "UNDO_SQL"),
+    ("V5__tides[north, south].sql", "SQL", "5", "tides", ["north", "south"], "SQL"),
+    ("V1__a[x][y].sql", "SQL", "1", "a[y]", ["x"], "SQL"),
+    ("V1__a[x]b[x].sql", "SQL", "1", "ab", ["x"], "SQL"),
     ("VA__x.sql", "SQL", "A", "x", [], "UNKNOWN"),
     ("V1_0_0__x.py", "SQL", "1.0.0", "x", [], "SQL"),
     ("V__.sql", "SQL", None, "", [], "UNKNOWN"),
@@ -110,3 +113,22 @@ def test_types(spark):
     rows = [("INT", "INTEGER"), ("INT4", "INTEGER"), ("VARCHAR2(100)", "VARCHAR"), ("NUMBER(10,0)", "INTEGER"), ("DECIMAL(10,2)", "NUMERIC"), ("geometry", "GEOMETRY")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert df.where(types.canonical_type(F.col("t")) != F.col("want")).collect() == []
+
+
+def test_version_order_is_that_of_keys(spark):
+    texts = ["", "0", "1", "1.0", "1.0.1", "01", "1a", "1A", "1b", "A", "b", "10", "1.10", "1.9", "100000", "1.100000", "0.0.1", "x.0", "1..2", " 1 ", "é", "12345678901234567890.1"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    keys, orders = ([f(F.col(c)) for c in "ab"] for f in (versions.version_key, versions.version_order))
+    assert df.where(((keys[0] < keys[1]) != (orders[0] < orders[1])) | ((keys[0] == keys[1]) != (orders[0] == orders[1]))).count() == 0
+
+
+def test_canonical_types(spark):
+    rows = [("INT", "INTEGER"), ("VARCHAR2(100)", "VARCHAR"), ("NUMBER(10,0)", "INTEGER"), ("NUMBER(10)", "INTEGER"), ("NUMBER(19)", "NUMERIC"), ("NUMERIC(18, 0)", "NUMERIC"), ("TINYINT", "SMALLINT"), ("DECIMAL(10,2)", "NUMERIC"), ("odd thing", "ODD THING"), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert df.where(~types.canonical_type(F.col("t")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_quotes(spark):
+    rows = [("plain", False), ("1abc", False), ("", False), ("a b", True), ("Select", True), ("a$", True)]
+    df = spark.createDataFrame(rows, "n string, want boolean")
+    assert df.where(types.needs_quotes(F.col("n")) != F.col("want")).collect() == []

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, history
+from tidemark.operators import graph, history, state
 from tidemark.sources import tables
 from tidemark.streaming.journal import read_journal, running_times
 
@@ -41,6 +41,72 @@ def test_current(spark):
     assert history.current_version(h.limit(0)).count() == 0
 
 
+def shown(spark, some, names):
+    """States of history rows (rank, version, type, success, script, checksum) with script files of these names."""
+    h = spark.createDataFrame([("d", r, v, t, ok, s, c, "x", "me", 1) for r, v, t, ok, s, c in some], "db string, installed_rank long, version string, type string, success boolean, script string, checksum int, description string, installed_by string, execution_time int")
+    s = spark.createDataFrame([("d", k, n, "select 1") for k, n in enumerate(names)], "db string, script_id long, name string, content string")
+    return h, s, {r.installed_rank: r.state for r in state.history_states(h, s).collect()}
+
+
+def test_states(spark):
+    some = [
+        (1, "1", "SQL", True, "V1__a.sql", 1), (2, "3", "SQL", True, "V3__a.sql", 1), (3, "2", "SQL", True, "V2__a.sql", 1),
+        (4, "1", "UNDO_SQL", True, "U1__a.sql", 1), (5, "4", "SQL", True, "V4__a.sql", 1), (6, "4", "UNDO_SQL", True, "U4__a.sql", 1), (7, "4", "SQL", True, "V4__a.sql", 1),
+        (8, None, "REPEATABLE", True, "R__v.sql", 5), (9, None, "REPEATABLE", True, "R__v.sql", 5), (10, None, "REPEATABLE", True, "R__w.sql", 5), (11, None, "REPEATABLE", True, "R__w.sql", 6),
+        (12, "9", "SQL", False, "V9__gone.sql", 1), (13, "0.5", "SQL", False, "V0.5__gone.sql", 1), (14, "9", "OTHER", True, "X9__gone.sql", 1), (15, "3.5", "SQL", True, "V3.5__gone.sql", 1),
+        (16, "1", "DELETE", True, "V1__a.sql", 1), (17, "7", "BASELINE", True, "B7__b.sql", 1), (18, "8", "SQL", None, "V8__a.sql", 1), (19, "8", "SQL", False, "V8__a.sql", 1),
+    ]
+    _, _, got = shown(spark, some, ["V1__a.sql", "V2__a.sql", "V3__a.sql", "V4__a.sql", "V8__a.sql", "R__v.sql", "R__w.sql"])
+    assert got == {
+        1: "Undone", 2: "Success", 3: "Out of Order", 4: "Success", 5: "Success", 6: "Success", 7: "Success", 8: "Success", 9: "Success", 10: "Outdated", 11: "Success",
+        12: "Failed (Future)", 13: "Failed (Missing)", 14: "Future", 15: "Missing", 16: "Deleted", 17: "Baseline", 18: "Needs repair", 19: "Failed",
+    }
+
+
+def test_info_and_older_info(spark):
+    """Applied, undone, applied, undone, applied: the older report calls each run before an undo undone, the newer none."""
+    some = [(k, "1", "UNDO_SQL" if k % 2 == 0 else "SQL", True, "V1__a.sql", 1) for k in range(1, 6)]
+    h, s, _ = shown(spark, some, ["V1__a.sql", "V2_0__b.sql", "U1__x.sql", "R__z.sql"])
+    newer = {r.installed_rank: (r.state, r.undoable) for r in state.info(h, s).where("installed_rank IS NOT NULL").collect()}
+    older = {r.installed_rank: r.state for r in state.info(h, s, need_undone=False).where("installed_rank IS NOT NULL").collect()}
+    assert newer == {k: ("Success", True) for k in range(1, 6)}
+    assert older == {1: "Undone", 2: "Success", 3: "Undone", 4: "Success", 5: "Success"}
+    assert [(r.script, r.version, r.place) for r in state.info(h, s).where("place IS NOT NULL").orderBy("place").collect()] == [("V2_0__b.sql", "2.0", 1), ("R__z.sql", "", 2)]
+
+
+def test_blocks_of_ranks(spark, monkeypatch):
+    """Order questions give the same however small the blocks are that a history is dealt out in."""
+    h = rows(spark, *[(k, f"{k * 7919 % 101}.{k % 3}", "SQL", True) for k in range(1, 200) if k % 7])
+    want = [sorted(map(tuple, f(h).collect())) for f in (history.out_of_order_adjacent, history.out_of_order_scripts, history.out_of_order_global)]
+    monkeypatch.setattr(history, "BLOCK", 4)
+    assert [sorted(map(tuple, f(h).collect())) for f in (history.out_of_order_adjacent, history.out_of_order_scripts, history.out_of_order_global)] == want
+    assert all(want)
+
+
+def test_numbers_and_closure(spark):
+    df = spark.createDataFrame([(k * 37 % 101, "x") for k in range(101)], "k long, t string")
+    assert [(r.k, r.place) for r in tables.numbered(df, "k").orderBy("place").collect()] == [(k, k + 1) for k in range(101)]
+    edges = [(f"n{k}", f"n{k + 1}") for k in range(20)] + [("n20", "n18"), ("n3", "n3")]
+    reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    for _ in range(25):
+        reach = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    assert {tuple(r) for r in graph.closure(frame).collect()} == {(a, b) for a, bs in reach.items() for b in bs}
+    assert {r.node for r in graph.in_cycles(frame).collect()} == {"n3", "n18", "n19", "n20"}
+
+
+def test_shared_folder(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://far:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_folder(Session)
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")], "src string, dst string")
     assert {r.node for r in graph.in_cycles(edges).collect()} == {"x", "y", "s"}

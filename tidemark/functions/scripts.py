@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Prefixes of callback scripts, and formats by extension.
@@ -15,6 +15,7 @@ SUPPORTED = ("SQL", "PYTHON")
 
 _TAGS = r"\[([^\]]*)\]"
 _ENDING = r"(?i)\.(" + "|".join(FORMATS) + ")$"
+# Fixed value: what comes between a V or U and the description.
 _NAMED = r"^{}([A-Za-z0-9]+(?:[._][A-Za-z0-9]+)*)__(.+)$"
 
 
@@ -37,16 +38,13 @@ def script_format(name: Column) -> Column:
     return out
 
 
-def parsed_name(name: Column) -> Column:
-    """(kind, version, description) of a script name, tags left out.
+def _bare(name: Column) -> Column:
+    group = F.regexp_extract(name, _TAGS, 0)
+    return F.when(group == "", name).otherwise(F.replace(name, group, F.lit("")))
 
-    In this order: another extension than those of scripts is UNKNOWN; then callbacks, V and U
-    with a version, R, a V with nothing at all, and UNKNOWN.  In versions of digits alone an
-    underscore is a dot.
-    """
-    bare = F.regexp_replace(name, _TAGS, "")
-    stem = F.regexp_replace(bare, _ENDING, "")
-    kind = (
+
+def _kind(bare: Column, stem: Column) -> Column:
+    return (
         F.when(~bare.rlike(_ENDING), "UNKNOWN")
         .when(F.lower(stem).rlike("^(" + "|".join(c.lower() for c in CALLBACKS) + ")"), "CALLBACK")
         .when(stem.rlike(_NAMED.format("V")) | (stem == "V__"), "SQL")
@@ -54,11 +52,35 @@ def parsed_name(name: Column) -> Column:
         .when(stem.rlike("^R__."), "REPEATABLE")
         .otherwise("UNKNOWN")
     )
+
+
+def _version(kind: Column, stem: Column) -> Column:
     raw = F.nullif(F.regexp_extract(stem, _NAMED.format("[VU]"), 1), F.lit(""))
-    versioned = kind.isin("SQL", "UNDO_SQL")
-    version = F.when(versioned, F.when(raw.rlike("^[0-9_.]+$"), F.replace(raw, F.lit("_"), F.lit("."))).otherwise(raw))
-    description = F.when(versioned, F.regexp_extract(stem, _NAMED.format("[VU]"), 2)).when(kind == "REPEATABLE", F.regexp_extract(stem, "^R__(.*)$", 1)).otherwise(stem)
-    return F.struct(kind.alias("kind"), version.alias("version"), description.alias("description"))
+    return F.when(kind.isin("SQL", "UNDO_SQL"), F.when(raw.rlike("^[0-9_.]+$"), F.replace(raw, F.lit("_"), F.lit("."))).otherwise(raw))
+
+
+def _description(kind: Column, stem: Column) -> Column:
+    return F.when(kind.isin("SQL", "UNDO_SQL"), F.regexp_extract(stem, _NAMED.format("[VU]"), 2)).when(kind == "REPEATABLE", F.regexp_extract(stem, "^R__(.*)$", 1)).otherwise(stem)
+
+
+def parsed_name(name: Column) -> Column:
+    """(kind, version, description) of a script name, the first bracket group (its tags) left out.
+
+    In this order: another extension than those of scripts is UNKNOWN; then callbacks, V and U
+    with a version, R, a V with nothing at all, and UNKNOWN.  In versions of digits alone an
+    underscore is a dot.
+    """
+    bare = _bare(name)
+    stem = F.regexp_replace(bare, _ENDING, "")
+    kind = _kind(bare, stem)
+    return F.struct(kind.alias("kind"), _version(kind, stem).alias("version"), _description(kind, stem).alias("description"))
+
+
+def with_parsed_names(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``named_kind, version, description`` as :func:`parsed_name` has them, each part computed once."""
+    rows = rows.withColumn("_bare", _bare(F.col(name))).withColumn("_stem", F.regexp_replace("_bare", _ENDING, ""))
+    rows = rows.withColumn("named_kind", _kind(F.col("_bare"), F.col("_stem")))
+    return rows.withColumns({"version": _version(F.col("named_kind"), F.col("_stem")), "description": _description(F.col("named_kind"), F.col("_stem"))}).drop("_bare", "_stem")
 
 
 def quick_kind(name: Column) -> Column:
@@ -77,3 +99,13 @@ def quick_kind(name: Column) -> Column:
 def is_callback_for(name: Column, event: str) -> Column:
     """Scripts whose name starts with an event; ``beforeEach`` takes in ``beforeEachMigrate``."""
     return F.lower(base_name(name)).startswith(event.lower())
+
+
+def filter_list(text: Column) -> Column:
+    """Items of a list given as text: parted by commas, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+
+
+def filter_items(items: Column, trimmed: bool) -> Column:
+    """Items of a list given as such: as they are, or trimmed and without empty ones."""
+    return F.filter(F.transform(items, lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "") if trimmed else items

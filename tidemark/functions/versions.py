@@ -34,6 +34,22 @@ def version_key(version: Column) -> Column:
     return F.slice(parts, 1, F.size(parts) - F.coalesce(F.nullif(F.array_position(filled, True), F.lit(0)), F.size(parts) + 1).cast("int") + 1)
 
 
+def version_order(version: Column) -> Column:
+    """A text that sorts as :func:`version_key` does: one comparison of bytes in place of nested arrays.
+
+    Each part is its kind, the number of its digits, the digits and the letters, and ends with
+    a zero byte.  Null for a null version.
+    """
+
+    def part(x: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(x, "^([0-9]+)[A-Za-z]*$", 1), "^0+", "")
+        numbered = F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits, F.lower(F.regexp_extract(x, "^[0-9]+([A-Za-z]*)$", 1)))
+        return F.concat(F.when((x == "") | x.rlike("^[0-9]+[A-Za-z]*$"), numbered).otherwise(F.concat(F.lit("10000"), F.lower(x))), F.lit("\0"))
+
+    joined = F.array_join(F.transform(F.split(stripped(version), "[._]"), part), "")
+    return F.regexp_replace(joined, r"(?<=^|\x00)(?:00000\x00)+$", "")
+
+
 def or_empty(version: Column) -> Column:
     """A null version counts as empty when it is compared."""
     return F.coalesce(version, F.lit(""))
@@ -41,13 +57,15 @@ def or_empty(version: Column) -> Column:
 
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1; null counts as the empty version."""
-    x, y = version_key(or_empty(a)), version_key(or_empty(b))
+    x, y = version_order(or_empty(a)), version_order(or_empty(b))
     return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def numeric_parts(version: Column) -> Column:
-    """The parts as integers; whatever isn't a number counts as 0."""
-    return F.transform(F.split(version, "[._]"), lambda x: F.when(x.rlike("^[0-9]+$"), x).otherwise("0").cast(NUMBER))
+    """The parts as integers, without zeros at the end; whatever isn't a number counts as 0."""
+    parts = F.transform(F.split(version, "[._]"), lambda x: F.when(x.rlike("^[0-9]+$"), x).otherwise("0").cast(NUMBER))
+    filled = F.transform(F.reverse(parts), lambda x: x != 0)
+    return F.slice(parts, 1, F.size(parts) - F.coalesce(F.nullif(F.array_position(filled, True), F.lit(0)), F.size(parts) + 1).cast("int") + 1)
 
 
 def product_at_least(version: Column, least: Column) -> Column:

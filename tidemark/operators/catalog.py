@@ -91,6 +91,16 @@ def constraint_problems(rows: DataFrame) -> DataFrame:
     return several.unionByName(names).unionByName(trivial).unionByName(same)
 
 
+def referenced_columns(foreign_keys: DataFrame, keys: DataFrame) -> DataFrame:
+    """The column that each column of a foreign key points to: ``tab, name, pos, col, ref_tab, ref_col``.
+
+    ``foreign_keys (tab, name, pos, col, ref_tab)`` meet the key columns ``keys (tab, pos, col)``
+    of the table they point to by place; those without a counterpart aren't returned.
+    """
+    targets = keys.select(F.col("tab").alias("ref_tab"), "pos", F.col("col").alias("ref_col")).distinct()
+    return foreign_keys.join(targets, ["ref_tab", "pos"]).select("tab", "name", "pos", "col", "ref_tab", "ref_col")
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """For each column, how many rows are null: a check before NOT NULL."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

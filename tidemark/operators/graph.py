@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import stored
+from tidemark.sources.tables import numbered, stored
 
 
 def table_references(statements: DataFrame) -> DataFrame:
@@ -29,23 +31,39 @@ def degrees(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) where src needs dst directly or through others, itself too if it is in a cycle.
 
-    Paths double in length each round, so there are as many rounds as the logarithm of the
-    longest path; each cuts its lineage.
+    A round joins the pairs that the last one found, behind and before, with what is known, so
+    paths double in length and no old pairs meet again; each round writes its new pairs only.
     """
-    reach = stored(edges.select("src", "dst").distinct())
-    size = reach.count()
-    while True:
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = stored(reach.unionByName(longer).distinct())
-        now = reach.count()
-        if now == size:
-            return reach
-        size = now
+    new = stored(edges.select("src", "dst").distinct())
+    known = [new]
+    while not new.isEmpty():
+        reach = reduce(DataFrame.unionByName, known)
+        fresh = new.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        longer = fresh.join(reach, F.col("b") == F.col("src")).select(F.col("a").alias("src"), "dst").unionByName(fresh.join(reach, F.col("a") == F.col("dst")).select("src", F.col("b").alias("dst")))
+        new = stored(longer.distinct().join(reach, ["src", "dst"], "left_anti"))
+        known.append(new)
+    return reduce(DataFrame.unionByName, known)
+
+
+def cyclic_part(edges: DataFrame) -> DataFrame:
+    """Edges without those that end or begin outside of all cycles, as far as a few rounds take them off.
+
+    An edge from a node that nothing needs, or to one that needs nothing, is in no cycle.  It
+    stops once a round takes off less than a tenth: long chains are left to the closure.
+    """
+    rest = stored(edges.select("src", "dst").distinct())
+    size = rest.count()
+    while size:
+        rest = stored(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, size = size, rest.count()
+        if size > 0.9 * before:
+            break
+    return rest
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:
     """Nodes that need themselves."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
+    return closure(cyclic_part(edges)).where("src = dst").select(F.col("src").alias("node"))
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
@@ -71,13 +89,7 @@ def depths(edges: DataFrame) -> DataFrame:
 
 def creation_order(edges: DataFrame) -> DataFrame:
     """A place for each settled node such that what it needs comes first: by depth, then by name."""
-    from pyspark.sql.window import Window
-
-    rows = depths(edges)
-    per = rows.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
-    base = per.select("depth", (F.sum("n").over(Window.orderBy("depth")) - F.col("n")).alias("base"))  # a row for each depth
-    place = F.row_number().over(Window.partitionBy("depth").orderBy("node"))
-    return rows.join(base, "depth").select("node", "depth", (F.col("base") + place).alias("place"))
+    return numbered(depths(edges), "depth", "node").select("node", "depth", "place")
 
 
 #: The order in which kinds of objects are created.
@@ -86,11 +98,11 @@ KIND_ORDER = ("sequence", "table", "index", "view", "procedure", "trigger")
 
 def canonical_order(objects: DataFrame) -> DataFrame:
     """Objects by kind, lower-case schema (public if none) and lower-case name."""
-    from pyspark.sql.window import Window
-
     priority = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")), F.lit(99)).cast("int")
-    rows = objects.withColumn("_priority", priority).withColumn("_schema", F.lower(F.coalesce("schema_name", F.lit("public"))))
-    return rows.select("object_id", "kind", F.row_number().over(Window.partitionBy("kind").orderBy("_schema", F.lower("name"), "object_id")).cast("long").alias("place"), F.col("_priority").cast("long").alias("priority"))
+    rows = objects.select("object_id", "kind", priority.cast("long").alias("priority"), F.lower(F.coalesce("schema_name", F.lit("public"))).alias("_schema"), F.lower("name").alias("_name"))
+    placed = stored(numbered(rows, "kind", "_schema", "_name", "object_id", name="_number").drop("_schema", "_name"))
+    first = placed.groupBy("kind").agg(F.min("_number").alias("_first"))
+    return placed.join(first, "kind").select("object_id", "kind", (F.col("_number") - F.col("_first") + 1).alias("place"), "priority")
 
 
 def object_edges(objects: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.versions import numeric_parts, or_empty, version_key
+from tidemark.functions.versions import numeric_parts, or_empty, version_order
 
 #: Types of scripts that carry a version of their own.
 VERSIONED = ("SQL", "PYTHON")
@@ -46,7 +46,7 @@ def _ok() -> Column:
 def current_version(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """The highest version among successful SQL, PYTHON and BASELINE rows; of equal ones the first applied."""
     rows = history.where(_ok() & _is(*VERSIONED, "BASELINE") & (or_empty(F.col("version")) != ""))
-    return rows.groupBy(*by).agg(F.max_by("version", F.struct(version_key(F.col("version")), -F.col("installed_rank"))).alias("current_version"))
+    return rows.groupBy(*by).agg(F.max_by("version", F.struct(version_order(F.col("version")), -F.col("installed_rank"))).alias("current_version"))
 
 
 def current_and_baseline(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -54,7 +54,7 @@ def current_and_baseline(history: DataFrame, by: Sequence[str] = BY) -> DataFram
     ok = history.where(_ok() & (or_empty(F.col("version")) != ""))
     rank = F.col("installed_rank")
     return ok.groupBy(*by).agg(
-        F.max_by(only(_is(*VERSIONED), F.col("version")), only(_is(*VERSIONED), F.struct(version_key(F.col("version")), -rank))).alias("current_version"),
+        F.max_by(only(_is(*VERSIONED), F.col("version")), only(_is(*VERSIONED), F.struct(version_order(F.col("version")), -rank))).alias("current_version"),
         F.max_by(only(_is("BASELINE"), F.col("version")), only(_is("BASELINE"), rank)).alias("baseline_version"),
     )
 
@@ -64,31 +64,50 @@ def first_baseline(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return history.where(_is("BASELINE")).groupBy(*by).agg(F.min_by("version", "installed_rank").alias("baseline_version"))
 
 
+#: Ranks of one history that are looked at in one task where their order is the question.
+BLOCK = 1 << 16
+
+
+def before(rows: DataFrame, value: Column, highest: bool, by: Sequence[str] = BY) -> DataFrame:
+    """``rows`` with ``_before``: the value of the row before by rank, or the highest of all rows before.
+
+    A history is dealt out in blocks of ranks.  What a block needs from those before it is
+    one value, found among one row for each block, so no history is sorted in one task.
+    """
+    rows = rows.withColumns({"_value": value, "_block": F.floor(F.col("installed_rank") / BLOCK)})
+    last = F.max("_value") if highest else F.max_by("_value", "installed_rank")
+    across = Window.partitionBy(*by).orderBy("_block")
+    carried = F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1)) if highest else F.lag("_last").over(across)
+    ends = rows.groupBy(*by, "_block").agg(last.alias("_last")).select(*by, "_block", carried.alias("_carried"))
+    within = Window.partitionBy(*by, "_block").orderBy("installed_rank")
+    own = F.max("_value").over(within.rowsBetween(Window.unboundedPreceding, -1)) if highest else F.lag("_value").over(within)
+    found = rows.withColumn("_own", own).join(ends, [*by, "_block"])
+    both = F.greatest("_own", "_carried") if highest else F.coalesce("_own", "_carried")
+    return found.withColumn("_before", F.coalesce(both, "_own", "_carried")).drop("_own", "_carried", "_block")
+
+
 def out_of_order_adjacent(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Versioned rows whose numeric parts are below those of the versioned row before them."""
-    order = Window.partitionBy(*by).orderBy("installed_rank")
-    rows = history.where(_is(*VERSIONED) & (or_empty(F.col("version")) != "")).withColumn("_parts", numeric_parts(F.col("version")))
-    return rows.withColumn("_before", F.lag("_parts").over(order)).where("_parts < _before").select(*by, "installed_rank", "version", "script")
+    rows = history.where(_is(*VERSIONED) & (or_empty(F.col("version")) != ""))
+    return before(rows, numeric_parts(F.col("version")), False, by).where("_value < _before").select(*by, "installed_rank", "version", "script")
 
 
 def out_of_order_scripts(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """The same by version keys, among successful rows."""
-    order = Window.partitionBy(*by).orderBy("installed_rank")
-    rows = history.where(_ok() & _is(*VERSIONED) & (or_empty(F.col("version")) != "")).withColumn("_key", version_key(F.col("version")))
-    return rows.withColumn("_before", F.lag("_key").over(order)).where("_key < _before").select(*by, "installed_rank", "script")
+    rows = history.where(_ok() & _is(*VERSIONED) & (or_empty(F.col("version")) != ""))
+    return before(rows, version_order(F.col("version")), False, by).where("_value < _before").select(*by, "installed_rank", "script")
 
 
 def out_of_order_global(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Successful versioned rows applied after a higher version."""
-    before = Window.partitionBy(*by).orderBy("installed_rank").rowsBetween(Window.unboundedPreceding, -1)
-    rows = history.where(_ok() & _is(*VERSIONED) & (or_empty(F.col("version")) != "")).withColumn("_key", version_key(F.col("version")))
-    return rows.withColumn("_highest", F.max("_key").over(before)).where("_highest > _key").select(*by, "installed_rank", "version")
+    rows = history.where(_ok() & _is(*VERSIONED) & (or_empty(F.col("version")) != ""))
+    return before(rows, version_order(F.col("version")), True, by).where("_before > _value").select(*by, "installed_rank", "version")
 
 
 def highest_applied(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """The highest successfully applied SQL or PYTHON version."""
     rows = history.where(_ok() & _is(*VERSIONED) & (or_empty(F.col("version")) != ""))
-    return rows.groupBy(*by).agg(F.max_by("version", F.struct(version_key(F.col("version")), -F.col("installed_rank"))).alias("highest"))
+    return rows.groupBy(*by).agg(F.max_by("version", F.struct(version_order(F.col("version")), -F.col("installed_rank"))).alias("highest"))
 
 
 def undone_versions(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -166,13 +185,13 @@ def can_be_undone(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def next_to_undo(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """The highest version that can be undone."""
-    return can_be_undone(history, by).where("undoable").groupBy(*by).agg(F.max_by("version", F.struct(version_key(F.col("version")), "version")).alias("version"))
+    return can_be_undone(history, by).where("undoable").groupBy(*by).agg(F.max_by("version", F.struct(version_order(F.col("version")), "version")).alias("version"))
 
 
 def undo_down_to(history: DataFrame, target: str, by: Sequence[str] = BY) -> DataFrame:
     """Rows to undo, newest first, back to the first row at or below the target (which stops the walk)."""
     back = Window.partitionBy(*by).orderBy(F.desc("installed_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = history.where(_ok() & _is("SQL") & (or_empty(F.col("version")) != "")).withColumn("_below", (version_key(F.col("version")) <= version_key(F.lit(target))).cast("int"))
+    rows = history.where(_ok() & _is("SQL") & (or_empty(F.col("version")) != "")).withColumn("_below", (version_order(F.col("version")) <= version_order(F.lit(target))).cast("int"))
     return rows.withColumn("_stop", F.max("_below").over(back)).where("_stop = 0").select(*by, "installed_rank", "version", "script")
 
 
@@ -184,12 +203,21 @@ def applied_without_undone(history: DataFrame, by: Sequence[str] = BY) -> DataFr
     return kept.unionByName(ok.where(~_is(*VERSIONED)).select(*by, "installed_rank", "type", "script"))
 
 
+def _deleted_type(description: Column) -> Column:
+    return F.regexp_extract(description, r"^\[DELETE:([A-Z_]+)\]", 1)
+
+
+def category(kind: Column, description: Column) -> Column:
+    """What a row is listed under; a deleted script under the type in its description."""
+    shown = F.when((kind == "DELETE") & (F.coalesce(_deleted_type(description), F.lit("")) != ""), _deleted_type(description)).otherwise(kind)
+    return F.when(shown.isin(*VERSIONED), "Versioned").when(shown == "REPEATABLE", "Repeatable").when(shown == "UNDO_SQL", "Undo").when(shown == "BASELINE", "Baseline").otherwise("Deleted")
+
+
 def labelled(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Category and type of each row; deleted scripts show the type in their description."""
-    deleted = F.regexp_extract("description", r"^\[DELETE:([A-Z_]+)\]", 1)
+    deleted = _deleted_type(F.col("description"))
     shown = F.when(_is("DELETE") & (deleted != ""), deleted).otherwise(F.col("type"))
-    category = F.when(shown.isin(*VERSIONED), "Versioned").when(shown == "REPEATABLE", "Repeatable").when(shown == "UNDO_SQL", "Undo").when(shown == "BASELINE", "Baseline").otherwise("Deleted")
-    return history.select(*by, "installed_rank", category.alias("category"), shown.alias("shown_type"), clean_description(F.col("description")).alias("description"))
+    return history.select(*by, "installed_rank", category(F.col("type"), F.col("description")).alias("category"), shown.alias("shown_type"), clean_description(F.col("description")).alias("description"))
 
 
 def clean_description(description: Column) -> Column:

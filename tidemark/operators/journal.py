@@ -17,6 +17,26 @@ ERRORS = (
     (r"(?i)authentication\s+fail", "AUTHENTICATION"),
     (r"(?i)permission\s+denied", "AUTHORIZATION"),
 )
+DIALECT_ERRORS = {
+    "postgresql": (
+        (r"(?i)SQLSTATE\s*08\w{3}", "NETWORK"), (r"(?i)SQLSTATE\s*57P01", "NETWORK"), (r"(?i)SQLSTATE\s*40\w{3}", "LOCKING"), (r"(?i)SQLSTATE\s*23\w{3}", "CONSTRAINT"), (r"(?i)SQLSTATE\s*42\w{3}", "SQL_SYNTAX"),
+        (r"(?i)SQLSTATE\s*28\w{3}", "AUTHENTICATION"), (r"(?i)SQLSTATE\s*3D\w{3}", "SCHEMA"), (r"(?i)SQLSTATE\s*3F\w{3}", "SCHEMA"), (r"(?i)SQLSTATE\s*53\w{3}", "RESOURCE"), (r"(?i)SQLSTATE\s*57\w{3}", "INTERNAL"),
+    ),
+    "mysql": (
+        (r"(?i)\b2003\b.*Can't connect", "NETWORK"), (r"(?i)\b2013\b.*Lost connection", "NETWORK"), (r"(?i)\b2006\b.*server has gone away", "NETWORK"), (r"(?i)\b2002\b.*Can't connect", "NETWORK"),
+        (r"(?i)\b1205\b.*Lock wait timeout", "LOCKING"), (r"(?i)\b1213\b.*Deadlock", "LOCKING"), (r"(?i)\b1045\b.*Access denied", "AUTHENTICATION"), (r"(?i)\b1146\b.*doesn't exist", "SCHEMA"),
+        (r"(?i)\b1054\b.*Unknown column", "SCHEMA"), (r"(?i)\b1062\b.*Duplicate entry", "CONSTRAINT"), (r"(?i)\b1452\b.*foreign key constraint", "CONSTRAINT"), (r"(?i)\b1064\b.*syntax", "SQL_SYNTAX"),
+    ),
+    "oracle": tuple(
+        (rf"(?i)ORA-{code}", category)
+        for category, codes in (("NETWORK", "17800 17002 12541 12514"), ("TIMEOUT", "12170"), ("NETWORK", "12571 03113 03114"), ("LOCKING", "00060 00054"), ("AUTHENTICATION", "01017"), ("AUTHORIZATION", "01031"), ("AUTHENTICATION", "01045"), ("SCHEMA", "00942 00904"), ("CONSTRAINT", "00001 02291 02292"), ("SQL_SYNTAX", "00900 00933"), ("RESOURCE", "04031 01653"))
+        for code in codes.split()
+    ),
+    "db2": (
+        (r"(?i)errorcode=-4499", "NETWORK"), (r"(?i)sqlstate=08\w{3}", "NETWORK"), (r"(?i)disconnectnontransientconnectionexception", "NETWORK"), (r"(?i)disconnectexception", "NETWORK"), (r"(?i)communication\s+error", "NETWORK"),
+        (r"(?i)sql0911n", "LOCKING"), (r"(?i)sqlstate=40001", "LOCKING"), (r"(?i)sqlstate=28000", "AUTHENTICATION"), (r"(?i)sqlstate=42\w{3}", "SQL_SYNTAX"), (r"(?i)sqlstate=23\w{3}", "CONSTRAINT"), (r"(?i)sqlstate=57\w{3}", "RESOURCE"),
+    ),
+}
 RETRYABLE = ("NETWORK", "TIMEOUT", "LOCKING")
 
 
@@ -49,10 +69,12 @@ def outcome_counts(journal: DataFrame) -> DataFrame:
     return journal.groupBy("success").agg(F.count(F.lit(1)).alias("n"))
 
 
-def error_category(message: Column) -> Column:
+def error_category(message: Column, dialect: str | None = None, exception: Column | None = None) -> Column:
+    """Category of the first pattern that fits a message, or the name of its exception; those of the dialect come first."""
+    text = message if exception is None else F.concat(message, F.lit(" "), F.coalesce(exception, F.lit("")))
     out = F.lit("UNKNOWN")
-    for pattern, category in reversed(ERRORS):
-        out = F.when(message.rlike(pattern), category).otherwise(out)
+    for pattern, category in reversed((*DIALECT_ERRORS.get(dialect or "", ()), *ERRORS)):
+        out = F.when(text.rlike(pattern), category).otherwise(out)
     return out
 
 

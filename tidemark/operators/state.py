@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.checksums import script_checksum
-from tidemark.functions.scripts import base_name, parsed_name, quick_kind, tags
-from tidemark.functions.versions import or_empty, version_key
+from tidemark.functions.scripts import base_name, quick_kind, tags, with_parsed_names
+from tidemark.functions.versions import or_empty, version_order
+
+from .history import BY, VERSIONED, category, clean_description, current_version, effectively_undone, first_baseline, highest_applied, out_of_order_adjacent, reapplied_after_first_undo, repeatable_checksums, undone_versions
 
-from .history import BY, VERSIONED, current_version, effectively_undone, first_baseline, reapplied_after_last_undo, repeatable_checksums
 
 def _ok() -> Column:
     return F.col("success") == F.lit(True)
@@ -23,14 +24,17 @@ def _ok() -> Column:
 
 def resolved_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Scripts with what their names say (``kind`` by the quick rule), their tags and checksum."""
-    named = scripts.withColumns({"_parsed": parsed_name(base_name(F.col("name"))), "tags": tags(F.col("name")), "kind": quick_kind(base_name(F.col("name")))})
-    return named.select(*by, "script_id", "name", "kind", F.col("_parsed.kind").alias("named_kind"), F.col("_parsed.version").alias("version"), F.col("_parsed.description").alias("description"), "tags", script_checksum(F.col("content")).alias("file_checksum"))
+    named = with_parsed_names(scripts.withColumn("_name", base_name(F.col("name"))), "_name")
+    out = named.select(*by, "script_id", "name", quick_kind(F.col("_name")).alias("kind"), "named_kind", "version", "description", tags(F.col("name")).alias("tags"), script_checksum(F.col("content")).alias("file_checksum"), F.rand().alias("_any"))
+    # Filters stay above a column that isn't deterministic; pushed further down, each would hold the text of all these
+    # expressions once more, too much for generated code.
+    return out.where("_any < 2").drop("_any")
 
 
 def ordered_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Place of each script in its group: versioned ones by version, others by name."""
     group = F.when(F.col("kind").isin(*VERSIONED), "versioned").otherwise(F.lower("kind"))
-    order = Window.partitionBy(*by, "group").orderBy(F.when(F.col("group") == "versioned", version_key(or_empty(F.col("version")))), F.lower("name"), "script_id")
+    order = Window.partitionBy(*by, "group").orderBy(F.when(F.col("group") == "versioned", version_order(or_empty(F.col("version")))), F.lower("name"), "script_id")
     rows = resolved_scripts(scripts, by).withColumn("group", group)
     return rows.select(*by, "script_id", "group", F.row_number().over(order).cast("long").alias("place"))
 
@@ -46,7 +50,7 @@ def filtered_scripts(scripts: DataFrame, target: str | None = None, tag_list: Se
     given = lambda some: F.array(*[F.lit(t.strip().lower() if fold_case else t) for t in some])
     keep = F.lit(True)
     if target is not None:
-        keep &= F.col("version").isNull() | (version_key(or_empty(F.col("version"))) <= version_key(F.lit(target)))
+        keep &= F.col("version").isNull() | (version_order(or_empty(F.col("version"))) <= version_order(F.lit(target)))
     if versions:
         keep &= F.coalesce(F.col("version").isin(*versions), F.lit(False))
     if without_versions:
@@ -72,6 +76,7 @@ def pending(history: DataFrame, scripts: DataFrame, target: str | None = None, b
     names = ran.select(*by, F.col("script").alias("name")).distinct().withColumn("_by_name", F.lit(True))
     undone = effectively_undone(history, by).select(*by, "version").withColumn("_undone", F.lit(True))
     limits = current_version(history, by).join(first_baseline(history, by), list(by), "full")
+    limits = limits.select(*by, F.greatest(*[version_order(F.col(c)) for c in ("current_version", "baseline_version")]).alias("_limit"))
     versioned = (
         rows.where(F.col("kind").isin(*VERSIONED) & F.col("version").isNotNull())
         .join(versions, [*by, "version"], "left")
@@ -79,9 +84,8 @@ def pending(history: DataFrame, scripts: DataFrame, target: str | None = None, b
         .join(undone, [*by, "version"], "left")
         .join(limits, list(by), "left")
     )
-    key = version_key(F.col("version"))
     has_run = F.coalesce("_by_version", "_by_name", F.lit(False))
-    below = F.greatest(*[F.coalesce(key <= version_key(F.col(c)), F.lit(False)) for c in ("current_version", "baseline_version")])
+    below = F.coalesce(version_order(F.col("version")) <= F.col("_limit"), F.lit(False))
     reason = F.when(F.coalesce("_undone", F.lit(False)), "undone").when(has_run, None).when(below, "below").otherwise("new")
     stored = repeatable_checksums(history, True, by).withColumnRenamed("script", "name").withColumn("_seen", F.lit(True))
     repeatable = rows.where("kind = 'REPEATABLE'").join(stored, [*by, "name"], "left").withColumn("reason", F.when(F.col("_seen").isNull(), "new").when(F.col("checksum") != F.col("file_checksum"), "changed"))
@@ -89,42 +93,58 @@ def pending(history: DataFrame, scripts: DataFrame, target: str | None = None, b
     return versioned.withColumn("reason", reason).select(*columns).unionByName(repeatable.select(*columns)).where("reason IS NOT NULL")
 
 
-def history_states(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """How each history row is shown. The first that holds of: deleted, baseline, failed, undo, undone, out of order, outdated, missing, success, needs repair."""
-    rank = F.col("installed_rank")
-    undone = effectively_undone(history, by).select(*by, "version").withColumn("_undone", F.lit(True))
-    latest = history.where(_ok() & (F.col("type") == "REPEATABLE")).groupBy(*by, "script").agg(F.max("installed_rank").alias("_latest"))
+def _with_state(history: DataFrame, scripts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """History rows with ``state`` and ``resolved`` (there is a file of that name)."""
+    again = reapplied_after_first_undo(history, by).withColumn("_again", F.lit(True))
+    undone = undone_versions(history, by).where("version <> ''").join(again, [*by, "version"], "left").withColumn("_undone", F.when(F.col("_again"), "Success").otherwise("Undone")).drop("_again")
+    late = out_of_order_adjacent(history, by).select(*by, "version").distinct().withColumn("_late", F.lit(True))
+    latest = repeatable_checksums(history, False, by).withColumnRenamed("checksum", "_latest")
     files = scripts.select(*by, base_name(F.col("name")).alias("script")).distinct().withColumn("_file", F.lit(True))
-    before = Window.partitionBy(*by).orderBy("installed_rank").rowsBetween(Window.unboundedPreceding, -1)
-    own = _ok() & F.col("type").isin(*VERSIONED)
-    rows = history.withColumn("_highest", F.max(F.when(own, version_key(F.col("version")))).over(before)).join(undone, [*by, "version"], "left").join(latest, [*by, "script"], "left").join(files, [*by, "script"], "left")
+    top = highest_applied(history, by).withColumn("_highest", version_order(F.col("highest"))).drop("highest")
+    rows = history.join(undone, [*by, "version"], "left").join(late, [*by, "version"], "left").join(files, [*by, "script"], "left")
+    rows = rows.join(latest, [*by, "script"], "left").join(top, list(by), "left")
+    future = F.coalesce((or_empty(F.col("version")) != "") & (version_order(F.col("version")) > F.col("_highest")), F.lit(False))
     missing = F.col("_file").isNull()
+    # A checksum of 0 is unknown; a latest one that is null differs from any.
+    outdated = (F.col("type") == "REPEATABLE") & (F.coalesce("checksum", F.lit(0)) != 0) & ~F.coalesce(F.col("_latest") == F.col("checksum"), F.lit(False))
     state = (
         F.when(F.col("type") == "DELETE", "Deleted")
         .when(F.col("type") == "BASELINE", "Baseline")
-        .when(F.col("success") == F.lit(False), F.when(missing, "Failed (Missing)").otherwise("Failed"))
-        .when((F.col("type") == "UNDO_SQL") & _ok(), "Undo")
-        .when(own & F.coalesce("_undone", F.lit(False)), "Undone")
-        .when(own & F.coalesce(F.col("_highest") > version_key(F.col("version")), F.lit(False)), "Out of Order")
-        .when(_ok() & (F.col("type") == "REPEATABLE") & (rank < F.col("_latest")), "Outdated")
-        .when(_ok() & missing, "Missing")
+        .when(F.col("success") == F.lit(False), F.when(missing & future, "Failed (Future)").when(missing, "Failed (Missing)").otherwise("Failed"))
+        .when(_ok() & (F.col("type") == "UNDO_SQL"), "Success")
+        .when(_ok() & F.col("_undone").isNotNull(), F.col("_undone"))
+        .when(_ok() & F.coalesce("_late", F.lit(False)), "Out of Order")
+        .when(_ok() & outdated, "Outdated")
+        .when(_ok() & missing, F.when(future, "Future").otherwise("Missing"))
         .when(_ok(), "Success")
         .when(F.col("success").isNull(), "Needs repair")
         .otherwise("Unknown")
     )
-    return rows.select(*by, "installed_rank", "version", "type", "script", state.alias("state"))
+    return rows.select(*history.columns, state.alias("state"), (~missing).alias("resolved"))
+
+
+def history_states(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """How each history row is shown.
+
+    Deleted, baseline, and failed rows (of a missing script "Missing", or "Future" above the
+    highest applied version) come first.  Of successful rows an undo is a success, and so is
+    a version that was undone and applied again; then the first that holds of: undone, out of
+    order, outdated (the latest run of a repeatable had another checksum), missing or future,
+    success.  Rows that are neither need repair.
+    """
+    return _with_state(history, scripts, by).select(*by, "installed_rank", "version", "type", "script", "state")
 
 
 def pending_states(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY) -> DataFrame:
     """How pending scripts and undo scripts are shown."""
     rows = resolved_scripts(scripts, by).where(F.col("kind").isin(*VERSIONED, "REPEATABLE", "UNDO_SQL"))
     undo = rows.where("kind = 'UNDO_SQL'").select(*by, "version").distinct().withColumn("_undo", F.lit(True))
-    key = version_key(or_empty(F.col("version")))
+    key = version_order(or_empty(F.col("version")))
     state = (
         F.when(F.col("kind") == "REPEATABLE", "Pending")
         .when(F.col("kind") == "UNDO_SQL", "Available")
-        .when(F.coalesce(key <= version_key(F.col("baseline_version")), F.lit(False)), "Below Baseline")
-        .when(F.lit(target is not None) & (key > version_key(F.lit(target or ""))), "Above Target")
+        .when(F.coalesce(key <= version_order(F.col("baseline_version")), F.lit(False)), "Below Baseline")
+        .when(F.lit(target is not None) & (key > version_order(F.lit(target or ""))), "Above Target")
         .when(F.col("_undo").isNotNull(), "Available")
         .otherwise("Pending")
     )
@@ -156,13 +176,56 @@ def still_pending(plan: DataFrame, history: DataFrame, by: Sequence[str] = BY) -
     return plan.join(done, [*by, "version", "type"], "left_anti")
 
 
+#: Columns of the unified listing, after those that tell histories apart.
+LISTED = ("category", "version", "description", "type", "state", "execution_time", "script", "checksum", "installed_by", "installed_rank", "success", "resolved", "source")
+
+
+def _shown_version(version: Column) -> Column:
+    return F.replace(or_empty(version), F.lit("_"), F.lit("."))
+
+
 def listing(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY) -> DataFrame:
-    """The status report: history rows with their states, then pending scripts; superseded repeatables are hidden."""
-    rows = history_states(history, scripts, by).where("state <> 'Outdated'")
-    shown = rows.select(*by, "installed_rank", "version", "type", "script", "state", F.lit("history").alias("source"))
-    new = pending(history, scripts, target, by).where("reason <> 'below'")
-    new = new.select(*by, F.lit(None).cast("long").alias("installed_rank"), "version", F.col("kind").alias("type"), F.col("name").alias("script"), F.lit("Pending").alias("state"), F.lit("pending").alias("source"))
-    return shown.unionByName(new)
+    """All history rows with their states, then all pending scripts with theirs."""
+    rows = _with_state(history, scripts, by)
+    labels = category(F.col("type"), F.col("description"))
+    shown = rows.select(*by, labels.alias("category"), _shown_version(F.col("version")).alias("version"), clean_description(F.col("description")).alias("description"), "type", "state", "execution_time", "script", "checksum", "installed_by", F.col("installed_rank"), "success", "resolved", F.lit("applied").alias("source"))
+    new = pending(history, scripts, target, by).where("reason <> 'below'").select(*by, "script_id")
+    files = resolved_scripts(scripts, by).join(new, [*by, "script_id"], "left_semi").join(pending_states(history, scripts, target, by).select(*by, "script_id", "state"), [*by, "script_id"])
+    null = lambda kind: F.lit(None).cast(kind)
+    waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), "state", null("int").alias("execution_time"), F.col("name").alias("script"), F.col("file_checksum").cast("int").alias("checksum"), null("string").alias("installed_by"), null("long").alias("installed_rank"), null("boolean").alias("success"), F.lit(True).alias("resolved"), F.lit("pending").alias("source"))
+    return shown.unionByName(waiting)
+
+
+def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY, need_undone: bool = True) -> DataFrame:
+    """The status report: history rows, then pending scripts.
+
+    Earlier runs of a repeatable with another checksum than its last success are hidden.  A
+    successful version is undone if an undo of it succeeded later and (with ``need_undone``)
+    no success of it came after that.  Pending scripts come in ``place``: versioned ones by
+    version as text, then others by name.
+    """
+    latest = repeatable_checksums(history, True, by).withColumnRenamed("checksum", "_latest").withColumn("_known", F.lit("REPEATABLE"))
+    last_undo = history.where(_ok() & (F.col("type") == "UNDO_SQL") & F.col("version").isNotNull()).groupBy(*by, "version").agg(F.max("installed_rank").alias("_undo"))
+    gone = effectively_undone(history, by).select(*by, "version").withColumn("_gone", F.lit(True))
+    undo = resolved_scripts(scripts, by).where("named_kind = 'UNDO_SQL' AND version IS NOT NULL").select(*by, "version").distinct().withColumn("_file", F.lit(True))
+    rows = history.join(latest, [*by, "script"], "left").join(last_undo, [*by, "version"], "left").join(gone, [*by, "version"], "left").join(undo, [*by, "version"], "left")
+    hidden = (F.col("type") == "REPEATABLE") & F.col("_known").isNotNull() & (F.coalesce("checksum", F.lit(0)) != 0) & ~F.coalesce(F.col("checksum") == F.col("_latest"), F.lit(False))
+    undone = F.col("type").isin(*VERSIONED) & F.coalesce(F.col("_undo") > F.col("installed_rank"), F.lit(False))
+    if need_undone:
+        undone &= F.col("_gone").isNotNull()
+    state = (
+        F.when(F.col("type").isin("DELETE", "MISSING"), "Deleted")
+        .when(_ok(), F.when(F.col("type") == "BASELINE", "Baseline").when(undone, "Undone").otherwise("Success"))
+        .when(F.col("success") == F.lit(False), "Failed")
+        .otherwise("Unknown")
+    )
+    undoable = F.col("_file").isNotNull().alias("undoable")
+    shown = rows.where(~hidden).select(*by, category(F.col("type"), F.col("description")).alias("category"), _shown_version(F.col("version")).alias("version"), clean_description(F.col("description")).alias("description"), "type", state.alias("state"), undoable, "script", F.coalesce("execution_time", F.lit(0)).alias("execution_time"), "installed_rank", "checksum", F.lit(None).cast("long").alias("place"))
+    new = pending(history, scripts, target, by).where("reason <> 'below'").select(*by, "script_id")
+    files = resolved_scripts(scripts, by).join(new, [*by, "script_id"], "left_semi").join(undo, [*by, "version"], "left")
+    order = Window.partitionBy(*by).orderBy((~F.col("kind").isin(*VERSIONED)).cast("int"), or_empty(F.col("version")), "name", "script_id")
+    waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), F.lit("Pending").alias("state"), undoable, F.col("name").alias("script"), F.lit(0).alias("execution_time"), F.lit(None).cast("long").alias("installed_rank"), F.lit(None).cast("int").alias("checksum"), F.row_number().over(order).cast("long").alias("place"))
+    return shown.unionByName(waiting)
 
 
 def snapshot(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -262,12 +325,10 @@ def repair_plan(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY)
 
 def strict_violations(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Applied scripts without a file, and new scripts strictly below the highest applied version."""
-    from .history import highest_applied
-
     missing = applied_without_file(history, scripts, by).select(*by, "script", F.lit("missing").alias("rule")).distinct()
     ran = history.where(F.col("type").isin(*VERSIONED)).select(*by, "version").distinct()
     new = resolved_scripts(scripts, by).where(F.col("kind").isin(*VERSIONED) & F.col("version").isNotNull()).join(ran, [*by, "version"], "left_anti").join(highest_applied(history, by), list(by))
-    late = new.where(version_key(F.col("version")) < version_key(F.col("highest"))).select(*by, F.col("name").alias("script"), F.lit("below_highest").alias("rule"))
+    late = new.where(version_order(F.col("version")) < version_order(F.col("highest"))).select(*by, F.col("name").alias("script"), F.lit("below_highest").alias("rule"))
     return missing.unionByName(late)
 
 
@@ -329,5 +390,5 @@ def marked_as_executed(history: DataFrame, scripts: DataFrame, by: Sequence[str]
     """Rows to append for pending versioned scripts that are recorded without being run, ranked by version."""
     new = pending(history, scripts, by=by).where("kind <> 'REPEATABLE' AND reason <> 'below'")
     top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
-    order = Window.partitionBy(*by).orderBy(version_key(F.col("version")), "name", "script_id")
+    order = Window.partitionBy(*by).orderBy(version_order(F.col("version")), "name", "script_id")
     return new.join(top, list(by), "left").select(*by, (F.coalesce("_top", F.lit(0)) + F.row_number().over(order)).alias("installed_rank"), "version", F.col("kind").alias("type"), F.col("name").alias("script"))

@@ -41,7 +41,7 @@ FROM (SELECT *, nullif(regexp_extract(stem, '^[VU]{_NAMED}', 1), '') AS raw,
      WHEN stem = 'V__' OR regexp_matches(stem, '^V{_NAMED}') THEN 'SQL' WHEN regexp_matches(stem, '^U{_NAMED}') THEN 'UNDO_SQL' WHEN regexp_matches(stem, '^R__.') THEN 'REPEATABLE' ELSE 'UNKNOWN' END AS named_kind,
    CASE WHEN regexp_matches(lower(name), '^({_CALLBACK})') THEN 'CALLBACK' WHEN regexp_matches(lower(name), '^v[0-9]') THEN 'SQL' WHEN regexp_matches(lower(name), '^u[0-9]') THEN 'UNDO_SQL'
      WHEN regexp_matches(lower(name), '^b[0-9]') THEN 'BASELINE' WHEN lower(name) LIKE 'r\\_\\_%' ESCAPE '\\' THEN 'REPEATABLE' ELSE 'UNKNOWN' END AS kind
-  FROM (SELECT *, regexp_replace(bare, '{_ENDING}', '') AS stem FROM (SELECT *, regexp_replace(name, '\\[([^\\]]*)\\]', '', 'g') AS bare FROM scripts)))
+  FROM (SELECT *, regexp_replace(bare, '{_ENDING}', '') AS stem FROM (SELECT *, CASE WHEN name LIKE '%[%]%' THEN replace(name, regexp_extract(name, '\\[.*?\\]'), '') ELSE name END AS bare FROM scripts)))
 """
 
 VIEWS = dict(SQL) | {
@@ -66,15 +66,21 @@ VIEWS = dict(SQL) | {
         UNION ALL
         SELECT r.db, script_id, name, kind, r.version, CASE WHEN p.script IS NULL THEN 'new' WHEN p.checksum <> r.file_checksum THEN 'changed' END
         FROM checked r LEFT JOIN repeatable p ON p.db = r.db AND p.script = r.name WHERE kind = 'REPEATABLE'""",
-    "states": f"""SELECT h.db, h.installed_rank, h.version, h.type, h.script,
-          CASE WHEN h.type = 'DELETE' THEN 'Deleted' WHEN h.type = 'BASELINE' THEN 'Baseline' WHEN NOT h.success THEN CASE WHEN f.script IS NULL THEN 'Failed (Missing)' ELSE 'Failed' END
-               WHEN h.type = 'UNDO_SQL' AND h.success THEN 'Undo' WHEN h.success AND h.type IN ('SQL', 'PYTHON') AND u.version IS NOT NULL THEN 'Undone'
-               WHEN h.success AND h.type IN ('SQL', 'PYTHON') AND coalesce(highest > k, false) THEN 'Out of Order' WHEN h.success AND h.type = 'REPEATABLE' AND h.installed_rank < latest THEN 'Outdated'
-               WHEN h.success AND f.script IS NULL THEN 'Missing' WHEN h.success THEN 'Success' WHEN h.success IS NULL THEN 'Needs repair' ELSE 'Unknown' END AS state
-        FROM (SELECT *, max(own) OVER (PARTITION BY db ORDER BY installed_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest
-              FROM (SELECT *, {key('version')} AS k, CASE WHEN success AND type IN ('SQL', 'PYTHON') THEN {key('version')} END AS own FROM history)) h
-        LEFT JOIN undone u ON u.db = h.db AND u.version = h.version LEFT JOIN (SELECT DISTINCT db, name AS script FROM scripts) f ON f.db = h.db AND f.script = h.script
-        LEFT JOIN (SELECT db, script, max(installed_rank) AS latest FROM history WHERE success AND type = 'REPEATABLE' GROUP BY db, script) l ON l.db = h.db AND l.script = h.script""",
+    # Whatever was undone once is shown as undone, or as a success if a versioned row came after the first undo and one succeeded.
+    "undone_once": """SELECT u.db, u.version, bool_or(coalesce(h.success, false)) AND max(h.installed_rank) > any_value(u.first) AS again
+        FROM (SELECT db, version, min(installed_rank) AS first FROM history WHERE type = 'UNDO_SQL' AND success AND version <> '' GROUP BY db, version) u
+        LEFT JOIN history h ON h.db = u.db AND h.version = u.version AND h.type IN ('SQL', 'PYTHON') GROUP BY u.db, u.version""",
+    "steps_back": f"""SELECT DISTINCT db, version FROM (SELECT db, version, {numbers('version')} AS own, lag({numbers('version')}) OVER (PARTITION BY db ORDER BY installed_rank) AS earlier
+        FROM history WHERE type IN ('SQL', 'PYTHON') AND version <> '') WHERE own < earlier""",
+    "highest_run": f"SELECT db, max({key('version')}) AS top FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND version <> '' GROUP BY db",
+    "shown": f"""SELECT h.*, EXISTS (SELECT 1 FROM scripts f WHERE f.db = h.db AND f.name = h.script) AS resolved, coalesce({key('h.version')} > t.top, false) AS above, o.again, b.version IS NOT NULL AS back,
+          h.type = 'REPEATABLE' AND coalesce(h.checksum, 0) <> 0 AND h.checksum IS DISTINCT FROM last_value(h.checksum) OVER (PARTITION BY h.db, h.script, h.type ORDER BY h.installed_rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS old
+        FROM history h LEFT JOIN highest_run t ON t.db = h.db LEFT JOIN undone_once o ON o.db = h.db AND o.version = h.version LEFT JOIN steps_back b ON b.db = h.db AND b.version = h.version""",
+    "states": """SELECT *, CASE WHEN type = 'DELETE' THEN 'Deleted' WHEN type = 'BASELINE' THEN 'Baseline' WHEN success IS NULL THEN 'Needs repair'
+          WHEN NOT success THEN 'Failed' || CASE WHEN resolved THEN '' WHEN above THEN ' (Future)' ELSE ' (Missing)' END
+          WHEN type = 'UNDO_SQL' OR again THEN 'Success' WHEN NOT again THEN 'Undone' WHEN back THEN 'Out of Order' WHEN old THEN 'Outdated' WHEN resolved THEN 'Success' WHEN above THEN 'Future' ELSE 'Missing' END AS state FROM shown""",
+    "labels": """SELECT *, CASE WHEN type = 'DELETE' AND regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) <> '' THEN regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) ELSE type END AS label,
+          trim(regexp_replace(description, '^\\[DELETE:[A-Z_]+\\]', '')) AS cleaned FROM states""",
     "rerun": """SELECT * FROM (SELECT c.db, c.script_id, c.name AS script, CASE WHEN s = false AND coalesce(k = file_checksum, false) THEN 'error' WHEN NOT coalesce(k = file_checksum, false) THEN 'modified' END AS verdict
         FROM checked c JOIN (SELECT db, script, max_by({'s': success}, installed_rank).s AS s, max_by({'k': checksum}, installed_rank).k AS k FROM history WHERE type = 'REPEATABLE' GROUP BY db, script) h ON h.db = c.db AND h.script = c.name
         WHERE c.kind = 'REPEATABLE') WHERE verdict IS NOT NULL""",
@@ -84,6 +90,44 @@ VIEWS = dict(SQL) | {
 }
 
 
+def category(label: str) -> str:
+    return f"CASE {label} WHEN 'SQL' THEN 'Versioned' WHEN 'PYTHON' THEN 'Versioned' WHEN 'REPEATABLE' THEN 'Repeatable' WHEN 'UNDO_SQL' THEN 'Undo' WHEN 'BASELINE' THEN 'Baseline' ELSE 'Deleted' END"
+
+
+# Type names of the fixture: family, spelling where no dialect says otherwise, and spellings of dialects.
+TYPES = (
+    ("VARCHAR2(30)", "VARCHAR", "VARCHAR2(30)", {"oracle": "VARCHAR(30)"}),
+    ("NUMBER(10,2)", "NUMERIC", "NUMBER(10,2)", {}),
+    ("NUMBER(10,0)", "INTEGER", "NUMBER(10,0)", {}),
+    ("TINYINT(1)", "SMALLINT", "TINYINT(1)", {"mysql": "BOOLEAN", "mariadb": "BOOLEAN"}),
+    ("int4", "INTEGER", "INT4", {"postgresql": "INTEGER"}),
+    ("timestamp(6)", "TIMESTAMP", "TIMESTAMP", {}),
+    ("DATETIME2(7)", "TIMESTAMP", "DATETIME", {}),
+    ("bool", "BOOLEAN", "BOOL", {"postgresql": "BOOLEAN", "mysql": "BOOLEAN", "mariadb": "BOOLEAN"}),
+    ("TEXT", "TEXT", "TEXT", {"sqlserver": "VARCHAR"}),
+    ("DOUBLE", "DOUBLE", "DOUBLE", {"postgresql": "DOUBLE PRECISION", "sqlite": "REAL"}),
+    ("bytea", "BLOB", "BYTEA", {}),
+    ("INT8", "BIGINT", "INT8", {"postgresql": "BIGINT"}),
+    ("CHAR(3)", "CHAR", "CHAR(3)", {}),
+    ("uuid", "UUID", "UUID", {}),
+    ("NUMERIC(18, 4)", "NUMERIC", "NUMERIC(18,4)", {}),
+    ("serial", "SERIAL", "SERIAL", {"postgresql": "INTEGER"}),
+    ("NUMBER(10)", "INTEGER", "NUMBER(10)", {}),
+    ("NUMERIC(18, 0)", "NUMERIC", "NUMERIC(18,0)", {}),
+    ("NUMERIC(18,0)", "INTEGER", "NUMERIC(18,0)", {}),
+    ("JSONB", "JSON", "JSONB", {}),
+    ("timestamptz", "TIMESTAMP", "TIMESTAMPTZ", {"postgresql": "TIMESTAMP WITH TIME ZONE"}),
+    ("MEDIUMINT", "INTEGER", "MEDIUMINT", {}),
+    ("UNIQUEIDENTIFIER", "UUID", "UNIQUEIDENTIFIER", {}),
+    ("NUMBER(20)", "NUMERIC", "NUMBER(20)", {}),
+)
+
+
+def type_case(value) -> str:
+    """A CASE over the fixture's type names, with ``value`` of each row of ``TYPES``."""
+    return "CASE type_name " + " ".join(f"WHEN '{row[0]}' THEN '{value(row)}'" for row in TYPES) + " END"
+
+
 def with_views(query: str) -> str:
     """``query`` with all relations that it needs, directly or through others, before it."""
     import re

@@ -23,11 +23,11 @@ SELECT db, installed_rank, CASE WHEN type = 'REPEATABLE' THEN NULL ELSE version
        CAST((event_id * 31) % 997 AS INT) AS execution_time, success
 FROM (
   SELECT event_id, user_id, CAST(user_id % 7 AS BIGINT) AS db, CAST(event_id + 1 AS BIGINT) AS installed_rank,
-         CAST(user_id % 40 AS STRING) || '.' || CAST(event_id % 5 AS STRING) AS version,
+         CASE WHEN event_id % 499 = 0 THEN '90.' ELSE CAST(user_id % 40 AS STRING) || '.' END || CAST(event_id % 5 AS STRING) AS version,
          CASE WHEN event_id % 997 = 0 THEN 'BASELINE' WHEN event_id % 101 = 0 THEN 'DELETE'
               WHEN event_type = 'error' THEN 'UNDO_SQL' WHEN event_type = 'signup' THEN 'REPEATABLE'
               WHEN event_type = 'click' THEN 'PYTHON' ELSE 'SQL' END AS type,
-         CASE WHEN event_id % 13 = 0 THEN false WHEN event_id % 29 = 0 THEN NULL ELSE true END AS success
+         CASE WHEN event_id % 13 = 0 OR event_id % 499 = 0 THEN false WHEN event_id % 29 = 0 THEN NULL ELSE true END AS success
   FROM events
 ) e
 """
@@ -35,7 +35,7 @@ FROM (
 SCRIPTS = """
 SELECT CAST(doc_id % 7 AS BIGINT) AS db, doc_id AS script_id, text AS content,
        CASE WHEN doc_id % 10 <= 4 THEN 'V' || v || '__step.sql'
-            WHEN doc_id % 10 = 5 THEN 'V' || v || '__step[' || lang || ', ' || source || '].sql'
+            WHEN doc_id % 10 = 5 THEN 'V' || v || '__step[' || lang || ', ' || source || CASE WHEN doc_id % 20 = 15 THEN '][x].sql' ELSE '].sql' END
             WHEN doc_id % 10 = 6 THEN 'U' || v || '__undo.sql'
             WHEN doc_id % 10 = 7 THEN 'R__view_' || CAST(doc_id % 25 AS STRING) || '.sql'
             WHEN doc_id % 10 = 8 THEN 'V' || v || 'b__step.py'
@@ -88,9 +88,10 @@ FROM orders
 
 TYPES = """
 SELECT p_partkey AS type_id, p_partkey % 8 AS d,
-  CASE p_partkey % 16 WHEN 0 THEN 'VARCHAR2(30)' WHEN 1 THEN 'NUMBER(10,2)' WHEN 2 THEN 'NUMBER(10,0)' WHEN 3 THEN 'TINYINT(1)' WHEN 4 THEN 'int4' WHEN 5 THEN 'timestamp(6)'
+  CASE p_partkey % 24 WHEN 0 THEN 'VARCHAR2(30)' WHEN 1 THEN 'NUMBER(10,2)' WHEN 2 THEN 'NUMBER(10,0)' WHEN 3 THEN 'TINYINT(1)' WHEN 4 THEN 'int4' WHEN 5 THEN 'timestamp(6)'
    WHEN 6 THEN 'DATETIME2(7)' WHEN 7 THEN 'bool' WHEN 8 THEN 'TEXT' WHEN 9 THEN 'DOUBLE' WHEN 10 THEN 'bytea' WHEN 11 THEN 'INT8' WHEN 12 THEN 'CHAR(3)' WHEN 13 THEN 'uuid'
-   WHEN 14 THEN 'NUMERIC(18, 4)' ELSE 'serial' END AS type_name
+   WHEN 14 THEN 'NUMERIC(18, 4)' WHEN 15 THEN 'serial' WHEN 16 THEN 'NUMBER(10)' WHEN 17 THEN 'NUMERIC(18, 0)' WHEN 18 THEN 'NUMERIC(18,0)' WHEN 19 THEN 'JSONB' WHEN 20 THEN 'timestamptz'
+   WHEN 21 THEN 'MEDIUMINT' WHEN 22 THEN 'UNIQUEIDENTIFIER' ELSE 'NUMBER(20)' END AS type_name
 FROM part
 """
 
@@ -114,8 +115,14 @@ SELECT 't' || CAST(o_custkey % 50 AS STRING) AS tab, CASE o_orderkey % 4 WHEN 0
 FROM orders
 """
 
-TABLES = {"history": "events", "scripts": "documents", "journal": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders"}
-SQL = {"history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS}
+#: Histories and script folders with gaps.
+FOREIGN_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 2 = 0"
+SPARSE_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 18 = 1"
+PARTIAL_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE db <> 4"
+FEW_SCRIPTS = f"SELECT * FROM ({SCRIPTS}) s WHERE db < 3"
+
+TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders"}
+SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

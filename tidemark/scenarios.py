@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import checksums, display, scripts, sqltext, textdiff, types, versions
 from .operators import catalog, graph, history, journal, state, undo
-from .oracle import crc, key, numbers, with_views
+from .oracle import category, crc, key, numbers, type_case, with_views
 from .plans import info
 from .relations import relation
-from .sources.tables import coerced_history
+from .sources.tables import coerced_history, queried
 
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -62,6 +62,7 @@ query("s3b_quick_kind", "scripts", lambda s: s.select("script_id", scripts.quick
 query("s4_tags", "scripts", lambda s: s.select("script_id", F.explode(scripts.tags(F.col("name"))).alias("tag")), "SELECT script_id, unnest(tags) AS tag FROM resolved")
 query("s5_formats", "scripts", lambda s: s.groupBy(scripts.script_format(F.col("name")).alias("format")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'sql' THEN 'SQL' WHEN 'py' THEN 'PYTHON' WHEN 'json' THEN 'JSON' ELSE 'UNKNOWN' END AS format, count(*) AS n FROM scripts GROUP BY 1")
 query("s7_callbacks", "scripts", lambda s: s.where(scripts.is_callback_for(F.col("name"), "beforeEach")).select("script_id", "name"), "SELECT script_id, name FROM scripts WHERE lower(name) LIKE 'beforeeach%'")
+query("s9_query", "history", lambda h: queried("SELECT type, success, count(*) AS n, max(installed_rank) AS last_rank FROM {history} GROUP BY type, success", history=h), "SELECT type, success, count(*) AS n, max(installed_rank) AS last_rank FROM history GROUP BY ALL")
 query("s8_history_scan", "history", lambda h: h.select("installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "execution_time", "success"), "SELECT installed_rank, version, description, type, script, checksum, installed_by, execution_time, success FROM history")
 
 # Checksums
@@ -93,11 +94,31 @@ query("h12_pending_states", "history scripts", lambda h, s: state.pending_states
 query("h13_failed_states", "history scripts", lambda h, s: state.history_states(h, s).where("state LIKE 'Failed%' OR state = 'Needs repair'").select("db", "installed_rank", "state"), "SELECT db, installed_rank, state FROM states WHERE state LIKE 'Failed%' OR state = 'Needs repair'")
 _SNAPSHOT = "SELECT s.db, c.current_version, s.applied, s.failed, s.undone, s.deleted, coalesce(p.n, 0) AS pending, coalesce(d.n, 0) AS drifted FROM (SELECT db, count(*) AS applied, count(*) FILTER (state LIKE 'Failed%' OR state = 'Needs repair') AS failed, count(*) FILTER (state = 'Undone') AS undone, count(*) FILTER (state = 'Deleted') AS deleted FROM states GROUP BY db) s LEFT JOIN current c ON c.db = s.db LEFT JOIN (SELECT db, count(*) AS n FROM pending WHERE reason IS NOT NULL AND reason <> 'below' GROUP BY db) p ON p.db = s.db LEFT JOIN (SELECT db, count(*) AS n FROM drifted GROUP BY db) d ON d.db = s.db"
 query("h14_snapshot", "history scripts", info.overview, _SNAPSHOT)
-_LISTING = "SELECT db, installed_rank, version, type, script, state, 'history' AS source FROM states WHERE state <> 'Outdated' UNION ALL SELECT db, NULL, version, kind, name, 'Pending', 'pending' FROM pending WHERE reason IS NOT NULL AND reason <> 'below'"
+_WAITING = "SELECT p.db, p.kind, p.version, p.name, p.script_id, c.description, c.file_checksum FROM pending p JOIN checked c ON c.db = p.db AND c.script_id = p.script_id WHERE reason IS NOT NULL AND reason <> 'below'"
+_LISTING = f"""SELECT db, {category('label')} AS category, replace(coalesce(version, ''), '_', '.') AS version, cleaned AS description, type, state, execution_time, script, checksum, installed_by, installed_rank, success, resolved, 'applied' AS source FROM labels
+    UNION ALL SELECT w.db, {category('w.kind')}, replace(coalesce(w.version, ''), '_', '.'), description, w.kind, CASE WHEN w.kind = 'REPEATABLE' THEN 'Pending' WHEN coalesce({key('w.version')} <= {key('b.baseline_version')}, false) THEN 'Below Baseline'
+      WHEN EXISTS (SELECT 1 FROM resolved u WHERE u.kind = 'UNDO_SQL' AND u.db = w.db AND u.version = w.version) THEN 'Available' ELSE 'Pending' END, NULL, name, CAST(file_checksum AS INT), NULL, NULL, NULL, true, 'pending'
+    FROM ({_WAITING}) w LEFT JOIN baseline b ON b.db = w.db"""
 query("h15_unified_listing", "history scripts", state.listing, _LISTING)
 query("h16_available_undos", "history scripts", state.available_undos, "SELECT r.db, script_id, name, r.version FROM resolved r JOIN undone u ON u.db = r.db AND u.version = r.version WHERE kind = 'UNDO_SQL'")
-query("h17_info", "history scripts", info.info, _LISTING)
-query("h18_info_by_state", "history scripts", lambda h, s: info.info(h, s).groupBy("db", "source", "state").agg(F.count(F.lit(1)).alias("n")), f"SELECT db, source, state, count(*) AS n FROM ({_LISTING}) GROUP BY ALL")
+_UNDOABLE = "EXISTS (SELECT 1 FROM resolved u WHERE u.named_kind = 'UNDO_SQL' AND u.db = {0}.db AND u.version = {0}.version)"
+
+
+def _info(undone: str) -> str:
+    """Rows of the report, given what besides a later undo makes a version undone."""
+    return f"""SELECT l.db, {category('label')} AS category, replace(coalesce(l.version, ''), '_', '.') AS version, cleaned AS description, type,
+      CASE WHEN type = 'DELETE' THEN 'Deleted' WHEN success IS NULL THEN 'Unknown' WHEN NOT success THEN 'Failed' WHEN type = 'BASELINE' THEN 'Baseline'
+        WHEN type IN ('SQL', 'PYTHON') AND {undone} AND EXISTS (SELECT 1 FROM history x WHERE x.db = l.db AND x.version = l.version AND x.type = 'UNDO_SQL' AND x.success AND x.installed_rank > l.installed_rank) THEN 'Undone' ELSE 'Success' END AS state,
+      {_UNDOABLE.format('l')} AS undoable, l.script, coalesce(execution_time, 0) AS execution_time, installed_rank, l.checksum, NULL AS place
+    FROM labels l LEFT JOIN repeatable r ON r.db = l.db AND r.script = l.script
+    WHERE NOT (type = 'REPEATABLE' AND r.script IS NOT NULL AND coalesce(l.checksum, 0) <> 0 AND l.checksum IS DISTINCT FROM r.checksum)
+    UNION ALL SELECT w.db, {category('w.kind')}, replace(coalesce(w.version, ''), '_', '.'), description, w.kind, 'Pending', {_UNDOABLE.format('w')}, name, 0, NULL, NULL,
+      row_number() OVER (PARTITION BY w.db ORDER BY w.kind NOT IN ('SQL', 'PYTHON'), coalesce(w.version, ''), name, script_id) FROM ({_WAITING}) w"""
+
+
+query("h17_info", "history scripts", info.info, _info("EXISTS (SELECT 1 FROM undone d WHERE d.db = l.db AND d.version = l.version)"))
+query("h18_older_info", "history scripts", info.older_info, _info("true"))
+query("h18_info_by_state", "history scripts", lambda h, s: info.older_info(h, s).groupBy("db", "category", "state").agg(F.count(F.lit(1)).alias("n")), f"SELECT db, category, state, count(*) AS n FROM ({_info('true')}) GROUP BY ALL")
 query("h19_repeated_runs", "history", history.unrepeated, "SELECT db, script, installed_rank, nth FROM (SELECT h.*, row_number() OVER (PARTITION BY h.db, h.script ORDER BY h.installed_rank) AS nth FROM history h JOIN ranks r ON r.db = h.db AND r.version = h.version WHERE h.success AND h.type IN ('SQL', 'PYTHON') AND r.last_ok > r.last_undo) WHERE nth > 1")
 query("h20_undoable", "history scripts", state.undoable, "SELECT h.db, h.version, u.version IS NOT NULL AS undoable FROM (SELECT DISTINCT db, version FROM history WHERE success AND type IN ('SQL', 'PYTHON')) h LEFT JOIN (SELECT DISTINCT db, version FROM resolved WHERE kind = 'UNDO_SQL') u ON u.db = h.db AND u.version = h.version")
 query("h21_labels", "history", history.labelled, "SELECT db, installed_rank, CASE WHEN t IN ('SQL', 'PYTHON') THEN 'Versioned' WHEN t = 'REPEATABLE' THEN 'Repeatable' WHEN t = 'UNDO_SQL' THEN 'Undo' WHEN t = 'BASELINE' THEN 'Baseline' ELSE 'Deleted' END AS category, t AS shown_type, trim(regexp_replace(description, '^\\[DELETE:[A-Z_]+\\]', '')) AS description FROM (SELECT *, CASE WHEN type = 'DELETE' AND regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) <> '' THEN regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) ELSE type END AS t FROM history)")
@@ -115,12 +136,13 @@ query("h28_applied_without_undone", "history", history.applied_without_undone, "
 query("f1_filtered_scripts", "scripts", lambda s: state.filtered_scripts(s, target="20.3", without_tags=["SRC1 "], without_versions=["4.0"]).select("db", "script_id"), f"SELECT db, script_id FROM resolved WHERE (version IS NULL OR {_KEY} <= {key("'20.3'")}) AND coalesce(version <> '4.0', true) AND NOT list_contains(list_transform(tags, lambda t: lower(t)), 'src1')")
 query("f1_tagged_scripts", "scripts", lambda s: state.filtered_scripts(s, tag_list=["EN", "src7"]).select("db", "script_id"), "SELECT db, script_id FROM resolved WHERE list_has_any(list_transform(tags, lambda t: lower(t)), ['en', 'src7'])")
 query("f2_tags_case_sensitive", "scripts", lambda s: state.filtered_scripts(s, tag_list=["EN", "src7"], fold_case=False).select("db", "script_id"), "SELECT db, script_id FROM resolved WHERE list_has_any(tags, ['EN', 'src7'])")
+query("f3_filter_lists", "scripts", lambda s: s.select("script_id", F.array_join(scripts.filter_list(F.concat(F.lit(" "), F.col("name"), F.lit(" , , x"), (F.col("script_id") % 3).cast("string"), F.lit(","))), "|").alias("listed"), F.array_join(scripts.filter_items(F.array(F.lit(" a "), F.col("name"), F.lit("")), True), "|").alias("trimmed"), F.array_join(scripts.filter_items(F.array(F.lit(" a "), F.col("name"), F.lit("")), False), "|").alias("kept")), "SELECT script_id, replace(replace(name, ', ', '|'), ',', '|') || '|x' || CAST(script_id % 3 AS VARCHAR) AS listed, 'a|' || name AS trimmed, ' a |' || name || '|' AS kept FROM scripts")
 query("f4_history_in_scope", "history", lambda h: h.where(versions.version_key(F.col("version")) <= versions.version_key(F.lit("10"))).select("db", "installed_rank"), f"SELECT db, installed_rank FROM history WHERE {_KEY} <= {key("'10'")}")
 query("f5_payload_without_nulls", "history", lambda h: h.select("installed_rank", F.to_json(F.struct("version", "checksum", "success")).alias("payload")), """SELECT installed_rank, '{' || array_to_string(list_filter([CASE WHEN version IS NOT NULL THEN '"version":"' || version || '"' END, CASE WHEN checksum IS NOT NULL THEN '"checksum":' || checksum::VARCHAR END, CASE WHEN success IS NOT NULL THEN '"success":' || success::VARCHAR END], lambda x: x IS NOT NULL), ',') || '}' AS payload FROM history""")
 
 # Joins
-_FOREIGN = "installed_rank % 2 = 0"
-query("j1_not_imported", "history", lambda h: state.not_imported(h.where(_FOREIGN), h.where(f"NOT ({_FOREIGN}) AND installed_rank % 9 = 1")).select("db", "installed_rank"), f"SELECT db, installed_rank FROM history f WHERE {_FOREIGN} AND NOT EXISTS (SELECT 1 FROM history h WHERE NOT (h.installed_rank % 2 = 0) AND h.installed_rank % 9 = 1 AND h.db = f.db AND h.version = f.version AND h.version <> '') AND NOT EXISTS (SELECT 1 FROM history h WHERE NOT (h.installed_rank % 2 = 0) AND h.installed_rank % 9 = 1 AND h.db = f.db AND h.script = f.script)")
+query("j1_not_imported", "foreign_history sparse_history", lambda f, h: state.not_imported(f, h).select("db", "installed_rank"), "SELECT db, installed_rank FROM foreign_history f WHERE NOT EXISTS (SELECT 1 FROM sparse_history h WHERE h.db = f.db AND h.version = f.version AND h.version <> '') AND NOT EXISTS (SELECT 1 FROM sparse_history h WHERE h.db = f.db AND h.script = f.script)")
+query("j10_referenced_columns", "constraints", lambda c: catalog.referenced_columns(c.where("type = 'FOREIGN KEY'").select("tab", "name", "pos", "col", F.concat(F.lit("t"), (F.substring("tab", 2, 9).cast("int") * 7 % 50).cast("string")).alias("ref_tab")).distinct(), c.where("type = 'PRIMARY KEY'")), "SELECT DISTINCT f.tab, f.name, f.pos, f.col, k.tab AS ref_tab, k.col AS ref_col FROM constraints f JOIN constraints k ON k.type = 'PRIMARY KEY' AND k.pos = f.pos AND k.tab = 't' || CAST(CAST(f.tab[2:] AS INT) * 7 % 50 AS VARCHAR) WHERE f.type = 'FOREIGN KEY'")
 query("j2_applied_without_file", "history scripts", state.applied_without_file, "SELECT db, installed_rank, script FROM without_file")
 query("j3_reappeared", "history scripts", state.reappeared, "SELECT h.db, h.script, min(h.installed_rank) AS deleted_at FROM history h JOIN (SELECT DISTINCT db, name FROM scripts) s ON s.db = h.db AND s.name = h.script WHERE h.type = 'DELETE' GROUP BY h.db, h.script")
 query("j4_duplicate_versions", "scripts", state.duplicate_versions, "SELECT db, version, first, name AS later, script_id FROM (SELECT *, first_value(name) OVER (PARTITION BY db, version ORDER BY script_id) AS first, row_number() OVER (PARTITION BY db, version ORDER BY script_id) AS n FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL) WHERE n > 1")
@@ -147,6 +169,14 @@ query("a9_assembled_constraints", "constraints", catalog.assembled_constraints,
 query("a10_run_statistics", "history", history.run_statistics, "SELECT db, count(*) AS total, count(*) FILTER (success OR type = 'BASELINE') AS successes, count(*) FILTER (NOT success AND type <> 'BASELINE') AS failures, count(*) FILTER (success IS NULL AND type <> 'BASELINE') AS unclear, count(*) FILTER (type = 'UNDO_SQL') AS undos, sum(execution_time)::BIGINT AS total_ms FROM history GROUP BY db")
 query("a11_outcome_counts", "journal", journal.outcome_counts, "SELECT success, count(*) AS n FROM journal GROUP BY success")
 query("a12_candidates_for_missing", "history", history.candidates_for_missing, "SELECT db, count(*) AS n FROM history h WHERE type NOT IN ('DELETE', 'BASELINE') AND NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = h.db AND d.script = h.script) GROUP BY db")
+_ERRORS = {
+    "postgresql": (("ERROR SQLSTATE 08006", "", "NETWORK"), ("SQLSTATE 57P01 shutdown", "", "NETWORK"), ("sqlstate 40P01 deadlock", "", "LOCKING"), ("SQLSTATE 42601 at or near", "", "SQL_SYNTAX"), ("SQLSTATE 57014", "", "INTERNAL"), ("permission denied", "", "AUTHORIZATION"), ("odd", "TimeoutError", "TIMEOUT")),
+    "oracle": (("ORA-12541: no listener", "", "NETWORK"), ("ORA-12170: connect timeout", "", "TIMEOUT"), ("ORA-00054: busy", "", "LOCKING"), ("ora-00942", "", "SCHEMA"), ("ORA-01653: unable to extend", "", "RESOURCE"), ("ORA-99999", "", "UNKNOWN"), ("broken  pipe", "", "NETWORK")),
+    "mysql": (("2006 MySQL server has gone away", "", "NETWORK"), ("1205 Lock wait timeout exceeded", "", "LOCKING"), ("Lock wait timeout exceeded", "", "TIMEOUT"), ("1062 Duplicate entry", "", "CONSTRAINT"), ("12062 Duplicate entry", "", "UNKNOWN"), ("1054 Unknown column", "", "SCHEMA"), ("1045 Access denied", "", "AUTHENTICATION")),
+    "db2": (("SQLSTATE=08001", "", "NETWORK"), ("lost", "DisconnectException", "NETWORK"), ("SQL0911N rolled back", "", "LOCKING"), ("sqlstate=23505", "", "CONSTRAINT"), ("sqlstate=57014", "", "RESOURCE"), ("x", "Y", "UNKNOWN"), ("Communication  error", "", "NETWORK")),
+}
+for _dialect, _cases in _ERRORS.items():
+    query(f"e1_errors_{_dialect}", "journal", lambda j, d=_dialect, c=_cases: j.withColumn("e", F.element_at(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(x).alias("x")) for m, x, _ in c]), F.pmod(F.col("migration_id") + F.col("statement_index"), F.lit(7)).cast("int") + 1)).groupBy("e.m", journal.error_category(F.col("e.m"), d, F.col("e.x")).alias("category")).agg(F.count(F.lit(1)).alias("n")), f"SELECT m, category, count(*) AS n FROM (SELECT {[m for m, _, _ in _cases]}[(migration_id + statement_index) % 7 + 1] AS m, {[c for _, _, c in _cases]}[(migration_id + statement_index) % 7 + 1] AS category FROM journal) GROUP BY ALL")
 query("e1_error_categories", "journal", lambda j: j.withColumn("m", F.element_at(F.array(*[F.lit(x) for x in ("Connection timed out", "DEADLOCK found", "permission denied for t", "Statement timeout", "syntax error", "Broken  pipe")]), (F.col("statement_index") % 6 + 1).cast("int"))).groupBy(journal.error_category(F.col("m")).alias("category"), journal.retryable(journal.error_category(F.col("m")), F.col("execution_time") % 5).alias("again")).agg(F.count(F.lit(1)).alias("n")), "SELECT category, category IN ('NETWORK', 'TIMEOUT', 'LOCKING') AND execution_time % 5 < 3 AS again, count(*) AS n FROM (SELECT *, ['NETWORK', 'LOCKING', 'AUTHORIZATION', 'TIMEOUT', 'UNKNOWN', 'NETWORK'][statement_index % 6 + 1] AS category FROM journal) GROUP BY ALL")
 
 # SQL text
@@ -178,18 +208,14 @@ query("d10_without_comments", "statements", lambda s: s.select("stmt_id", sqltex
 _BASE, _ARGS = "trim(upper(regexp_replace(type_name, '\\s*\\(.*$', '')))", "replace(regexp_extract(type_name, '(\\(.*\\))\\s*$', 1), ' ', '')"
 
 
-def _cases(table: dict[str, str], value: str) -> str:
-    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {value} END"
-
-
-_FAMILY = f"CASE WHEN {_BASE} IN ('NUMBER', 'NUMERIC', 'DECIMAL') AND regexp_matches(type_name, '\\(\\s*(\\d|1[0-8])\\s*,\\s*0\\s*\\)') THEN 'INTEGER' ELSE {_cases(types.FAMILY, _BASE)} END"
-for _dialect in ("postgresql", "oracle", "mysql"):
-    query(f"n1_normalised_types_{_dialect}", "types", lambda t, d=_dialect: t.select("type_id", types.normalised_type(F.col("type_name"), d).alias("type_name")), f"SELECT type_id, CASE WHEN b = 'TINYINT' AND a = '(1)' AND {str(_dialect == 'mysql').lower()} THEN 'BOOLEAN' WHEN n IN ('TIMESTAMP', 'TIME', 'DATETIME', 'DATE') THEN n ELSE n || a END AS type_name FROM (SELECT type_id, {_BASE} AS b, {_ARGS} AS a, CASE WHEN {_BASE} IN ('DATETIME2', 'SMALLDATETIME') THEN 'DATETIME' ELSE {_cases(types.ALIASES.get(_dialect, {'': ''}), _BASE)} END AS n FROM types)")
+_FAMILY = type_case(lambda row: row[1])
+for _dialect in ("postgresql", "oracle", "mysql", "mariadb", "sqlserver", "db2", "sqlite"):
+    query(f"n1_normalised_types_{_dialect}", "types", lambda t, d=_dialect: t.select("type_id", types.normalised_type(F.col("type_name"), d).alias("type_name")), f"SELECT type_id, {type_case(lambda row, d=_dialect: row[3].get(d, row[2]))} AS type_name FROM types")
+    query("n6_preferred_types" + f"_{_dialect}" * (_dialect != "oracle"), "types", lambda t, d=_dialect: t.select("type_id", types.preferred_type(F.col("type_name"), d).alias("preferred")), f"SELECT type_id, CASE f WHEN 'INTEGER' THEN '{dict(oracle='NUMBER', mysql='INT', mariadb='INT', sqlserver='INT').get(_dialect, 'INTEGER')}' WHEN 'VARCHAR' THEN '{dict(oracle='VARCHAR2', sqlite='TEXT').get(_dialect, 'VARCHAR')}' WHEN 'TIMESTAMP' THEN '{dict(mysql='DATETIME', mariadb='DATETIME', sqlserver='DATETIME2', sqlite='DATETIME').get(_dialect, 'TIMESTAMP')}' ELSE f END AS preferred FROM (SELECT type_id, {_FAMILY} AS f FROM types)")
+query("n3_versioned_types", "types", lambda t: t.withColumn("v", F.concat((F.col("d") + 5).cast("string"), F.lit(".6"))).select("type_id", types.canonical_type(F.col("type_name"), "postgresql", F.col("v")).alias("family")), f"SELECT type_id, CASE type_name WHEN 'serial' THEN 'INTEGER' ELSE {_FAMILY} END AS family FROM types")
 query("n2_type_parameters", "types", lambda t: t.withColumn("p", types.type_parameters(F.col("type_name"))).select("type_id", types.type_base(F.col("type_name")).alias("base"), "p.*"), f"SELECT type_id, {_BASE} AS base, TRY_CAST(regexp_extract(type_name, '\\(\\s*(\\d+)\\s*(?:,\\s*(\\d+)\\s*)?\\)', 1) AS BIGINT) AS precision, TRY_CAST(regexp_extract(type_name, '\\(\\s*(\\d+)\\s*(?:,\\s*(\\d+)\\s*)?\\)', 2) AS BIGINT) AS scale FROM types")
 query("n3_canonical_types", "types", lambda t: t.select("type_id", types.canonical_type(F.col("type_name")).alias("family")), f"SELECT type_id, {_FAMILY} AS family FROM types")
 query("n5_same_family", "types", lambda t: t.select("type_id", (types.canonical_type(F.col("type_name")) == types.canonical_type(F.lit("NUMERIC(18,0)"))).alias("same")), f"SELECT type_id, {_FAMILY} = 'INTEGER' AS same FROM types")
-query("n6_preferred_types", "types", lambda t: t.select("type_id", types.preferred_type(F.col("type_name"), "oracle").alias("preferred")), f"SELECT type_id, CASE f WHEN 'INTEGER' THEN 'NUMBER' WHEN 'VARCHAR' THEN 'VARCHAR2' ELSE f END AS preferred FROM (SELECT type_id, {_FAMILY} AS f FROM types)")
-
 
 def _identifier():
     return F.when(F.col("object_id") % 3 == 0, F.concat(F.lit('"'), "name", F.lit('"'))).when(F.col("object_id") % 3 == 1, F.concat(F.lit("Sales."), "name")).otherwise(F.col("name"))
@@ -198,7 +224,7 @@ def _identifier():
 _IDENTIFIER_SQL = "CASE object_id % 3 WHEN 0 THEN '\"' || name || '\"' WHEN 1 THEN 'Sales.' || name ELSE name END"
 query("n7_identifiers", "objects", lambda o: o.select("object_id", types.normalised_identifier(_identifier(), "oracle").alias("upper_name"), types.normalised_identifier(_identifier(), "postgresql").alias("lower_name")), "SELECT object_id, CASE object_id % 3 WHEN 0 THEN name WHEN 1 THEN upper('Sales.' || name) ELSE upper(name) END AS upper_name, CASE object_id % 3 WHEN 0 THEN name WHEN 1 THEN lower('Sales.' || name) ELSE lower(name) END AS lower_name FROM objects")
 query("n8_qualified_names", "objects", lambda o: o.withColumn("q", types.qualified_name(_identifier())).select("object_id", "q.*"), f"SELECT object_id, regexp_replace({_IDENTIFIER_SQL}, '^[^.]*\\.', '') AS object_name, CASE WHEN object_id % 3 = 1 THEN 'Sales' END AS schema_name FROM objects")
-query("n9_needs_quotes", "objects", lambda o: o.groupBy(types.needs_quotes(_identifier()).alias("quotes")).agg(F.count(F.lit(1)).alias("n")), "SELECT object_id % 3 <> 2 AS quotes, count(*) AS n FROM objects GROUP BY 1")
+query("n9_needs_quotes", "objects", lambda o: o.select("object_id", types.needs_quotes(F.when(F.col("object_id") % 7 == 0, F.lit("")).when(F.col("object_id") % 7 == 1, F.concat(F.lit("1"), "name")).when(F.col("object_id") % 7 == 2, F.lit("Order")).otherwise(_identifier())).alias("quotes")), "SELECT object_id, CASE object_id % 7 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true ELSE object_id % 3 <> 2 END AS quotes FROM objects")
 
 # Graphs
 _CLOSURE = "WITH RECURSIVE r(src, dst, p) AS (SELECT src, dst, [src, dst] FROM {e} UNION ALL SELECT r.src, e.dst, list_append(r.p, e.dst) FROM r JOIN {e} e ON e.src = r.dst WHERE NOT list_contains(r.p[2:], e.dst)) "
@@ -226,13 +252,13 @@ query("r5_failed_issues", "history scripts", state.failed_issues, "SELECT db, in
 
 # More of validation, catalogs and imports
 query("h3c_reapplied_by_sequence", "history", history.reapplied_after_last_undo, "SELECT DISTINCT h.db, h.version FROM history h WHERE success AND type IN ('SQL', 'PYTHON') AND installed_rank > (SELECT max(installed_rank) FROM history u WHERE u.db = h.db AND u.version = h.version AND u.type = 'UNDO_SQL' AND u.success)")
-query("r2_empty_folder_gate", "history scripts", lambda h, s: state.empty_folder_gate(h, s.where("db < 3")), "SELECT db, count(*) AS n FROM history h WHERE type NOT IN ('DELETE', 'BASELINE') AND db NOT IN (SELECT db FROM scripts WHERE db < 3) AND NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = h.db AND d.script = h.script) GROUP BY db")
+query("r2_empty_folder_gate", "history few_scripts", state.empty_folder_gate, "SELECT db, count(*) AS n FROM history h WHERE type NOT IN ('DELETE', 'BASELINE') AND db NOT IN (SELECT db FROM few_scripts) AND NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = h.db AND d.script = h.script) GROUP BY db")
 query("r3_repaired", "history scripts", state.repaired, f"SELECT h.db, h.installed_rank, h.type, h.script, CASE WHEN h.type = 'SQL' AND a.c IS NOT NULL THEN a.c ELSE h.checksum END::INT AS checksum, h.success FROM history h LEFT JOIN (SELECT d.db, d.script, min(c.file_checksum) AS c FROM (SELECT DISTINCT db, script FROM drifted_sql) d JOIN checked c ON c.db = d.db AND c.name = d.script GROUP BY ALL) a ON a.db = h.db AND a.script = h.script WHERE h.success IS DISTINCT FROM false UNION ALL SELECT g.db, t.top + row_number() OVER (PARTITION BY g.db ORDER BY g.script), 'DELETE', g.script, NULL, true FROM (SELECT DISTINCT db, script FROM ({_REPAIR}) WHERE repair_type = 'MISSING_SCRIPT') g JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = g.db")
 _DUPLICATES = "SELECT db, name AS script FROM (SELECT *, row_number() OVER (PARTITION BY db, version ORDER BY script_id) AS n FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL) WHERE n > 1"
 _ISSUES = f"SELECT db, 1::BIGINT AS check_order, script FROM ({_DUPLICATES}) UNION ALL SELECT db, 2, script FROM history h WHERE NOT success AND NOT (type = 'REPEATABLE' AND EXISTS (SELECT 1 FROM rerun r WHERE r.verdict = 'modified' AND r.db = h.db AND r.script = h.script)) UNION ALL SELECT l.db, CASE WHEN c.script_id IS NULL THEN 4 ELSE 3 END, l.script FROM last_success l JOIN history h ON h.db = l.db AND h.installed_rank = l.installed_rank LEFT JOIN checked c ON c.db = l.db AND c.name = l.script WHERE c.script_id IS NULL OR (h.type <> 'REPEATABLE' AND l.checksum IS NOT NULL AND l.checksum <> c.file_checksum)"
 query("r6_validation_issues", "history scripts", state.validation_issues, _ISSUES)
 query("r6_first_failing_check", "history scripts", state.first_failing_check, f"SELECT db, min(check_order) AS check_order, min_by(n, check_order) AS n FROM (SELECT db, check_order, count(*) AS n FROM ({_ISSUES}) GROUP BY db, check_order) GROUP BY db")
-query("r7_baseline_guard", "history scripts", lambda h, s: state.may_take_baseline(h.where("db <> 4"), s), "SELECT DISTINCT db FROM scripts WHERE db NOT IN (SELECT db FROM history WHERE db <> 4)")
+query("r7_baseline_guard", "partial_history scripts", state.may_take_baseline, "SELECT DISTINCT db FROM scripts WHERE db NOT IN (SELECT db FROM partial_history)")
 query("r8_marked_as_executed", "history scripts", state.marked_as_executed, f"SELECT p.db, coalesce(top, 0) + row_number() OVER (PARTITION BY p.db ORDER BY {_KEY}, name, script_id) AS installed_rank, version, kind AS type, name AS script FROM pending p LEFT JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = p.db WHERE kind <> 'REPEATABLE' AND reason IS NOT NULL AND reason <> 'below'")
 query("r9_cleaned_objects", "objects", catalog.drop_order, "SELECT DISTINCT kind, lower(coalesce(schema_name, 'public')) AS schema_name, lower(name) AS name, list_position(['trigger', 'view', 'procedure', 'index', 'table', 'sequence'], kind)::BIGINT AS step FROM objects")
 query("r10_missing_columns", "history", lambda h: catalog.missing_columns(h.columns, ["installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "installed_on", "execution_time", "success"], h), "SELECT 'installed_on' AS column_name")
@@ -244,7 +270,7 @@ query("x3_same_constraints", "constraints", lambda c: catalog.same_constraints(c
 query("x6_line_diff", "scripts", lambda s: s.select("script_id", F.explode(textdiff.line_diff(F.col("content"), F.regexp_replace("content", r"\n[A-Z]", "\n"))).alias("d")).groupBy("script_id", "d.tag").agg(F.count(F.lit(1)).alias("n")))
 query("g2_mentions", "statements objects", lambda s, o: graph.mentions(s, o.select(F.concat(F.lit("TAB"), (F.col("object_id") % 5).cast("string")).alias("name"))), "SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS name FROM statements WHERE stmt_id % 7 < 5 AND regexp_matches(lower(sql_text), '\\btab[0-4]\\b')")
 query("g3_object_edges", "objects", graph.object_edges, "SELECT DISTINCT s || '.' || o.kind || '.' || n AS src, s || '.table.' || n AS dst FROM (SELECT kind, lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind IN ('index', 'trigger')) o JOIN (SELECT DISTINCT lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind = 'table') t USING (s, n)")
-query("n4_equivalent_types", "types", lambda t: t.select("type_id", types.equivalent_types(F.col("type_name"), "postgresql", F.lit("NUMBER(10,0)"), "oracle").alias("equivalent")), f"SELECT type_id, {_FAMILY} = 'INTEGER' OR upper(type_name) = 'NUMBER(10,0)' AS equivalent FROM types")
+query("n4_equivalent_types", "types", lambda t: t.select("type_id", types.equivalent_types(F.col("type_name"), "postgresql", F.lit("NUMBER(10,0)"), "oracle").alias("equivalent")), f"SELECT type_id, {_FAMILY} = 'INTEGER' OR type_name = 'serial' AS equivalent FROM types")
 
 # Imports, identities, display
 query("s14_imported_history", "history", lambda h: coerced_history(h.select(F.col("installed_rank").cast("string").alias("INSTALLED_RANK"), F.col("version").alias("Version"), F.col("type").alias("TYPE"), F.col("script").alias("SCRIPT"), F.concat(F.col("checksum").cast("string"), F.when(F.col("installed_rank") % 3 == 0, "x").otherwise("")).alias("checksum"), F.when(F.col("success"), "1").otherwise(F.col("success").cast("string")).alias("Success"))).select("installed_rank", "version", "type", "script", "checksum", "execution_time", "success"), "SELECT installed_rank, version, type, script, CASE WHEN installed_rank % 3 <> 0 THEN checksum END AS checksum, 0 AS execution_time, coalesce(success, false) AS success FROM history")

@@ -26,18 +26,51 @@ HISTORY_SCHEMA = T.StructType(
 )
 
 
+_written: list[str] = []
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; without it a folder of this machine where there is no other one, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return "file://" + _local[0]
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back; this cuts its lineage."""
+    """Write ``df`` to the shared folder and read it back; this cuts its lineage. :func:`release` deletes it."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`stored` wrote in this session."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """``df`` with numbers from 1 on in the order of some columns: sorted by ranges, a range's numbers follow those before it.
+
+    No more than a row for each range goes through one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_range": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n") + 1).alias("_start"))
+    return rows.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_nth")).drop("_id", "_range", "_nth", "_start")
+
+
 def read_scripts(spark: SparkSession, roots: dict[str, bool], pattern: str = "*") -> DataFrame:
     """Whole script files below several folders: ``path, name, content, size``.
 
@@ -92,9 +125,14 @@ def append_history(new: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         top = 0
-    ranked = new.withColumn("installed_rank", F.row_number().over(Window.orderBy("script")) + F.lit(top))
+    ranked = numbered(new.drop("installed_rank"), "script", name="_place").withColumn("installed_rank", F.col("_place") + F.lit(top))
     ranked.select(*[F.col(f.name).cast(f.dataType) for f in HISTORY_SCHEMA]).write.mode("append").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+
+
+def queried(text: str, **relations: DataFrame) -> DataFrame:
+    """Rows of a query in SQL over DataFrames, named in braces: ``SELECT * FROM {history}``."""
+    return next(iter(relations.values())).sparkSession.sql(text, **relations)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import described, media_column
+    from .media import described, media_column, pixels_of
 
-    return described(media_column(read(spark, sf_dir, "documents")))
+    # The media are written to storage, and their pixels read from there.
+    return described(pixels_of(stored(media_column(read(spark, sf_dir, "documents")), "media")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

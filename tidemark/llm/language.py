@@ -22,7 +22,7 @@ from .common import small_batches, training_fold, with_row
 BUCKETS = 1 << 15
 #: About so many training rows of each language are sampled to fit the weights.
 SAMPLE_PER_LANGUAGE = 1_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.002, 0.0005
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.2, 0.0005
 UNDECIDED = "und"
 
 _lower: np.ndarray | None = None

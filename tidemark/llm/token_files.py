@@ -93,8 +93,9 @@ def write_packed(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
             yield flush()
 
     # Texts are dealt out in order before they are encoded, so that finding the ranges doesn't encode anything.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id").mapInArrow(run, _BLOCK).write.parquet(path)
+    # Rows that share an id are told apart by their texts' hashes, so a common id fills no task.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    rows.repartitionByRange(partitions(docs.sparkSession), "id", "hash").sortWithinPartitions("id", "hash").drop("hash").mapInArrow(run, _BLOCK).write.parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

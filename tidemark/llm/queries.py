@@ -78,12 +78,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(fill_in_middle(read(spark, sf_dir, "documents")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_media_columns, op6_toxicity, op7_packing, op8_token_files, op9_html_extraction, op10_url_filters, op11_fill_in_middle]
+    found = [op1_decontamination, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_media_columns, op6_toxicity, op7_packing, op8_token_files, op9_html_extraction, op10_url_filters, op11_fill_in_middle, op12_source_divergence]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import OP3, OP11
+    from .oracle import OP3, OP11, OP12
 
-    return {"op3_minhash_dedup": OP3, "op11_fill_in_middle": OP11}
+    return {"op3_minhash_dedup": OP3, "op11_fill_in_middle": OP11, "op12_source_divergence": OP12}

@@ -84,8 +84,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests, scanned
+
+    return digests(scanned(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_media_columns, op6_toxicity, op7_packing, op8_token_files, op9_html_extraction, op10_url_filters, op11_fill_in_middle, op12_source_divergence]
+    found = [op1_decontamination, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_media_columns, op6_toxicity, op7_packing, op8_token_files, op9_html_extraction, op10_url_filters, op11_fill_in_middle, op12_source_divergence, op13_secret_scan]
     return {f.__name__: f for f in found}
 
 

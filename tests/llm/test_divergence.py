@@ -50,11 +50,11 @@ def fixture():
     return rows + [("en", "s1", "again again")] * 5 + [("en", "long", "lorem ipsum " * 40_000)]
 
 
-@pytest.mark.parametrize("sizes", [None, (3, 7, 2, 5)])
+@pytest.mark.parametrize("sizes", [None, (3, 7, 2, 5, 2)])
 def test_rows(spark, monkeypatch, sizes):
     """As exact fractions have it: nulls, empty and long texts, repeated rows, ties, groups without terms, clashing columns; also with chunks and blocks of a few."""
     if sizes:
-        for name, value in zip(("CHUNK_TERMS", "CHUNK_COUNTS", "BLOCK", "HELD_TERMS"), sizes, strict=True):
+        for name, value in zip(("CHUNK_TERMS", "CHUNK_COUNTS", "BLOCK", "HELD_TERMS", "CHUNKS_A_TASK"), sizes, strict=True):
             monkeypatch.setattr(d, name, value)
     rows = fixture()
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "lang string, source string, text string, value int, term int")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ CHUNKS_A_TASK = 64
 #: Sources of a language that are compared at once with as many others, on average.
 BLOCK = 64
 #: Distinct terms, and bytes of documents' terms, after which a task hands on what it has counted.
-HELD_TERMS, HELD_BYTES = 400_000, 1 << 26
+HELD_TERMS, HELD_BYTES = 200_000, 1 << 25
 #: Bytes of a text that are cut into words at once.
 SLAB = 1 << 22
 #: What a share of one is.
@@ -62,14 +63,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``lang, source, term, n, docs`` of one task, several for one term if there are many terms; an empty term for each group."""
     groups: dict[tuple, tuple[Counter, Counter]] = {}
 
-    def rows() -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
+    def rows() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in groups.items():
-            size = len(n)
-            for column, values in zip(columns, ([lang] * size, [source] * size, n.keys(), n.values(), map(docs.__getitem__, n)), strict=True):
-                column.extend(values)
-        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
+            for part in batched(n.items(), 1 << 14):
+                terms, counts = zip(*part, strict=True)
+                arrays = [pa.array([lang] * len(part), pa.binary()), pa.array([source] * len(part), pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
 
     held = size = 0
     for batch in batches:
@@ -85,11 +84,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if new := len(n) - before:
                 held, size = held + new, size + sum(map(len, seen))
         if held > HELD_TERMS or size > HELD_BYTES:
-            yield rows()
+            yield from rows()
             groups.clear()
             held = size = 0
-    if groups:
-        yield rows()
+    yield from rows()
 
 
 _ENCODED = "lang binary, chunk long, terms array<binary>, sources array<binary>, totals array<long>, source_of array<int>, term_of array<int>, counts array<long>"

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import numbered, stored
 
+from .contraction import cycles, longest_paths, strong_components
+
 
 def table_references(statements: DataFrame) -> DataFrame:
     """Names after FROM and JOIN in each statement, once each."""
@@ -45,46 +47,37 @@ def closure(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, known)
 
 
-def cyclic_part(edges: DataFrame) -> DataFrame:
-    """Edges without those that end or begin outside of all cycles, as far as a few rounds take them off.
-
-    An edge from a node that nothing needs, or to one that needs nothing, is in no cycle.  It
-    stops once a round takes off less than a tenth: long chains are left to the closure.
-    """
-    rest = stored(edges.select("src", "dst").distinct())
-    size = rest.count()
-    while size:
-        rest = stored(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        before, size = size, rest.count()
-        if size > 0.9 * before:
-            break
-    return rest
-
-
 def in_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that need themselves."""
-    return closure(cyclic_part(edges)).where("src = dst").select(F.col("src").alias("node"))
+    """Nodes that need themselves, directly or through others."""
+    return strong_components(edges).select("node")
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
     return in_cycles(edges).agg((F.count(F.lit(1)) > 0).alias("has_cycle"))
 
 
-def depths(edges: DataFrame) -> DataFrame:
-    """Length of each node's longest path to a node that needs nothing; nodes in or above cycles have none.
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """One cycle of each component as an array that begins and ends with its least node (:func:`cycles` has the same as rows)."""
+    rows = cycles(edges).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("p"))
+    names = F.transform("p", lambda x: x["node"])
+    return rows.select("component", F.size("p").cast("long").alias("length"), F.concat(names, F.slice(names, 1, 1)).alias("path"))
 
-    A round settles the nodes all of whose needs are settled.
+
+class CircularDependency(ValueError):
+    """Objects need each other, so they have no order."""
+
+
+def depths(edges: DataFrame, strict: bool = False) -> DataFrame:
+    """Length of each node's longest path to a node that needs nothing.
+
+    Nodes in or above cycles have none; with ``strict`` a cycle is an error that shows the first one.
     """
-    once = stored(edges.select("src", "dst").distinct())
-    nodes = stored(once.select(F.col("src").alias("node")).unionByName(once.select(F.col("dst").alias("node"))).distinct())
-    settled = stored(nodes.join(once, nodes["node"] == once["src"], "left_anti").withColumn("depth", F.lit(0).cast("long")))
-    while True:
-        open_edges = once.join(settled, once["src"] == settled["node"], "left_anti").join(settled, once["dst"] == settled["node"], "left")
-        ready = open_edges.groupBy("src").agg(F.count(F.lit(1)).alias("all"), F.count("depth").alias("known"), F.max("depth").alias("deepest")).where("all = known")
-        new = stored(ready.select(F.col("src").alias("node"), (F.col("deepest") + 1).alias("depth")))
-        if new.isEmpty():
-            return settled
-        settled = stored(settled.unionByName(new))
+    if strict:
+        first = cycles(edges).groupBy().agg(F.min("component").alias("c")).first()["c"]
+        if first is not None:
+            shown = [r["node"] for r in cycles(edges).where(F.col("component") == first).orderBy("place").limit(20).collect()]
+            raise CircularDependency("Circular dependency: " + " -> ".join([*shown, first if len(shown) < 20 else "..."]))
+    return longest_paths(edges)
 
 
 def creation_order(edges: DataFrame) -> DataFrame:
@@ -105,7 +98,27 @@ def canonical_order(objects: DataFrame) -> DataFrame:
     return placed.join(first, "kind").select("object_id", "kind", (F.col("_number") - F.col("_first") + 1).alias("place"), "priority")
 
 
-def object_edges(objects: DataFrame) -> DataFrame:
+def dependency_order(objects: DataFrame, edges: DataFrame, strict: bool = True) -> DataFrame:
+    """A place for each object by kind, then depth, schema and name; objects that no edge names have depth 0.
+
+    ``objects (kind, schema_name, name)`` are keyed as :func:`object_key` does.  A cycle is an error
+    unless ``strict`` is false; objects in or above it then come last of their kind, without a depth.
+    """
+    priority = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")), F.lit(99)).cast("long")
+    keyed = objects.select(object_key(F.col("kind"), F.col("schema_name"), F.col("name")).alias("node"), priority.alias("priority"), F.lower(F.coalesce("schema_name", F.lit("public"))).alias("_schema"), F.lower("name").alias("_name")).distinct()
+    known = depths(edges, strict)
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("_edge", F.lit(True))
+    rows = keyed.join(nodes, "node", "left").join(known, "node", "left").withColumn("depth", F.when(F.col("_edge").isNull(), F.lit(0).cast("long")).otherwise(F.col("depth")))
+    rows = rows.withColumn("_last", F.coalesce("depth", F.lit((1 << 62))))
+    return numbered(rows, "priority", "_last", "_schema", "_name", "node").select("node", "priority", "depth", "place")
+
+
+def object_key(kind: Column, schema: Column, name: Column, default: str = "public") -> Column:
+    """Lower-case ``schema.kind.name``."""
+    return F.concat_ws(".", F.lower(F.coalesce(schema, F.lit(default))), kind, F.lower(name))
+
+
+def implied_edges(objects: DataFrame) -> DataFrame:
     """Edges that kinds imply: an index or trigger needs the table of its schema and name; keys are lower-case schema.kind.name."""
     rows = objects.select("kind", F.lower(F.coalesce("schema_name", F.lit("public"))).alias("s"), F.lower("name").alias("n")).distinct()
     key = lambda kind: F.concat_ws(".", F.col("s"), kind, F.col("n"))
@@ -113,6 +126,40 @@ def object_edges(objects: DataFrame) -> DataFrame:
     return rows.where("kind IN ('index', 'trigger')").join(tables, ["s", "n"]).select(key(F.col("kind")).alias("src"), key(F.lit("table")).alias("dst"))
 
 
+def object_edges(definitions: DataFrame, references: DataFrame, default: str = "public") -> DataFrame:
+    """All dependencies as one typed relation ``src, dst, via, found``.
+
+    ``definitions (kind, schema_name, name, sql_text)`` are the objects; the text is the query of a view or
+    the body of a procedure, else null.  ``references (kind, schema_name, name, via, ref_schema, ref_name)`` are the names that objects state:
+    ``via`` is foreign_key or inherits (of a table), on (of an index or trigger), calls or
+    follows (of a trigger).  A name without a schema is looked for in the object's own schema, then in the default
+    one; names behind FROM and JOIN in a view's text may be views or tables, in that order, in a
+    procedure's only tables.  ``found`` says whether there is such an object; if there is none, the name is taken to be
+    in the schema that it states, else in the object's own.  Names are compared in lower case; a null kind
+    or name, or a reference without a name, gives no edge.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    named = definitions.where("kind IS NOT NULL AND name IS NOT NULL").select("kind", F.coalesce(low(F.col("schema_name")), F.lit(default)).alias("s"), low(F.col("name")).alias("n"), "sql_text")
+    targets = named.select(F.col("kind").alias("k"), F.col("s").alias("ts"), F.col("n").alias("rn")).distinct()
+    # What kinds of objects each kind of reference may mean.
+    means = {"foreign_key": ("table",), "inherits": ("table",), "on": ("table",), "calls": ("procedure",), "follows": ("trigger",), "view_text": ("view", "table"), "procedure_text": ("table",)}
+    stated = references.where("kind IS NOT NULL AND name IS NOT NULL").select("kind", F.coalesce(low(F.col("schema_name")), F.lit(default)).alias("s"), low(F.col("name")).alias("n"), "via", low(F.col("ref_schema")).alias("rs"), low(F.col("ref_name")).alias("rn"))
+    words = F.regexp_extract_all("sql_text", F.lit(r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)"), F.lit(1))
+    texts = named.where("kind IN ('view', 'procedure')").select("kind", "s", "n", F.concat(F.col("kind"), F.lit("_text")).alias("via"), F.explode(F.array_distinct(F.transform(words, F.lower))).alias("_ref"))
+    dotted = F.instr("_ref", ".") > 0
+    texts = texts.select("kind", "s", "n", "via", F.when(dotted, F.substring_index("_ref", ".", 1)).alias("rs"), F.substring_index("_ref", ".", -1).alias("rn"))
+    asked = stated.unionByName(texts).where("rn IS NOT NULL AND rn <> ''").distinct()
+    # Each reference with all that it may mean, in order of preference; the first that exists is meant.
+    tries = F.create_map(*[x for via, kinds in means.items() for x in (F.lit(via), F.array(*[F.lit(k) for k in kinds]))])
+    schemas = F.when(F.col("rs").isNotNull(), F.array("rs")).otherwise(F.array_distinct(F.array("s", F.lit(default))))
+    options = asked.select("*", F.posexplode(tries[F.col("via")]).alias("_k", "k")).select("*", F.posexplode(schemas).alias("_s", "ts"))
+    met = options.join(targets.withColumn("_hit", F.lit(True)), ["k", "ts", "rn"], "left")
+    rank = F.struct(F.col("_hit").isNull().alias("no"), F.col("_s"), F.when(F.col("_hit").isNull(), -F.col("_k")).otherwise(F.col("_k")).alias("o"))
+    best = met.groupBy("kind", "s", "n", "via", "rs", "rn").agg(F.min_by(F.struct("k", "ts", F.col("_hit").isNotNull().alias("found")), rank).alias("b"))
+    key = lambda s, k, n: F.concat_ws(".", s, k, n)
+    return best.select(key(F.col("s"), F.col("kind"), F.col("n")).alias("src"), key(F.col("b.ts"), F.col("b.k"), F.col("rn")).alias("dst"), "via", F.col("b.found").alias("found")).distinct()
+
+
 def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
     """Statements that hold a name as a word, case aside: words are joined, not every name tried on every text."""
     words = statements.select("stmt_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql_text"), F.lit(r"\w+"), F.lit(0)))).alias("name"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.versions import numeric_parts, or_empty, version_order
+from tidemark.sources.tables import numbered_within
 
 #: Types of scripts that carry a version of their own.
 VERSIONED = ("SQL", "PYTHON")
@@ -190,9 +191,9 @@ def next_to_undo(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def undo_down_to(history: DataFrame, target: str, by: Sequence[str] = BY) -> DataFrame:
     """Rows to undo, newest first, back to the first row at or below the target (which stops the walk)."""
-    back = Window.partitionBy(*by).orderBy(F.desc("installed_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = history.where(_ok() & _is("SQL") & (or_empty(F.col("version")) != "")).withColumn("_below", (version_order(F.col("version")) <= version_order(F.lit(target))).cast("int"))
-    return rows.withColumn("_stop", F.max("_below").over(back)).where("_stop = 0").select(*by, "installed_rank", "version", "script")
+    rows = history.where(_ok() & _is("SQL") & (or_empty(F.col("version")) != ""))
+    stop = rows.where(version_order(F.col("version")) <= version_order(F.lit(target))).groupBy(*by).agg(F.max("installed_rank").alias("_stop"))
+    return rows.join(stop, list(by), "left").where("_stop IS NULL OR installed_rank > _stop").select(*by, "installed_rank", "version", "script")
 
 
 def applied_without_undone(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -231,11 +232,9 @@ def duplicate_ranks(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def reranked(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """New ranks for all but the first script of a shared rank: behind the highest, in order of rank and script."""
-    shared = Window.partitionBy(*by, "installed_rank").orderBy("script")
     top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
-    moved = history.withColumn("_nth", F.row_number().over(shared)).where("_nth > 1")
-    order = Window.partitionBy(*by).orderBy("installed_rank", "script")
-    return moved.join(top, list(by)).select(*by, "installed_rank", "script", (F.col("_top") + F.row_number().over(order)).alias("new_rank"))
+    moved = numbered_within(history.select(*by, "installed_rank", "script"), [*by, "installed_rank"], "script", name="_nth").where("_nth > 1")
+    return numbered_within(moved, by, "installed_rank", "script").join(top, list(by)).select(*by, "installed_rank", "script", (F.col("_top") + F.col("place")).alias("new_rank"))
 
 
 def counted(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:

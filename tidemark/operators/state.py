@@ -9,11 +9,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.checksums import script_checksum
 from tidemark.functions.scripts import base_name, quick_kind, tags, with_parsed_names
 from tidemark.functions.versions import or_empty, version_order
+from tidemark.sources.tables import numbered_within
 
 from .history import BY, VERSIONED, category, clean_description, current_version, effectively_undone, first_baseline, highest_applied, out_of_order_adjacent, reapplied_after_first_undo, repeatable_checksums, undone_versions
 
@@ -34,9 +34,9 @@ def resolved_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 def ordered_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Place of each script in its group: versioned ones by version, others by name."""
     group = F.when(F.col("kind").isin(*VERSIONED), "versioned").otherwise(F.lower("kind"))
-    order = Window.partitionBy(*by, "group").orderBy(F.when(F.col("group") == "versioned", version_order(or_empty(F.col("version")))), F.lower("name"), "script_id")
     rows = resolved_scripts(scripts, by).withColumn("group", group)
-    return rows.select(*by, "script_id", "group", F.row_number().over(order).cast("long").alias("place"))
+    rows = rows.select(*by, "group", F.when(F.col("group") == "versioned", version_order(or_empty(F.col("version")))).alias("_version"), F.lower("name").alias("_name"), "script_id")
+    return numbered_within(rows, [*by, "group"], "_version", "_name", "script_id").select(*by, "script_id", "group", "place")
 
 
 def filtered_scripts(scripts: DataFrame, target: str | None = None, tag_list: Sequence[str] = (), without_tags: Sequence[str] = (), versions: Sequence[str] = (), without_versions: Sequence[str] = (), fold_case: bool = True, by: Sequence[str] = BY) -> DataFrame:
@@ -223,8 +223,8 @@ def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by:
     shown = rows.where(~hidden).select(*by, category(F.col("type"), F.col("description")).alias("category"), _shown_version(F.col("version")).alias("version"), clean_description(F.col("description")).alias("description"), "type", state.alias("state"), undoable, "script", F.coalesce("execution_time", F.lit(0)).alias("execution_time"), "installed_rank", "checksum", F.lit(None).cast("long").alias("place"))
     new = pending(history, scripts, target, by).where("reason <> 'below'").select(*by, "script_id")
     files = resolved_scripts(scripts, by).join(new, [*by, "script_id"], "left_semi").join(undo, [*by, "version"], "left")
-    order = Window.partitionBy(*by).orderBy((~F.col("kind").isin(*VERSIONED)).cast("int"), or_empty(F.col("version")), "name", "script_id")
-    waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), F.lit("Pending").alias("state"), undoable, F.col("name").alias("script"), F.lit(0).alias("execution_time"), F.lit(None).cast("long").alias("installed_rank"), F.lit(None).cast("int").alias("checksum"), F.row_number().over(order).cast("long").alias("place"))
+    files = numbered_within(files, by, (~F.col("kind").isin(*VERSIONED)).cast("int"), or_empty(F.col("version")), "name", "script_id")
+    waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), F.lit("Pending").alias("state"), undoable, F.col("name").alias("script"), F.lit(0).alias("execution_time"), F.lit(None).cast("long").alias("installed_rank"), F.lit(None).cast("int").alias("checksum"), "place")
     return shown.unionByName(waiting)
 
 
@@ -348,9 +348,9 @@ def repaired(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) ->
     kept = history.where(~F.coalesce(F.col("success") == F.lit(False), F.lit(False))).join(aligned, [*by, "script"], "left")
     kept = kept.withColumn("checksum", F.when((F.col("type") == "SQL") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("checksum")))
     top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
-    order = Window.partitionBy(*by).orderBy("script")
-    gone = plan.where("repair_type = 'MISSING_SCRIPT'").select(*by, "script").distinct().join(top, list(by))
-    gone = gone.select(*by, (F.col("_top") + F.row_number().over(order)).alias("installed_rank"), F.lit("DELETE").alias("type"), "script", F.lit(None).cast("int").alias("checksum"), F.lit(True).alias("success"))
+    gone = plan.where("repair_type = 'MISSING_SCRIPT'").select(*by, "script").distinct()
+    gone = numbered_within(gone, by, "script").join(top, list(by))
+    gone = gone.select(*by, (F.col("_top") + F.col("place")).alias("installed_rank"), F.lit("DELETE").alias("type"), "script", F.lit(None).cast("int").alias("checksum"), F.lit(True).alias("success"))
     return kept.select(*by, "installed_rank", "type", "script", "checksum", "success").unionByName(gone)
 
 
@@ -390,5 +390,5 @@ def marked_as_executed(history: DataFrame, scripts: DataFrame, by: Sequence[str]
     """Rows to append for pending versioned scripts that are recorded without being run, ranked by version."""
     new = pending(history, scripts, by=by).where("kind <> 'REPEATABLE' AND reason <> 'below'")
     top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
-    order = Window.partitionBy(*by).orderBy(version_order(F.col("version")), "name", "script_id")
-    return new.join(top, list(by), "left").select(*by, (F.coalesce("_top", F.lit(0)) + F.row_number().over(order)).alias("installed_rank"), "version", F.col("kind").alias("type"), F.col("name").alias("script"))
+    new = numbered_within(new.withColumn("_version", version_order(F.col("version"))), by, "_version", "name", "script_id")
+    return new.join(top, list(by), "left").select(*by, (F.coalesce("_top", F.lit(0)) + F.col("place")).alias("installed_rank"), "version", F.col("kind").alias("type"), F.col("name").alias("script"))

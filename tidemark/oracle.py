@@ -44,7 +44,23 @@ FROM (SELECT *, nullif(regexp_extract(stem, '^[VU]{_NAMED}', 1), '') AS raw,
   FROM (SELECT *, regexp_replace(bare, '{_ENDING}', '') AS stem FROM (SELECT *, CASE WHEN name LIKE '%[%]%' THEN replace(name, regexp_extract(name, '\\[.*?\\]'), '') ELSE name END AS bare FROM scripts)))
 """
 
+# Names that objects state or that their texts hold, each with the objects it may mean, nearest schema first.
+_ASKED = r"""
+SELECT kind, lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n, via, lower(ref_schema) AS rs, lower(ref_name) AS rn FROM "references"
+UNION SELECT kind, s, n, kind || '_text', CASE WHEN contains(ref, '.') THEN split_part(ref, '.', 1) END, split_part(ref, '.', -1)
+FROM (SELECT kind, lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n, lower(unnest(regexp_extract_all(sql_text, '(?i)\b(?:FROM|JOIN)\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)', 1))) AS ref FROM definitions WHERE kind IN ('view', 'procedure'))
+"""
+_GRAPH = f"""
+SELECT DISTINCT s || '.' || kind || '.' || n AS src, CASE WHEN best IS NULL THEN coalesce(rs, s) || '.' || CASE via WHEN 'calls' THEN 'procedure' WHEN 'follows' THEN 'trigger' ELSE 'table' END || '.' || rn ELSE best END AS dst, via, best IS NOT NULL AS found
+FROM (
+  SELECT a.*, (SELECT t.ts || '.' || t.k || '.' || t.tn FROM (SELECT DISTINCT kind AS k, lower(coalesce(schema_name, 'public')) AS ts, lower(name) AS tn FROM definitions) t
+    WHERE t.tn = a.rn AND CASE a.via WHEN 'calls' THEN t.k = 'procedure' WHEN 'follows' THEN t.k = 'trigger' WHEN 'view_text' THEN t.k IN ('view', 'table') ELSE t.k = 'table' END AND CASE WHEN a.rs IS NOT NULL THEN t.ts = a.rs ELSE t.ts IN (a.s, 'public') END
+    ORDER BY t.ts <> a.s, t.k = 'table' LIMIT 1) AS best
+  FROM ({_ASKED}) a)
+"""
+
 VIEWS = dict(SQL) | {
+    "object_graph": _GRAPH,
     "resolved": _RESOLVED,
     "crc_table": f"SELECT {CRC_TABLE} AS tb",
     "checked": f"SELECT r.*, {crc('content', 'tb')} AS file_checksum FROM resolved r, crc_table",
@@ -136,7 +152,7 @@ def with_views(query: str) -> str:
 
     def visit(text: str) -> None:
         for name in VIEWS:
-            if name not in needed and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
+            if name not in needed and re.search(rf'\b(FROM|JOIN|,)\s+"?{name}\b', text):
                 visit(VIEWS[name])
                 if name not in needed:
                     needed.append(name)
@@ -145,5 +161,5 @@ def with_views(query: str) -> str:
     recursive = "RECURSIVE " if "RECURSIVE" in query else ""
     body = query.replace("WITH RECURSIVE ", "")
     if recursive:
-        return "WITH RECURSIVE " + "".join(f"{n} AS ({VIEWS[n]}),\n" for n in needed) + body
-    return ("WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" if needed else "") + query
+        return "WITH RECURSIVE " + "".join(f'"{n}" AS ({VIEWS[n]}),\n' for n in needed) + body
+    return ("WITH " + ",\n".join(f'"{n}" AS ({VIEWS[n]})' for n in needed) + "\n" if needed else "") + query

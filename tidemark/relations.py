@@ -67,6 +67,43 @@ CYCLIC_EDGES = """
 SELECT 'n' || CAST(n_nationkey AS STRING) AS src, 'n' || CAST((n_nationkey * 3 + 1) % 25 AS STRING) AS dst FROM nation
 """
 
+# Rings of seven with chords, ways in, out and on to the next ring, and nodes that need themselves.
+TANGLED_EDGES = """
+SELECT 'm' || CAST(s_suppkey AS STRING) AS src, 'm' || CAST(CAST(floor(s_suppkey / 7.0) AS BIGINT) * 7 + (s_suppkey + 1) % 7 AS STRING) AS dst FROM supplier
+UNION ALL SELECT 'm' || CAST(s_suppkey AS STRING), 'm' || CAST(CAST(floor(s_suppkey / 7.0) AS BIGINT) * 7 + (s_suppkey * 3) % 7 AS STRING) FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'm' || CAST(s_suppkey AS STRING), 'm' || CAST(s_suppkey + 7 AS STRING) FROM supplier WHERE s_suppkey % 4 = 1
+UNION ALL SELECT 'q' || CAST(s_suppkey AS STRING), 'm' || CAST(s_suppkey AS STRING) FROM supplier
+UNION ALL SELECT 'm' || CAST(s_suppkey AS STRING), 'r' || CAST(s_suppkey AS STRING) FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'q' || CAST(s_suppkey AS STRING), 'q' || CAST(s_suppkey AS STRING) FROM supplier WHERE s_suppkey % 6 = 0
+"""
+
+# One chain and a ladder beside it: a node for each order.
+LONG_EDGES = """
+SELECT 'c' || CAST(o_orderkey AS STRING) AS src, 'c' || CAST(o_orderkey + 1 AS STRING) AS dst FROM orders
+UNION ALL SELECT 'c' || CAST(o_orderkey AS STRING), 'leaf' || CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 50 = 0
+"""
+
+DEFINITIONS = """
+SELECT kind, schema_name, 'Obj' || CAST(k AS STRING) AS name,
+       CASE kind WHEN 'view' THEN 'SELECT * FROM Obj' || CAST((k * 7 + 5) % 300 AS STRING) || ' a JOIN sales.obj' || CAST((k * 5 + 2) % 300 AS STRING) || ' b ON a.id = b.id JOIN Elsewhere c ON c.id = a.id'
+            WHEN 'procedure' THEN 'BEGIN INSERT INTO t SELECT * FROM hr.OBJ' || CAST((k + 1) % 300 AS STRING) || '; DELETE FROM Obj' || CAST((k + 7) % 300 AS STRING) || '; END' END AS sql_text
+FROM (SELECT CASE c_custkey % 6 WHEN 0 THEN 'table' WHEN 1 THEN 'view' WHEN 2 THEN 'index' WHEN 3 THEN 'sequence' WHEN 4 THEN 'trigger' ELSE 'procedure' END AS kind,
+             CASE WHEN c_nationkey % 4 = 0 THEN NULL WHEN c_nationkey % 4 = 1 THEN 'Sales' ELSE 'hr' END AS schema_name, c_custkey % 300 AS k FROM customer) c
+"""
+
+_STATED = "SELECT {0} AS kind, schema_name, name, {1} AS via, {2} AS ref_schema, 'Obj' || CAST((CAST(substring(name, 4) AS BIGINT) {3}) % 300 AS STRING) AS ref_name FROM ({4}) d WHERE kind = {0}"
+REFERENCES = " UNION ALL ".join(
+    _STATED.format(f"'{kind}'", f"'{via}'", schema, shift, DEFINITIONS)
+    for kind, via, schema, shift in (
+        ("table", "foreign_key", "CASE WHEN name LIKE '%2' THEN 'SALES' END", "* 5"),
+        ("table", "inherits", "CASE WHEN name LIKE '%4' THEN 'hr' END", "+ 12"),
+        ("index", "on", "CAST(NULL AS STRING)", "+ 4"),
+        ("trigger", "on", "CAST(NULL AS STRING)", "+ 2"),
+        ("trigger", "calls", "CASE WHEN name LIKE '%6' THEN 'Hr' END", "+ 1"),
+        ("trigger", "follows", "CAST(NULL AS STRING)", "+ 6"),
+    )
+)
+
 STATEMENTS = """
 SELECT p_partkey AS stmt_id,
   CASE p_partkey % 16
@@ -121,8 +158,8 @@ SPARSE_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 18 = 1"
 PARTIAL_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE db <> 4"
 FEW_SCRIPTS = f"SELECT * FROM ({SCRIPTS}) s WHERE db < 3"
 
-TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders"}
-SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS}
+TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders"}
+SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

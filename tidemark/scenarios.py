@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import checksums, display, scripts, sqltext, textdiff, types, versions
 from .operators import catalog, graph, history, journal, state, undo
+from .operators.contraction import strong_components
 from .oracle import category, crc, key, numbers, type_case, with_views
 from .plans import info
 from .relations import relation
@@ -135,7 +136,7 @@ query("h28_applied_without_undone", "history", history.applied_without_undone, "
 # Filters
 query("f1_filtered_scripts", "scripts", lambda s: state.filtered_scripts(s, target="20.3", without_tags=["SRC1 "], without_versions=["4.0"]).select("db", "script_id"), f"SELECT db, script_id FROM resolved WHERE (version IS NULL OR {_KEY} <= {key("'20.3'")}) AND coalesce(version <> '4.0', true) AND NOT list_contains(list_transform(tags, lambda t: lower(t)), 'src1')")
 query("f1_tagged_scripts", "scripts", lambda s: state.filtered_scripts(s, tag_list=["EN", "src7"]).select("db", "script_id"), "SELECT db, script_id FROM resolved WHERE list_has_any(list_transform(tags, lambda t: lower(t)), ['en', 'src7'])")
-query("f2_tags_case_sensitive", "scripts", lambda s: state.filtered_scripts(s, tag_list=["EN", "src7"], fold_case=False).select("db", "script_id"), "SELECT db, script_id FROM resolved WHERE list_has_any(tags, ['EN', 'src7'])")
+query("f2_tags_case_sensitive", "scripts", lambda s: state.filtered_scripts(s, tag_list=["en", "SRC7"], fold_case=False).select("db", "script_id"), "SELECT db, script_id FROM resolved WHERE list_has_any(tags, ['en', 'SRC7'])")
 query("f3_filter_lists", "scripts", lambda s: s.select("script_id", F.array_join(scripts.filter_list(F.concat(F.lit(" "), F.col("name"), F.lit(" , , x"), (F.col("script_id") % 3).cast("string"), F.lit(","))), "|").alias("listed"), F.array_join(scripts.filter_items(F.array(F.lit(" a "), F.col("name"), F.lit("")), True), "|").alias("trimmed"), F.array_join(scripts.filter_items(F.array(F.lit(" a "), F.col("name"), F.lit("")), False), "|").alias("kept")), "SELECT script_id, replace(replace(name, ', ', '|'), ',', '|') || '|x' || CAST(script_id % 3 AS VARCHAR) AS listed, 'a|' || name AS trimmed, ' a |' || name || '|' AS kept FROM scripts")
 query("f4_history_in_scope", "history", lambda h: h.where(versions.version_key(F.col("version")) <= versions.version_key(F.lit("10"))).select("db", "installed_rank"), f"SELECT db, installed_rank FROM history WHERE {_KEY} <= {key("'10'")}")
 query("f5_payload_without_nulls", "history", lambda h: h.select("installed_rank", F.to_json(F.struct("version", "checksum", "success")).alias("payload")), """SELECT installed_rank, '{' || array_to_string(list_filter([CASE WHEN version IS NOT NULL THEN '"version":"' || version || '"' END, CASE WHEN checksum IS NOT NULL THEN '"checksum":' || checksum::VARCHAR END, CASE WHEN success IS NOT NULL THEN '"success":' || success::VARCHAR END], lambda x: x IS NOT NULL), ',') || '}' AS payload FROM history""")
@@ -145,7 +146,7 @@ query("j1_not_imported", "foreign_history sparse_history", lambda f, h: state.no
 query("j10_referenced_columns", "constraints", lambda c: catalog.referenced_columns(c.where("type = 'FOREIGN KEY'").select("tab", "name", "pos", "col", F.concat(F.lit("t"), (F.substring("tab", 2, 9).cast("int") * 7 % 50).cast("string")).alias("ref_tab")).distinct(), c.where("type = 'PRIMARY KEY'")), "SELECT DISTINCT f.tab, f.name, f.pos, f.col, k.tab AS ref_tab, k.col AS ref_col FROM constraints f JOIN constraints k ON k.type = 'PRIMARY KEY' AND k.pos = f.pos AND k.tab = 't' || CAST(CAST(f.tab[2:] AS INT) * 7 % 50 AS VARCHAR) WHERE f.type = 'FOREIGN KEY'")
 query("j2_applied_without_file", "history scripts", state.applied_without_file, "SELECT db, installed_rank, script FROM without_file")
 query("j3_reappeared", "history scripts", state.reappeared, "SELECT h.db, h.script, min(h.installed_rank) AS deleted_at FROM history h JOIN (SELECT DISTINCT db, name FROM scripts) s ON s.db = h.db AND s.name = h.script WHERE h.type = 'DELETE' GROUP BY h.db, h.script")
-query("j4_duplicate_versions", "scripts", state.duplicate_versions, "SELECT db, version, first, name AS later, script_id FROM (SELECT *, first_value(name) OVER (PARTITION BY db, version ORDER BY script_id) AS first, row_number() OVER (PARTITION BY db, version ORDER BY script_id) AS n FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL) WHERE n > 1")
+query("j4_duplicate_versions", "scripts", lambda s: state.duplicate_versions(s.withColumn("db", F.col("db") % 2)), "SELECT db, version, first, name AS later, script_id FROM (SELECT * REPLACE (db % 2 AS db), first_value(name) OVER (PARTITION BY db % 2, version ORDER BY script_id) AS first, row_number() OVER (PARTITION BY db % 2, version ORDER BY script_id) AS n FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL) WHERE n > 1")
 query("j5_changes_with_times", "journal", lambda j: journal.changes_with_times(j.where("success"), j).groupBy("object_type", "object_name").agg(F.count(F.lit(1)).alias("n"), F.sum("execution_time").alias("total")), "SELECT object_type, object_name, count(*) AS n, sum(t)::BIGINT AS total FROM journal j JOIN (SELECT migration_id, statement_index, min(execution_time) AS t FROM journal GROUP BY ALL) f USING (migration_id, statement_index) WHERE success GROUP BY ALL")
 query("j6_column_diff", "columns", catalog.column_diff, "SELECT tab, name, d AS difference FROM (SELECT tab, name, unnest(list_filter([CASE WHEN y IS NULL THEN 'removed' END, CASE WHEN x IS NULL THEN 'added' END, CASE WHEN lower(x.type) <> lower(y.type) THEN 'type' END, CASE WHEN x.nullable <> y.nullable THEN 'nullable' END, CASE WHEN x IS NOT NULL AND y IS NOT NULL AND x.dflt IS DISTINCT FROM y.dflt THEN 'default' END], lambda e: e IS NOT NULL)) AS d FROM (SELECT coalesce(a.tab, b.tab) AS tab, coalesce(a.name, b.name) AS name, x, y FROM (SELECT tab, lower(col) AS name, {'type': type, 'nullable': nullable, 'dflt': dflt} AS x FROM columns WHERE side = 'a') a FULL JOIN (SELECT tab, lower(col) AS name, {'type': type, 'nullable': nullable, 'dflt': dflt} AS y FROM columns WHERE side = 'b') b ON a.tab = b.tab AND a.name = b.name))")
 query("j7_merged_objects", "objects", lambda o: catalog.merged_objects(o.where("object_id % 3 <> 0"), o.where("object_id % 3 = 0")), "SELECT kind, lower(name) AS name, max_by(object_id, {'s': s, 'o': object_id}) AS object_id, max(s)::BIGINT AS side FROM (SELECT *, CASE WHEN object_id % 3 = 0 THEN 2 ELSE 1 END AS s FROM objects) GROUP BY 1, 2")
@@ -237,6 +238,26 @@ query("g6_closure_cyclic", "cyclic_edges", graph.closure, _CLOSURE.format(e="cyc
 query("g7_creation_order", "edges", graph.creation_order, _DEPTH + "SELECT node, depth, row_number() OVER (ORDER BY depth, node) AS place FROM (SELECT node, max(depth)::BIGINT AS depth FROM d GROUP BY node)")
 query("g8_in_cycles", "cyclic_edges", graph.in_cycles, _CLOSURE.format(e="cyclic_edges") + "SELECT DISTINCT src AS node FROM r WHERE src = dst")
 query("g9_has_cycle", "edges", graph.has_cycle, _CLOSURE.format(e="edges") + "SELECT count(*) FILTER (src = dst) > 0 AS has_cycle FROM r")
+# Pairs on a common cycle, and from each component's least node the walk to least needs until it meets itself.
+_COMPONENTS = "WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM {e} UNION SELECT r.src, e.dst FROM r JOIN {e} e ON e.src = r.dst), member AS (SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src)"
+_CYCLES = _COMPONENTS + """, step AS (SELECT e.src AS node, min(e.dst) AS nxt FROM {e} e JOIN member a ON a.node = e.src JOIN member b ON b.node = e.dst AND b.component = a.component GROUP BY e.src),
+walk(component, p) AS (SELECT component, [component] FROM member WHERE node = component UNION ALL SELECT component, list_append(p, nxt) FROM walk JOIN step ON step.node = p[-1] WHERE NOT list_contains(p[:-2], p[-1])),
+ring AS (SELECT component, p[list_position(p, p[-1]):-2] AS c FROM walk WHERE list_contains(p[:-2], p[-1]))
+SELECT component, len(c)::BIGINT AS length, c[list_position(c, list_min(c)):] || c[:list_position(c, list_min(c)) - 1] || [list_min(c)] AS path FROM ring"""
+query("g8_components", "tangled_edges", strong_components, _COMPONENTS.format(e="tangled_edges") + " SELECT node, component FROM member")
+query("g8_cycle_paths", "tangled_edges", graph.cycle_paths, _CYCLES.format(e="tangled_edges"))
+query("g8_object_cycles", "definitions references", lambda d, r: graph.cycle_paths(graph.object_edges(d, r)), _CYCLES.format(e="object_graph"))
+query("g9_has_cycle_long", "long_edges", graph.has_cycle, "SELECT count(*) > 0 AS has_cycle FROM long_edges WHERE substr(src, 2)::BIGINT >= substr(dst, 2)::BIGINT AND dst NOT LIKE 'leaf%'".replace("substr(dst, 2)::BIGINT", "TRY_CAST(substr(dst, 2) AS BIGINT)"))
+query("g3_object_graph", "definitions references", graph.object_edges, "SELECT src, dst, via, found FROM object_graph")
+query("g5_object_degrees", "definitions references", lambda d, r: graph.degrees(graph.object_edges(d, r).select("src", "dst")), "SELECT node, count(*) FILTER (o) AS needs, count(*) FILTER (NOT o) AS needed_by FROM (SELECT DISTINCT src AS node, dst, true AS o FROM object_graph UNION ALL SELECT DISTINCT dst, src, false FROM object_graph) GROUP BY node")
+# Depths of a chain are differences of its numbers.
+query("o2_long_depths", "long_edges", graph.depths, "SELECT src AS node, (SELECT max(o_orderkey) + 1 FROM orders) - substr(src, 2)::BIGINT AS depth FROM (SELECT DISTINCT src FROM long_edges) UNION ALL SELECT DISTINCT dst, 0 FROM long_edges WHERE dst NOT IN (SELECT src FROM long_edges)")
+_ABOVE = " SELECT node FROM member UNION SELECT r.src FROM r JOIN member ON member.node = r.dst"
+_PRIORITY = "list_position(['sequence', 'table', 'index', 'view', 'procedure', 'trigger'], split_part(node, '.', 2))::BIGINT"
+query("o2_dependency_order", "definitions references", lambda d, r: graph.dependency_order(d, graph.object_edges(d, r), strict=False), _COMPONENTS.format(e="object_graph") + f""", blocked AS ({_ABOVE}),
+obj AS (SELECT DISTINCT lower(coalesce(schema_name, 'public')) || '.' || kind || '.' || lower(name) AS node FROM definitions),
+d(node, depth) AS (SELECT node, 0 FROM (SELECT node FROM obj UNION SELECT dst FROM object_graph) WHERE node NOT IN (SELECT src FROM object_graph) UNION SELECT e.src, depth + 1 FROM d JOIN object_graph e ON e.dst = d.node WHERE e.src NOT IN (SELECT node FROM blocked))
+SELECT node, {_PRIORITY} AS priority, depth, row_number() OVER (ORDER BY {_PRIORITY}, depth NULLS LAST, split_part(node, '.', 1), split_part(node, '.', 3)) AS place FROM obj LEFT JOIN (SELECT node, max(depth)::BIGINT AS depth FROM d GROUP BY node) USING (node)""")
 query("o1_canonical_order", "objects", graph.canonical_order, "SELECT object_id, kind, row_number() OVER (PARTITION BY kind ORDER BY lower(coalesce(schema_name, 'public')), lower(name), object_id) AS place, list_position(['sequence', 'table', 'index', 'view', 'procedure', 'trigger'], kind)::BIGINT AS priority FROM objects")
 query("o2_depths", "edges", graph.depths, _DEPTH + "SELECT node, max(depth)::BIGINT AS depth FROM d GROUP BY node")
 
@@ -269,7 +290,7 @@ query("m12_without_internal", "objects", lambda o: catalog.without_internal(o, o
 query("x3_same_constraints", "constraints", lambda c: catalog.same_constraints(c.where("pos <> 1"), c.where("pos <> 2")), "SELECT * FROM (SELECT tab, type, lower(name) AS name, array_to_string(list_sort(list(DISTINCT col)), ',') AS columns FROM constraints WHERE pos <> 1 GROUP BY ALL) INTERSECT SELECT * FROM (SELECT tab, type, lower(name), array_to_string(list_sort(list(DISTINCT col)), ',') FROM constraints WHERE pos <> 2 GROUP BY ALL)")
 query("x6_line_diff", "scripts", lambda s: s.select("script_id", F.explode(textdiff.line_diff(F.col("content"), F.regexp_replace("content", r"\n[A-Z]", "\n"))).alias("d")).groupBy("script_id", "d.tag").agg(F.count(F.lit(1)).alias("n")))
 query("g2_mentions", "statements objects", lambda s, o: graph.mentions(s, o.select(F.concat(F.lit("TAB"), (F.col("object_id") % 5).cast("string")).alias("name"))), "SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS name FROM statements WHERE stmt_id % 7 < 5 AND regexp_matches(lower(sql_text), '\\btab[0-4]\\b')")
-query("g3_object_edges", "objects", graph.object_edges, "SELECT DISTINCT s || '.' || o.kind || '.' || n AS src, s || '.table.' || n AS dst FROM (SELECT kind, lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind IN ('index', 'trigger')) o JOIN (SELECT DISTINCT lower(coalesce(schema_name, 'public')) AS s, lower(name) AS n FROM objects WHERE kind = 'table') t USING (s, n)")
+query("g3_object_edges", "objects", lambda o: graph.implied_edges(o.withColumn("name", F.concat(F.lit("Obj"), (F.col("object_id") % 50).cast("string")))), "SELECT DISTINCT s || '.' || o.kind || '.' || n AS src, s || '.table.' || n AS dst FROM (SELECT kind, lower(coalesce(schema_name, 'public')) AS s, 'obj' || (object_id % 50)::VARCHAR AS n FROM objects WHERE kind IN ('index', 'trigger')) o JOIN (SELECT DISTINCT lower(coalesce(schema_name, 'public')) AS s, 'obj' || (object_id % 50)::VARCHAR AS n FROM objects WHERE kind = 'table') t USING (s, n)")
 query("n4_equivalent_types", "types", lambda t: t.select("type_id", types.equivalent_types(F.col("type_name"), "postgresql", F.lit("NUMBER(10,0)"), "oracle").alias("equivalent")), f"SELECT type_id, {_FAMILY} = 'INTEGER' OR type_name = 'serial' AS equivalent FROM types")
 
 # Imports, identities, display

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -71,6 +72,25 @@ def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
     return rows.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_nth")).drop("_id", "_range", "_nth", "_start")
 
 
+def numbered_within(df: DataFrame, by: Sequence[str], *order: Column | str, name: str = "place") -> DataFrame:
+    """``df`` with numbers from 1 on in each group, in some order: one sort by group and order, dealt out by ranges.
+
+    A group may span many ranges: its number in a range follows those of the ranges before,
+    of which there is one row for each range and group, so the largest group is no single task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(c) for c in by], *[F.col(c) if isinstance(c, str) else c for c in order]]
+    rows = stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_id", 33))
+    parts = rows.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    starts = parts.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], (before - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_range") == F.col("_r")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return rows.join(starts, same).withColumn(name, F.col("_id") + F.col("_shift")).select(*df.columns, name)
+
+
 def read_scripts(spark: SparkSession, roots: dict[str, bool], pattern: str = "*") -> DataFrame:
     """Whole script files below several folders: ``path, name, content, size``.
 

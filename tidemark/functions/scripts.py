@@ -38,6 +38,38 @@ def script_format(name: Column) -> Column:
     return out
 
 
+# What tells a format by content, the first that holds; (prefixes, words near the start, how near).
+_CYPHER, _SQL_STARTS = r"CREATE \(|MATCH \(|MERGE \(|RETURN", "^(?:CREATE|ALTER|DROP|INSERT|UPDATE|DELETE|SELECT)"
+_PAIR_OF_YAML = r"(?m)^\s*\w[\w-]*:\s+\S"
+
+
+def content_format(content: Column) -> Column:
+    """Format by content, for scripts whose extension says nothing; null and empty contents are UNKNOWN.
+
+    Cypher comes before SQL, as both create; then SQL, Python and JavaScript by words at or near the
+    start, JSON by a brace and a quote, and YAML by a key with a value.
+    """
+    text = F.regexp_replace(content, r"^\s+|\s+$", "")
+    upper, lower = F.upper(text), F.lower(text)
+    near = lambda c, n: F.substring(c, 1, n)
+    return (
+        F.when(F.coalesce(content, F.lit("")) == "", "UNKNOWN")
+        .when(near(upper, 200).rlike(_CYPHER), "CYPHER")
+        .when(upper.rlike(_SQL_STARTS), "SQL")
+        .when(lower.startswith("def ") | F.contains(near(lower, 100), F.lit("import ")), "PYTHON")
+        .when(lower.startswith("function ") | F.contains(near(lower, 100), F.lit("var ")), "JAVASCRIPT")
+        .when(text.startswith("{") & F.contains(near(content, 50), F.lit('"')), "JSON")
+        .when(near(content, 300).rlike(_PAIR_OF_YAML) & ~text.startswith("{"), "YAML")
+        .otherwise("UNKNOWN")
+    )
+
+
+def format_of(name: Column, content: Column) -> Column:
+    """Format by extension; by content where that is unknown."""
+    by_name = script_format(name)
+    return F.when(by_name != "UNKNOWN", by_name).otherwise(content_format(content))
+
+
 def _bare(name: Column) -> Column:
     group = F.regexp_extract(name, _TAGS, 0)
     return F.when(group == "", name).otherwise(F.replace(name, group, F.lit("")))

@@ -50,6 +50,39 @@ def version_order(version: Column) -> Column:
     return F.regexp_replace(joined, r"(?<=^|\x00)(?:00000\x00)+$", "")
 
 
+# Fixed value: the grammar of PEP 440 versions, and its spellings of pre-releases.
+_PEP440 = (
+    r"^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?([0-9]+)?)?"
+    r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]+)?)?(?:[-_.]?(dev)[-_.]?([0-9]+)?)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
+)
+_PRE = {"a": "a", "alpha": "a", "b": "b", "beta": "b", "c": "c", "rc": "c", "pre": "c", "preview": "c"}
+
+
+def pep440_order(version: Column) -> Column:
+    """A text that sorts as PEP 440 orders versions; null for a null version and for one that isn't of its grammar.
+
+    In this order: epoch, release without zeros at its end, pre-release (a development release
+    of none comes before all of them, a final one after), post-release, development
+    release (none comes last), local part (numbers after words).
+    """
+    text = F.lower(stripped(version))
+    group = lambda k: F.regexp_extract(text, _PEP440, k)
+
+    def number(digits: Column) -> Column:
+        bare = F.regexp_replace(digits, "^0+", "")
+        return F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)
+
+    parts = F.transform(F.split(group(2), r"\."), lambda x: F.concat(F.lit("\x02"), number(x)))
+    release = F.concat(F.regexp_replace(F.array_join(parts, ""), "(?:\x020000)+$", ""), F.lit("\x01"))
+    letter = F.coalesce(*[F.when(group(3) == k, v) for k, v in _PRE.items()])
+    has_post, has_dev = (group(5) != "") | (group(6) != ""), group(8) != ""
+    pre = F.when(group(3) != "", F.concat(F.lit("1"), letter, number(group(4)))).when(~has_post & has_dev, "0").otherwise("2")
+    post = F.when(has_post, F.concat(F.lit("1"), number(F.concat(group(5), group(7))))).otherwise("0")
+    dev = F.when(has_dev, F.concat(F.lit("0"), number(group(9)))).otherwise("1")
+    local = F.transform(F.split(group(10), "[-_.]"), lambda x: F.when(x == "", "").when(x.rlike("^[0-9]+$"), F.concat(F.lit("\x03"), number(x), F.lit("\x01"))).otherwise(F.concat(F.lit("\x02"), x, F.lit("\x01"))))
+    return F.when(text.rlike(_PEP440), F.concat(number(group(1)), F.lit("\x01"), release, pre, post, dev, F.array_join(local, "")))
+
+
 def or_empty(version: Column) -> Column:
     """A null version counts as empty when it is compared."""
     return F.coalesce(version, F.lit(""))

@@ -91,6 +91,45 @@ def constraint_problems(rows: DataFrame) -> DataFrame:
     return several.unionByName(names).unionByName(trivial).unionByName(same)
 
 
+def reference_problems(rows: DataFrame, columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    """What constraints refer to and isn't there: ``tab, problem, detail``.
+
+    ``rows (tab, type, name, col)`` are the columns of constraints, ``columns (tab, col, nullable,
+    computed, expr)`` those of tables, ``foreign_keys (tab, name, pos, col, ref_tab, ref_col)`` what foreign keys point to.
+    Found are columns that a constraint names and its table lacks, nullable columns of primary
+    keys, computed columns without an expression, and foreign keys without a table, without columns,
+    with another number of columns there, or whose columns there contain no key of that table.  Names are
+    compared in lower case; a table without any columns is one problem and has no others of its columns.
+    """
+    low = lambda c: F.lower(F.col(c))
+    have = columns.select("tab", low("col").alias("col"), "nullable", "computed", "expr")
+    with_columns = have.select("tab").distinct()
+    named = rows.where("col IS NOT NULL").select("tab", "type", "name", low("col").alias("col")).distinct()
+    problem = lambda text: F.lit(text).alias("problem")
+    at = F.concat_ws(".", "name", "col").alias("detail")
+
+    bare = rows.select("tab").distinct().join(with_columns, "tab", "left_anti").select("tab", problem("no columns"), F.lit("").alias("detail"))
+    missing = named.join(with_columns, "tab", "left_semi").join(have.select("tab", "col"), ["tab", "col"], "left_anti").select("tab", problem("missing column"), at).distinct()
+    nullable = named.where("type = 'PRIMARY KEY'").join(have.where("nullable").select("tab", "col"), ["tab", "col"], "left_semi").select("tab", problem("nullable key column"), at)
+    empty = have.where("computed AND coalesce(expr, '') = ''").select("tab", problem("computed without expression"), F.col("col").alias("detail"))
+
+    keys = foreign_keys.groupBy("tab", "name").agg(F.max("ref_tab").alias("ref_tab"), F.count_distinct("pos").alias("n"), F.count_distinct(F.when(F.col("ref_col").isNotNull(), F.col("pos"))).alias("n_ref"))
+    no_table = keys.where("ref_tab IS NULL").select("tab", problem("foreign key without table"), F.col("name").alias("detail"))
+    no_columns = keys.where("n_ref = 0").select("tab", problem("foreign key without columns"), F.col("name").alias("detail"))
+    uneven = keys.where("n_ref > 0 AND n_ref <> n").select("tab", problem("foreign key with other columns"), F.col("name").alias("detail"))
+    # A key is contained if as many of its columns meet as it has.
+    sides = foreign_keys.where("ref_col IS NOT NULL").select("tab", "name", F.col("ref_tab").alias("_t"), low("ref_col").alias("_c")).distinct()
+    unique = named.where("type IN ('PRIMARY KEY', 'UNIQUE')").select(F.col("tab").alias("_t"), "type", F.col("name").alias("_key"), F.col("col").alias("_c"))
+    sizes = unique.groupBy("_t", "type", "_key").agg(F.count(F.lit(1)).alias("_size"))
+    met = sides.join(unique, ["_t", "_c"]).groupBy("tab", "name", "_t", "type", "_key").agg(F.count(F.lit(1)).alias("_met"))
+    held = met.join(sizes, ["_t", "type", "_key"]).where("_met = _size").select("tab", "name").distinct()
+    no_key = keys.where("ref_tab IS NOT NULL AND n_ref > 0").join(held, ["tab", "name"], "left_anti").select("tab", problem("foreign key without key"), F.col("name").alias("detail"))
+    out = bare
+    for found in (missing, nullable, empty, no_table, no_columns, uneven, no_key):
+        out = out.unionByName(found)
+    return out
+
+
 def referenced_columns(foreign_keys: DataFrame, keys: DataFrame) -> DataFrame:
     """The column that each column of a foreign key points to: ``tab, name, pos, col, ref_tab, ref_col``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.checksums import script_checksum
 from tidemark.functions.scripts import base_name, quick_kind, tags, with_parsed_names
 from tidemark.functions.versions import or_empty, version_order
-from tidemark.sources.tables import numbered_within
+from tidemark.sources.tables import numbered_within, stored
 
 from .history import BY, VERSIONED, category, clean_description, current_version, effectively_undone, first_baseline, highest_applied, out_of_order_adjacent, reapplied_after_first_undo, repeatable_checksums, undone_versions
 
@@ -23,12 +23,15 @@ def _ok() -> Column:
 
 
 def resolved_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Scripts with what their names say (``kind`` by the quick rule), their tags and checksum."""
+    """Scripts with what their names say (``kind`` by the quick rule), their tags and checksum.
+
+    Contents are read once: the rows, without contents, are written and read back.  Scripts that
+    are resolved already stay as they are, so a report resolves them once for all its parts.
+    """
+    if "file_checksum" in scripts.columns:
+        return scripts
     named = with_parsed_names(scripts.withColumn("_name", base_name(F.col("name"))), "_name")
-    out = named.select(*by, "script_id", "name", quick_kind(F.col("_name")).alias("kind"), "named_kind", "version", "description", tags(F.col("name")).alias("tags"), script_checksum(F.col("content")).alias("file_checksum"), F.rand().alias("_any"))
-    # Filters stay above a column that isn't deterministic; pushed further down, each would hold the text of all these
-    # expressions once more, too much for generated code.
-    return out.where("_any < 2").drop("_any")
+    return stored(named.select(*by, "script_id", "name", quick_kind(F.col("_name")).alias("kind"), "named_kind", "version", "description", tags(F.col("name")).alias("tags"), script_checksum(F.col("content")).alias("file_checksum")))
 
 
 def ordered_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -87,8 +90,8 @@ def pending(history: DataFrame, scripts: DataFrame, target: str | None = None, b
     has_run = F.coalesce("_by_version", "_by_name", F.lit(False))
     below = F.coalesce(version_order(F.col("version")) <= F.col("_limit"), F.lit(False))
     reason = F.when(F.coalesce("_undone", F.lit(False)), "undone").when(has_run, None).when(below, "below").otherwise("new")
-    stored = repeatable_checksums(history, True, by).withColumnRenamed("script", "name").withColumn("_seen", F.lit(True))
-    repeatable = rows.where("kind = 'REPEATABLE'").join(stored, [*by, "name"], "left").withColumn("reason", F.when(F.col("_seen").isNull(), "new").when(F.col("checksum") != F.col("file_checksum"), "changed"))
+    last = repeatable_checksums(history, True, by).withColumnRenamed("script", "name").withColumn("_seen", F.lit(True))
+    repeatable = rows.where("kind = 'REPEATABLE'").join(last, [*by, "name"], "left").withColumn("reason", F.when(F.col("_seen").isNull(), "new").when(F.col("checksum") != F.col("file_checksum"), "changed"))
     columns = [*by, "script_id", "name", "kind", "version", "reason"]
     return versioned.withColumn("reason", reason).select(*columns).unionByName(repeatable.select(*columns)).where("reason IS NOT NULL")
 
@@ -177,7 +180,7 @@ def still_pending(plan: DataFrame, history: DataFrame, by: Sequence[str] = BY) -
 
 
 #: Columns of the unified listing, after those that tell histories apart.
-LISTED = ("category", "version", "description", "type", "state", "execution_time", "script", "checksum", "installed_by", "installed_rank", "success", "resolved", "source")
+LISTED = ("category", "version", "description", "type", "state", "execution_time", "script", "checksum", "installed_by", "installed_rank", "success", "resolved", "source", "installed_on")
 
 
 def _shown_version(version: Column) -> Column:
@@ -185,15 +188,37 @@ def _shown_version(version: Column) -> Column:
 
 
 def listing(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY) -> DataFrame:
-    """All history rows with their states, then all pending scripts with theirs."""
+    """All history rows with their states, all pending scripts with theirs, and undo scripts of undone versions that aren't pending."""
+    scripts = resolved_scripts(scripts, by)
     rows = _with_state(history, scripts, by)
     labels = category(F.col("type"), F.col("description"))
-    shown = rows.select(*by, labels.alias("category"), _shown_version(F.col("version")).alias("version"), clean_description(F.col("description")).alias("description"), "type", "state", "execution_time", "script", "checksum", "installed_by", F.col("installed_rank"), "success", "resolved", F.lit("applied").alias("source"))
+    shown = rows.select(*by, labels.alias("category"), _shown_version(F.col("version")).alias("version"), clean_description(F.col("description")).alias("description"), "type", "state", "execution_time", "script", "checksum", "installed_by", F.col("installed_rank"), "success", "resolved", F.lit("applied").alias("source"), "installed_on")
     new = pending(history, scripts, target, by).where("reason <> 'below'").select(*by, "script_id")
     files = resolved_scripts(scripts, by).join(new, [*by, "script_id"], "left_semi").join(pending_states(history, scripts, target, by).select(*by, "script_id", "state"), [*by, "script_id"])
     null = lambda kind: F.lit(None).cast(kind)
-    waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), "state", null("int").alias("execution_time"), F.col("name").alias("script"), F.col("file_checksum").cast("int").alias("checksum"), null("string").alias("installed_by"), null("long").alias("installed_rank"), null("boolean").alias("success"), F.lit(True).alias("resolved"), F.lit("pending").alias("source"))
-    return shown.unionByName(waiting)
+    waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), "state", null("int").alias("execution_time"), F.col("name").alias("script"), F.col("file_checksum").cast("int").alias("checksum"), null("string").alias("installed_by"), null("long").alias("installed_rank"), null("boolean").alias("success"), F.lit(True).alias("resolved"), F.lit("pending").alias("source"), null("date").alias("installed_on"))
+    more = synthetic_undos(history, scripts, by).join(waiting.where("version <> ''").select(*by, "version").distinct(), [*by, "version"], "left_anti")
+    undo = more.select(*by, F.lit("Undo").alias("category"), "version", "description", F.lit("UNDO_SQL").alias("type"), F.lit("Available").alias("state"), null("int").alias("execution_time"), F.concat(F.lit("U"), "version", F.lit("__.sql")).alias("script"), null("int").alias("checksum"), null("string").alias("installed_by"), null("long").alias("installed_rank"), null("boolean").alias("success"), F.lit(True).alias("resolved"), F.lit("pending").alias("source"), null("date").alias("installed_on"))
+    return shown.unionByName(waiting).unionByName(undo)
+
+
+def with_undo_file(versions: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Those of ``versions`` for which there is a file ``U<version>*.sql``: version 1 is also met by ``U10__x.sql``.
+
+    Each such file's name is cut at the lengths that versions have, so the search for prefixes is
+    an equi-join.
+    """
+    lengths = versions.select(F.length("version").alias("_n")).distinct()
+    stems = scripts.select(*by, F.regexp_extract(base_name(F.col("name")), r"(?s)^U(.+)\.sql$", 1).alias("_stem")).where("_stem <> ''").distinct()
+    starts = stems.join(lengths, F.col("_n") <= F.length("_stem")).select(*by, F.expr("left(_stem, _n)").alias("version")).distinct()
+    return versions.join(starts, [*by, "version"], "left_semi")
+
+
+def synthetic_undos(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Undone versions with an undo file, and the description of the version's first row."""
+    undone = with_undo_file(undone_versions(history, by).where("version <> ''"), scripts, by)
+    rows = history.where(F.col("type").isin(*VERSIONED)).groupBy(*by, _shown_version(F.col("version")).alias("version")).agg(F.min_by(clean_description(F.col("description")), "installed_rank").alias("description"))
+    return undone.join(rows, [*by, "version"], "left").select(*by, "version", F.coalesce("description", F.concat(F.lit("Undo migration "), "version")).alias("description"))
 
 
 def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY, need_undone: bool = True) -> DataFrame:
@@ -204,6 +229,7 @@ def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by:
     no success of it came after that.  Pending scripts come in ``place``: versioned ones by
     version as text, then others by name.
     """
+    scripts = resolved_scripts(scripts, by)
     latest = repeatable_checksums(history, True, by).withColumnRenamed("checksum", "_latest").withColumn("_known", F.lit("REPEATABLE"))
     last_undo = history.where(_ok() & (F.col("type") == "UNDO_SQL") & F.col("version").isNotNull()).groupBy(*by, "version").agg(F.max("installed_rank").alias("_undo"))
     gone = effectively_undone(history, by).select(*by, "version").withColumn("_gone", F.lit(True))
@@ -230,6 +256,7 @@ def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by:
 
 def snapshot(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """One row for each database: current version, and counts of the states and of pending scripts."""
+    scripts = resolved_scripts(scripts, by)
     states = history_states(history, scripts, by).groupBy(*by).agg(F.count(F.lit(1)).alias("applied"), F.count_if(F.col("state").startswith("Failed") | (F.col("state") == "Needs repair")).alias("failed"), F.count_if(F.col("state") == "Undone").alias("undone"), F.count_if(F.col("state") == "Deleted").alias("deleted"))
     waiting = pending(history, scripts, by=by).where("reason <> 'below'").groupBy(*by).agg(F.count(F.lit(1)).alias("pending"))
     drifted = drifted_repeatables(history, scripts, by).groupBy(*by).agg(F.count(F.lit(1)).alias("drifted"))
@@ -315,6 +342,7 @@ def duplicate_versions(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def repair_plan(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """What repair would do: align checksums, mark missing scripts deleted, remove failed rows."""
+    scripts = resolved_scripts(scripts, by)
     columns = [*by, "script", "installed_rank", "repair_type"]
     checksums = drifted_scripts(history, scripts, by).withColumn("repair_type", F.lit("CHECKSUM_MISMATCH")).select(*columns)
     deleted = history.where("type = 'DELETE'").select(*by, "script").distinct()
@@ -325,6 +353,7 @@ def repair_plan(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY)
 
 def strict_violations(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Applied scripts without a file, and new scripts strictly below the highest applied version."""
+    scripts = resolved_scripts(scripts, by)
     missing = applied_without_file(history, scripts, by).select(*by, "script", F.lit("missing").alias("rule")).distinct()
     ran = history.where(F.col("type").isin(*VERSIONED)).select(*by, "version").distinct()
     new = resolved_scripts(scripts, by).where(F.col("kind").isin(*VERSIONED) & F.col("version").isNotNull()).join(ran, [*by, "version"], "left_anti").join(highest_applied(history, by), list(by))
@@ -334,6 +363,7 @@ def strict_violations(history: DataFrame, scripts: DataFrame, by: Sequence[str]
 
 def failed_issues(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Failed rows, without failed repeatables that will run again because their script has changed."""
+    scripts = resolved_scripts(scripts, by)
     again = repeatables_to_rerun(history, scripts, by).where("verdict = 'modified'").select(*by, "script").distinct()
     rows = history.where(F.col("success") == F.lit(False))
     return rows.where("type <> 'REPEATABLE'").unionByName(rows.where("type = 'REPEATABLE'").join(again, [*by, "script"], "left_anti").select(*rows.columns)).select(*by, "installed_rank", "script", "type")
@@ -341,6 +371,7 @@ def failed_issues(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY
 
 def repaired(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """The history after repair: failed rows gone, checksums aligned with files, and a DELETE row for each missing script."""
+    scripts = resolved_scripts(scripts, by)
     plan = repair_plan(history, scripts, by)
     files = resolved_scripts(scripts, by).select(*by, F.col("name").alias("script"), "file_checksum")
     aligned = plan.where("repair_type = 'CHECKSUM_MISMATCH'").select(*by, "script").distinct().join(files, [*by, "script"])
@@ -363,6 +394,7 @@ def empty_folder_gate(history: DataFrame, scripts: DataFrame, by: Sequence[str]
 
 def validation_issues(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """All issues with the order of their check: duplicates, failures, checksums, missing files."""
+    scripts = resolved_scripts(scripts, by)
 
     def of(order: int, df: DataFrame) -> DataFrame:
         return df.select(*by, F.lit(order).cast("long").alias("check_order"), F.col("script"))
@@ -388,6 +420,7 @@ def may_take_baseline(history: DataFrame, databases: DataFrame, by: Sequence[str
 
 def marked_as_executed(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Rows to append for pending versioned scripts that are recorded without being run, ranked by version."""
+    scripts = resolved_scripts(scripts, by)
     new = pending(history, scripts, by=by).where("kind <> 'REPEATABLE' AND reason <> 'below'")
     top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
     new = numbered_within(new.withColumn("_version", version_order(F.col("version"))), by, "_version", "name", "script_id")

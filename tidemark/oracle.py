@@ -97,6 +97,8 @@ VIEWS = dict(SQL) | {
           WHEN type = 'UNDO_SQL' OR again THEN 'Success' WHEN NOT again THEN 'Undone' WHEN back THEN 'Out of Order' WHEN old THEN 'Outdated' WHEN resolved THEN 'Success' WHEN above THEN 'Future' ELSE 'Missing' END AS state FROM shown""",
     "labels": """SELECT *, CASE WHEN type = 'DELETE' AND regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) <> '' THEN regexp_extract(description, '^\\[DELETE:([A-Z_]+)\\]', 1) ELSE type END AS label,
           trim(regexp_replace(description, '^\\[DELETE:[A-Z_]+\\]', '')) AS cleaned FROM states""",
+    "synthetic_undos": """SELECT u.db, u.version, coalesce((SELECT cleaned FROM labels l WHERE l.db = u.db AND replace(l.version, '_', '.') = u.version AND l.type IN ('SQL', 'PYTHON') ORDER BY installed_rank LIMIT 1), 'Undo migration ' || u.version) AS description
+        FROM (SELECT DISTINCT db, version FROM history WHERE type = 'UNDO_SQL' AND success AND version <> '') u WHERE EXISTS (SELECT 1 FROM scripts s WHERE s.db = u.db AND starts_with(s.name, 'U' || u.version) AND s.name LIKE '%.sql')""",
     "rerun": """SELECT * FROM (SELECT c.db, c.script_id, c.name AS script, CASE WHEN s = false AND coalesce(k = file_checksum, false) THEN 'error' WHEN NOT coalesce(k = file_checksum, false) THEN 'modified' END AS verdict
         FROM checked c JOIN (SELECT db, script, max_by({'s': success}, installed_rank).s AS s, max_by({'k': checksum}, installed_rank).k AS k FROM history WHERE type = 'REPEATABLE' GROUP BY db, script) h ON h.db = c.db AND h.script = c.name
         WHERE c.kind = 'REPEATABLE') WHERE verdict IS NOT NULL""",
@@ -162,4 +164,6 @@ def with_views(query: str) -> str:
     body = query.replace("WITH RECURSIVE ", "")
     if recursive:
         return "WITH RECURSIVE " + "".join(f'"{n}" AS ({VIEWS[n]}),\n' for n in needed) + body
+    if query.startswith("WITH "):
+        return "WITH " + "".join(f'"{n}" AS ({VIEWS[n]}),\n' for n in needed) + query.removeprefix("WITH ")
     return ("WITH " + ",\n".join(f'"{n}" AS ({VIEWS[n]})' for n in needed) + "\n" if needed else "") + query

@@ -20,7 +20,8 @@ SELECT db, installed_rank, CASE WHEN type = 'REPEATABLE' THEN NULL ELSE version
             ELSE 'V' || version || '__step.sql' END AS script,
        CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST((event_id * 7919) % 5 AS INT) END AS checksum,
        'user' || CAST(user_id % 3 AS STRING) AS installed_by,
-       CAST((event_id * 31) % 997 AS INT) AS execution_time, success
+       CAST((event_id * 31) % 997 AS INT) AS execution_time, success,
+       CASE WHEN success IS NOT NULL THEN CAST('2024-0' || CAST(event_id % 9 + 1 AS STRING) || '-' || CAST(event_id % 19 + 10 AS STRING) AS DATE) END AS installed_on
 FROM (
   SELECT event_id, user_id, CAST(user_id % 7 AS BIGINT) AS db, CAST(event_id + 1 AS BIGINT) AS installed_rank,
          CASE WHEN event_id % 499 = 0 THEN '90.' ELSE CAST(user_id % 40 AS STRING) || '.' END || CAST(event_id % 5 AS STRING) AS version,
@@ -152,14 +153,26 @@ SELECT 't' || CAST(o_custkey % 50 AS STRING) AS tab, CASE o_orderkey % 4 WHEN 0
 FROM orders
 """
 
+TABLE_COLUMNS = """
+SELECT 't' || CAST(t AS STRING) AS tab, 'C' || CAST(c AS STRING) AS col, (t * c) % 4 = 0 AS nullable, c = 4 AS computed, CASE WHEN c = 4 AND t % 3 <> 0 THEN 'c1 + 1' END AS expr
+FROM (SELECT DISTINCT o_custkey % 50 AS t, o_orderkey % 6 AS c FROM orders) o WHERE (t + c) % 7 <> 0 AND t % 13 <> 5
+"""
+
+FOREIGN_KEYS = """
+SELECT DISTINCT 't' || CAST(o_custkey % 50 AS STRING) AS tab, 'k' || CAST(o_orderkey % 9 AS STRING) AS name, CAST(o_orderkey % 3 AS BIGINT) AS pos, 'c' || CAST((o_orderkey + o_custkey) % 6 AS STRING) AS col,
+       CASE WHEN o_custkey % 50 % 9 <> 0 THEN 't' || CAST((o_custkey % 50) * 7 % 50 AS STRING) END AS ref_tab,
+       CASE WHEN o_orderkey % 9 = 5 OR (o_orderkey % 9 = 4 AND o_orderkey % 3 = 1) THEN NULL ELSE 'C' || CAST((o_orderkey + o_custkey * 7) % 6 AS STRING) END AS ref_col
+FROM orders WHERE o_orderkey % 4 = 3 AND o_custkey % 50 * 3 % 9 <> 4
+"""
+
 #: Histories and script folders with gaps.
 FOREIGN_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 2 = 0"
 SPARSE_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 18 = 1"
 PARTIAL_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE db <> 4"
 FEW_SCRIPTS = f"SELECT * FROM ({SCRIPTS}) s WHERE db < 3"
 
-TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders"}
-SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS}
+TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders", "table_columns": "orders", "foreign_keys": "orders"}
+SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS, "table_columns": TABLE_COLUMNS, "foreign_keys": FOREIGN_KEYS}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,7 +49,11 @@ query("v2_compare_versions", "history", lambda h: h.select("db", "installed_rank
 query("v3_current_version", "history", history.current_version, "SELECT db, current_version FROM current")
 query("v3b_current_and_baseline", "history", history.current_and_baseline, f"SELECT db, max_by(version, {{'k': {_KEY}, 'r': -installed_rank}}) FILTER (type IN ('SQL', 'PYTHON')) AS current_version, max_by(version, installed_rank) FILTER (type = 'BASELINE') AS baseline_version FROM history WHERE success AND {_V} GROUP BY db")
 query("v4_first_baseline", "history", history.first_baseline, "SELECT db, baseline_version FROM baseline")
-query("v5_scripts_above_baseline", "scripts", lambda s: (lambda r: r.where("kind = 'SQL' AND name LIKE '%.py'").unionByName(r.where("kind = 'SQL' AND name NOT LIKE '%.py' AND version IS NOT NULL").join(r.where("kind = 'BASELINE'").groupBy("db").agg(F.max(versions.version_key(F.regexp_extract("name", "^B([^_].*?)__", 1))).alias("_b")), "db", "left").where(versions.version_key(F.col("version")) > F.col("_b")).drop("_b")).select("db", "script_id", "kind"))(state.resolved_scripts(s)), f"SELECT db, script_id, kind FROM resolved WHERE kind = 'SQL' AND name LIKE '%.py' UNION ALL SELECT r.db, script_id, kind FROM resolved r JOIN (SELECT db, max({key('bv')}) AS b FROM (SELECT db, regexp_extract(name, '^B([^_].*?)__', 1) AS bv FROM resolved WHERE kind = 'BASELINE') GROUP BY db) x ON x.db = r.db WHERE kind = 'SQL' AND name NOT LIKE '%.py' AND version IS NOT NULL AND {_KEY} > b")
+query("v5_scripts_above_baseline", "scripts", lambda s: (lambda r: r.where("kind = 'SQL' AND name LIKE '%.py'").unionByName(r.where("kind = 'SQL' AND name NOT LIKE '%.py' AND version IS NOT NULL").join(r.where("kind = 'BASELINE'").groupBy("db").agg(F.max(versions.pep440_order(F.replace(F.regexp_extract("name", "^B([^_].*?)__", 1), F.lit("_"), F.lit(".")))).alias("_b")), "db", "left").where(versions.pep440_order(F.col("version")) > F.col("_b")).drop("_b")).select("db", "script_id", "kind"))(state.resolved_scripts(s)), f"SELECT db, script_id, kind FROM resolved WHERE kind = 'SQL' AND name LIKE '%.py' UNION ALL SELECT r.db, script_id, kind FROM resolved r JOIN (SELECT db, max({key('bv')}) AS b FROM (SELECT db, regexp_extract(name, '^B([^_].*?)__', 1) AS bv FROM resolved WHERE kind = 'BASELINE') GROUP BY db) x ON x.db = r.db WHERE kind = 'SQL' AND name NOT LIKE '%.py' AND version IS NOT NULL AND {_KEY} > b")
+# Suffixes with what they stand for: (pre-release, its number), post-release, development release, local part; -1 is before, 9 behind all others.
+_SUFFIXES = (("", 9, 0, -1, 999, ""), ("a1", 1, 1, -1, 999, ""), (".beta", 2, 0, -1, 999, ""), ("-RC.2", 3, 2, -1, 999, ""), (".post1", 9, 0, 1, 999, ""), ("-3", 9, 0, 3, 999, ""), (".dev4", -1, 0, -1, 4, ""), ("c1.rev2.dev3", 3, 1, 2, 3, ""), (".post2.dev1", 9, 0, 2, 1, ""), (".0", 9, 0, -1, 999, ""), ("+abc", 9, 0, -1, 999, "abc"), ("+7", 9, 0, -1, 999, "~7"), ("!x", None, 0, 0, 0, ""))
+_PEP = "[" + ", ".join("{'s': '%s', 'p': %s, 'pn': %d, 'o': %d, 'd': %d, 'l': '%s'}" % (x[0], "NULL" if x[1] is None else x[1], *x[2:]) for x in _SUFFIXES) + "]"
+query("v5_pep440_order", "history", lambda h: h.where("version IS NOT NULL").select(F.concat("version", F.element_at(F.array(*[F.lit(x[0]) for x in _SUFFIXES]), (F.col("installed_rank") % 13 + 1).cast("int"))).alias("version")).distinct().select("version", F.when(versions.pep440_order(F.col("version")) < versions.pep440_order(F.lit("12.1rc2")), -1).when(versions.pep440_order(F.col("version")) > versions.pep440_order(F.lit("12.1rc2")), 1).when(versions.pep440_order(F.col("version")).isNotNull(), 0).alias("cmp")), f"SELECT DISTINCT version || x.s AS version, CASE WHEN x.p IS NULL THEN NULL WHEN k < c THEN -1 WHEN k > c THEN 1 ELSE 0 END AS cmp FROM (SELECT *, [split_part(version, '.', 1)::INT, split_part(version, '.', 2)::INT, x.p, x.pn, x.o, x.d] AS k, [12, 1, 3, 2, -1, 999] AS c FROM (SELECT version, {_PEP}[installed_rank % 13 + 1] AS x FROM history WHERE version IS NOT NULL))")
 query("v6_out_of_order_adjacent", "history", history.out_of_order_adjacent, f"SELECT db, installed_rank, version, script FROM (SELECT *, lag(p) OVER (PARTITION BY db ORDER BY installed_rank) AS b FROM (SELECT *, {numbers('version')} AS p FROM history WHERE type IN ('SQL', 'PYTHON') AND {_V})) WHERE p < b")
 query("v6b_out_of_order_scripts", "history", history.out_of_order_scripts, f"SELECT db, installed_rank, script FROM (SELECT *, lag(p) OVER (PARTITION BY db ORDER BY installed_rank) AS b FROM (SELECT *, {_KEY} AS p FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V})) WHERE p < b")
 query("v7_out_of_order_global", "history", history.out_of_order_global, f"SELECT db, installed_rank, version FROM (SELECT *, max(p) OVER (PARTITION BY db ORDER BY installed_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT *, {_KEY} AS p FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND {_V})) WHERE b > p")
@@ -62,9 +66,13 @@ query("s3_parsed_names", "scripts", lambda s: s.withColumn("p", scripts.parsed_n
 query("s3b_quick_kind", "scripts", lambda s: s.select("script_id", scripts.quick_kind(F.col("name")).alias("kind")), "SELECT script_id, kind FROM resolved")
 query("s4_tags", "scripts", lambda s: s.select("script_id", F.explode(scripts.tags(F.col("name"))).alias("tag")), "SELECT script_id, unnest(tags) AS tag FROM resolved")
 query("s5_formats", "scripts", lambda s: s.groupBy(scripts.script_format(F.col("name")).alias("format")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'sql' THEN 'SQL' WHEN 'py' THEN 'PYTHON' WHEN 'json' THEN 'JSON' ELSE 'UNKNOWN' END AS format, count(*) AS n FROM scripts GROUP BY 1")
+_HEADS = ("", "CREATE (n)-[:x]->(m) ", "alter table t ", "import os; ", "function f() {} ", '{"a": ', "key-1: value ", "nothing  ")
+query("s5_formats_by_content", "scripts", lambda s: s.withColumn("c", F.concat(F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (F.col("script_id") % 8 + 1).cast("int")), F.lower(F.replace("content", F.lit(":"), F.lit("."))))).groupBy(scripts.format_of(F.when(F.col("script_id") % 3 == 0, F.col("name")).otherwise("notes.txt"), F.when(F.col("script_id") % 8 != 0, F.col("c"))).alias("format")).agg(F.count(F.lit(1)).alias("n")), r"""SELECT CASE WHEN script_id % 3 = 0 AND name LIKE '%.sql' THEN 'SQL' WHEN script_id % 3 = 0 AND name LIKE '%.py' THEN 'PYTHON' WHEN k = 0 THEN 'UNKNOWN' WHEN k = 1 OR regexp_matches(upper(substr(h, 1, 200)), 'CREATE \(|MATCH \(|MERGE \(|RETURN') THEN 'CYPHER'
+  WHEN k = 2 THEN 'SQL' WHEN k = 3 OR contains(substr(h, 1, 100), 'import ') THEN 'PYTHON' WHEN k = 4 OR contains(substr(h, 1, 100), 'var ') THEN 'JAVASCRIPT' WHEN k = 5 THEN 'JSON' WHEN k = 6 THEN 'YAML' ELSE 'UNKNOWN' END AS format, count(*) AS n
+FROM (SELECT *, script_id % 8 AS k, ['', 'CREATE (n)-[:x]->(m) ', 'alter table t ', 'import os; ', 'function f() {} ', '{"a": ', 'key-1: value ', 'nothing  '][script_id % 8 + 1] || lower(replace(content, ':', '.')) AS h FROM scripts) GROUP BY 1""")
 query("s7_callbacks", "scripts", lambda s: s.where(scripts.is_callback_for(F.col("name"), "beforeEach")).select("script_id", "name"), "SELECT script_id, name FROM scripts WHERE lower(name) LIKE 'beforeeach%'")
 query("s9_query", "history", lambda h: queried("SELECT type, success, count(*) AS n, max(installed_rank) AS last_rank FROM {history} GROUP BY type, success", history=h), "SELECT type, success, count(*) AS n, max(installed_rank) AS last_rank FROM history GROUP BY ALL")
-query("s8_history_scan", "history", lambda h: h.select("installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "execution_time", "success"), "SELECT installed_rank, version, description, type, script, checksum, installed_by, execution_time, success FROM history")
+query("s8_history_scan", "history", lambda h: h.select("installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "installed_on", "execution_time", "success").orderBy("installed_rank"), "SELECT installed_rank, version, description, type, script, checksum, installed_by, installed_on, execution_time, success FROM history ORDER BY installed_rank")
 
 # Checksums
 query("c1_script_checksum", "scripts", lambda s: s.select("script_id", checksums.script_checksum(F.col("content")).alias("checksum")), f"SELECT script_id, {crc('content', 'tb')}::INT AS checksum FROM scripts, crc_table")
@@ -96,10 +104,13 @@ query("h13_failed_states", "history scripts", lambda h, s: state.history_states(
 _SNAPSHOT = "SELECT s.db, c.current_version, s.applied, s.failed, s.undone, s.deleted, coalesce(p.n, 0) AS pending, coalesce(d.n, 0) AS drifted FROM (SELECT db, count(*) AS applied, count(*) FILTER (state LIKE 'Failed%' OR state = 'Needs repair') AS failed, count(*) FILTER (state = 'Undone') AS undone, count(*) FILTER (state = 'Deleted') AS deleted FROM states GROUP BY db) s LEFT JOIN current c ON c.db = s.db LEFT JOIN (SELECT db, count(*) AS n FROM pending WHERE reason IS NOT NULL AND reason <> 'below' GROUP BY db) p ON p.db = s.db LEFT JOIN (SELECT db, count(*) AS n FROM drifted GROUP BY db) d ON d.db = s.db"
 query("h14_snapshot", "history scripts", info.overview, _SNAPSHOT)
 _WAITING = "SELECT p.db, p.kind, p.version, p.name, p.script_id, c.description, c.file_checksum FROM pending p JOIN checked c ON c.db = p.db AND c.script_id = p.script_id WHERE reason IS NOT NULL AND reason <> 'below'"
-_LISTING = f"""SELECT db, {category('label')} AS category, replace(coalesce(version, ''), '_', '.') AS version, cleaned AS description, type, state, execution_time, script, checksum, installed_by, installed_rank, success, resolved, 'applied' AS source FROM labels
+_LISTING = f"""SELECT db, {category('label')} AS category, replace(coalesce(version, ''), '_', '.') AS version, cleaned AS description, type, state, execution_time, script, checksum, installed_by, installed_rank, success, resolved, 'applied' AS source, installed_on FROM labels
     UNION ALL SELECT w.db, {category('w.kind')}, replace(coalesce(w.version, ''), '_', '.'), description, w.kind, CASE WHEN w.kind = 'REPEATABLE' THEN 'Pending' WHEN coalesce({key('w.version')} <= {key('b.baseline_version')}, false) THEN 'Below Baseline'
-      WHEN EXISTS (SELECT 1 FROM resolved u WHERE u.kind = 'UNDO_SQL' AND u.db = w.db AND u.version = w.version) THEN 'Available' ELSE 'Pending' END, NULL, name, CAST(file_checksum AS INT), NULL, NULL, NULL, true, 'pending'
-    FROM ({_WAITING}) w LEFT JOIN baseline b ON b.db = w.db"""
+      WHEN EXISTS (SELECT 1 FROM resolved u WHERE u.kind = 'UNDO_SQL' AND u.db = w.db AND u.version = w.version) THEN 'Available' ELSE 'Pending' END, NULL, name, CAST(file_checksum AS INT), NULL, NULL, NULL, true, 'pending', NULL
+    FROM ({_WAITING}) w LEFT JOIN baseline b ON b.db = w.db
+    UNION ALL SELECT db, 'Undo', version, description, 'UNDO_SQL', 'Available', NULL, 'U' || version || '__.sql', NULL, NULL, NULL, NULL, true, 'pending', NULL FROM synthetic_undos s
+    WHERE NOT EXISTS (SELECT 1 FROM ({_WAITING}) w WHERE w.db = s.db AND replace(w.version, '_', '.') = s.version)"""
+query("h16_synthetic_undos", "history scripts", state.synthetic_undos, "SELECT db, version, description FROM synthetic_undos")
 query("h15_unified_listing", "history scripts", state.listing, _LISTING)
 query("h16_available_undos", "history scripts", state.available_undos, "SELECT r.db, script_id, name, r.version FROM resolved r JOIN undone u ON u.db = r.db AND u.version = r.version WHERE kind = 'UNDO_SQL'")
 _UNDOABLE = "EXISTS (SELECT 1 FROM resolved u WHERE u.named_kind = 'UNDO_SQL' AND u.db = {0}.db AND u.version = {0}.version)"
@@ -263,6 +274,15 @@ query("o2_depths", "edges", graph.depths, _DEPTH + "SELECT node, max(depth)::BIG
 
 # Constraints, undo scripts, repair
 query("x7_constraint_problems", "constraints", catalog.constraint_problems, f"SELECT tab, 'several primary keys' AS problem, count(*)::VARCHAR AS detail FROM (SELECT DISTINCT tab, name FROM constraints WHERE type = 'PRIMARY KEY') GROUP BY tab HAVING count(*) > 1 UNION ALL SELECT tab, 'name used twice', name FROM constraints GROUP BY tab, name HAVING count(DISTINCT type) > 1 UNION ALL SELECT tab, 'trivial check', name FROM constraints WHERE type = 'CHECK' GROUP BY tab, name HAVING bool_or(expr = '1=1') UNION ALL SELECT tab, 'unique columns repeat', s.columns FROM ({_SETS}) s WHERE type = 'UNIQUE' GROUP BY tab, s.columns HAVING count(*) > 1")
+query("x7_reference_problems", "constraints table_columns foreign_keys", catalog.reference_problems, """WITH k AS (SELECT DISTINCT tab, type, name, lower(col) AS col FROM constraints), f AS (SELECT tab, name, max(ref_tab) AS ref_tab, count(DISTINCT pos) AS n, count(DISTINCT pos) FILTER (ref_col IS NOT NULL) AS r, list(DISTINCT lower(ref_col)) FILTER (ref_col IS NOT NULL) AS cs FROM foreign_keys GROUP BY tab, name)
+SELECT DISTINCT tab, 'no columns' AS problem, '' AS detail FROM constraints WHERE tab NOT IN (SELECT tab FROM table_columns)
+UNION ALL SELECT DISTINCT tab, 'missing column', name || '.' || col FROM k WHERE tab IN (SELECT tab FROM table_columns) AND NOT EXISTS (SELECT 1 FROM table_columns c WHERE c.tab = k.tab AND lower(c.col) = k.col)
+UNION ALL SELECT tab, 'nullable key column', name || '.' || col FROM k WHERE type = 'PRIMARY KEY' AND EXISTS (SELECT 1 FROM table_columns c WHERE c.tab = k.tab AND lower(c.col) = k.col AND nullable)
+UNION ALL SELECT tab, 'computed without expression', lower(col) FROM table_columns WHERE computed AND coalesce(expr, '') = ''
+UNION ALL SELECT tab, 'foreign key without table', name FROM f WHERE ref_tab IS NULL
+UNION ALL SELECT tab, 'foreign key without columns', name FROM f WHERE r = 0
+UNION ALL SELECT tab, 'foreign key with other columns', name FROM f WHERE r > 0 AND r <> n
+UNION ALL SELECT tab, 'foreign key without key', name FROM f WHERE ref_tab IS NOT NULL AND r > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT tab AS t, type, name, list(col) AS u FROM k WHERE type IN ('PRIMARY KEY', 'UNIQUE') GROUP BY ALL) g WHERE g.t = f.ref_tab AND list_has_all(f.cs, g.u))""")
 query("u1_reversed_script", "statements", lambda s: undo.reversed_script(s.withColumn("script", F.col("stmt_id") % 100), ["script"]), None)
 query("u2_reversed_statements", "statements", lambda s: s.withColumn("r", undo.reverse_statement(F.col("sql_text"))).select("stmt_id", "r.*"), f"SELECT stmt_id, CASE stmt_id % 16 WHEN 0 THEN 'DROP TABLE s.' || t WHEN 9 THEN 'DROP INDEX ix' || n WHEN 1 THEN 'ALTER TABLE ' || t || ' DROP COLUMN c' || n WHEN 3 THEN 'DELETE FROM ' || t || ' WHERE id = 1 AND name = ''a;b''' WHEN 7 THEN 'DELETE FROM ' || t || ' WHERE id = 1' END AS undo_sql, CASE WHEN stmt_id % 16 IN (0, 1, 9) THEN NULL WHEN stmt_id % 16 IN (3, 7) THEN 'review: deletes by equality' ELSE 'cannot reverse ' || CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'COMMENT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END END AS warning FROM (SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS t, (stmt_id % 5)::VARCHAR AS n, upper(regexp_extract({_BARE}, '^([A-Za-z]*)', 1)) AS v FROM statements)")
 _REPAIR = "SELECT db, script, installed_rank, 'CHECKSUM_MISMATCH' AS repair_type FROM drifted_sql UNION ALL SELECT db, script, installed_rank, 'MISSING_SCRIPT' FROM without_file w WHERE NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = w.db AND d.script = w.script) UNION ALL SELECT db, script, installed_rank, 'FAILED_MIGRATION' FROM history WHERE NOT success"
@@ -282,7 +302,7 @@ query("r6_first_failing_check", "history scripts", state.first_failing_check, f"
 query("r7_baseline_guard", "partial_history scripts", state.may_take_baseline, "SELECT DISTINCT db FROM scripts WHERE db NOT IN (SELECT db FROM partial_history)")
 query("r8_marked_as_executed", "history scripts", state.marked_as_executed, f"SELECT p.db, coalesce(top, 0) + row_number() OVER (PARTITION BY p.db ORDER BY {_KEY}, name, script_id) AS installed_rank, version, kind AS type, name AS script FROM pending p LEFT JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = p.db WHERE kind <> 'REPEATABLE' AND reason IS NOT NULL AND reason <> 'below'")
 query("r9_cleaned_objects", "objects", catalog.drop_order, "SELECT DISTINCT kind, lower(coalesce(schema_name, 'public')) AS schema_name, lower(name) AS name, list_position(['trigger', 'view', 'procedure', 'index', 'table', 'sequence'], kind)::BIGINT AS step FROM objects")
-query("r10_missing_columns", "history", lambda h: catalog.missing_columns(h.columns, ["installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "installed_on", "execution_time", "success"], h), "SELECT 'installed_on' AS column_name")
+query("r10_missing_columns", "history", lambda h: catalog.missing_columns(h.drop("installed_on").columns, ["installed_rank", "version", "description", "type", "script", "checksum", "installed_by", "installed_on", "execution_time", "success"], h), "SELECT 'installed_on' AS column_name")
 query("j11_tables_without_view", "objects", lambda o: (lambda r: r.where("kind = 'table'").select("name").join(r.where("kind = 'view'").select("name"), "name", "left_anti").distinct())(catalog.distinct_names(o)), "SELECT DISTINCT lower(name) AS name, FROM objects t WHERE kind = 'table' AND NOT EXISTS (SELECT 1 FROM objects v WHERE v.kind = 'view' AND lower(v.name) = lower(t.name))".replace("name, FROM", "name FROM"))
 query("j13_has_rows", "history", lambda h: h.groupBy("db").agg(F.bool_or(F.col("type") == "BASELINE").alias("has_baseline")), "SELECT db, EXISTS (SELECT 1 FROM history b WHERE b.db = h.db AND b.type = 'BASELINE') AS has_baseline FROM (SELECT DISTINCT db FROM history) h")
 query("m9_enriched_columns", "columns", lambda c: catalog.enriched_columns(c.where("side = 'a'"), c.where("side = 'b'")), "SELECT a.tab, a.col, a.type, b.d AS detail FROM columns a LEFT JOIN (SELECT tab, lower(col) AS n, min_by({'d': dflt}, pos).d AS d FROM columns WHERE side = 'b' GROUP BY ALL) b ON b.tab = a.tab AND b.n = lower(a.col) WHERE a.side = 'a'")

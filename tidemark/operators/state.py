@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.checksums import script_checksum
 from tidemark.functions.scripts import base_name, quick_kind, tags, with_parsed_names
 from tidemark.functions.versions import or_empty, version_order
-from tidemark.sources.tables import numbered_within, stored
+from tidemark.sources.tables import numbered_within, overwrite_touched, stored
 
 from .history import BY, VERSIONED, category, clean_description, current_version, effectively_undone, first_baseline, highest_applied, out_of_order_adjacent, reapplied_after_first_undo, repeatable_checksums, undone_versions
 
@@ -370,19 +370,34 @@ def failed_issues(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY
 
 
 def repaired(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """The history after repair: failed rows gone, checksums aligned with files, and a DELETE row for each missing script."""
+    """The history after repair: failed rows gone, checksums aligned with files, and a DELETE row for each missing script.
+
+    All columns of the history are kept.  A DELETE row has the version of the script's last row and
+    its description behind ``[DELETE:TYPE]``, and is ranked behind all others by script.
+    """
     scripts = resolved_scripts(scripts, by)
-    plan = repair_plan(history, scripts, by)
-    files = resolved_scripts(scripts, by).select(*by, F.col("name").alias("script"), "file_checksum")
+    plan = stored(repair_plan(history, scripts, by))
+    files = scripts.select(*by, F.col("name").alias("script"), "file_checksum")
     aligned = plan.where("repair_type = 'CHECKSUM_MISMATCH'").select(*by, "script").distinct().join(files, [*by, "script"])
     aligned = aligned.groupBy(*by, "script").agg(F.min("file_checksum").alias("_new"))
     kept = history.where(~F.coalesce(F.col("success") == F.lit(False), F.lit(False))).join(aligned, [*by, "script"], "left")
-    kept = kept.withColumn("checksum", F.when((F.col("type") == "SQL") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("checksum")))
+    kept = kept.withColumn("checksum", F.when((F.col("type") == "SQL") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("checksum"))).select(*history.columns)
     top = history.groupBy(*by).agg(F.max("installed_rank").alias("_top"))
-    gone = plan.where("repair_type = 'MISSING_SCRIPT'").select(*by, "script").distinct()
-    gone = numbered_within(gone, by, "script").join(top, list(by))
-    gone = gone.select(*by, (F.col("_top") + F.col("place")).alias("installed_rank"), F.lit("DELETE").alias("type"), "script", F.lit(None).cast("int").alias("checksum"), F.lit(True).alias("success"))
-    return kept.select(*by, "installed_rank", "type", "script", "checksum", "success").unionByName(gone)
+    last = history.groupBy(*by, "script").agg(F.max_by(F.struct("version", "description", "type"), "installed_rank").alias("_last"))
+    gone = numbered_within(plan.where("repair_type = 'MISSING_SCRIPT'").select(*by, "script").distinct(), by, "script").join(top, list(by)).join(last, [*by, "script"])
+    values = {"installed_rank": F.col("_top") + F.col("place"), "type": F.lit("DELETE"), "version": F.col("_last.version"), "description": F.concat(F.lit("[DELETE:"), "_last.type", F.lit("] "), "_last.description"), "success": F.lit(True), "execution_time": F.lit(0)}
+    values |= {c: F.col(c) for c in (*by, "script")}
+    gone = gone.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in history.schema])
+    return kept.unionByName(gone)
+
+
+def apply_repair(path: str, scripts: DataFrame, by: Sequence[str] = BY) -> None:
+    """Repair the histories that :func:`tidemark.sources.tables.write_history` wrote: only databases that need it are written anew."""
+    history = scripts.sparkSession.read.parquet(path)
+    scripts = resolved_scripts(scripts, by)
+    touched = stored(repair_plan(history, scripts, by).select(*by).distinct())
+    mine = lambda df: df.join(touched, list(by), "left_semi")
+    overwrite_touched(repaired(mine(history), mine(scripts), by), touched, path, by)
 
 
 def empty_folder_gate(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:

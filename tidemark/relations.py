@@ -159,9 +159,9 @@ FROM (SELECT DISTINCT o_custkey % 50 AS t, o_orderkey % 6 AS c FROM orders) o WH
 """
 
 FOREIGN_KEYS = """
-SELECT DISTINCT 't' || CAST(o_custkey % 50 AS STRING) AS tab, 'k' || CAST(o_orderkey % 9 AS STRING) AS name, CAST(o_orderkey % 3 AS BIGINT) AS pos, 'c' || CAST((o_orderkey + o_custkey) % 6 AS STRING) AS col,
+SELECT DISTINCT 't' || CAST(o_custkey % 50 AS STRING) AS tab, 'k' || CAST(o_orderkey % 9 AS STRING) AS name, CAST((o_orderkey + o_custkey) % 3 AS BIGINT) AS pos, 'c' || CAST((o_orderkey + o_custkey) % 6 AS STRING) AS col,
        CASE WHEN o_custkey % 50 % 9 <> 0 THEN 't' || CAST((o_custkey % 50) * 7 % 50 AS STRING) END AS ref_tab,
-       CASE WHEN o_orderkey % 9 = 5 OR (o_orderkey % 9 = 4 AND o_orderkey % 3 = 1) THEN NULL ELSE 'C' || CAST((o_orderkey + o_custkey * 7) % 6 AS STRING) END AS ref_col
+       CASE WHEN o_orderkey % 9 = 5 OR (o_orderkey % 9 = 4 AND (o_orderkey + o_custkey) % 3 = 1) THEN NULL ELSE 'C' || CAST((o_orderkey + o_custkey * 7) % 6 AS STRING) END AS ref_col
 FROM orders WHERE o_orderkey % 4 = 3 AND o_custkey % 50 * 3 % 9 <> 4
 """
 

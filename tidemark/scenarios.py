@@ -13,7 +13,7 @@ from .operators.contraction import strong_components
 from .oracle import category, crc, key, numbers, type_case, with_views
 from .plans import info
 from .relations import relation
-from .sources.tables import coerced_history, queried
+from .sources.tables import append_history, coerced_history, decoded, encoding, new_path, queried, read_history, read_scripts, write_history, written_scripts
 
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -294,7 +294,44 @@ query("r5_failed_issues", "history scripts", state.failed_issues, "SELECT db, in
 # More of validation, catalogs and imports
 query("h3c_reapplied_by_sequence", "history", history.reapplied_after_last_undo, "SELECT DISTINCT h.db, h.version FROM history h WHERE success AND type IN ('SQL', 'PYTHON') AND installed_rank > (SELECT max(installed_rank) FROM history u WHERE u.db = h.db AND u.version = h.version AND u.type = 'UNDO_SQL' AND u.success)")
 query("r2_empty_folder_gate", "history few_scripts", state.empty_folder_gate, "SELECT db, count(*) AS n FROM history h WHERE type NOT IN ('DELETE', 'BASELINE') AND db NOT IN (SELECT db FROM few_scripts) AND NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = h.db AND d.script = h.script) GROUP BY db")
-query("r3_repaired", "history scripts", state.repaired, f"SELECT h.db, h.installed_rank, h.type, h.script, CASE WHEN h.type = 'SQL' AND a.c IS NOT NULL THEN a.c ELSE h.checksum END::INT AS checksum, h.success FROM history h LEFT JOIN (SELECT d.db, d.script, min(c.file_checksum) AS c FROM (SELECT DISTINCT db, script FROM drifted_sql) d JOIN checked c ON c.db = d.db AND c.name = d.script GROUP BY ALL) a ON a.db = h.db AND a.script = h.script WHERE h.success IS DISTINCT FROM false UNION ALL SELECT g.db, t.top + row_number() OVER (PARTITION BY g.db ORDER BY g.script), 'DELETE', g.script, NULL, true FROM (SELECT DISTINCT db, script FROM ({_REPAIR}) WHERE repair_type = 'MISSING_SCRIPT') g JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = g.db")
+_AFTER = ("db", "installed_rank", "type", "script", "checksum", "success")
+
+
+def _applied_repair(h: DataFrame, s: DataFrame) -> DataFrame:
+    path = new_path(h.sparkSession, "history")
+    write_history(h, path, ["db"])
+    state.apply_repair(path, s)
+    return h.sparkSession.read.parquet(path).select(F.col("db").cast("long").alias("db"), *_AFTER[1:])
+
+
+def _appended(h: DataFrame, new: DataFrame) -> DataFrame:
+    path = new_path(h.sparkSession, "history")
+    with_id = lambda df: df.withColumn("script", F.concat("script", F.lit("#"), F.col("installed_rank").cast("string")))
+    for rows in (h, new):
+        append_history(with_id(rows), path)
+    return read_history(h.sparkSession, path).select("installed_rank", "version", "type", "script", "checksum", "success")
+
+
+def _read_back(s: DataFrame) -> DataFrame:
+    """Contents written in four character sets below two folders, read back with what each file's bytes say."""
+    path = new_path(s.sparkSession, "scripts")
+    line = F.concat(F.lit("-- a line of a script, as it was read: "), F.regexp_replace(F.regexp_replace("content", r"[\r\n\x00\x01\x85\u2028\u2029]", " "), r"[^\x00-\xff]", "?"))
+    for k, (charset, folder) in enumerate((("UTF-8", "flat"), ("ISO-8859-1", "deep/one"), ("UTF-16LE", "deep/two"), ("UTF-16", "flat"))):
+        rows = s.where(F.col("script_id") % 4 == k).select(line.alias("content"), (F.col("script_id") % 8).alias("file"))
+        written_scripts(rows.repartition(2, "file"), f"{path}/{folder}/{k}", charset)
+    files = read_scripts(s.sparkSession, {f"{path}/flat/0": False, f"{path}/flat/3": False, f"{path}/deep": True, f"{path}/deep/one": True}, "*.csv")
+    lines = files.select(F.regexp_extract("path", r"/(\d)/[^/]*$", 1).alias("written"), F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+    return lines.groupBy("written").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"), F.max("line").alias("last"))
+
+
+_REPAIRED = f"SELECT h.db, h.installed_rank, h.type, h.script, CASE WHEN h.type = 'SQL' AND a.c IS NOT NULL THEN a.c ELSE h.checksum END::INT AS checksum, h.success FROM history h LEFT JOIN (SELECT d.db, d.script, min(c.file_checksum) AS c FROM (SELECT DISTINCT db, script FROM drifted_sql) d JOIN checked c ON c.db = d.db AND c.name = d.script GROUP BY ALL) a ON a.db = h.db AND a.script = h.script WHERE h.success IS DISTINCT FROM false UNION ALL SELECT g.db, t.top + row_number() OVER (PARTITION BY g.db ORDER BY g.script), 'DELETE', g.script, NULL, true FROM (SELECT DISTINCT db, script FROM ({_REPAIR}) WHERE repair_type = 'MISSING_SCRIPT') g JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = g.db"
+query("r3_repaired", "history scripts", lambda h, s: state.repaired(h, s).select(*_AFTER), _REPAIRED)
+query("r3_applied_repair", "history scripts", _applied_repair, _REPAIRED)
+query("s10_appended_history", "sparse_history foreign_history", _appended, """WITH old AS (SELECT *, script || '#' || installed_rank::VARCHAR AS s FROM sparse_history), new AS (SELECT *, script || '#' || installed_rank::VARCHAR AS s FROM foreign_history)
+SELECT row_number() OVER (ORDER BY s) AS installed_rank, version, type, s AS script, checksum, success FROM old UNION ALL SELECT (SELECT count(*) FROM old) + row_number() OVER (ORDER BY s), version, type, s, checksum, success FROM new""")
+query("s1_scripts_read_back", "scripts", _read_back, r"""SELECT (script_id % 4)::VARCHAR AS written, count(*) AS n, sum(length(l))::BIGINT AS chars, max(l) AS last FROM (SELECT script_id, '-- a line of a script, as it was read: ' || regexp_replace(regexp_replace(content, '[\r\n\x00\x01\x{85}\x{2028}\x{2029}]', ' ', 'g'), '[^\x00-\x{ff}]', '?', 'g') AS l FROM scripts) GROUP BY 1""")
+_SETS4 = (("UTF-8", "utf-8", ""), ("UTF-16LE", "utf-16-le", "\ufeff"), ("UTF-16BE", "utf-16-be", "\ufeff"), ("ISO-8859-1", None, ""))
+query("s6_encodings", "scripts", lambda s: (lambda b: b.select("script_id", encoding(F.col("b")).alias("encoding"), (decoded(F.col("b")) == F.col("t")).alias("same")))(s.withColumn("t", F.concat(F.lit("x"), F.regexp_replace("content", r"[^\x00-\xff]", "?"))).select("script_id", "t", F.coalesce(*[F.when(F.col("script_id") % 4 == k, F.encode(F.concat(F.lit(bom), "t"), c)) for k, (c, _, bom) in enumerate(_SETS4)]).alias("b"))), r"""SELECT script_id, CASE script_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16-le' WHEN 2 THEN 'utf-16-be' ELSE CASE WHEN regexp_matches(t, '[\x{80}-\x{ff}]') THEN 'iso-8859-1' ELSE 'utf-8' END END AS encoding, true AS same FROM (SELECT script_id, regexp_replace(content, '[^\x00-\x{ff}]', '?', 'g') AS t FROM scripts)""")
 _DUPLICATES = "SELECT db, name AS script FROM (SELECT *, row_number() OVER (PARTITION BY db, version ORDER BY script_id) AS n FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL) WHERE n > 1"
 _ISSUES = f"SELECT db, 1::BIGINT AS check_order, script FROM ({_DUPLICATES}) UNION ALL SELECT db, 2, script FROM history h WHERE NOT success AND NOT (type = 'REPEATABLE' AND EXISTS (SELECT 1 FROM rerun r WHERE r.verdict = 'modified' AND r.db = h.db AND r.script = h.script)) UNION ALL SELECT l.db, CASE WHEN c.script_id IS NULL THEN 4 ELSE 3 END, l.script FROM last_success l JOIN history h ON h.db = l.db AND h.installed_rank = l.installed_rank LEFT JOIN checked c ON c.db = l.db AND c.name = l.script WHERE c.script_id IS NULL OR (h.type <> 'REPEATABLE' AND l.checksum IS NOT NULL AND l.checksum <> c.file_checksum)"
 query("r6_validation_issues", "history scripts", state.validation_issues, _ISSUES)

@@ -27,7 +27,7 @@ HISTORY_SCHEMA = T.StructType(
 )
 
 
-_written: list[str] = []
+_written: list[tuple[str, str]] = []
 _local: list[str] = []
 
 
@@ -43,20 +43,27 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
+def new_path(spark: SparkSession, what: str = "step") -> str:
+    """A path of its own in the shared folder that :func:`release` will delete."""
+    path = f"{shared_folder(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; this cuts its lineage. :func:`release` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that :func:`stored` wrote in this session."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    for entry in [e for e in _written if e[0] == app]:
+        _written.remove(entry)
+        _delete(spark, entry[1])
 
 
 def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
@@ -136,19 +143,54 @@ def coerced_history(raw: DataFrame) -> DataFrame:
     return raw.select(*columns)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def append_history(new: DataFrame, path: str) -> None:
-    """Append rows to the history at ``path``, ranked behind what is there in the order of their scripts."""
+    """Append rows to the history at ``path``, ranked behind what is there in the order of their scripts.
+
+    One writer at a time: two that append at once would give the same ranks (``duplicate_ranks`` finds
+    them, ``reranked`` mends them).
+    """
     spark = new.sparkSession
-    try:
-        top = spark.read.schema(HISTORY_SCHEMA).parquet(path).agg(F.coalesce(F.max("installed_rank"), F.lit(0))).first()[0]
-    except Exception as e:  # nothing there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        top = 0
+    top = spark.read.schema(HISTORY_SCHEMA).parquet(path).agg(F.coalesce(F.max("installed_rank"), F.lit(0))).first()[0] if _exists(spark, path) else 0
     ranked = numbered(new.drop("installed_rank"), "script", name="_place").withColumn("installed_rank", F.col("_place") + F.lit(top))
     ranked.select(*[F.col(f.name).cast(f.dataType) for f in HISTORY_SCHEMA]).write.mode("append").parquet(path)
 
 
+def write_history(history: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Write the histories of many databases, a folder for each."""
+    history.repartition(*by).write.mode("error").partitionBy(*by).parquet(path)
+
+
+def overwrite_touched(new: DataFrame, touched: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace the folders of ``touched (by)`` at ``path`` with the rows of ``new``; others keep their files.
+
+    ``new`` may come from ``path`` itself: it is written aside in full before anything there changes.  A
+    touched folder without new rows is removed.
+    """
+    spark = new.sparkSession
+    staged, touched = stored(new), stored(touched.select(*by).distinct())
+    gone = touched.join(staged.select(*by).distinct(), list(by), "left_anti")
+    folders = [r["folder"] for r in spark.read.parquet(path).select(*by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).join(gone, list(by), "left_semi").select("folder").distinct().toLocalIterator()]
+    staged.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for folder in folders:
+        _delete(spark, folder)
+
+
+def written_scripts(scripts: DataFrame, path: str, charset: str) -> None:
+    """Write ``scripts (content)`` as text files in a character set, a line for each row; a row holds no line end and no zero byte."""
+    plain = {"quote": "\0", "escape": "\0", "sep": "\1", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    scripts.select("content").write.options(encoding=charset, **plain).csv(path)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path)
 

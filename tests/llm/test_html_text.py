@@ -1,4 +1,5 @@
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -64,15 +65,87 @@ def test_low_stop_words():
     assert names.strip() in main_text(f"<article><p>{SENTENCES['en'] * 3}</p><p>{names}</p></article>")
 
 
-def test_each_pass_decides(monkeypatch):
-    pages = [p for p in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if p]
-    both = [main_text(p) for p in pages]
-    with monkeypatch.context() as m:
-        m.setattr(html_text, "first_pass", lambda blocks: None)
-        assert sum(main_text(p) != t for p, t in zip(pages, both, strict=True)) == len(pages)
-    with monkeypatch.context() as m:
-        m.setattr(html_text, "second_pass", lambda blocks: None)
-        assert sum(main_text(p) != t for p, t in zip(pages, both, strict=True)) > len(pages) // 2
+def labelled_pages():
+    """Forty pages with their texts: with and without an article element, which may hold boilerplate that nothing names, stand in a wrapper of a telling name, or not hold all."""
+    pages = []
+    for lang, sentence in SENTENCES.items():
+        one, two, short = sentence * 3, sentence * 2, sentence[:50].strip()
+        body = f"<h2>{short}</h2><p>{one}</p><p>{short}</p><p>{two}</p><p>{short}</p>"
+        text = [short, one.strip(), short, two.strip(), short]
+        pages += [
+            (f"<body>{MENU}<div>{body}</div>{MENU}{LEGAL}</body>", text),
+            (f"<body>{MENU}<div>{body}</div>{MENU}{OFFER}{MENU}</body>", text),
+            (f"<body>{MENU}<article>{body}</article>{OFFER}{LEGAL}</body>", text),
+            (f"<body>{MENU}<article>{body}{MENU}</article>{LEGAL}</body>", text),
+            (f'<body>{MENU}<article>{body}<p><a href="/">{one}</a></p></article>{LEGAL}</body>', text),
+            (f'<body>{MENU}<div class="related"><article>{body}</article></div>{LEGAL}</body>', text),
+            (f'<body>{MENU}<article>{body}</article><div><p>{one}</p><p>{two}</p></div><div class="ad"><p>{one}</p></div>{LEGAL}</body>', [*text, one.strip(), two.strip()]),
+            (f'<body><div class="promo"><p>{one}</p></div>{MENU}<div>{body}</div>{MENU}<div class="notice"><p>{short}</p></div></body>', text),
+        ]
+    return pages
+
+
+def right(pages):
+    return [main_text(page).split("\n") == text for page, text in pages]
+
+
+def test_passes_and_place_decide(monkeypatch):
+    """Each pass replaced by a default label, and the place rule by nothing, spoils labelled pages; so does a bare place rule."""
+    pages = labelled_pages()
+    assert len(pages) == 40 and all(right(pages))
+
+    def all_are(label):
+        def run(blocks, names=True):
+            for b in blocks:
+                b.label, b.weight = b.label or label, 0.0
+
+        return run
+
+    def by_place(blocks, names=True):
+        for b in blocks:
+            b.label, b.weight = "good" if b.article else "bad", 0.0
+
+    read = html_text.blocks_of
+
+    def placeless(page):
+        blocks = read(page)
+        for b in blocks:
+            b.article = 0
+        return blocks
+
+    spoilt = {}
+    for name, part, instead in [("first good", "first_pass", all_are("good")), ("first bad", "first_pass", all_are("bad")), ("second good", "second_pass", all_are("good")), ("second bad", "second_pass", all_are("bad")), ("no place", "blocks_of", placeless), ("only place", "first_pass", by_place)]:
+        with monkeypatch.context() as m:
+            m.setattr(html_text, part, instead)
+            spoilt[name] = len(pages) - sum(right(pages))
+    assert spoilt["first good"] == spoilt["first bad"] == 40
+    assert spoilt["second bad"] == 40 and spoilt["second good"] >= 10 and spoilt["only place"] >= 20 and spoilt["no place"] >= 5, spoilt
+
+
+def test_implied_ends():
+    text = PARAGRAPH.strip()
+    assert main_text(f"<p hidden>x<p>{text}") == text
+    assert main_text(f"<article><p>{text}</p><p><span hidden><span>a</span> SECRET</span>kept</p></article>") == text + "\nkept"
+    assert main_text(f"<article><p>{text}</p><ul><li class=ad>buy<li>keep</ul></article>") == text + "\nkeep"
+    assert main_text(f"<article><p>{text}</p><table><tr><td hidden>a<td>b<tr class=ad><td>c</table></article>") == text + "\nb"
+    assert main_text(f"<article><p>{text}</p><dl><dt hidden>a<dd>b<dt>c</dl></article>") == text + "\nb\nc"
+    assert main_text(f"<article><p>{text}</p><div hidden><p>a</div><b><p>in bold</b> and on</article>") == text + "\nin bold and on"
+
+
+def test_other_language_and_wrappers():
+    page = f"<p>{SENTENCES['en'] * 3}</p><p>{SENTENCES['fi'] * 3}</p><p>{SENTENCES['en'] * 3}</p>"
+    for kind in ("div", "article"):
+        assert SENTENCES["fi"].strip() in main_text(f"<body>{MENU}<{kind}>{page}</{kind}>{LEGAL}</body>")
+    for name in ("related", "notice", "promo", "login", "post-body comment"):
+        assert main_text(f'<div class="{name}"><article><p>{PARAGRAPH}</p></article></div>') == PARAGRAPH.strip()
+
+
+@pytest.mark.parametrize("unit", ["<p hidden>", "<span hidden>", "<li class=ad>", "<div>", "</b><p>", "<a ", "<td>", "<!--", "<table><tr>", "<p>x</div>", "x"])
+def test_long_pages_in_proportion(unit):
+    """A page of a megabyte of one unclosed thing takes a few times what half of it takes, and seconds at most."""
+    began = time.perf_counter()
+    main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 6
 
 
 def test_whole_names_only():

@@ -1,16 +1,17 @@
 """Operator 9: main text of web pages by two passes of block rules.
 
-A page is read into blocks: runs of text between block-level tags.  Scripts, styles, forms
-and hidden parts, and elements whose class or id says that they hold boilerplate, are no
-blocks at all.  All other blocks go through both passes.
-
-1. Link density, length and density of stop words decide what they can.  Blocks of many
-   links, and those in menus, headers, footers and asides, are bad.  Long blocks of running
-   text are good.  Long ones without stop words are bad, unless the page's language has no
-   stop list here, or they stand in an article (a table or a list of names may be poor in
-   stop words).  What is short or in between stays ambiguous.
+A page is read into blocks: runs of text between block-level tags, with the ends that HTML
+implies.  Scripts, styles, forms and hidden parts are no blocks at all.  All other blocks go
+through both passes.
+
+1. Every block is weighed: length and stop words speak for it, link density against it, and so do
+   menus, headers, footers, asides and elements whose class or id names boilerplate; standing
+   in an article element is one more thing that speaks for it.  What weighs enough either
+   way is decided.  Few stop words alone never decide, as a block may be in another language.
 2. Ambiguous blocks inherit the label of the nearest decided ones, in an article those of
    the article first.
+
+If nothing is good, blocks that only a class or id name spoke against are weighed without it.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Link density of boilerplate; lengths and stop-word densities of text.
-LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.15, 0.25
-#: Link density of boilerplate in an article, where paragraphs may hold many links.
-ARTICLE_LINKS = 0.5
+#: Link densities of boilerplate and of much of it; lengths and stop-word densities of text.
+LINKS, MANY_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 0.5, 70, 200, 0.15, 0.25
+#: What a block must weigh to be good; as much below 0 is bad.
+DECIDED = 1.5
 #: A page whose blocks have a smaller share of any language's stop words is in a language without a list.
 KNOWN_LANGUAGE = 0.12
 
@@ -42,8 +43,15 @@ _BLOCKS = frozenset({
     "li", "main", "menu", "nav", "object", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td",
     "tfoot", "th", "thead", "tr", "ul",
 })
-#: Block elements that end by themselves, and inline ones, aren't kept track of.
-_OPEN = frozenset({"article", "main", "section", "div", "header", "figure", "details", "blockquote", "table", "ul", "ol", "dl", "body", "center"}) | _DROPPED | _PLACES
+_VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+#: Elements whose start ends an open paragraph, and which elements a start ends otherwise, up to what holds them.
+_ENDS_P = _BLOCKS - {"body", "button", "caption", "dd", "dt", "head", "html", "legend", "li", "object", "optgroup", "option", "select", "tbody", "td", "tfoot", "th", "thead", "tr"}
+_CELLS = frozenset({"td", "th", "caption", "table", "object", "button", "html"})
+_LISTS = frozenset({"ul", "ol", "menu", "dir"})
+_IMPLIED = {
+    "li": (("li",), _LISTS), "dd": (("dd", "dt"), frozenset({"dl"})), "dt": (("dd", "dt"), frozenset({"dl"})), "td": (("td", "th"), frozenset({"table", "tr"})), "th": (("td", "th"), frozenset({"table", "tr"})),
+    "tr": (("tr",), frozenset({"table"})), "tbody": (("tbody", "thead", "tfoot"), frozenset({"table"})), "tfoot": (("tbody", "thead", "tfoot"), frozenset({"table"})), "thead": (("tbody", "thead", "tfoot"), frozenset({"table"})), "option": (("option",), frozenset({"select"})),
+}
 _ARTICLE = frozenset({"article", "main"})
 _HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 #: Words of class names of boilerplate, and those that may stand beside them in one name.
@@ -78,7 +86,7 @@ _MARKS = ".,;:!?\"'()[]“”„«»"
 _ENDS: dict[str, re.Pattern] = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in _RAW}
 
 
-OUT, ASIDE = 1, 2
+OUT, ASIDE, NAMED = 1, 2, 3
 
 
 def _says_boilerplate(value: str) -> bool:
@@ -91,7 +99,7 @@ def _says_boilerplate(value: str) -> bool:
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
-    """``OUT`` for an element that holds no text of the page, ``ASIDE`` for one beside the article, else 0."""
+    """``OUT`` for an element that holds no text of the page, ``ASIDE`` for one beside the article, ``NAMED`` if only its name says so, else 0."""
     if tag in _DROPPED:
         return OUT
     kind = ASIDE if tag in _PLACES and not (tag == "header" and in_article) else 0
@@ -99,53 +107,100 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
         return kind
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and tag not in ("body", "html", "main") and _says_boilerplate(value):
-            if not (in_article and tag == "header"):
-                return OUT
         if key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return OUT
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return OUT
+        if not kind and key in ("class", "id") and tag not in ("body", "html", "main") and not (in_article and tag == "header") and _says_boilerplate(value):
+            kind = NAMED
     return kind
 
 
 class _Block:
-    __slots__ = ("article", "aside", "heading", "label", "links", "text")
-
-    def __init__(self, text: str, links: int, article: int, aside: bool, heading: bool):
-        self.text, self.links, self.article, self.aside, self.heading, self.label = text, links, article, aside, heading, ""
+    __slots__ = ("article", "aside", "heading", "label", "links", "named", "text", "weight")
+
+    def __init__(self, text: str, links: int, article: int, aside: bool, named: bool, heading: bool):
+        self.text, self.links, self.article, self.aside, self.named, self.heading, self.label, self.weight = text, links, article, aside, named, heading, "", 0.0
+
+
+class _Open:
+    """The open elements of a page. Whether one of a tag is open, and where, is known without a search."""
+
+    def __init__(self):
+        self.stack: list[list] = []  # tag, kind, an article, open
+        self.at: dict[str, list[int]] = {}
+        self.inside = [0, 0, 0, 0]
+        self.article = 0
+        self.around = 0  # elements beside the text that the article itself stands in
+
+    def beside(self) -> int:
+        return self.inside[ASIDE] + self.inside[NAMED]
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag: str, kind: int, article: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append([tag, kind, article, True])
+        self.inside[kind] += 1
+        if article:
+            self.article, self.around = article, self.beside()
+
+    def _end(self, entry: list) -> None:
+        if entry[3]:
+            entry[3] = False
+            self.at[entry[0]].pop()
+            self.inside[entry[1]] -= 1
+            if entry[2]:
+                self.article = 0
+
+    def close(self, k: int) -> None:
+        """End the element at ``k`` and all in it."""
+        while len(self.stack) > k:
+            self._end(self.stack[-1])
+            self.stack.pop()
+
+    def end_inline(self, tag: str) -> None:
+        """End the last inline element of a tag; blocks in it stay open."""
+        if self.at.get(tag):
+            k = self.at[tag][-1]
+            if k == len(self.stack) - 1:
+                self.close(k)
+            else:
+                self._end(self.stack[k])
+
+    def start(self, tag: str) -> None:
+        """End what the start of a block ends."""
+        if tag in _ENDS_P and (k := self.last("p")) > self.last(*_CELLS):
+            self.close(k)
+        if tag in _IMPLIED:
+            ended, holders = _IMPLIED[tag]
+            if (k := self.last(*ended)) > self.last(*holders) and k >= 0:
+                self.close(min(j for t in ended if self.at.get(t) for j in [self.at[t][-1]] if j > self.last(*holders)))
 
 
 def blocks_of(page: str) -> list[_Block]:
-    """The blocks of a page in order, without labels; what holds no text of the page is left out."""
+    """The blocks of a page in order, without labels; what holds no text of the page is left out. Takes time in proportion to the page."""
     out: list[_Block] = []
-    open_tags: list[tuple[str, int, bool]] = []  # tag, kind, an article
     parts: list[str] = []
-    links, in_link, articles, article, heading = 0, False, 0, 0, False
-    inside = [0, 0, 0]  # open elements of each kind
+    links, in_link, articles, heading = 0, False, 0, False
+    tags = _Open()
+    inside = tags.inside
 
     def end_block() -> None:
-        nonlocal links, in_link
+        nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not inside[OUT]:
-                out.append(_Block(text, min(links, len(text)), article, inside[ASIDE] > 0, heading))
+            if text:
+                out.append(_Block(text, min(links, len(text)), tags.article if tags.beside() == tags.around else 0, inside[ASIDE] > 0, inside[NAMED] > 0, heading))
             parts.clear()
         links = 0
 
-    def close(keep: int) -> None:
-        nonlocal article
-        while len(open_tags) > keep:
-            _, kind, main = open_tags.pop()
-            inside[kind] -= 1
-            if main:
-                article = 0
-
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text:
+        if text and not inside[OUT]:
             parts.append(text)
             if in_link:
                 links += len(text.strip())
@@ -153,52 +208,43 @@ def blocks_of(page: str) -> list[_Block]:
             break
         at = m.end()
         if not m[2]:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not inside[OUT]:
                 parts.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        tag = m[2].lower()
-        if tag in _RAW and not m[1]:
-            if not m[3].endswith("/"):
+        tag, closing, attributes = m[2].lower(), m[1], m[3]
+        if tag in _RAW and not closing:
+            if not attributes.endswith("/"):
                 end = _ENDS[tag].search(page, at)
                 at = end.end() if end else len(page)
-            if tag in _BLOCKS:
-                end_block()
-            continue
-        if tag == "a":
-            in_link = not m[1]
-            continue
-        if tag == "br":
-            parts.append(" ")
             continue
         if tag not in _BLOCKS:
-            if not m[1] and m[3] and tag == "span" and _kind(tag, m[3], bool(article)) and not m[3].endswith("/"):
-                end = re.compile(r"</span[^>]*>", re.I).search(page, at)
-                at = end.end() if end else at
+            if tag == "a":
+                in_link = not closing
+            if tag == "br":
+                parts.append(" ")
+            elif closing:
+                tags.end_inline(tag)
+            elif tag not in _VOID and not attributes.endswith("/"):
+                tags.push(tag, _kind(tag, attributes, bool(tags.article)) if attributes else 0, 0)
             continue
         end_block()
-        heading = tag in _HEADINGS and not m[1]
-        if tag not in _OPEN:
-            if not m[1] and m[3] and not m[3].endswith("/") and _kind(tag, m[3], bool(article)):
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else at
+        heading = tag in _HEADINGS and not closing
+        if closing:
+            if (k := tags.last(tag)) >= 0 and (tag != "p" or k > tags.last(*_CELLS)):
+                tags.close(k)
             continue
-        if m[1]:
-            depth = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), None)
-            if depth is not None:
-                close(depth)
+        if tag in _VOID:
             continue
         in_link = False
-        if tag in _ARTICLE and (depth := next((k for k, (t, kind, _) in enumerate(open_tags) if kind and t in ("nav", "header", "footer", "head", "menu")), None)) is not None:
-            close(depth)  # a menu or header that was never closed
+        tags.start(tag)
+        if tag in _ARTICLE and not tags.article and (k := min((tags.at[t][0] for t in ("nav", "header", "footer", "head", "menu") if tags.at.get(t)), default=-1)) >= 0:
+            tags.close(k)  # a menu or header that was never closed
         if tag == "body":
-            close(0)
-        kind = _kind(tag, m[3], bool(article))
-        main = tag in _ARTICLE and not article and not kind and not inside[OUT] and not inside[ASIDE]
-        if main:
-            articles += 1
-            article = articles
-        inside[kind] += 1
-        open_tags.append((tag, kind, main))
+            tags.close(0)
+        kind = _kind(tag, attributes, bool(tags.article))
+        main = tag in _ARTICLE and not tags.article and not kind and not inside[OUT] and not inside[ASIDE]
+        articles += main
+        tags.push(tag, kind, articles if main else 0)
     end_block()
     return out
 
@@ -209,8 +255,12 @@ def _stop_shares(text: str) -> list[float]:
     return [sum(w in known for w in words) / len(words) for known in _STOPS]
 
 
-def first_pass(blocks: list[_Block]) -> None:
-    """Label blocks ``good`` or ``bad`` where length, links and stop words decide; others stay without label."""
+def first_pass(blocks: list[_Block], names: bool = True) -> None:
+    """Weigh blocks by length, links, stop words and place; label ``good`` or ``bad`` what weighs enough.
+
+    Without ``names``, class and id names of boilerplate count for nothing, and only running text
+    without them can be good.
+    """
     shares = {k: _stop_shares(b.text) for k, b in enumerate(blocks) if len(b.text) >= SHORT}
     # The page's language: the one whose stop words its blocks of running text hold most.
     long = [k for k in shares if blocks[k].links <= LINKS * len(blocks[k].text) and not blocks[k].aside]
@@ -218,20 +268,28 @@ def first_pass(blocks: list[_Block]) -> None:
     pooled = [sum(len(blocks[k].text) * shares[k][n] for k in long) for n in range(len(_STOPS))]
     known = bool(size) and max(pooled) >= KNOWN_LANGUAGE * size
     for k, b in enumerate(blocks):
-        n = len(b.text)
-        if b.aside or b.links > (ARTICLE_LINKS if b.article else LINKS) * n or (b.text[0] == "©" and not b.article):
-            b.label = "bad"
-        elif n < SHORT:
-            if b.links and not b.article:
-                b.label = "bad"
-        elif not known:
-            if n > LONG or b.article:
-                b.label = "good"
-        elif (share := max(shares[k])) < FEW_STOPS:
-            if not b.article:
-                b.label = "bad"
-        elif share >= MANY_STOPS and (n > LONG or b.article):
-            b.label = "good"
+        n, weight = len(b.text), float(b.article > 0)
+        if b.aside or (b.named and names):
+            weight -= 4
+        if b.links > MANY_LINKS * n:
+            weight -= 5
+        elif b.links > LINKS * n:
+            weight -= 1.5
+        if b.text[0] == "©":
+            weight -= 2
+        if n < SHORT:
+            if b.links:
+                weight -= 1.5
+        else:
+            weight += n > LONG
+            if not known:
+                weight += 0.5
+            elif (share := max(shares[k])) >= MANY_STOPS:
+                weight += 1
+            elif share < FEW_STOPS:
+                weight -= 1
+        b.weight = weight
+        b.label = "good" if weight >= DECIDED else "bad" if weight <= -DECIDED else ""
 
 
 def _nearest(blocks: list[_Block], own: bool) -> list[list[int]]:
@@ -251,17 +309,22 @@ def _nearest(blocks: list[_Block], own: bool) -> list[list[int]]:
 def second_pass(blocks: list[_Block]) -> None:
     """Label what the first pass left: each block takes the label of the nearest decided one, of two as near the one before.
 
-    A heading looks at what comes after it first.
-
-    In an article the article's own blocks count alone, and a good one on either side is
-    enough.  Without a decided block to inherit from, a block is good.
+    A heading looks at what comes after it first.  In an article the article's own blocks count
+    alone, and a good one on either side is enough; beside a good article only blocks outside of it
+    count, and what they leave open is bad.  Without a decided block to inherit from, the
+    block's own weight says.
     """
     own, page = _nearest(blocks, True), _nearest(blocks, False)
+    good_article = any(b.article and b.label == "good" for b in blocks)
     labels = []
     for k, b in enumerate(blocks):
-        near = own[k] if b.article else page[k]
-        if b.label or not near:
-            labels.append(b.label or "good")
+        near = own[k] if b.article or good_article else page[k]
+        if b.label:
+            labels.append(b.label)
+        elif not near and good_article and not b.article:
+            labels.append("bad")
+        elif not near:
+            labels.append("good" if b.weight >= 0 else "bad")
         elif b.article:
             labels.append("good" if any(blocks[j].label == "good" for j in near) else "bad")
         else:
@@ -276,6 +339,10 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = blocks_of(page)
     first_pass(blocks)
+    if not any(b.label == "good" for b in blocks) and any(b.named for b in blocks):
+        first_pass(blocks, names=False)
+        if not any(b.label == "good" for b in blocks):
+            first_pass(blocks)
     second_pass(blocks)
     return "\n".join(b.text for b in blocks if b.label == "good")
 

@@ -58,6 +58,20 @@ def test_release(spark):
     tables._written.clear()
 
 
+def test_scratch(spark):
+    tables.release(spark)
+    with tables.scratch(spark) as keep:
+        step = tables.stored(spark.range(5))
+        with tables.scratch(spark) as keep_step:
+            inner = keep_step(tables.stored(step.where("id > 1")), "inner")
+        inner_path = local(tables._scope.get()[-1][1])
+        assert inner.count() == 3 and inner_path.exists()
+        kept = keep(inner, "kept")
+    assert kept.count() == 3 and not inner_path.exists() and len(tables._written) == 1
+    tables.release(spark)
+    assert not tables._written
+
+
 def test_undo_files_by_prefix(spark):
     versions = spark.createDataFrame([(1, "1"), (1, "10"), (1, "2"), (2, "1")], "db long, version string")
     names = spark.createDataFrame([(1, "x/U10__a.sql"), (1, "U3.sql"), (2, "U1__b.py"), (2, "V1__b.sql")], "db long, name string")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,11 @@ HISTORY_SCHEMA = T.StructType(
 )
 
 
+#: What was written outside of any :func:`scratch`: application and path.
 _written: list[tuple[str, str]] = []
 _local: list[str] = []
+#: What the innermost :func:`scratch` of this call has written.
+_scope: ContextVar[list[tuple[str, str]] | None] = ContextVar("scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,28 +49,58 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str = "step") -> str:
-    """A path of its own in the shared folder that :func:`release` will delete."""
+    """A path of its own in the shared folder; :func:`release`, or the end of the :func:`scratch` around, deletes it."""
     path = f"{shared_folder(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext.applicationId, path))
+    scope = _scope.get()
+    (_written if scope is None else scope).append((spark.sparkContext.applicationId, path))
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; this cuts its lineage. :func:`release` deletes it."""
-    spark = df.sparkSession
-    path = new_path(spark)
+def stored(df: DataFrame, what: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; this cuts its lineage.
+
+    A lost executor costs at most the stage that was running.
+    """
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that :func:`stored` wrote in this session."""
+def _delete_all(spark: SparkSession, entries: list[tuple[str, str]]) -> None:
     app = spark.sparkContext.applicationId
-    for entry in [e for e in _written if e[0] == app]:
-        _written.remove(entry)
+    for entry in [e for e in entries if e[0] == app]:
+        entries.remove(entry)
         _delete(spark, entry[1])
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what was written for this application outside of any :func:`scratch`; frames over it can't be read any more."""
+    _delete_all(spark, _written)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Tables that are written inside belong to this call and are deleted at its end.
+
+    What is to stay goes through the function that it gives: it writes a frame outside.
+    """
+    outer, mine = _scope.get(), []
+    token = _scope.set(mine)
+
+    def keep(df: DataFrame, what: str = "step") -> DataFrame:
+        inner = _scope.set(outer)
+        try:
+            return stored(df, what)
+        finally:
+            _scope.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        _delete_all(spark, mine)
+
+
 def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
     """``df`` with numbers from 1 on in the order of some columns: sorted by ranges, a range's numbers follow those before it.
 

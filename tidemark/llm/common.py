@@ -1,62 +1,22 @@
 """Helpers shared by the training-data operators.
 
-Lineage is cut with Parquet tables in the folder that every machine of the cluster
-sees (``spark.checkpoint.dir``).  Without that setting a folder of this machine serves
-where there is no other machine (a local master); on a cluster it is an error.
+Intermediate tables are those of ``tidemark.sources.tables``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.sources.tables import new_path, release, scratch, stored
+
+__all__ = ["BATCH_ROWS", "new_path", "partitions", "read", "release", "scratch", "small_batches", "stored", "training_fold", "with_row"]
+
 #: Rows of text in one Arrow batch.  Texts differ in length by five orders of
 #: magnitude, so the default of 10,000 rows could put gigabytes in one batch.
 BATCH_ROWS = 512
 
-_written: list[str] = []
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="tidemark-"))
-    return "file://" + _local[0]
-
-
-def written(path: str) -> str:
-    """Have :func:`release` delete ``path``."""
-    _written.append(path)
-    return path
-
-
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs at most the stage that was running.
-    """
-    spark = df.sparkSession
-    path = written(f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that the operators wrote in this session."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, in this session, unless ``tidemark.batchRows`` or the session sets another bound."""

@@ -10,7 +10,6 @@ can live in any store that Spark reaches.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, shared_dir, small_batches, written
+from .common import new_path, partitions, small_batches
 from .tokens import default_tokenizer, id_encoder, vocabulary_size
 
 #: A block ends with the first document that brings it to so many ids.
@@ -137,6 +136,6 @@ def read_ids(spark: SparkSession, path: str, shard: int, first: int, count: int)
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Write ``docs`` to a block dataset in the shared folder and read its documents back."""
     spark = docs.sparkSession
-    path = written(f"{shared_dir(spark)}/tidemark-ids-{uuid.uuid4().hex}")
+    path = new_path(spark, "ids")
     write_packed(docs, path, id_col=id_col, text_col=text_col, tokenizer=tokenizer)
     return read_packed(spark, path, id_col)

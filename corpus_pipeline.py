@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, stored
+from tidemark.llm.common import read, scratch, stored
 from tidemark.llm.decontamination import decontaminated
 from tidemark.llm.language import UNDECIDED, identified
 from tidemark.llm.minhash import near_duplicates
@@ -68,8 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over all documents of ``sf_dir``."""
+    """The rows of the last stage, over all documents of ``sf_dir``.
+
+    What a stage writes on its way is deleted once its rows are written, the rows of all stages
+    but the last at the end.
+    """
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with scratch(spark) as keep_last:
+        for name, stage in STAGES:
+            with scratch(spark) as keep:
+                docs = (keep_last if stage is STAGES[-1][1] else keep)(stage(spark, docs, sf_dir), name)
     return docs

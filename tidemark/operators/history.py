@@ -163,6 +163,44 @@ def analysis(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     )
 
 
+def analysis_sets(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """What :func:`analysis` would count, as rows ``output, item, value``: seven sets for each history.
+
+    A version that was undone and not applied again isn't executed, unless a row of it failed; the script of its last success
+    goes with it.  Scripts of successful repeatables and callbacks, and versions and scripts of failed
+    rows, are executed too, so that they aren't pending; deletions are only deletions.  A repeatable's
+    checksum is that of its last success, if known.
+    """
+    rank, named = F.col("installed_rank"), or_empty(F.col("version")) != ""
+    rows = history.where(~F.coalesce(_is("DELETE"), F.lit(False)))
+    undone = undone_versions(history, by).where("version IS NOT NULL")
+    again = reapplied_after_first_undo(history, by)
+    gone = undone.join(again, [*by, "version"], "left_anti")
+    last = rows.where(_ok() & _is(*VERSIONED) & named).groupBy(*by, "version").agg(F.max_by("script", "installed_rank").alias("script")).join(gone, [*by, "version"], "left_anti")
+    failed_rows = rows.where(F.col("success") == F.lit(False))
+    null = F.lit(None).cast("long")
+
+    def of(output: str, df: DataFrame, item: str, value: Column = null) -> DataFrame:
+        return df.where(or_empty(F.col(item)) != "").select(*by, F.lit(output).alias("output"), F.col(item).alias("item"), value.cast("long").alias("value"))
+
+    parts = [
+        of("executed_versions", last, "version"),
+        of("executed_versions", failed_rows, "version"),
+        of("executed_scripts", last, "script"),
+        of("executed_scripts", rows.where(_ok() & _is("REPEATABLE", "CALLBACK")), "script"),
+        of("executed_scripts", failed_rows, "script"),
+        of("deleted_scripts", history.where(_is("DELETE")), "script"),
+        of("failed_rows", failed_rows, "script", rank),
+        of("repeatable_checksums", repeatable_checksums(history, True, by).where("checksum <> 0"), "script", F.col("checksum")),
+        of("undone_versions", undone, "version"),
+        of("reapplied_versions", again, "version"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def repeatable_checksums(history: DataFrame, successes_only: bool = True, by: Sequence[str] = BY) -> DataFrame:
     """The latest checksum of each repeatable script, of successes or of all rows."""
     rows = history.where(_is("REPEATABLE") & (_ok() if successes_only else F.lit(True)))
@@ -184,6 +222,21 @@ def can_be_undone(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return per.where("last_sql IS NOT NULL").select(*by, "version", (~F.coalesce(F.col("last_undo") > F.col("last_sql"), F.lit(False))).alias("undoable"))
 
 
+def undo_advice(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """For each version of a row: whether it may be undone, and which version to undo if it may not.
+
+    It may not if its last successful undo comes after its last successful SQL row.  The advice
+    is the last version as text of those with an SQL row and no undo at all; null if there is none.
+    """
+    rank = F.col("installed_rank")
+    per = history.where(or_empty(F.col("version")) != "").groupBy(*by, "version").agg(
+        F.max(only(_ok() & _is("UNDO_SQL"), rank)).alias("_undo"), F.max(only(_ok() & _is("SQL"), rank)).alias("_sql"), F.count_if(_is("SQL")).alias("_n_sql"), F.count_if(_is("UNDO_SQL")).alias("_n_undo")
+    )
+    free = per.where("_n_sql > 0 AND _n_undo = 0").groupBy(*by).agg(F.max("version").alias("_next"))
+    may = ~F.coalesce(F.col("_undo") > F.coalesce("_sql", F.lit(0)), F.lit(False))
+    return per.join(free, list(by), "left").select(*by, "version", may.alias("may_be_undone"), F.when(~may, F.col("_next")).alias("instead"))
+
+
 def next_to_undo(history: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """The highest version that can be undone."""
     return can_be_undone(history, by).where("undoable").groupBy(*by).agg(F.max_by("version", F.struct(version_order(F.col("version")), "version")).alias("version"))

@@ -17,6 +17,7 @@ ERRORS = (
     (r"(?i)authentication\s+fail", "AUTHENTICATION"),
     (r"(?i)permission\s+denied", "AUTHORIZATION"),
 )
+# The same for messages of a dialect.
 DIALECT_ERRORS = {
     "postgresql": (
         (r"(?i)SQLSTATE\s*08\w{3}", "NETWORK"), (r"(?i)SQLSTATE\s*57P01", "NETWORK"), (r"(?i)SQLSTATE\s*40\w{3}", "LOCKING"), (r"(?i)SQLSTATE\s*23\w{3}", "CONSTRAINT"), (r"(?i)SQLSTATE\s*42\w{3}", "SQL_SYNTAX"),
@@ -27,10 +28,11 @@ DIALECT_ERRORS = {
         (r"(?i)\b1205\b.*Lock wait timeout", "LOCKING"), (r"(?i)\b1213\b.*Deadlock", "LOCKING"), (r"(?i)\b1045\b.*Access denied", "AUTHENTICATION"), (r"(?i)\b1146\b.*doesn't exist", "SCHEMA"),
         (r"(?i)\b1054\b.*Unknown column", "SCHEMA"), (r"(?i)\b1062\b.*Duplicate entry", "CONSTRAINT"), (r"(?i)\b1452\b.*foreign key constraint", "CONSTRAINT"), (r"(?i)\b1064\b.*syntax", "SQL_SYNTAX"),
     ),
-    "oracle": tuple(
-        (rf"(?i)ORA-{code}", category)
-        for category, codes in (("NETWORK", "17800 17002 12541 12514"), ("TIMEOUT", "12170"), ("NETWORK", "12571 03113 03114"), ("LOCKING", "00060 00054"), ("AUTHENTICATION", "01017"), ("AUTHORIZATION", "01031"), ("AUTHENTICATION", "01045"), ("SCHEMA", "00942 00904"), ("CONSTRAINT", "00001 02291 02292"), ("SQL_SYNTAX", "00900 00933"), ("RESOURCE", "04031 01653"))
-        for code in codes.split()
+    "oracle": (
+        (r"(?i)ORA-17800", "NETWORK"), (r"(?i)ORA-17002", "NETWORK"), (r"(?i)ORA-12541", "NETWORK"), (r"(?i)ORA-12514", "NETWORK"), (r"(?i)ORA-12170", "TIMEOUT"), (r"(?i)ORA-12571", "NETWORK"),
+        (r"(?i)ORA-03113", "NETWORK"), (r"(?i)ORA-03114", "NETWORK"), (r"(?i)ORA-00060", "LOCKING"), (r"(?i)ORA-00054", "LOCKING"), (r"(?i)ORA-01017", "AUTHENTICATION"), (r"(?i)ORA-01031", "AUTHORIZATION"),
+        (r"(?i)ORA-01045", "AUTHENTICATION"), (r"(?i)ORA-00942", "SCHEMA"), (r"(?i)ORA-00904", "SCHEMA"), (r"(?i)ORA-00001", "CONSTRAINT"), (r"(?i)ORA-02291", "CONSTRAINT"), (r"(?i)ORA-02292", "CONSTRAINT"),
+        (r"(?i)ORA-00900", "SQL_SYNTAX"), (r"(?i)ORA-00933", "SQL_SYNTAX"), (r"(?i)ORA-04031", "RESOURCE"), (r"(?i)ORA-01653", "RESOURCE"),
     ),
     "db2": (
         (r"(?i)errorcode=-4499", "NETWORK"), (r"(?i)sqlstate=08\w{3}", "NETWORK"), (r"(?i)disconnectnontransientconnectionexception", "NETWORK"), (r"(?i)disconnectexception", "NETWORK"), (r"(?i)communication\s+error", "NETWORK"),

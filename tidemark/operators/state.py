@@ -428,6 +428,63 @@ def first_failing_check(history: DataFrame, scripts: DataFrame, by: Sequence[str
     return counts.groupBy(*by).agg(F.min_by(F.struct("check_order", "n"), "check_order").alias("first")).select(*by, "first.*")
 
 
+#: Checks of a validation run in their order; what a check finds ends the run, but for the last ones, which are looked at together.
+CHECKS = ("no scripts", "only repeatables", "duplicate versions", "callbacks in history", "strict rules", "issues")
+
+
+def validation_run(history: DataFrame, scripts: DataFrame, strict: bool = False, by: Sequence[str] = BY) -> DataFrame:
+    """How validation of each database ends: ``success``, the check that ended it (null if all passed), and how many issues it found.
+
+    Without usable scripts it succeeds, unless rules are ``strict`` and something was applied;
+    with repeatables and callbacks alone it succeeds.  Then come versions of two scripts, callbacks in the
+    history, strict rules, and at last failed rows, changed checksums and deleted scripts that are
+    there again; applied scripts without a file are issues only where rules are strict.
+    """
+    scripts = resolved_scripts(scripts, by)
+    known = scripts.where(F.col("kind").isin(*VERSIONED, "REPEATABLE", "CALLBACK", "BASELINE", "UNDO_SQL"))
+    usable = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_usable"), F.count_if(~F.col("kind").isin("REPEATABLE", "CALLBACK")).alias("_others"))
+    applied = history.groupBy(*by).agg(F.count(F.lit(1)).alias("_applied"), F.count_if(F.col("type") == "CALLBACK").alias("_callbacks"))
+    issues = checksum_issues(history, scripts, by)
+    counted = lambda name, df: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    out = usable.join(applied, list(by), "full")
+    parts = {"_duplicates": duplicate_versions(scripts, by), "_strict": strict_violations(history, scripts, by), "_failed": failed_issues(history, scripts, by), "_changed": issues.where("issue = 'changed'"), "_missing": issues.where("issue = 'missing'"), "_again": reappeared(history, scripts, by)}
+    for name, df in parts.items():
+        out = out.join(counted(name, df), list(by), "left")
+    n = lambda name: F.coalesce(name, F.lit(0))
+    late = n("_failed") + n("_changed") + n("_again") + (n("_missing") if strict else F.lit(0))
+    no_scripts = n("_usable") == 0
+    found = (
+        F.when(no_scripts, F.when(F.lit(strict) & (n("_applied") > 0), n("_applied")).otherwise(0))
+        .when(n("_others") == 0, 0)
+        .when(n("_duplicates") > 0, n("_duplicates"))
+        .when(n("_callbacks") > 0, n("_callbacks"))
+        .when(F.lit(strict) & (n("_strict") > 0), n("_strict"))
+        .otherwise(late)
+    ).cast("long")
+    ended = F.when(no_scripts, CHECKS[0]).when(n("_others") == 0, CHECKS[1]).when(n("_duplicates") > 0, CHECKS[2]).when(n("_callbacks") > 0, CHECKS[3]).when(F.lit(strict) & (n("_strict") > 0), CHECKS[4]).when(late > 0, CHECKS[5])
+    return out.select(*by, (found == 0).alias("success"), ended.alias("ended_by"), found.alias("n"))
+
+
+def compatibility(foreign: DataFrame, own: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Whether two histories of a database say the same, and the first difference: ``compatible, position, difference``.
+
+    Different numbers of rows differ at no position.  Else rows are compared place by place: version, types that both
+    know (SQL, BASELINE and UNDO_SQL, case aside), script, checksum (0 and null are equal).
+    """
+    # Types that both sides know.
+    both_know = ("SQL", "BASELINE", "UNDO_SQL")
+    place = lambda df: numbered_within(df.select(*by, "installed_rank", "version", F.upper("type").alias("type"), "script", F.nullif("checksum", F.lit(0)).alias("checksum")), by, "installed_rank", "script", name="position")
+    a, b = place(foreign), place(own).select(*by, "position", *[F.col(c).alias(f"_{c}") for c in ("version", "type", "script", "checksum")])
+    known = lambda c: F.coalesce(F.col(c).isin(*both_know), F.lit(False))
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
+    difference = F.when(~same("version"), "version").when(~known("type"), "foreign type").when(~known("_type"), "type").when(~same("script"), "script").when(~same("checksum"), "checksum")
+    first = a.join(b, [*by, "position"]).withColumn("d", difference).where("d IS NOT NULL").groupBy(*by).agg(F.min_by(F.struct("position", F.col("d").alias("difference")), "position").alias("f"))
+    count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(foreign, "_a").join(count(own, "_b"), list(by))
+    uneven = F.col("_a") != F.col("_b")
+    return sizes.join(first, list(by), "left").select(*by, (~uneven & F.col("f").isNull()).alias("compatible"), F.when(~uneven, F.col("f.position")).alias("position"), F.when(uneven, "count").otherwise(F.col("f.difference")).alias("difference"))
+
+
 def may_take_baseline(history: DataFrame, databases: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Databases whose history is empty."""
     return databases.select(*by).distinct().join(history.select(*by).distinct(), list(by), "left_anti")

@@ -57,6 +57,21 @@ SELECT l_orderkey AS migration_id, CAST(l_linenumber AS BIGINT) AS statement_ind
 FROM lineitem
 """
 
+#: Messages of failed statements: seven for each dialect, with the name of the exception where that says more.
+_MESSAGES = {
+    "postgresql": (("ERROR SQLSTATE 08006", ""), ("SQLSTATE 57P01 shutdown", ""), ("sqlstate 40P01 deadlock", ""), ("SQLSTATE 42601 at or near", ""), ("SQLSTATE 57014", ""), ("permission denied", ""), ("odd", "TimeoutError")),
+    "oracle": (("ORA-12541: no listener", ""), ("ORA-12170: connect timeout", ""), ("ORA-00054: busy", ""), ("ora-00942", ""), ("ORA-01653: unable to extend", ""), ("ORA-99999", ""), ("broken  pipe", "")),
+    "mysql": (("2006 MySQL server has gone away", ""), ("1205 Lock wait timeout exceeded", ""), ("Lock wait timeout exceeded", ""), ("1062 Duplicate entry", ""), ("12062 Duplicate entry", ""), ("1054 Unknown column", ""), ("1045 Access denied", "")),
+    "db2": (("SQLSTATE=08001", ""), ("lost", "DisconnectException"), ("SQL0911N rolled back", ""), ("sqlstate=23505", ""), ("sqlstate=57014", ""), ("x", "Y"), ("Communication  error", "")),
+    "any": (("Connection timed out", ""), ("DEADLOCK found", ""), ("permission denied for t", ""), ("Statement timeout", ""), ("syntax error", ""), ("Broken  pipe", ""), ("authentication failed", "")),
+}
+_CASE = lambda values: "CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+ERROR_MESSAGES = " UNION ALL ".join(
+    f"SELECT migration_id, statement_index, execution_time, k, '{dialect}' AS dialect, {_CASE([m for m, _ in cases])} AS message, {_CASE([x for _, x in cases])} AS exception "
+    f"FROM (SELECT *, (migration_id + statement_index) % 7 AS k FROM ({JOURNAL}) j) e"
+    for dialect, cases in _MESSAGES.items()
+)
+
 EDGES = """
 SELECT 'public.table.t' || CAST(s_suppkey AS STRING) AS src, 'public.table.t' || CAST(CAST(floor(s_suppkey / 2.0) AS BIGINT) AS STRING) AS dst
 FROM supplier WHERE s_suppkey >= 2
@@ -171,8 +186,8 @@ SPARSE_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 18 = 1"
 PARTIAL_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE db <> 4"
 FEW_SCRIPTS = f"SELECT * FROM ({SCRIPTS}) s WHERE db < 3"
 
-TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders", "table_columns": "orders", "foreign_keys": "orders"}
-SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS, "table_columns": TABLE_COLUMNS, "foreign_keys": FOREIGN_KEYS}
+TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "error_messages": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders", "table_columns": "orders", "foreign_keys": "orders"}
+SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "error_messages": ERROR_MESSAGES, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS, "table_columns": TABLE_COLUMNS, "foreign_keys": FOREIGN_KEYS}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -92,6 +92,11 @@ query("h3b_reapplied_last_undo", "history", history.reapplied_after_last_undo, "
 query("h3d_applied_more_than_once", "history", history.applied_more_than_once, "SELECT db, version, n_ok FROM ranks WHERE n_ok > 1")
 query("h4_effectively_undone", "history", history.effectively_undone, "SELECT db, version, last_undo FROM undone")
 query("h5_analysis", "history", history.analysis, "SELECT db, count(DISTINCT version) FILTER (type IN ('SQL', 'PYTHON', 'BASELINE')) AS executed_versions, count(DISTINCT script) FILTER (type NOT IN ('DELETE', 'UNDO_SQL')) AS executed_scripts, count(DISTINCT script) FILTER (type = 'DELETE') AS deleted_scripts, count(*) FILTER (NOT success) AS failed_rows, count(*) FILTER (success IS NULL) AS needs_repair FROM history GROUP BY db")
+query("h5_analysis_sets", "history", history.analysis_sets, """WITH gone AS (SELECT DISTINCT u.db, u.version FROM history u WHERE success AND type = 'UNDO_SQL' AND version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ranks r WHERE r.db = u.db AND r.version = u.version AND last_ok IS NOT NULL AND last_any > first_undo)),
+done AS (SELECT db, version, max_by(script, installed_rank) AS script FROM history WHERE success AND type IN ('SQL', 'PYTHON') AND version <> '' GROUP BY db, version), kept AS (SELECT * FROM done ANTI JOIN gone USING (db, version)), bad AS (SELECT * FROM history WHERE NOT success AND type <> 'DELETE')
+SELECT DISTINCT * FROM (SELECT db, 'executed_versions' AS output, version AS item, NULL::BIGINT AS value FROM kept UNION ALL SELECT db, 'executed_versions', version, NULL FROM bad UNION ALL SELECT db, 'executed_scripts', script, NULL FROM kept UNION ALL SELECT db, 'executed_scripts', script, NULL FROM history WHERE success AND type IN ('REPEATABLE', 'CALLBACK')
+UNION ALL SELECT db, 'executed_scripts', script, NULL FROM bad UNION ALL SELECT db, 'deleted_scripts', script, NULL FROM history WHERE type = 'DELETE' UNION ALL SELECT db, 'failed_rows', script, installed_rank FROM bad UNION ALL SELECT db, 'repeatable_checksums', script, checksum FROM repeatable WHERE checksum <> 0
+UNION ALL SELECT db, 'undone_versions', version, NULL FROM history WHERE success AND type = 'UNDO_SQL' UNION ALL SELECT db, 'reapplied_versions', version, NULL FROM ranks WHERE last_ok IS NOT NULL AND last_any > first_undo) WHERE item <> ''""")
 query("h6_repeatable_checksums", "history", history.repeatable_checksums, "SELECT db, script, checksum FROM repeatable")
 query("h6_repeatable_checksums_all_rows", "history", lambda h: history.repeatable_checksums(h, False), "SELECT db, script, max_by({'c': checksum}, installed_rank).c AS checksum FROM history WHERE type = 'REPEATABLE' GROUP BY db, script")
 query("h7_pending", "history scripts", state.pending, "SELECT db, script_id, name, kind, version, reason FROM pending WHERE reason IS NOT NULL")
@@ -138,6 +143,8 @@ query("h22_clean_descriptions", "history", lambda h: h.groupBy(history.clean_des
 query("h23_still_pending", "history scripts", lambda h, s: state.still_pending(state.resolved_scripts(s).where("kind IN ('SQL', 'PYTHON')").select("db", "script_id", "version", F.col("kind").alias("type")), h).select("db", "script_id"), "SELECT db, script_id FROM resolved r WHERE kind IN ('SQL', 'PYTHON') AND NOT EXISTS (SELECT 1 FROM history h WHERE h.db = r.db AND h.version = r.version AND h.type = r.kind AND h.success AND h.installed_rank > coalesce((SELECT max(installed_rank) FROM history u WHERE u.db = h.db AND u.version = h.version AND u.type = 'UNDO_SQL' AND u.success), 0))")
 _CAN = f"SELECT db, version, NOT coalesce(u > s, false) AS undoable FROM (SELECT db, version, max(installed_rank) FILTER (type = 'SQL') AS s, max(installed_rank) FILTER (type = 'UNDO_SQL') AS u FROM history WHERE success AND type IN ('SQL', 'UNDO_SQL') AND {_V} GROUP BY db, version) WHERE s IS NOT NULL"
 query("h24_can_be_undone", "history", history.can_be_undone, _CAN)
+query("h24_undo_advice", "history", history.undo_advice, """WITH v AS (SELECT db, version, max(installed_rank) FILTER (success AND type = 'UNDO_SQL') AS u, coalesce(max(installed_rank) FILTER (success AND type = 'SQL'), 0) AS s, bool_or(type = 'SQL') AND NOT bool_or(type = 'UNDO_SQL') AS free FROM history WHERE version <> '' GROUP BY db, version)
+SELECT db, version, NOT coalesce(u > s, false) AS may_be_undone, CASE WHEN u > s THEN (SELECT max(version) FROM v f WHERE f.db = v.db AND f.free) END AS instead FROM v""")
 query("h25_next_to_undo", "history", history.next_to_undo, f"SELECT db, max_by(version, {{'k': {_KEY}, 'v': version}}) AS version FROM ({_CAN}) WHERE undoable GROUP BY db")
 query("h25_undo_down_to", "history", lambda h: history.undo_down_to(h, "3"), f"SELECT db, installed_rank, version, script FROM (SELECT *, max(b) OVER (PARTITION BY db ORDER BY installed_rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM (SELECT *, ({_KEY} <= {key("'3'")})::INT AS b FROM history WHERE success AND type = 'SQL' AND {_V})) WHERE stop = 0")
 query("h26_matching_undo", "history scripts", state.matching_undo, "SELECT h.db, h.version, u.undo_script FROM (SELECT DISTINCT db, version FROM history WHERE success AND type IN ('SQL', 'PYTHON')) h JOIN (SELECT db, version, min(name) AS undo_script FROM resolved WHERE kind = 'UNDO_SQL' GROUP BY db, version) u ON u.db = h.db AND u.version = h.version")
@@ -181,15 +188,16 @@ query("a9_assembled_constraints", "constraints", catalog.assembled_constraints,
 query("a10_run_statistics", "history", history.run_statistics, "SELECT db, count(*) AS total, count(*) FILTER (success OR type = 'BASELINE') AS successes, count(*) FILTER (NOT success AND type <> 'BASELINE') AS failures, count(*) FILTER (success IS NULL AND type <> 'BASELINE') AS unclear, count(*) FILTER (type = 'UNDO_SQL') AS undos, sum(execution_time)::BIGINT AS total_ms FROM history GROUP BY db")
 query("a11_outcome_counts", "journal", journal.outcome_counts, "SELECT success, count(*) AS n FROM journal GROUP BY success")
 query("a12_candidates_for_missing", "history", history.candidates_for_missing, "SELECT db, count(*) AS n FROM history h WHERE type NOT IN ('DELETE', 'BASELINE') AND NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = h.db AND d.script = h.script) GROUP BY db")
-_ERRORS = {
-    "postgresql": (("ERROR SQLSTATE 08006", "", "NETWORK"), ("SQLSTATE 57P01 shutdown", "", "NETWORK"), ("sqlstate 40P01 deadlock", "", "LOCKING"), ("SQLSTATE 42601 at or near", "", "SQL_SYNTAX"), ("SQLSTATE 57014", "", "INTERNAL"), ("permission denied", "", "AUTHORIZATION"), ("odd", "TimeoutError", "TIMEOUT")),
-    "oracle": (("ORA-12541: no listener", "", "NETWORK"), ("ORA-12170: connect timeout", "", "TIMEOUT"), ("ORA-00054: busy", "", "LOCKING"), ("ora-00942", "", "SCHEMA"), ("ORA-01653: unable to extend", "", "RESOURCE"), ("ORA-99999", "", "UNKNOWN"), ("broken  pipe", "", "NETWORK")),
-    "mysql": (("2006 MySQL server has gone away", "", "NETWORK"), ("1205 Lock wait timeout exceeded", "", "LOCKING"), ("Lock wait timeout exceeded", "", "TIMEOUT"), ("1062 Duplicate entry", "", "CONSTRAINT"), ("12062 Duplicate entry", "", "UNKNOWN"), ("1054 Unknown column", "", "SCHEMA"), ("1045 Access denied", "", "AUTHENTICATION")),
-    "db2": (("SQLSTATE=08001", "", "NETWORK"), ("lost", "DisconnectException", "NETWORK"), ("SQL0911N rolled back", "", "LOCKING"), ("sqlstate=23505", "", "CONSTRAINT"), ("sqlstate=57014", "", "RESOURCE"), ("x", "Y", "UNKNOWN"), ("Communication  error", "", "NETWORK")),
+# Categories of the messages of each dialect, in the order of the relation.
+_CATEGORIES = {
+    "postgresql": ("NETWORK", "NETWORK", "LOCKING", "SQL_SYNTAX", "INTERNAL", "AUTHORIZATION", "TIMEOUT"),
+    "oracle": ("NETWORK", "TIMEOUT", "LOCKING", "SCHEMA", "RESOURCE", "UNKNOWN", "NETWORK"),
+    "mysql": ("NETWORK", "LOCKING", "TIMEOUT", "CONSTRAINT", "UNKNOWN", "SCHEMA", "AUTHENTICATION"),
+    "db2": ("NETWORK", "NETWORK", "LOCKING", "CONSTRAINT", "RESOURCE", "UNKNOWN", "NETWORK"),
 }
-for _dialect, _cases in _ERRORS.items():
-    query(f"e1_errors_{_dialect}", "journal", lambda j, d=_dialect, c=_cases: j.withColumn("e", F.element_at(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(x).alias("x")) for m, x, _ in c]), F.pmod(F.col("migration_id") + F.col("statement_index"), F.lit(7)).cast("int") + 1)).groupBy("e.m", journal.error_category(F.col("e.m"), d, F.col("e.x")).alias("category")).agg(F.count(F.lit(1)).alias("n")), f"SELECT m, category, count(*) AS n FROM (SELECT {[m for m, _, _ in _cases]}[(migration_id + statement_index) % 7 + 1] AS m, {[c for _, _, c in _cases]}[(migration_id + statement_index) % 7 + 1] AS category FROM journal) GROUP BY ALL")
-query("e1_error_categories", "journal", lambda j: j.withColumn("m", F.element_at(F.array(*[F.lit(x) for x in ("Connection timed out", "DEADLOCK found", "permission denied for t", "Statement timeout", "syntax error", "Broken  pipe")]), (F.col("statement_index") % 6 + 1).cast("int"))).groupBy(journal.error_category(F.col("m")).alias("category"), journal.retryable(journal.error_category(F.col("m")), F.col("execution_time") % 5).alias("again")).agg(F.count(F.lit(1)).alias("n")), "SELECT category, category IN ('NETWORK', 'TIMEOUT', 'LOCKING') AND execution_time % 5 < 3 AS again, count(*) AS n FROM (SELECT *, ['NETWORK', 'LOCKING', 'AUTHORIZATION', 'TIMEOUT', 'UNKNOWN', 'NETWORK'][statement_index % 6 + 1] AS category FROM journal) GROUP BY ALL")
+for _dialect, _found_categories in _CATEGORIES.items():
+    query(f"e1_errors_{_dialect}", "error_messages", lambda e, d=_dialect: e.where(F.col("dialect") == d).groupBy(F.col("message").alias("m"), journal.error_category(F.col("message"), d, F.col("exception")).alias("category")).agg(F.count(F.lit(1)).alias("n")), f"SELECT message AS m, {list(_found_categories)}[k + 1] AS category, count(*) AS n FROM error_messages WHERE dialect = '{_dialect}' GROUP BY ALL")
+query("e1_error_categories", "error_messages", lambda e: e.where("dialect = 'any'").groupBy(journal.error_category(F.col("message")).alias("category"), journal.retryable(journal.error_category(F.col("message")), F.col("execution_time") % 5).alias("again")).agg(F.count(F.lit(1)).alias("n")), "SELECT category, category IN ('NETWORK', 'TIMEOUT', 'LOCKING') AND execution_time % 5 < 3 AS again, count(*) AS n FROM (SELECT *, ['NETWORK', 'LOCKING', 'AUTHORIZATION', 'TIMEOUT', 'UNKNOWN', 'NETWORK', 'AUTHENTICATION'][k + 1] AS category FROM error_messages WHERE dialect = 'any') GROUP BY ALL")
 
 # SQL text
 _BARE = r"regexp_replace(sql_text, '(?s)^(\s*(--[^\n]*(\n|$)|/\*.*?\*/))*\s*', '')"
@@ -336,6 +344,15 @@ _DUPLICATES = "SELECT db, name AS script FROM (SELECT *, row_number() OVER (PART
 _ISSUES = f"SELECT db, 1::BIGINT AS check_order, script FROM ({_DUPLICATES}) UNION ALL SELECT db, 2, script FROM history h WHERE NOT success AND NOT (type = 'REPEATABLE' AND EXISTS (SELECT 1 FROM rerun r WHERE r.verdict = 'modified' AND r.db = h.db AND r.script = h.script)) UNION ALL SELECT l.db, CASE WHEN c.script_id IS NULL THEN 4 ELSE 3 END, l.script FROM last_success l JOIN history h ON h.db = l.db AND h.installed_rank = l.installed_rank LEFT JOIN checked c ON c.db = l.db AND c.name = l.script WHERE c.script_id IS NULL OR (h.type <> 'REPEATABLE' AND l.checksum IS NOT NULL AND l.checksum <> c.file_checksum)"
 query("r6_validation_issues", "history scripts", state.validation_issues, _ISSUES)
 query("r6_first_failing_check", "history scripts", state.first_failing_check, f"SELECT db, min(check_order) AS check_order, min_by(n, check_order) AS n FROM (SELECT db, check_order, count(*) AS n FROM ({_ISSUES}) GROUP BY db, check_order) GROUP BY db")
+_RUN = "WITH kinds AS (SELECT db, count(*) AS n, count(*) FILTER (kind NOT IN ('REPEATABLE', 'CALLBACK')) AS other FROM resolved WHERE kind <> 'UNKNOWN' AND {0} GROUP BY db), dups AS (SELECT db, count(*) AS n FROM (SELECT db, row_number() OVER (PARTITION BY db, version ORDER BY script_id) AS k FROM resolved WHERE kind IN ('SQL', 'PYTHON') AND version IS NOT NULL AND {0}) WHERE k > 1 GROUP BY db)"
+_SOME = "db <> 6 AND (db <> 5 OR kind IN ('REPEATABLE', 'CALLBACK')) AND (db % 2 = 0 OR script_id % 3 = 0)"
+query("r6_early_exits", "history scripts", lambda h, s: state.validation_run(h, state.resolved_scripts(s).where(_SOME)).where("ended_by IN ('no scripts', 'only repeatables', 'duplicate versions')"), _RUN.format(_SOME) + " SELECT h.db, coalesce(k.other, 0) = 0 AS success, CASE WHEN coalesce(k.n, 0) = 0 THEN 'no scripts' WHEN k.other = 0 THEN 'only repeatables' ELSE 'duplicate versions' END AS ended_by, CASE WHEN coalesce(k.other, 0) = 0 THEN 0 ELSE d.n END AS n FROM (SELECT DISTINCT db FROM history) h LEFT JOIN kinds k ON k.db = h.db LEFT JOIN dups d ON d.db = h.db WHERE coalesce(k.other, 0) = 0 OR d.n > 0")
+query("r6_strict_run", "history scripts", lambda h, s: state.validation_run(h, s.where("script_id % 5 <> 8"), strict=True).select("db", "success", "ended_by"), f"SELECT db, false AS success, CASE WHEN EXISTS (SELECT 1 FROM ({_DUPLICATES}) d WHERE d.db = h.db) THEN 'duplicate versions' ELSE 'strict rules' END AS ended_by FROM (SELECT DISTINCT db FROM history) h")
+query("r10_compatibility", "history", lambda h: state.compatibility(h.where("NOT (db = 1 AND installed_rank < 30)"), h.where("db <> 6").withColumns({"script": F.when((F.col("db") == 2) & (F.col("installed_rank") > 40), "other").otherwise(F.col("script")), "type": F.when(F.col("db").isin(0, 2, 3), F.lit("sql")).otherwise(F.col("type")), "checksum": F.when(F.col("db") == 3, F.coalesce("checksum", F.lit(0)) + F.when(F.col("installed_rank") > 90, 1).otherwise(0)).otherwise(F.col("checksum"))})), """WITH f AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY installed_rank, script) AS pos FROM history WHERE NOT (db = 1 AND installed_rank < 30)),
+o AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY installed_rank) AS pos FROM (SELECT db, installed_rank, version, CASE WHEN db IN (0, 2, 3) THEN 'SQL' ELSE type END AS type, CASE WHEN db = 2 AND installed_rank > 40 THEN 'other' ELSE script END AS script, CASE WHEN db = 3 THEN coalesce(checksum, 0) + CASE WHEN installed_rank > 90 THEN 1 ELSE 0 END ELSE checksum END AS checksum FROM history WHERE db <> 6)),
+n AS (SELECT db, a, b FROM (SELECT db, count(*) AS a FROM f GROUP BY db) JOIN (SELECT db, count(*) AS b FROM o GROUP BY db) USING (db)),
+d AS (SELECT f.db, f.pos, CASE WHEN f.version IS DISTINCT FROM o.version THEN 'version' WHEN f.type NOT IN ('SQL', 'BASELINE', 'UNDO_SQL') THEN 'foreign type' WHEN o.type NOT IN ('SQL', 'BASELINE', 'UNDO_SQL') THEN 'type' WHEN f.script <> o.script THEN 'script' WHEN nullif(f.checksum, 0) IS DISTINCT FROM nullif(o.checksum, 0) THEN 'checksum' END AS d FROM f JOIN o ON o.db = f.db AND o.pos = f.pos)
+SELECT n.db, a = b AND x.p IS NULL AS compatible, CASE WHEN a = b THEN x.p END AS position, CASE WHEN a <> b THEN 'count' ELSE x.d END AS difference FROM n LEFT JOIN (SELECT db, min(pos) AS p, min_by(d, pos) AS d FROM d WHERE d IS NOT NULL GROUP BY db) x ON x.db = n.db""")
 query("r7_baseline_guard", "partial_history scripts", state.may_take_baseline, "SELECT DISTINCT db FROM scripts WHERE db NOT IN (SELECT db FROM partial_history)")
 query("r8_marked_as_executed", "history scripts", state.marked_as_executed, f"SELECT p.db, coalesce(top, 0) + row_number() OVER (PARTITION BY p.db ORDER BY {_KEY}, name, script_id) AS installed_rank, version, kind AS type, name AS script FROM pending p LEFT JOIN (SELECT db, max(installed_rank) AS top FROM history GROUP BY db) t ON t.db = p.db WHERE kind <> 'REPEATABLE' AND reason IS NOT NULL AND reason <> 'below'")
 query("r9_cleaned_objects", "objects", catalog.drop_order, "SELECT DISTINCT kind, lower(coalesce(schema_name, 'public')) AS schema_name, lower(name) AS name, list_position(['trigger', 'view', 'procedure', 'index', 'table', 'sequence'], kind)::BIGINT AS step FROM objects")

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tidemark.functions.scripts import base_name, quick_kind, tags, with_parsed_
 from tidemark.functions.versions import or_empty, version_order
 from tidemark.sources.tables import numbered_within, overwrite_touched, stored
 
-from .history import BY, VERSIONED, category, clean_description, current_version, effectively_undone, first_baseline, highest_applied, out_of_order_adjacent, reapplied_after_first_undo, repeatable_checksums, undone_versions
+from .history import BY, VERSIONED, category, clean_description, effectively_undone, first_baseline, highest_applied, out_of_order_adjacent, repeatable_checksums, undone_versions
 
 
 def _ok() -> Column:
@@ -34,6 +35,38 @@ def resolved_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return stored(named.select(*by, "script_id", "name", quick_kind(F.col("_name")).alias("kind"), "named_kind", "version", "description", tags(F.col("name")).alias("tags"), script_checksum(F.col("content")).alias("file_checksum")))
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What reports ask a history again and again, aggregated once and written: a row for each version, script and database."""
+
+    versions: DataFrame
+    scripts: DataFrame
+    databases: DataFrame
+
+
+def facts(history: DataFrame, by: Sequence[str] = BY) -> Facts:
+    """One conditional aggregation each by version, by script and by database; all combine before their shuffle."""
+    rank, undo, own = F.col("installed_rank"), _ok() & (F.col("type") == "UNDO_SQL"), F.col("type").isin(*VERSIONED)
+    base, repeatable = F.col("type") == "BASELINE", F.col("type") == "REPEATABLE"
+    named, order = or_empty(F.col("version")) != "", version_order(F.col("version"))
+    versions = history.groupBy(*by, "version").agg(
+        F.min(F.when(undo, rank)).alias("first_undo"),
+        F.max(F.when(undo, rank)).alias("last_undo"),
+        F.max(F.when(own, rank)).alias("last_any"),
+        F.max(F.when(own & _ok(), rank)).alias("last_ok"),
+        F.coalesce(F.bool_or(own | base), F.lit(False)).alias("ran"),
+    )
+    versions = versions.withColumns({"gone": F.coalesce((F.col("last_undo") >= F.coalesce("last_ok", F.lit(0))) & named, F.lit(False)), "again": F.coalesce(F.col("last_ok").isNotNull() & (F.col("last_any") > F.col("first_undo")) & named, F.lit(False))})
+    scripts = history.groupBy(*by, "script").agg(
+        F.coalesce(F.bool_or(own | base), F.lit(False)).alias("ran"),
+        F.max_by(F.when(repeatable & _ok(), F.struct("checksum")), F.when(repeatable & _ok(), rank)).alias("last_ok"),
+        F.max_by(F.when(repeatable, F.struct("checksum")), F.when(repeatable, rank)).alias("last"),
+    )
+    top = lambda rows: F.max_by(F.when(rows, F.col("version")), F.when(rows, F.struct(order, -rank)))
+    databases = history.groupBy(*by).agg(top(_ok() & (own | base) & named).alias("current_version"), top(_ok() & own & named).alias("highest"), F.min_by(F.when(base, F.struct("version")), F.when(base, rank)).alias("_b"))
+    return Facts(stored(versions), stored(scripts), stored(databases.select(*by, "current_version", "highest", F.col("_b.version").alias("baseline_version"))))
+
+
 def ordered_scripts(scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Place of each script in its group: versioned ones by version, others by name."""
     group = F.when(F.col("kind").isin(*VERSIONED), "versioned").otherwise(F.lower("kind"))
@@ -65,7 +98,7 @@ def filtered_scripts(scripts: DataFrame, target: str | None = None, tag_list: Se
     return resolved_scripts(scripts, by).where(keep)
 
 
-def pending(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY) -> DataFrame:
+def pending(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY, known: Facts | None = None) -> DataFrame:
     """Scripts to run, with the reason.
 
     A versioned script is pending unless its version, or its name, has run; an effectively
@@ -74,36 +107,28 @@ def pending(history: DataFrame, scripts: DataFrame, target: str | None = None, b
     its checksum has changed.  Undo scripts, callbacks and baselines never are.
     """
     rows = filtered_scripts(scripts, target, by=by)
-    ran = history.where(F.col("type").isin(*VERSIONED, "BASELINE"))
-    versions = ran.where(or_empty(F.col("version")) != "").select(*by, "version").distinct().withColumn("_by_version", F.lit(True))
-    names = ran.select(*by, F.col("script").alias("name")).distinct().withColumn("_by_name", F.lit(True))
-    undone = effectively_undone(history, by).select(*by, "version").withColumn("_undone", F.lit(True))
-    limits = current_version(history, by).join(first_baseline(history, by), list(by), "full")
-    limits = limits.select(*by, F.greatest(*[version_order(F.col(c)) for c in ("current_version", "baseline_version")]).alias("_limit"))
-    versioned = (
-        rows.where(F.col("kind").isin(*VERSIONED) & F.col("version").isNotNull())
-        .join(versions, [*by, "version"], "left")
-        .join(names, [*by, "name"], "left")
-        .join(undone, [*by, "version"], "left")
-        .join(limits, list(by), "left")
-    )
+    known = known or facts(history, by)
+    versions = known.versions.where("version <> '' AND (ran OR gone)").select(*by, "version", F.when(F.col("ran"), True).alias("_by_version"), F.col("gone").alias("_undone"))
+    names = known.scripts.where("ran").select(*by, F.col("script").alias("name"), F.lit(True).alias("_by_name"))
+    limits = known.databases.select(*by, F.greatest(*[version_order(F.col(c)) for c in ("current_version", "baseline_version")]).alias("_limit"))
+    versioned = rows.where(F.col("kind").isin(*VERSIONED) & F.col("version").isNotNull()).join(versions, [*by, "version"], "left").join(names, [*by, "name"], "left").join(limits, list(by), "left")
     has_run = F.coalesce("_by_version", "_by_name", F.lit(False))
     below = F.coalesce(version_order(F.col("version")) <= F.col("_limit"), F.lit(False))
     reason = F.when(F.coalesce("_undone", F.lit(False)), "undone").when(has_run, None).when(below, "below").otherwise("new")
-    last = repeatable_checksums(history, True, by).withColumnRenamed("script", "name").withColumn("_seen", F.lit(True))
+    last = known.scripts.where("last_ok IS NOT NULL").select(*by, F.col("script").alias("name"), F.col("last_ok.checksum").alias("checksum"), F.lit(True).alias("_seen"))
     repeatable = rows.where("kind = 'REPEATABLE'").join(last, [*by, "name"], "left").withColumn("reason", F.when(F.col("_seen").isNull(), "new").when(F.col("checksum") != F.col("file_checksum"), "changed"))
     columns = [*by, "script_id", "name", "kind", "version", "reason"]
     return versioned.withColumn("reason", reason).select(*columns).unionByName(repeatable.select(*columns)).where("reason IS NOT NULL")
 
 
-def _with_state(history: DataFrame, scripts: DataFrame, by: Sequence[str]) -> DataFrame:
+def _with_state(history: DataFrame, scripts: DataFrame, by: Sequence[str], known: Facts | None = None) -> DataFrame:
     """History rows with ``state`` and ``resolved`` (there is a file of that name)."""
-    again = reapplied_after_first_undo(history, by).withColumn("_again", F.lit(True))
-    undone = undone_versions(history, by).where("version <> ''").join(again, [*by, "version"], "left").withColumn("_undone", F.when(F.col("_again"), "Success").otherwise("Undone")).drop("_again")
+    known = known or facts(history, by)
+    undone = known.versions.where("version <> '' AND first_undo IS NOT NULL").select(*by, "version", F.when(F.col("again"), "Success").otherwise("Undone").alias("_undone"))
     late = out_of_order_adjacent(history, by).select(*by, "version").distinct().withColumn("_late", F.lit(True))
-    latest = repeatable_checksums(history, False, by).withColumnRenamed("checksum", "_latest")
+    latest = known.scripts.where("last IS NOT NULL").select(*by, "script", F.col("last.checksum").alias("_latest"))
     files = scripts.select(*by, base_name(F.col("name")).alias("script")).distinct().withColumn("_file", F.lit(True))
-    top = highest_applied(history, by).withColumn("_highest", version_order(F.col("highest"))).drop("highest")
+    top = known.databases.select(*by, version_order(F.col("highest")).alias("_highest"))
     rows = history.join(undone, [*by, "version"], "left").join(late, [*by, "version"], "left").join(files, [*by, "script"], "left")
     rows = rows.join(latest, [*by, "script"], "left").join(top, list(by), "left")
     future = F.coalesce((or_empty(F.col("version")) != "") & (version_order(F.col("version")) > F.col("_highest")), F.lit(False))
@@ -126,7 +151,7 @@ def _with_state(history: DataFrame, scripts: DataFrame, by: Sequence[str]) -> Da
     return rows.select(*history.columns, state.alias("state"), (~missing).alias("resolved"))
 
 
-def history_states(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def history_states(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY, known: Facts | None = None) -> DataFrame:
     """How each history row is shown.
 
     Deleted, baseline, and failed rows (of a missing script "Missing", or "Future" above the
@@ -135,11 +160,12 @@ def history_states(history: DataFrame, scripts: DataFrame, by: Sequence[str] = B
     order, outdated (the latest run of a repeatable had another checksum), missing or future,
     success.  Rows that are neither need repair.
     """
-    return _with_state(history, scripts, by).select(*by, "installed_rank", "version", "type", "script", "state")
+    return _with_state(history, scripts, by, known).select(*by, "installed_rank", "version", "type", "script", "state")
 
 
-def pending_states(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY) -> DataFrame:
+def pending_states(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY, known: Facts | None = None) -> DataFrame:
     """How pending scripts and undo scripts are shown."""
+    baselines = known.databases.select(*by, "baseline_version") if known else first_baseline(history, by)
     rows = resolved_scripts(scripts, by).where(F.col("kind").isin(*VERSIONED, "REPEATABLE", "UNDO_SQL"))
     undo = rows.where("kind = 'UNDO_SQL'").select(*by, "version").distinct().withColumn("_undo", F.lit(True))
     key = version_order(or_empty(F.col("version")))
@@ -151,7 +177,7 @@ def pending_states(history: DataFrame, scripts: DataFrame, target: str | None =
         .when(F.col("_undo").isNotNull(), "Available")
         .otherwise("Pending")
     )
-    return rows.join(undo, [*by, "version"], "left").join(first_baseline(history, by), list(by), "left").select(*by, "script_id", "kind", "version", state.alias("state"))
+    return rows.join(undo, [*by, "version"], "left").join(baselines, list(by), "left").select(*by, "script_id", "kind", "version", state.alias("state"))
 
 
 def available_undos(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -190,14 +216,15 @@ def _shown_version(version: Column) -> Column:
 def listing(history: DataFrame, scripts: DataFrame, target: str | None = None, by: Sequence[str] = BY) -> DataFrame:
     """All history rows with their states, all pending scripts with theirs, and undo scripts of undone versions that aren't pending."""
     scripts = resolved_scripts(scripts, by)
-    rows = _with_state(history, scripts, by)
+    known = facts(history, by)
+    rows = _with_state(history, scripts, by, known)
     labels = category(F.col("type"), F.col("description"))
     shown = rows.select(*by, labels.alias("category"), _shown_version(F.col("version")).alias("version"), clean_description(F.col("description")).alias("description"), "type", "state", "execution_time", "script", "checksum", "installed_by", F.col("installed_rank"), "success", "resolved", F.lit("applied").alias("source"), "installed_on")
-    new = pending(history, scripts, target, by).where("reason <> 'below'").select(*by, "script_id")
-    files = resolved_scripts(scripts, by).join(new, [*by, "script_id"], "left_semi").join(pending_states(history, scripts, target, by).select(*by, "script_id", "state"), [*by, "script_id"])
+    new = stored(pending(history, scripts, target, by, known).where("reason <> 'below'").select(*by, "script_id"))
+    files = resolved_scripts(scripts, by).join(new, [*by, "script_id"], "left_semi").join(pending_states(history, scripts, target, by, known).select(*by, "script_id", "state"), [*by, "script_id"])
     null = lambda kind: F.lit(None).cast(kind)
     waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), "state", null("int").alias("execution_time"), F.col("name").alias("script"), F.col("file_checksum").cast("int").alias("checksum"), null("string").alias("installed_by"), null("long").alias("installed_rank"), null("boolean").alias("success"), F.lit(True).alias("resolved"), F.lit("pending").alias("source"), null("date").alias("installed_on"))
-    more = synthetic_undos(history, scripts, by).join(waiting.where("version <> ''").select(*by, "version").distinct(), [*by, "version"], "left_anti")
+    more = synthetic_undos(history, scripts, by, known).join(waiting.where("version <> ''").select(*by, "version").distinct(), [*by, "version"], "left_anti")
     undo = more.select(*by, F.lit("Undo").alias("category"), "version", "description", F.lit("UNDO_SQL").alias("type"), F.lit("Available").alias("state"), null("int").alias("execution_time"), F.concat(F.lit("U"), "version", F.lit("__.sql")).alias("script"), null("int").alias("checksum"), null("string").alias("installed_by"), null("long").alias("installed_rank"), null("boolean").alias("success"), F.lit(True).alias("resolved"), F.lit("pending").alias("source"), null("date").alias("installed_on"))
     return shown.unionByName(waiting).unionByName(undo)
 
@@ -214,9 +241,10 @@ def with_undo_file(versions: DataFrame, scripts: DataFrame, by: Sequence[str] =
     return versions.join(starts, [*by, "version"], "left_semi")
 
 
-def synthetic_undos(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def synthetic_undos(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY, known: Facts | None = None) -> DataFrame:
     """Undone versions with an undo file, and the description of the version's first row."""
-    undone = with_undo_file(undone_versions(history, by).where("version <> ''"), scripts, by)
+    undone = known.versions.where("first_undo IS NOT NULL").select(*by, "version") if known else undone_versions(history, by)
+    undone = with_undo_file(undone.where("version <> ''"), scripts, by)
     rows = history.where(F.col("type").isin(*VERSIONED)).groupBy(*by, _shown_version(F.col("version")).alias("version")).agg(F.min_by(clean_description(F.col("description")), "installed_rank").alias("description"))
     return undone.join(rows, [*by, "version"], "left").select(*by, "version", F.coalesce("description", F.concat(F.lit("Undo migration "), "version")).alias("description"))
 
@@ -230,15 +258,15 @@ def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by:
     version as text, then others by name.
     """
     scripts = resolved_scripts(scripts, by)
-    latest = repeatable_checksums(history, True, by).withColumnRenamed("checksum", "_latest").withColumn("_known", F.lit("REPEATABLE"))
-    last_undo = history.where(_ok() & (F.col("type") == "UNDO_SQL") & F.col("version").isNotNull()).groupBy(*by, "version").agg(F.max("installed_rank").alias("_undo"))
-    gone = effectively_undone(history, by).select(*by, "version").withColumn("_gone", F.lit(True))
+    known = facts(history, by)
+    latest = known.scripts.where("last_ok IS NOT NULL").select(*by, "script", F.col("last_ok.checksum").alias("_latest"), F.lit("REPEATABLE").alias("_known"))
+    undos = known.versions.where("last_undo IS NOT NULL").select(*by, "version", F.col("last_undo").alias("_undo"), F.col("gone").alias("_gone"))
     undo = resolved_scripts(scripts, by).where("named_kind = 'UNDO_SQL' AND version IS NOT NULL").select(*by, "version").distinct().withColumn("_file", F.lit(True))
-    rows = history.join(latest, [*by, "script"], "left").join(last_undo, [*by, "version"], "left").join(gone, [*by, "version"], "left").join(undo, [*by, "version"], "left")
+    rows = history.join(latest, [*by, "script"], "left").join(undos, [*by, "version"], "left").join(undo, [*by, "version"], "left")
     hidden = (F.col("type") == "REPEATABLE") & F.col("_known").isNotNull() & (F.coalesce("checksum", F.lit(0)) != 0) & ~F.coalesce(F.col("checksum") == F.col("_latest"), F.lit(False))
     undone = F.col("type").isin(*VERSIONED) & F.coalesce(F.col("_undo") > F.col("installed_rank"), F.lit(False))
     if need_undone:
-        undone &= F.col("_gone").isNotNull()
+        undone &= F.coalesce("_gone", F.lit(False))
     state = (
         F.when(F.col("type").isin("DELETE", "MISSING"), "Deleted")
         .when(_ok(), F.when(F.col("type") == "BASELINE", "Baseline").when(undone, "Undone").otherwise("Success"))
@@ -247,7 +275,7 @@ def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by:
     )
     undoable = F.col("_file").isNotNull().alias("undoable")
     shown = rows.where(~hidden).select(*by, category(F.col("type"), F.col("description")).alias("category"), _shown_version(F.col("version")).alias("version"), clean_description(F.col("description")).alias("description"), "type", state.alias("state"), undoable, "script", F.coalesce("execution_time", F.lit(0)).alias("execution_time"), "installed_rank", "checksum", F.lit(None).cast("long").alias("place"))
-    new = pending(history, scripts, target, by).where("reason <> 'below'").select(*by, "script_id")
+    new = pending(history, scripts, target, by, known).where("reason <> 'below'").select(*by, "script_id")
     files = resolved_scripts(scripts, by).join(new, [*by, "script_id"], "left_semi").join(undo, [*by, "version"], "left")
     files = numbered_within(files, by, (~F.col("kind").isin(*VERSIONED)).cast("int"), or_empty(F.col("version")), "name", "script_id")
     waiting = files.select(*by, category(F.col("kind"), F.lit("")).alias("category"), _shown_version(F.col("version")).alias("version"), "description", F.col("kind").alias("type"), F.lit("Pending").alias("state"), undoable, F.col("name").alias("script"), F.lit(0).alias("execution_time"), F.lit(None).cast("long").alias("installed_rank"), F.lit(None).cast("int").alias("checksum"), "place")
@@ -257,16 +285,18 @@ def info(history: DataFrame, scripts: DataFrame, target: str | None = None, by:
 def snapshot(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """One row for each database: current version, and counts of the states and of pending scripts."""
     scripts = resolved_scripts(scripts, by)
-    states = history_states(history, scripts, by).groupBy(*by).agg(F.count(F.lit(1)).alias("applied"), F.count_if(F.col("state").startswith("Failed") | (F.col("state") == "Needs repair")).alias("failed"), F.count_if(F.col("state") == "Undone").alias("undone"), F.count_if(F.col("state") == "Deleted").alias("deleted"))
-    waiting = pending(history, scripts, by=by).where("reason <> 'below'").groupBy(*by).agg(F.count(F.lit(1)).alias("pending"))
-    drifted = drifted_repeatables(history, scripts, by).groupBy(*by).agg(F.count(F.lit(1)).alias("drifted"))
-    out = states.join(current_version(history, by), list(by), "left").join(waiting, list(by), "left").join(drifted, list(by), "left")
+    known = facts(history, by)
+    states = history_states(history, scripts, by, known).groupBy(*by).agg(F.count(F.lit(1)).alias("applied"), F.count_if(F.col("state").startswith("Failed") | (F.col("state") == "Needs repair")).alias("failed"), F.count_if(F.col("state") == "Undone").alias("undone"), F.count_if(F.col("state") == "Deleted").alias("deleted"))
+    waiting = pending(history, scripts, by=by, known=known).where("reason <> 'below'").groupBy(*by).agg(F.count(F.lit(1)).alias("pending"))
+    drifted = drifted_repeatables(history, scripts, by, known).groupBy(*by).agg(F.count(F.lit(1)).alias("drifted"))
+    out = states.join(known.databases.select(*by, "current_version"), list(by), "left").join(waiting, list(by), "left").join(drifted, list(by), "left")
     return out.select(*by, "current_version", "applied", "failed", "undone", "deleted", F.coalesce("pending", F.lit(0)).cast("long").alias("pending"), F.coalesce("drifted", F.lit(0)).cast("long").alias("drifted"))
 
 
-def drifted_repeatables(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def drifted_repeatables(history: DataFrame, scripts: DataFrame, by: Sequence[str] = BY, known: Facts | None = None) -> DataFrame:
     """Repeatable scripts whose last successful checksum differs from the file's. A stored 0 counts as unknown."""
-    last = repeatable_checksums(history, True, by).where("checksum <> 0")
+    last = known.scripts.select(*by, "script", F.col("last_ok.checksum").alias("checksum")) if known else repeatable_checksums(history, True, by)
+    last = last.where("checksum <> 0")
     files = resolved_scripts(scripts, by).where("kind = 'REPEATABLE'")
     return files.join(last.withColumnRenamed("script", "name"), [*by, "name"]).where("checksum <> file_checksum").select(*by, "script_id", "name", F.col("checksum").alias("previous"), F.col("file_checksum").alias("current"))
 

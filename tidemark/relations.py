@@ -133,6 +133,14 @@ SELECT p_partkey AS stmt_id,
 FROM (SELECT p_partkey, 'tab' || CAST(p_partkey % 7 AS STRING) AS t, CAST(p_partkey % 5 AS STRING) AS n FROM part) p
 """
 
+ALTERS = """
+SELECT p_partkey AS stmt_id, p_partkey % 14 AS k, 'ALTER TABLE S.Tab' || CAST(p_partkey % 7 AS STRING) || CASE p_partkey % 14
+   WHEN 0 THEN ' ADD COLUMN c1 INT' WHEN 1 THEN ' add column if not exists "c2" INT' WHEN 2 THEN ' ADD CONSTRAINT k1 CHECK (a > 0)' WHEN 3 THEN ' ADD CONSTRAINT k2 PRIMARY KEY (a)'
+   WHEN 4 THEN ' ADD CONSTRAINT k3 FOREIGN  KEY (a) REFERENCES t (b)' WHEN 5 THEN ' ADD PRIMARY KEY (a)' WHEN 6 THEN ' DROP COLUMN c3' WHEN 7 THEN ' DROP CONSTRAINT k4' WHEN 8 THEN ' ALTER COLUMN c4 TYPE TEXT'
+   WHEN 9 THEN ' MODIFY COLUMN c5 INT' WHEN 10 THEN ' RENAME TO New1' WHEN 11 THEN ' RENAME COLUMN old1 TO new2' WHEN 12 THEN ' ENABLE TRIGGER ALL' ELSE ' DROP  PRIMARY KEY' END AS sql_text
+FROM part
+"""
+
 BATCHES = """
 SELECT o_orderkey AS script_id, 'SELECT ' || CAST(o_custkey AS STRING) || chr(10) || 'GO' || chr(10) || 'INSERT INTO t VALUES (' || CAST(o_orderkey AS STRING) || ');' || chr(10) || '  go -- next' || chr(10)
    || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || 'GO' || chr(10) ELSE 'DELETE FROM $' || '{tab:orders} WHERE s = ''$' || '{state}''' END AS content, o_orderstatus AS state
@@ -186,8 +194,8 @@ SPARSE_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 18 = 1"
 PARTIAL_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE db <> 4"
 FEW_SCRIPTS = f"SELECT * FROM ({SCRIPTS}) s WHERE db < 3"
 
-TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "error_messages": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders", "table_columns": "orders", "foreign_keys": "orders"}
-SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "error_messages": ERROR_MESSAGES, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS, "table_columns": TABLE_COLUMNS, "foreign_keys": FOREIGN_KEYS}
+TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "error_messages": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "alters": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders", "table_columns": "orders", "foreign_keys": "orders"}
+SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "error_messages": ERROR_MESSAGES, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "alters": ALTERS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS, "table_columns": TABLE_COLUMNS, "foreign_keys": FOREIGN_KEYS}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

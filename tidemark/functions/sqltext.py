@@ -150,6 +150,13 @@ def touches(sql: Column, keys: list[str]) -> Column:
     return F.arrays_overlap(updated_columns(sql), F.array(*[F.lit(k.lower()) for k in keys]))
 
 
+def dml_analysis(sql: Column) -> Column:
+    """(target, events, updated_columns) of a statement that changes rows; null for others. Columns are those of an UPDATE, else null."""
+    target = dml_target(sql)
+    columns = updated_columns(sql)
+    return F.when(target.isNotNull(), F.struct(target.alias("target"), dml_events(sql).alias("events"), F.when(F.size(columns) > 0, columns).alias("updated_columns")))
+
+
 def object_of(sql: Column) -> Column:
     """(object_type, schema_name, object_name) that a CREATE, ALTER or DROP is about; nulls for others."""
     pattern = r"(?i)^(?:CREATE|ALTER|DROP)\s+(?:OR\s+REPLACE\s+)?(?:UNIQUE\s+|TEMPORARY\s+|MATERIALIZED\s+)?(TABLE|VIEW|INDEX|SEQUENCE|TRIGGER|PROCEDURE|FUNCTION|SCHEMA|TYPE)\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?" + _NAME

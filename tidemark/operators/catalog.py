@@ -61,6 +61,16 @@ def column_diff(columns: DataFrame, left: str = "a", right: str = "b") -> DataFr
     return both.select("tab", "name", F.explode(changes).alias("difference"))
 
 
+def option_diff(options: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """Options ``(tab, side, option, value)`` of tables that differ, such as temporary, tablespace or versioning: ``tab, option, old, new``.
+
+    Names of options are compared in lower case, values as they are; a missing option and a null one are the same.
+    """
+    side = lambda s, name: options.where(F.col("side") == s).groupBy("tab", F.lower("option").alias("option")).agg(F.max("value").alias(name))
+    both = side(left, "old").join(side(right, "new"), ["tab", "option"], "full")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("tab", "option", "old", "new")
+
+
 def merged_objects(first: DataFrame, second: DataFrame) -> DataFrame:
     """Objects of both, the second winning where name (case aside) and kind agree; of several the greatest id."""
     rows = first.withColumn("_side", F.lit(1)).unionByName(second.withColumn("_side", F.lit(2)))

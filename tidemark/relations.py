@@ -141,6 +141,19 @@ SELECT p_partkey AS stmt_id, p_partkey % 14 AS k, 'ALTER TABLE S.Tab' || CAST(p_
 FROM part
 """
 
+DEFINED = """
+SELECT p_partkey AS stmt_id, p_partkey % 12 AS k, CASE p_partkey % 12 WHEN 0 THEN 'CREATE TABLE IF NOT EXISTS ' WHEN 1 THEN 'create or replace view ' WHEN 2 THEN 'CREATE MATERIALIZED VIEW ' WHEN 3 THEN 'CREATE UNIQUE INDEX ' WHEN 4 THEN 'DROP SEQUENCE IF EXISTS ' WHEN 5 THEN 'CREATE TRIGGER '
+   WHEN 6 THEN 'CREATE OR REPLACE PROCEDURE ' WHEN 7 THEN '-- f' || chr(10) || 'CREATE FUNCTION ' WHEN 8 THEN 'CREATE TEMPORARY TABLE ' WHEN 9 THEN 'ALTER TYPE ' WHEN 10 THEN 'DROP SCHEMA ' ELSE 'SELECT ' END
+   || CASE WHEN p_partkey % 5 = 0 THEN 'x.' WHEN p_partkey % 5 = 1 THEN '"Y".' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '"Obj1"' ELSE 'obj2' END || ' rest of it' AS sql_text
+FROM part
+"""
+
+OPTIONS = """
+SELECT 't' || CAST(s_suppkey % 30 AS STRING) AS tab, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, CASE s_suppkey % 3 WHEN 0 THEN 'Temporary' WHEN 1 THEN 'tablespace' ELSE 'system_versioned' END AS option,
+       CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'v' || CAST(s_suppkey % 4 AS STRING) END AS value FROM supplier
+UNION ALL SELECT 't' || CAST(s_suppkey % 30 AS STRING), 'b', 'temporary', 'v' || CAST(s_suppkey % 4 AS STRING) FROM supplier WHERE s_suppkey % 2 = 0
+"""
+
 BATCHES = """
 SELECT o_orderkey AS script_id, 'SELECT ' || CAST(o_custkey AS STRING) || chr(10) || 'GO' || chr(10) || 'INSERT INTO t VALUES (' || CAST(o_orderkey AS STRING) || ');' || chr(10) || '  go -- next' || chr(10)
    || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || 'GO' || chr(10) ELSE 'DELETE FROM $' || '{tab:orders} WHERE s = ''$' || '{state}''' END AS content, o_orderstatus AS state
@@ -194,8 +207,8 @@ SPARSE_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE installed_rank % 18 = 1"
 PARTIAL_HISTORY = f"SELECT * FROM ({HISTORY}) h WHERE db <> 4"
 FEW_SCRIPTS = f"SELECT * FROM ({SCRIPTS}) s WHERE db < 3"
 
-TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "error_messages": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "alters": "part", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders", "table_columns": "orders", "foreign_keys": "orders"}
-SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "error_messages": ERROR_MESSAGES, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "alters": ALTERS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS, "table_columns": TABLE_COLUMNS, "foreign_keys": FOREIGN_KEYS}
+TABLES = {"foreign_history": "events", "sparse_history": "events", "partial_history": "events", "few_scripts": "documents", "history": "events", "scripts": "documents", "journal": "lineitem", "error_messages": "lineitem", "edges": "supplier nation", "cyclic_edges": "nation", "tangled_edges": "supplier", "long_edges": "orders", "definitions": "customer", "references": "customer", "statements": "part", "alters": "part", "defined": "part", "options": "supplier", "batches": "orders", "types": "part", "columns": "supplier", "objects": "customer", "constraints": "orders", "table_columns": "orders", "foreign_keys": "orders"}
+SQL = {"foreign_history": FOREIGN_HISTORY, "sparse_history": SPARSE_HISTORY, "partial_history": PARTIAL_HISTORY, "few_scripts": FEW_SCRIPTS, "history": HISTORY, "scripts": SCRIPTS, "journal": JOURNAL, "error_messages": ERROR_MESSAGES, "edges": EDGES, "cyclic_edges": CYCLIC_EDGES, "tangled_edges": TANGLED_EDGES, "long_edges": LONG_EDGES, "definitions": DEFINITIONS, "references": REFERENCES, "statements": STATEMENTS, "alters": ALTERS, "defined": DEFINED, "options": OPTIONS, "batches": BATCHES, "types": TYPES, "columns": COLUMNS, "objects": OBJECTS, "constraints": CONSTRAINTS, "table_columns": TABLE_COLUMNS, "foreign_keys": FOREIGN_KEYS}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -211,9 +211,12 @@ query("p14_transaction_policy", "statements", lambda s: s.groupBy((F.col("stmt_i
 query("p15_structural_problems", "statements", lambda s: s.select("stmt_id", sqltext.structural_problem(F.col("sql_text")).alias("problem")).where("problem IS NOT NULL"), "SELECT stmt_id, problem FROM (SELECT stmt_id, CASE WHEN trim(sql_text) = '' THEN 'empty' WHEN len(regexp_extract_all(sql_text, '\\(')) <> len(regexp_extract_all(sql_text, '\\)')) THEN 'parentheses' WHEN len(regexp_extract_all(sql_text, '''')) % 2 = 1 THEN 'quotes' END AS problem FROM statements) WHERE problem IS NOT NULL")
 _OBJECT = r"(?i)^(?:CREATE|ALTER|DROP)\s+(?:UNIQUE\s+)?(TABLE|VIEW|INDEX)\s+([\w.]+)"
 query("p16_objects", "statements", lambda s: s.withColumn("o", sqltext.object_of(F.col("sql_text"))).where("o.object_type IS NOT NULL").select("stmt_id", "o.*"), f"SELECT stmt_id, upper(regexp_extract(h, '{_OBJECT}', 1)) AS object_type, nullif(regexp_extract(regexp_extract(h, '{_OBJECT}', 2), '^(.*)\\.[^.]*$', 1), '') AS schema_name, regexp_extract(regexp_extract(h, '{_OBJECT}', 2), '([^.]*)$', 1) AS object_name FROM (SELECT stmt_id, {_BARE} AS h FROM statements) WHERE regexp_matches(h, '{_OBJECT}')")
+query("p16_object_kinds", "defined", lambda d: d.withColumn("o", sqltext.object_of(F.col("sql_text"))).where("o.object_type IS NOT NULL").select("stmt_id", "o.*"), "SELECT stmt_id, ['TABLE', 'VIEW', 'VIEW', 'INDEX', 'SEQUENCE', 'TRIGGER', 'PROCEDURE', 'FUNCTION', 'TABLE', 'TYPE', 'SCHEMA'][k + 1] AS object_type, CASE stmt_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'Y' END AS schema_name, CASE WHEN stmt_id % 3 = 0 THEN 'Obj1' ELSE 'obj2' END AS object_name FROM defined WHERE k < 11")
+query("x4_option_diff", "options", catalog.option_diff, "SELECT coalesce(a.tab, b.tab) AS tab, coalesce(a.option, b.option) AS option, old, new FROM (SELECT tab, lower(option) AS option, max(value) AS old FROM options WHERE side = 'a' GROUP BY ALL) a FULL JOIN (SELECT tab, lower(option) AS option, max(value) AS new FROM options WHERE side = 'b' GROUP BY ALL) b ON a.tab = b.tab AND a.option = b.option WHERE old IS DISTINCT FROM new")
 query("p22_placeholders", "batches", lambda b: b.select("script_id", sqltext.substituted(F.col("content"), {"state": F.col("state")}).alias("content")), "SELECT script_id, regexp_replace(replace(content, '$' || '{state}', state), '\\$\\{\\w+:([^}]*)\\}', '\\1', 'g') AS content FROM batches")
 query("p23_returns_rows", "statements", lambda s: s.where(sqltext.returns_rows(F.col("sql_text"))).select("stmt_id"), f"SELECT stmt_id FROM statements WHERE regexp_matches(upper(regexp_replace({_BARE}, '^[(\\s]+', '')), '^(SELECT|WITH|SHOW|VALUES|EXPLAIN|DESC)')")
 _TARGET = r"(?i)^(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+([\w.]+)"
+query("d1_dml_analysis", "statements", lambda s: s.withColumn("a", sqltext.dml_analysis(F.col("sql_text"))).where("a IS NOT NULL").select("stmt_id", "a.target", F.array_join("a.events", ",").alias("events"), F.array_join("a.updated_columns", ",").alias("updated_columns")), """SELECT stmt_id, CASE WHEN k = 14 THEN 's.' ELSE '' END || 'tab' || (stmt_id % 7)::VARCHAR AS target, CASE k WHEN 3 THEN 'INSERT' WHEN 4 THEN 'UPDATE' WHEN 5 THEN 'DELETE' WHEN 6 THEN 'INSERT,UPDATE' WHEN 7 THEN 'INSERT,UPDATE' WHEN 14 THEN 'UPDATE' END AS events, CASE k WHEN 4 THEN 'name,price' WHEN 14 THEN 'b' END AS updated_columns FROM (SELECT stmt_id, stmt_id % 16 AS k FROM statements) WHERE k IN (3, 4, 5, 6, 7, 13, 14)""")
 query("d2_dml_targets", "statements", lambda s: s.select("stmt_id", sqltext.dml_target(F.col("sql_text")).alias("target")).where("target IS NOT NULL"), f"SELECT stmt_id, regexp_extract({_BARE}, '{_TARGET}', 1) AS target FROM statements WHERE regexp_matches({_BARE}, '{_TARGET}')")
 query("d3_dml_events", "statements", lambda s: s.select("stmt_id", F.array_join(sqltext.dml_events(F.col("sql_text")), ",").alias("events")), f"SELECT stmt_id, CASE WHEN h LIKE 'INSERT%' THEN CASE WHEN regexp_matches(h, '(?s)ON\\s+DUPLICATE\\s+KEY\\s+UPDATE|ON\\s+CONFLICT.*DO\\s+UPDATE') THEN 'INSERT,UPDATE' ELSE 'INSERT' END WHEN h LIKE 'UPDATE%' THEN 'UPDATE' WHEN h LIKE 'DELETE%' THEN 'DELETE' WHEN h LIKE 'MERGE%' THEN array_to_string(list_sort(list_distinct(regexp_extract_all(h, 'THEN\\s+(INSERT|UPDATE|DELETE)', 1))), ',') END AS events FROM (SELECT stmt_id, upper({_BARE}) AS h FROM statements)")
 query("d4_upserts", "statements", lambda s: s.where(sqltext.is_upsert(F.col("sql_text"))).select("stmt_id"), "SELECT stmt_id FROM statements WHERE regexp_matches(sql_text, '(?is)ON\\s+DUPLICATE\\s+KEY\\s+UPDATE|ON\\s+CONFLICT.*DO\\s+UPDATE')")

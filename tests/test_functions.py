@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import checksums, scripts, sqltext, types, versions
 
-PAIRS = [(None, None, 0), (None, "1.0", -1), ("1.0", None, 1), ("1.2.3", "1.2.3", 0), ("1.2.3", "1.2.4", -1), ("1.10.0", "1.9.0", 1), ("1_2_3", "1_2_4", -1), ("1_2_3", "1.2.3", 0), ("VA", "VB", -1), ("VB", "VA", 1), ("8b", "9", -1), ("8b", "12", -1), ("8b", "17", -1), ("1", "1.0", 0), ("1.0.0", "1", 0), ("", "0", 0), ("1a", "1", 1), ("A", "10", 1), (" 2 ", "2", 0), ("0", "0.0", 0)]
+PAIRS = [(None, None, 0), (None, "3.1", -1), ("3.1", None, 1), ("4.0.7", "4.0.7", 0), ("4.0.7", "4.0.8", -1), ("2.11", "2.9.5", 1), ("5_0_1", "5_0_2", -1), ("5_0_1", "5.0.1", 0), ("Vx", "Vy", -1), ("Vy", "Vx", 1), ("6c", "7", -1), ("6c", "60", -1), ("7", "7.0", 0), ("7.0.0", "7", 0), ("", "0", 0), ("7a", "7", 1), ("B", "99", 1), (" 3 ", "3", 0), ("0", "0.0", 0), ("007", "7", 0)]
 
 
 def test_version_pairs(spark):
@@ -132,3 +132,32 @@ def test_quotes(spark):
     rows = [("plain", False), ("1abc", False), ("", False), ("a b", True), ("Select", True), ("a$", True)]
     df = spark.createDataFrame(rows, "n string, want boolean")
     assert df.where(types.needs_quotes(F.col("n")) != F.col("want")).collect() == []
+
+
+#: In the order of PEP 440; versions of one row are equal.
+PEP440_ROWS = [
+    ("1.dev1", "1.0.dev1", " 1.DEV-1 "), ("1a0.dev3",), ("1a0", "1.0alpha", "1_a_0", "v1.0.0-a"), ("1a2",), ("1a10",), ("1b1.dev2",), ("1b1", "1beta1"), ("1rc1", "1c1", "1-pre1", "1.preview.1"), ("1rc1.post1",),
+    ("1", "1.0", "1.0.0"), ("1+abc", "1.0+ABC"), ("1+abc.1", "1+abc-1"), ("1+abd",), ("1+2",), ("1+2.x",), ("1+2.3",), ("1+10",), ("1.post0.dev1",), ("1.post0", "1-0", "1post", "1.r0"), ("1.post2", "1-2", "1.rev2"),
+    ("1.0.1",), ("1.2",), ("1.10",), ("1.10.0.1",), ("2",), ("10.0",), ("1!0.1", "1!0.1.0"), ("2!0",),
+]
+
+
+def test_pep440_order(spark):
+    flat = [(k, v) for k, row in enumerate(PEP440_ROWS) for v in row]
+    got = {v: o for v, o in spark.createDataFrame(flat, "k int, v string").select("v", versions.pep440_order(F.col("v"))).collect()}
+    for k, v in flat:
+        for j, w in flat:
+            assert (got[v] < got[w]) == (k < j) and (got[v] == got[w]) == (k == j), (v, w)
+    bad = ["", "x", "1_0", "1..2", "1!", "1+", "1.0-", "a1", "1.0.post1.post2", None]
+    assert all(r[0] is None for r in spark.createDataFrame([(v,) for v in bad], "v string").select(versions.pep440_order(F.col("v"))).collect())
+
+
+def test_content_format(spark):
+    texts = {"": "UNKNOWN", "  select 1": "SQL", "Match (n) return n": "CYPHER", "drop table t": "SQL", "def f(): pass": "PYTHON", "x = 1\nimport os": "PYTHON", "function f() {}": "JAVASCRIPT", "let a; var b": "JAVASCRIPT", '{"a": 1}': "JSON", "a: 1\nb: 2": "YAML", "two words: 1": "UNKNOWN", "{a: 1}": "UNKNOWN", "x" * 300 + "\na: 1": "UNKNOWN"}
+    rows = spark.createDataFrame([(t, f) for t, f in texts.items()] + [(None, "UNKNOWN")], "t string, f string")
+    assert [r for r in rows.select("t", "f", scripts.content_format(F.col("t")).alias("g")).collect() if r.f != r.g] == []
+    assert scripts_format(spark, "a.PY", "select 1") == "PYTHON" and scripts_format(spark, "a.txt", "select 1") == "SQL"
+
+
+def scripts_format(spark, name, content):
+    return spark.createDataFrame([(name, content)], "n string, c string").select(scripts.format_of(F.col("n"), F.col("c"))).first()[0]

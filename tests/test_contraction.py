@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.operators import graph
+from tidemark.operators import contraction, graph
 from tidemark.operators.contraction import cycles, longest_paths, strong_components
 
 
@@ -105,3 +105,24 @@ def test_object_edges(spark):
         ("s.view.v", "x.table.y", "view_text", False),
         ("s.procedure.p", "s.table.v", "procedure_text", False),
     }
+
+
+def test_blocks(spark, tangle, monkeypatch):
+    """Blocks of a few edges, level by level, and graphs that blocks don't help give the same components; a row of rings takes few jobs."""
+    edges, df, ahead = tangle
+    expected = {v: min(u for u in ahead[v] if v in ahead[u]) for v in ahead if v in ahead[v]}
+    for least, most in ((5, 40),):
+        monkeypatch.setattr(contraction, "LEAST_BLOCK", least)
+        monkeypatch.setattr(contraction, "BLOCK", most)
+        assert {(r.node, r.component) for r in strong_components(df).collect()} == set(expected.items())
+    monkeypatch.undo()
+    rings = [(f"n{i:04}", f"n{i // 7 * 7 + (i + 1) % 7:04}") for i in range(7 * 300)] + [(f"n{i:04}", f"n{i + 7:04}") for i in range(0, 7 * 299, 5)]
+    monkeypatch.setattr(contraction, "BLOCK", 600)
+    spark.sparkContext.setJobGroup("rings", "rings")
+    got = {(r.node, r.component) for r in strong_components(frame(spark, rings)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rings"))
+    assert got == {(f"n{i:04}", f"n{i // 7 * 7:04}") for i in range(7 * 300)} and jobs < 100
+    assert [r.has_cycle for r in graph.has_cycle(frame(spark, rings)).collect()] == [True]
+    chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(2000)]
+    assert [r.has_cycle for r in graph.has_cycle(frame(spark, chain)).collect()] == [False]
+    assert [r.has_cycle for r in graph.has_cycle(frame(spark, [*chain, ("n1900", "n0010")])).collect()] == [True]

@@ -1,5 +1,8 @@
 """Following single needs to their ends, and what that gives: depths and strongly connected components.
 
+Components are looked for within blocks of near names first (objects of one schema need each other): a
+block's graph is replaced by what it means for the ways between blocks, and so on with fewer, wider blocks.
+
 A node that needs just one other stands for a step on the way to it.  Such nodes form trees (and
 a few rings); jumping pointers find where each one ends in a number of rounds that grows with
 the logarithm of the longest chain.  The graph is then rewritten without them, and so on: rounds
@@ -8,9 +11,11 @@ grow with branching, not with length.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +25,23 @@ from tidemark.sources.tables import stored
 HOPS = 4
 #: Less than this share of the rest isn't worth a round of its own: of edges taken off, or of nodes to fold.
 WORTH = 0.1
+#: Edges of a block that one task takes; small graphs are cut into blocks of at least ``LEAST_BLOCK``.
+BLOCK = 50_000
+LEAST_BLOCK = 500
 
 
-def followed(pointers: DataFrame, combine: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]]) -> DataFrame:
+def followed(pointers: DataFrame, combine: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]], longest: int | None = None) -> DataFrame:
     """``pointers (node, to, ...)`` with ``to`` moved to where the way ends, and ``open`` where it doesn't: in or into a ring.
 
     A node has one pointer.  ``combine`` makes the values of two steps in a row from those of the
-    first and of the second.
+    first and of the second.  No way has more than ``longest`` different nodes, if that is known.
     """
     values = [c for c in pointers.columns if c not in ("node", "to")]
     pointers = stored(pointers)
     total, hops = pointers.count(), 1
     if not total:
         return pointers.withColumn("open", F.lit(False))
+    total = min(total, longest or total)
     while True:
         step = pointers.select(F.col("node").alias("_node"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in values])
         moved = pointers.select("node", "to", *values)
@@ -131,16 +140,205 @@ def _passed(pointers: DataFrame, marked: DataFrame) -> DataFrame:
         pointers = stored(pointers.join(second, "to").select("node", F.col("_to").alias("to")))
 
 
+def _local_components(needs: list[list[int]]) -> list[int]:
+    """The strongly connected component of each node of a block: numbers in an order in which needs come first."""
+    order, low, found, stack, seen, n = [0] * len(needs), [0] * len(needs), [-1] * len(needs), [], 0, 0
+    for start in range(len(needs)):
+        if order[start]:
+            continue
+        way = [(start, iter(needs[start]))]
+        order[start] = low[start] = seen = seen + 1
+        stack.append(start)
+        while way:
+            v, ahead = way[-1]
+            for w in ahead:
+                if not order[w]:
+                    order[w] = low[w] = seen = seen + 1
+                    stack.append(w)
+                    way.append((w, iter(needs[w])))
+                    break
+                if found[w] < 0:
+                    low[v] = min(low[v], order[w])
+            else:
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[v])
+                if low[v] == order[v]:
+                    while found[v] < 0:
+                        found[stack.pop()] = n
+                    n += 1
+    return found
+
+
+def _block_graph(src: list, dst: list) -> tuple[list[str], list[list[int]]]:
+    names = sorted({x for x in (*src, *dst) if x is not None})
+    at = {x: k for k, x in enumerate(names)}
+    needs: list[list[int]] = [[] for _ in names]
+    for a, b in {(a, b) for a, b in zip(src, dst, strict=True) if a is not None and b is not None}:
+        needs[at[a]].append(at[b])
+    return names, needs
+
+
+_EDGE = pa.schema([("src", pa.string()), ("dst", pa.string())])
+_LABEL = pa.schema([("node", pa.string()), ("label", pa.string())])
+
+
+def _reduced(block: pa.Table) -> pa.Table:
+    """A block's edges with less: the same ways between nodes that other blocks reach (rows without src) and those that need others (without dst).
+
+    A cycle within the block gives a row from its least node to itself.  Nodes that are only passed
+    through are left out where this makes no more edges, and all that is on no way through the block.
+    The nodes between blocks that are on such a way come back as they were given, without src or dst.
+    """
+    src, dst = block.column("src").to_pylist(), block.column("dst").to_pylist()
+    names, needs = _block_graph(src, dst)
+    found = _local_components(needs)
+    n = max(found, default=-1) + 1
+    members: list[list[int]] = [[] for _ in range(n)]
+    for v, c in enumerate(found):
+        members[c].append(v)
+    entered, left = {b for a, b in zip(src, dst, strict=True) if a is None}, {a for a, b in zip(src, dst, strict=True) if b is None}
+    ways = [[v for v in m if names[v] in entered or names[v] in left] for m in members]
+    reached, leads = [any(names[v] in entered for v in m) for m in members], [any(names[v] in left for v in m) for m in members]
+    ahead: list[set[int]] = [set() for _ in range(n)]
+    behind: list[set[int]] = [set() for _ in range(n)]
+    for v, to in enumerate(needs):
+        for w in to:
+            if found[v] != found[w]:
+                ahead[found[v]].add(found[w])
+                behind[found[w]].add(found[v])
+    for c in range(n):
+        leads[c] = leads[c] or any(leads[b] for b in ahead[c])
+    for c in reversed(range(n)):
+        reached[c] = reached[c] or any(reached[a] for a in behind[c])
+    through = {c for c in range(n) if reached[c] and leads[c]}
+    for c in range(n):
+        ahead[c], behind[c], ways[c] = (ahead[c] & through, behind[c] & through, ways[c]) if c in through else (set(), set(), [])
+    todo = deque(through)
+    while todo:
+        c = todo.popleft()
+        if ways[c] or not (ahead[c] or behind[c]) or len(ahead[c]) * len(behind[c]) > len(ahead[c]) + len(behind[c]):
+            continue
+        for a in behind[c]:
+            ahead[a].discard(c)
+            ahead[a] |= ahead[c]
+        for b in ahead[c]:
+            behind[b].discard(c)
+            behind[b] |= behind[c]
+        todo.extend(x for x in (*behind[c], *ahead[c]) if not ways[x])
+        ahead[c], behind[c] = set(), set()
+    out = [(names[m[0]],) * 2 for m in members if len(m) > 1]
+    for c in range(n):
+        out += [(names[a], names[b]) for a, b in zip(ways[c], ways[c][1:] + ways[c][:1], strict=True) if a != b]
+        first = ways[c][0] if ways[c] else members[c][0]
+        out += [(names[first], names[ways[b][0] if ways[b] else members[b][0]]) for b in ahead[c]]
+        out += [(None, names[v]) for v in ways[c] if names[v] in entered] + [(names[v], None) for v in ways[c] if names[v] in left]
+    return pa.table([[a for a, _ in out], [b for _, b in out]], schema=_EDGE)
+
+
+def _labelled(block: pa.Table) -> pa.Table:
+    """``node, label`` of a block's nodes in cycles; rows with ``label`` are nodes that lie in one component of that name by ways outside too."""
+    src, dst, given = (block.column(c).to_pylist() for c in ("src", "dst", "label"))
+    known = {a: label for a, label in zip(src, given, strict=True) if label is not None}
+    names, needs = _block_graph(src, dst)
+    last: dict[str, int] = {}
+    first: dict[str, int] = {}
+    for k, name in enumerate(names):
+        if (label := known.get(name)) is not None:
+            if label in last:
+                needs[last[label]].append(k)
+            last[label] = k
+            first.setdefault(label, k)
+    for label, k in last.items():
+        needs[k].append(first[label])
+    found = _local_components(needs)
+    size, label_of = [0] * len(names), {}
+    for k, c in enumerate(found):
+        size[c] += 1
+        label_of[c] = known.get(names[k]) or label_of.get(c) or names[k]
+    out = [(name, label_of[c]) for name, c in zip(names, found, strict=True) if size[c] > 1 or name in known]
+    return pa.table([[a for a, _ in out], [b for _, b in out]], schema=_LABEL)
+
+
+def _blocked(edges: DataFrame, size: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A level: edges within blocks ``(block, src, dst)``, nodes ``(node, home)`` with needs, and the reduced graph of all blocks.
+
+    A block has the nodes of a range of names; what needs nothing is in no block, and edges to it go.
+    """
+    dealt = stored(edges.repartitionByRange(n, "src").withColumn("block", F.spark_partition_id()))
+    homes = dealt.groupBy(F.col("src").alias("node")).agg(F.first("block").alias("home"))
+    placed = stored(dealt.join(homes, F.col("dst") == F.col("node")).select("src", "dst", "block", "home"))
+    inside, across = placed.where("block = home").select("block", "src", "dst"), placed.where("block <> home")
+    nothing = F.lit(None).cast("string")
+    leaving = across.select("block", "src", nothing.alias("dst")).distinct()
+    entering = across.select(F.col("home").alias("block"), nothing.alias("src"), "dst").distinct()
+    reduced = stored(inside.unionByName(leaving).unionByName(entering).groupBy("block").applyInArrow(_reduced, "src string, dst string"))
+    across = across.select("src", "dst").join(reduced.where("dst IS NULL").select("src"), "src", "left_semi").join(reduced.where("src IS NULL").select("dst"), "dst", "left_semi")
+    return inside, homes, stored(reduced.where("src IS NOT NULL AND dst IS NOT NULL").unionByName(across.select("src", "dst")))
+
+
+def _levels(edges: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame, bool]], list[DataFrame], DataFrame, int]:
+    """Levels of blocks until nothing is left or they no longer help: each with whether it has cycles of its own, these, and the edges that are left."""
+    levels, cyclic, rest = [], [], edges
+    size, least = rest.count(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(-(-size // BLOCK), min(least, 1 + size // LEAST_BLOCK))
+    while size:
+        inside, homes, reduced = _blocked(rest, size, n)
+        loops = reduced.where("src = dst").select(F.col("src").alias("node"))
+        levels.append((inside, homes, not loops.isEmpty()))
+        cyclic.append(loops)
+        rest = reduced.where("src <> dst")
+        before, size = size, rest.count()
+        if n > 1 and size > BLOCK and size > (1 - WORTH) * before:
+            break
+        n = -(-size // BLOCK)
+    return levels, cyclic, rest, size
+
+
+def _once(edges: DataFrame) -> DataFrame:
+    return stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+
+
+def has_cycles(edges: DataFrame) -> DataFrame:
+    """A node of some of the cycles, none if there are none: blocks are only reduced, members not looked for."""
+    once = _once(edges)
+    levels, cyclic, rest, size = _levels(once.where("src <> dst"))
+    found = [once.where("src = dst").select(F.col("src").alias("node")), *cyclic]
+    return _union([*found, _peeled(rest).select("node")] if size else found)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for each node in a cycle; a component is named by its least node. A node that needs itself is in a cycle.
 
+    Blocks of near names are reduced level by level; components of what is left come back down
+    through the levels, where each block finds its own again with the ways outside that join its
+    nodes.  Where blocks don't help, edges are taken off, folded and coloured (:func:`_peeled`).
+    Rows with a null are no edges.
+    """
+    once = _once(edges)
+    levels, _, rest, size = _levels(once.where("src <> dst"))
+    known = _peeled(rest) if size else once.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
+    any_known = bool(size) and not known.isEmpty()
+    for inside, homes, own in reversed(levels):
+        if not (own or any_known):
+            continue
+        met = known.join(homes, "node").select(F.col("home").alias("block"), F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), "label")
+        rows = inside.withColumn("label", F.lit(None).cast("string")).unionByName(met)
+        known, any_known = stored(rows.groupBy("block").applyInArrow(_labelled, "node string, label string")), True
+    loops = once.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("label"))
+    known = stored(known.unionByName(loops.join(known, "node", "left_anti")))
+    least = known.groupBy("label").agg(F.min("node").alias("component"))
+    return known.join(least, "label").select("node", "component")
+
+
+def _peeled(rest: DataFrame) -> DataFrame:
+    """``node, label`` for each node in a cycle of edges without loops, whatever their names.
+
     Ends and beginnings are taken off, nodes with one need are folded into where it leads, and what
     neither changes is coloured; then folded nodes come back, those that lie on a way from
-    their component to itself.  Rows with a null are no edges.
+    their component to itself.
     """
-    once = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    looped, labels, phases = [once.where("src = dst").select(F.col("src").alias("node"))], [], []
-    rest = once.where("src <> dst")
+    looped, labels, phases = [], [], []
     size = rest.count()
     while size:
         rest = stored(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
@@ -164,7 +362,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         looped.append(moved.where("src = dst").select(F.col("src").alias("node")))
         rest = moved.where("src <> dst")
         size = rest.count()
-    loops = stored(_union(looped).distinct())
+    loops = stored(_union([rest.select(F.col("src").alias("node")).limit(0), *looped]).distinct())
     known = loops.withColumn("label", F.col("node"))
     if labels:
         coloured = _union(labels)
@@ -180,8 +378,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         # A ring's node that was folded later belongs to what it was folded into.
         back = stored(_passed(within, entries).join(inside, "node").select("node", "label"))
         known = stored(known.join(back, "node", "left_anti").unionByName(back))
-    least = known.groupBy("label").agg(F.min("node").alias("component"))
-    return known.join(least, "label").select("node", "component")
+    return known
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -193,7 +390,9 @@ def cycles(edges: DataFrame) -> DataFrame:
     member = stored(strong_components(edges))
     inside = edges.select("src", "dst").join(member.select(F.col("node").alias("src"), "component"), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("_other")), "dst").where("component = _other")
     step = stored(inside.groupBy(F.col("src").alias("node"), "component").agg(F.min("dst").alias("to")))
-    far = followed(step.select("node", "to", F.col("node").alias("low")), lambda a, b: {"low": F.least(a("low"), b("low"))})
+    # Ways stay within their component.
+    longest = member.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    far = followed(step.select("node", "to", F.col("node").alias("low")), lambda a, b: {"low": F.least(a("low"), b("low"))}, longest)
     first = far.join(member.where("node = component"), "node").select(F.col("to").alias("node"), "component")
     chosen = far.join(first, "node").select("component", F.col("low").alias("start"))
     # All rings of all ways; those of the chosen starts are kept. Steps back to the start give the places.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import numbered, stored
 
-from .contraction import cycles, longest_paths, strong_components
+from .contraction import cycles, has_cycles, longest_paths, strong_components
 
 
 def table_references(statements: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def in_cycles(edges: DataFrame) -> DataFrame:
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
-    return in_cycles(edges).agg((F.count(F.lit(1)) > 0).alias("has_cycle"))
+    return has_cycles(edges).agg((F.count(F.lit(1)) > 0).alias("has_cycle"))
 
 
 def cycle_paths(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import state
 from tidemark.sources import tables
+from tidemark.sources.tables import read_scripts, written_scripts
 
 
 def local(path):
@@ -76,3 +79,12 @@ def test_undo_files_by_prefix(spark):
     versions = spark.createDataFrame([(1, "1"), (1, "10"), (1, "2"), (2, "1")], "db long, version string")
     names = spark.createDataFrame([(1, "x/U10__a.sql"), (1, "U3.sql"), (2, "U1__b.py"), (2, "V1__b.sql")], "db long, name string")
     assert {tuple(r) for r in state.with_undo_file(versions, names).collect()} == {(1, "1"), (1, "10")}
+
+
+def test_script_files_are_bounded(spark, tmp_path):
+    """Many scripts make many files; a file that two roots reach is read once, and no content is shuffled to find that out."""
+    rows = spark.range(1000).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("content")).coalesce(1)
+    written_scripts(rows, f"{tmp_path}/a/b", "UTF-8")
+    files = read_scripts(spark, {f"{tmp_path}/a": True, f"{tmp_path}/a/b": False}, "*.csv")
+    got = files.select(F.explode(F.split("content", "\n")).alias("l")).where("l <> ''").collect()
+    assert sorted(r.l for r in got) == sorted(f"line {k}" for k in range(1000)) and files.count() == 4

@@ -331,8 +331,7 @@ def _read_back(s: DataFrame) -> DataFrame:
     path = new_path(s.sparkSession, "scripts")
     line = F.concat(F.lit("-- a line of a script, as it was read: "), F.regexp_replace(F.regexp_replace("content", r"[\r\n\x00\x01\x85\u2028\u2029]", " "), r"[^\x00-\xff]", "?"))
     for k, (charset, folder) in enumerate((("UTF-8", "flat"), ("ISO-8859-1", "deep/one"), ("UTF-16LE", "deep/two"), ("UTF-16", "flat"))):
-        rows = s.where(F.col("script_id") % 4 == k).select(line.alias("content"), (F.col("script_id") % 8).alias("file"))
-        written_scripts(rows.repartition(2, "file"), f"{path}/{folder}/{k}", charset)
+        written_scripts(s.where(F.col("script_id") % 4 == k).select(line.alias("content")), f"{path}/{folder}/{k}", charset)
     files = read_scripts(s.sparkSession, {f"{path}/flat/0": False, f"{path}/flat/3": False, f"{path}/deep": True, f"{path}/deep/one": True}, "*.csv")
     lines = files.select(F.regexp_extract("path", r"/(\d)/[^/]*$", 1).alias("written"), F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
     return lines.groupBy("written").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"), F.max("line").alias("last"))

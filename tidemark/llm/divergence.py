@@ -18,6 +18,7 @@ nor on how many terms.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import batched
@@ -32,7 +33,7 @@ from .common import partitions, small_batches, stored
 
 #: Kept terms, and counts, in a chunk; a chunk ends with a whole term.
 CHUNK_TERMS, CHUNK_COUNTS = 2048, 1 << 15
-#: Chunks that a task compares, on average; each task hands on the best terms of each of its sources.
+#: Full chunks' worth of kept terms that a task compares, on average; each task hands on the best terms of each of its sources.
 CHUNKS_A_TASK = 64
 #: Sources of a language that are compared at once with as many others, on average.
 BLOCK = 64
@@ -257,7 +258,9 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: s
     side = lambda s: [F.col("g.source").alias(f"sources_{s}"), F.col("g.total").alias(f"totals_{s}")]
     pairs = blocks.select("lang", "v", "n_lang", "block", *side("l")).join(blocks.select("lang", F.col("block").alias("other"), *side("r")), "lang")
     # A language may hold most chunks: each pair of blocks goes once to each salt.
-    salts = -(-encoded.count() // CHUNKS_A_TASK) or 1
+    # Their number follows kept terms and counts, not chunks, which are small where there are many partitions.
+    full = F.sum(F.greatest(F.size("terms") / CHUNK_TERMS, F.size("counts") / CHUNK_COUNTS))
+    salts = math.ceil((encoded.agg(full).first()[0] or 0) / CHUNKS_A_TASK) or 1
     pairs = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = encoded.drop("totals").withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")).join(pairs, ["lang", "salt"]).drop("salt")
     found = both.sortWithinPartitions("lang", "block", "other").mapInArrow(_comparer(top), "lang binary, source binary, part string, item binary, value long")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, history, state
+from tidemark.operators import graph, history, journal, state, undo
 from tidemark.sources import tables
 from tidemark.streaming.journal import read_journal, running_times
 
@@ -142,3 +142,13 @@ def test_streaming_agrees_with_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("running").collect()}
     want = rows.groupBy(F.window("ts", "1 hour").alias("w"), "migration_id").agg(F.count("*"), F.sum("execution_time"), F.max("execution_time"))
     assert got == {(r[0].start, *r[1:]) for r in want.collect()}
+
+
+def test_reversed_statements_are_dealt_out(spark):
+    """One small file is no single task; each statement is still there once, with its own reverse."""
+    rows = spark.range(40).select(F.col("id").alias("stmt_id"), F.concat(F.lit("CREATE TABLE t"), F.col("id").cast("string"), F.lit(" (a INT)")).alias("sql_text")).coalesce(1)
+    got = undo.reversed_statements(rows)
+    assert {(r.stmt_id, r.undo_sql) for r in got.collect()} == {(k, f"DROP TABLE t{k}") for k in range(40)}
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    script = undo.reversed_script(rows.withColumn("script", F.col("stmt_id") % 3), ["script"])
+    assert {(r.script, r.undo_order, r.undo_sql) for r in script.collect()} == {(k % 3, -k, f"DROP TABLE t{k}") for k in range(40)}

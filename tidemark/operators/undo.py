@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.sqltext import dml_target, inserted_literals, object_of, verb, without_comments
+from tidemark.sources.tables import spread, stored
+
+#: Statements that one task reverses.
+STATEMENTS_A_TASK = 50_000
 
 _DROPPABLE = ("TABLE", "INDEX", "VIEW", "SEQUENCE", "TRIGGER", "PROCEDURE", "FUNCTION")
 
@@ -63,9 +67,22 @@ def reverse_statement(sql: Column) -> Column:
     return F.struct(undo.alias("undo_sql"), warning.alias("warning"))
 
 
+def reversed_statements(statements: DataFrame) -> DataFrame:
+    """``stmt_id, undo_sql, warning`` of statements ``(stmt_id, sql_text)``, dealt out evenly: patterns take long, and a few files would be a few tasks."""
+    rows = spread(statements.select("stmt_id", "sql_text"), rows=STATEMENTS_A_TASK)
+    return rows.select("stmt_id", reverse_statement(F.col("sql_text")).alias("r")).select("stmt_id", "r.*")
+
+
 def reversed_script(statements: DataFrame, by: list[str]) -> DataFrame:
-    """Reverse of each script's statements ``(..., stmt_id, sql_text)``, newest first; rows of tables that the script itself made go with them."""
-    made = statements.withColumn("_o", object_of(F.col("sql_text"))).where((verb(without_comments(F.col("sql_text"))) == "CREATE") & (F.col("_o.object_type") == "TABLE")).select(*by, F.lower(F.concat_ws(".", "_o.schema_name", "_o.object_name")).alias("_table")).distinct()
-    rows = statements.withColumn("_r", reverse_statement(F.col("sql_text"))).withColumn("_table", F.lower(dml_target(F.col("sql_text"))))
-    kept = rows.where("_table IS NULL").drop("_table").unionByName(rows.where("_table IS NOT NULL").join(made, [*by, "_table"], "left_anti").drop("_table").select(*statements.columns, "_r"))
+    """Reverse of each script's statements ``(..., stmt_id, sql_text)``, newest first; rows of tables that the script itself made go with them.
+
+    Each statement is read by patterns once, in a step whose rows are written.
+    """
+    sql = F.col("sql_text")
+    what = object_of(sql)
+    created = F.when((verb(without_comments(sql)) == "CREATE") & (what["object_type"] == "TABLE"), F.lower(F.concat_ws(".", what["schema_name"], what["object_name"])))
+    dealt = spread(statements.select(*by, "stmt_id", "sql_text"), rows=STATEMENTS_A_TASK)
+    rows = stored(dealt.select(*by, "stmt_id", reverse_statement(sql).alias("_r"), F.lower(dml_target(sql)).alias("_table"), created.alias("_created")))
+    made = rows.where("_created IS NOT NULL").select(*by, F.col("_created").alias("_table")).distinct()
+    kept = rows.where("_table IS NULL").select(*by, "stmt_id", "_r").unionByName(rows.where("_table IS NOT NULL").join(made, [*by, "_table"], "left_anti").select(*by, "stmt_id", "_r"))
     return kept.select(*by, (-F.col("stmt_id")).alias("undo_order"), "_r.undo_sql", "_r.warning")

@@ -295,9 +295,9 @@ UNION ALL SELECT tab, 'foreign key without columns', name FROM f WHERE r = 0
 UNION ALL SELECT tab, 'foreign key with other columns', name FROM f WHERE r > 0 AND r <> n
 UNION ALL SELECT tab, 'foreign key without key', name FROM f WHERE ref_tab IS NOT NULL AND r > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT tab AS t, type, name, list(col) AS u FROM k WHERE type IN ('PRIMARY KEY', 'UNIQUE') GROUP BY ALL) g WHERE g.t = f.ref_tab AND list_has_all(f.cs, g.u))""")
 _REVERSED = f"SELECT stmt_id, CASE stmt_id % 16 WHEN 0 THEN 'DROP TABLE s.' || t WHEN 9 THEN 'DROP INDEX ix' || n WHEN 1 THEN 'ALTER TABLE ' || t || ' DROP COLUMN c' || n WHEN 3 THEN 'DELETE FROM ' || t || ' WHERE id = 1 AND name = ''a;b''' WHEN 7 THEN 'DELETE FROM ' || t || ' WHERE id = 1' END AS undo_sql, CASE WHEN stmt_id % 16 IN (0, 1, 9) THEN NULL WHEN stmt_id % 16 IN (3, 7) THEN 'review: deletes by equality' ELSE 'cannot reverse ' || CASE WHEN v IN ('CREATE', 'ALTER', 'DROP', 'INSERT', 'UPDATE', 'DELETE', 'COMMENT', 'TRUNCATE') THEN v ELSE 'UNKNOWN' END END AS warning FROM (SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS t, (stmt_id % 5)::VARCHAR AS n, upper(regexp_extract({_BARE}, '^([A-Za-z]*)', 1)) AS v FROM statements)"
-query("u2_reversed_statements", "statements", lambda s: s.withColumn("r", undo.reverse_statement(F.col("sql_text"))).select("stmt_id", "r.*"), _REVERSED)
+query("u2_reversed_statements", "statements", undo.reversed_statements, _REVERSED)
 query("u1_reversed_script", "statements", lambda s: undo.reversed_script(s.withColumn("script", F.col("stmt_id") % 100), ["script"]), f"SELECT stmt_id % 100 AS script, -stmt_id AS undo_order, undo_sql, warning FROM ({_REVERSED}) r JOIN statements USING (stmt_id) WHERE NOT EXISTS (SELECT 1 FROM statements m WHERE m.stmt_id % 100 = r.stmt_id % 100 AND m.stmt_id % 16 = 0 AND 's.tab' || (m.stmt_id % 7)::VARCHAR = lower(regexp_extract({_BARE.replace('sql_text', 'statements.sql_text')}, '{_TARGET}', 1)))")
-query("u3_reversed_alters", "alters", lambda a: a.select("stmt_id", undo.reverse_statement(F.col("sql_text")).alias("r")).select("stmt_id", "r.*"), """SELECT stmt_id, 'ALTER TABLE ' || CASE WHEN k = 10 THEN 'S.New1 RENAME TO Tab' || (stmt_id % 7)::VARCHAR ELSE 'S.Tab' || (stmt_id % 7)::VARCHAR || [' DROP COLUMN c1', ' DROP COLUMN c2', ' DROP CONSTRAINT k1', ' DROP PRIMARY KEY', ' DROP FOREIGN KEY k3', NULL, NULL, NULL, NULL, NULL, NULL, ' RENAME COLUMN new2 TO old1', NULL, NULL][k + 1] END AS undo_sql,
+query("u3_reversed_alters", "alters", undo.reversed_statements, """SELECT stmt_id, 'ALTER TABLE ' || CASE WHEN k = 10 THEN 'S.New1 RENAME TO Tab' || (stmt_id % 7)::VARCHAR ELSE 'S.Tab' || (stmt_id % 7)::VARCHAR || [' DROP COLUMN c1', ' DROP COLUMN c2', ' DROP CONSTRAINT k1', ' DROP PRIMARY KEY', ' DROP FOREIGN KEY k3', NULL, NULL, NULL, NULL, NULL, NULL, ' RENAME COLUMN new2 TO old1', NULL, NULL][k + 1] END AS undo_sql,
   CASE WHEN k = 5 THEN 'no constraint name found' WHEN k = 6 THEN 'DROP COLUMN ' || x WHEN k IN (7, 13) THEN 'DROP CONSTRAINT ' || x WHEN k IN (8, 9) THEN 'a changed column ' || x WHEN k = 12 THEN 'cannot reverse ALTER' END AS warning FROM (SELECT *, 'cannot be reversed without the original definition' AS x FROM alters)""")
 _REPAIR = "SELECT db, script, installed_rank, 'CHECKSUM_MISMATCH' AS repair_type FROM drifted_sql UNION ALL SELECT db, script, installed_rank, 'MISSING_SCRIPT' FROM without_file w WHERE NOT EXISTS (SELECT 1 FROM history d WHERE d.type = 'DELETE' AND d.db = w.db AND d.script = w.script) UNION ALL SELECT db, script, installed_rank, 'FAILED_MIGRATION' FROM history WHERE NOT success"
 query("r1_repair_plan", "history scripts", state.repair_plan, _REPAIR)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import textdiff
 from tidemark.operators import graph, history, journal, state, undo
 from tidemark.sources import tables
 from tidemark.streaming.journal import read_journal, running_times
@@ -152,3 +153,24 @@ def test_reversed_statements_are_dealt_out(spark):
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     script = undo.reversed_script(rows.withColumn("script", F.col("stmt_id") % 3), ["script"])
     assert {(r.script, r.undo_order, r.undo_sql) for r in script.collect()} == {(k % 3, -k, f"DROP TABLE t{k}") for k in range(40)}
+
+
+def test_frequent_names_and_many_runs_are_dealt_out(spark):
+    """A name of all statements is shared out, and so are runs; results are those of the plain way."""
+    texts = spark.range(300).select(F.col("id").alias("stmt_id"), F.lit("SELECT * FROM Tab1").alias("sql_text"))
+    got = graph.mentions(texts, spark.createDataFrame([("TAB1",), ("tab1",), ("other",), (None,)], "name string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(k, "tab1") for k in range(300)]
+    runs = spark.range(100).selectExpr("id % 50 AS migration_id", "'t' AS object_type", "concat('o', id % 4) AS object_name", "id AS execution_time").coalesce(1)
+    assert {(r.migration_id, r.n, r.total, r.longest, r.objects) for r in journal.times_by_kind(runs).collect()} == {(k, 2, 2 * k + 50, k + 50, 2) for k in range(50)}
+
+
+def test_line_differences_come_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        rows = spark.createDataFrame([(1, "a\nb", "a\nc"), (2, None, "x")], "script_id long, old string, new string")
+        got = {tuple(r) for r in textdiff.counted_lines(rows, F.col("old"), F.col("new")).collect()}
+        assert got == {(1, "equal", 1), (1, "removed", 1), (1, "added", 1), (2, "added", 1)} and int(spark.conf.get(key)) <= 512
+    finally:
+        spark.conf.set(key, before)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import numbered, stored
+from tidemark.sources.tables import numbered, spread, stored
 
 from .contraction import cycles, has_cycles, longest_paths, strong_components
 
@@ -160,7 +160,17 @@ def object_edges(definitions: DataFrame, references: DataFrame, default: str = "
     return best.select(key(F.col("s"), F.col("kind"), F.col("n")).alias("src"), key(F.col("b.ts"), F.col("b.k"), F.col("rn")).alias("dst"), "via", F.col("b.found").alias("found")).distinct()
 
 
+#: Shares that the statements of one name are dealt out in.
+SHARES = 64
+
+
 def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
-    """Statements that hold a name as a word, case aside: words are joined, not every name tried on every text."""
-    words = statements.select("stmt_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql_text"), F.lit(r"\w+"), F.lit(0)))).alias("name"))
-    return words.join(names.select(F.lower("name").alias("name")).distinct(), "name").select("stmt_id", "name")
+    """Statements that hold a name as a word, case aside: words are joined, not every name tried on every text.
+
+    A name may be in most statements, so each goes to ``SHARES`` tasks with a share of the statements.
+    """
+    texts = spread(statements.select("stmt_id", "sql_text"))
+    words = texts.select("stmt_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql_text"), F.lit(r"\w+"), F.lit(0)))).alias("name"))
+    words = words.withColumn("_share", F.pmod(F.xxhash64("stmt_id"), F.lit(SHARES)))
+    wanted = names.select(F.lower("name").alias("name")).distinct().withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    return words.join(wanted, ["name", "_share"]).select("stmt_id", "name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import spread
+
 # Patterns of error messages, the first that matches counts.
 ERRORS = (
     (r"(?i)connection\s+(reset|refused|closed|lost|timed\s*out)", "NETWORK"),
@@ -56,9 +58,13 @@ def statement_times(journal: DataFrame) -> DataFrame:
 
 
 def times_by_kind(journal: DataFrame) -> DataFrame:
-    """Times and distinct objects of each run and kind of object."""
+    """Times and distinct objects of each run and kind of object.
+
+    Runs are dealt out first, as nearly every row is a group of its own with its object: a task's groups are as many as its rows.
+    """
     t = F.col("execution_time")
-    return journal.groupBy("migration_id", "object_type").agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("total"), F.max(t).alias("longest"), F.count_distinct("object_name").alias("objects"), F.round(F.avg(t), 6).alias("mean"))
+    dealt = spread(journal.select("migration_id", "object_type", "object_name", "execution_time"), "migration_id")
+    return dealt.groupBy("migration_id", "object_type").agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("total"), F.max(t).alias("longest"), F.count_distinct("object_name").alias("objects"), F.round(F.avg(t), 6).alias("mean"))
 
 
 def changes_with_times(changes: DataFrame, completions: DataFrame) -> DataFrame:

@@ -12,9 +12,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.tables import small_batches
+
 _LINE = T.StructType([T.StructField("tag", T.StringType()), T.StructField("old_line", T.IntegerType()), T.StructField("new_line", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
@@ -33,3 +36,9 @@ def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
         return out
 
     return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
+
+
+def counted_lines(scripts: DataFrame, old: Column, new: Column) -> DataFrame:
+    """``script_id, tag, n``: lines of each kind; a Python worker holds the lines of few pairs at once."""
+    small_batches(scripts.sparkSession)
+    return scripts.select("script_id", F.explode(line_diff(old, new)).alias("d")).groupBy("script_id", "d.tag").agg(F.count(F.lit(1)).alias("n"))

@@ -367,7 +367,7 @@ query("j13_has_rows", "history", lambda h: h.groupBy("db").agg(F.bool_or(F.col("
 query("m9_enriched_columns", "columns", lambda c: catalog.enriched_columns(c.where("side = 'a'"), c.where("side = 'b'")), "SELECT a.tab, a.col, a.type, b.d AS detail FROM columns a LEFT JOIN (SELECT tab, lower(col) AS n, min_by({'d': dflt}, pos).d AS d FROM columns WHERE side = 'b' GROUP BY ALL) b ON b.tab = a.tab AND b.n = lower(a.col) WHERE a.side = 'a'")
 query("m12_without_internal", "objects", lambda o: catalog.without_internal(o, o.where("kind = 'sequence'")).select("object_id"), "SELECT object_id FROM objects o WHERE NOT EXISTS (SELECT 1 FROM objects i WHERE i.kind = 'sequence' AND lower(i.name) = lower(o.name))")
 query("x3_same_constraints", "constraints", lambda c: catalog.same_constraints(c.where("pos <> 1"), c.where("pos <> 2")), "SELECT * FROM (SELECT tab, type, lower(name) AS name, array_to_string(list_sort(list(DISTINCT col)), ',') AS columns FROM constraints WHERE pos <> 1 GROUP BY ALL) INTERSECT SELECT * FROM (SELECT tab, type, lower(name), array_to_string(list_sort(list(DISTINCT col)), ',') FROM constraints WHERE pos <> 2 GROUP BY ALL)")
-query("x6_line_diff", "scripts", lambda s: s.select("script_id", F.explode(textdiff.line_diff(F.col("content"), F.regexp_replace("content", r"\n[A-Z]", "\n"))).alias("d")).groupBy("script_id", "d.tag").agg(F.count(F.lit(1)).alias("n")))
+query("x6_line_diff", "scripts", lambda s: textdiff.counted_lines(s, F.col("content"), F.regexp_replace("content", r"\n[A-Z]", "\n")))
 query("g2_mentions", "statements objects", lambda s, o: graph.mentions(s, o.select(F.concat(F.lit("TAB"), (F.col("object_id") % 5).cast("string")).alias("name"))), "SELECT stmt_id, 'tab' || (stmt_id % 7)::VARCHAR AS name FROM statements WHERE stmt_id % 7 < 5 AND regexp_matches(lower(sql_text), '\\btab[0-4]\\b')")
 query("g3_object_edges", "objects", lambda o: graph.implied_edges(o.withColumn("name", F.concat(F.lit("Obj"), (F.col("object_id") % 50).cast("string")))), "SELECT DISTINCT s || '.' || o.kind || '.' || n AS src, s || '.table.' || n AS dst FROM (SELECT kind, lower(coalesce(schema_name, 'public')) AS s, 'obj' || (object_id % 50)::VARCHAR AS n FROM objects WHERE kind IN ('index', 'trigger')) o JOIN (SELECT DISTINCT lower(coalesce(schema_name, 'public')) AS s, 'obj' || (object_id % 50)::VARCHAR AS n FROM objects WHERE kind = 'table') t USING (s, n)")
 query("n4_equivalent_types", "types", lambda t: t.select("type_id", types.equivalent_types(F.col("type_name"), "postgresql", F.lit("NUMBER(10,0)"), "oracle").alias("equivalent")), f"SELECT type_id, {_FAMILY} = 'INTEGER' OR type_name = 'serial' AS equivalent FROM types")

@@ -1,9 +1,13 @@
 import itertools
+import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from tidemark.llm import toxicity
 from tidemark.llm.toxicity import DECAY, ORDER, Model, _window, kernel, normalised, scored
 
 
@@ -95,3 +99,34 @@ def test_edges(spark):
     assert sorted(r.predicted for r in by[9002]) == [0, 1]
     assert {r.score for r in scored(df, marks.limit(0)).collect()} == {0.0}
     assert scored(df.limit(0), marks).count() == 0
+
+
+def test_fit_holds_words_of_one_text_at_a_time():
+    """The driver's memory follows different words, not all words of all sampled texts and their substrings."""
+    rng = random.Random(5)
+    common = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(5000)]
+    texts = [" ".join(rng.choices(common, k=300) + ["".join(rng.choices("klmnopqrst", k=10)) for _ in range(60)]) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        toxicity.choose_landmarks(texts[:300], texts[300:])
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_counts_in_few_bins_and_words_in_parts(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=8)).title() + "!" for _ in range(40)]
+    some = set(words[:40])
+    brute = Counter(s for t in texts for s in set().union(*[toxicity._substrings("^" + w) for w in {x.strip("!").lower() for x in t.split()} & some]))
+    marks = ["^abcab", "cabca", "bbacc"]
+    whole = toxicity.Matcher(marks)
+    whole.learn(set(words))
+    monkeypatch.setattr(toxicity, "STRING_BINS", 16)
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 7)
+    assert toxicity._counted(texts, some, 4) == {s: n for s, n in brute.items() if n >= 4}
+    parts = toxicity.Matcher(marks)
+    parts.learn(set(words))
+    assert any(f is not None for f in whole.memo.values())
+    assert {w: None if f is None else f.tolist() for w, f in parts.memo.items()} == {w: None if f is None else f.tolist() for w, f in whole.memo.items()}

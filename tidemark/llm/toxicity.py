@@ -51,6 +51,10 @@ LEAST, NEIGHBOURS = 0.3, 0.75
 #: Letters of a word looked at at once; longer words are read in windows that overlap by half.
 WORD = 24
 MEMO_WORDS = 400_000
+#: Words whose parts are held at once while their features are learned.
+WORDS_AT_ONCE = 16_384
+#: Strings are first counted in so many bins, and one by one only those whose bin is full enough.
+STRING_BINS = 1 << 20
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPACED = re.compile(r" \S(?: \S){2,}(?= )")
@@ -167,6 +171,11 @@ class Matcher:
             self.memo.clear()
             new = list(words)
         self.memo.update(dict.fromkeys(new))
+        for begin in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(new[begin : begin + WORDS_AT_ONCE])
+
+    def _learn(self, new: list[str]) -> None:
+        """Put the features that some words have into the memo, which holds None for each."""
         parts = []  # letters of a part, the word, their places in it, the word's number
         for k, w in enumerate(new):
             bare = START + w.strip(_EDGES)
@@ -220,6 +229,31 @@ def _substrings(word: str) -> set[str]:
     return {word[a:b] for a in range(len(word) - 4) for b in range(a + 5, min(len(word), a + 9) + 1)}
 
 
+def _different(text: str) -> set[str]:
+    """Different words of a text in lower case, without marks at their ends."""
+    return {w.strip(_EDGES) for w in text.lower().split()}
+
+
+def _counted(texts: list[str], words: set[str], floor: int) -> dict[str, int]:
+    """How many texts hold each substring of some words, of those that at least ``floor`` of them hold.
+
+    Words and substrings of one text at a time are in memory, and the substrings in full bins.
+    """
+
+    def held(text: str) -> set[str]:
+        return set().union(*[_substrings(START + w) for w in _different(text) & words])
+
+    bins, last = np.zeros(STRING_BINS, dtype=np.int32), STRING_BINS - 1
+    for t in texts:
+        own = held(t)
+        bins[np.fromiter(map(hash, own), dtype=np.int64, count=len(own)) & last] += 1
+    full = (bins >= floor).tobytes()
+    count: Counter[str] = Counter()
+    for t in texts:
+        count.update(s for s in held(t) if full[hash(s) & last])
+    return {s: n for s, n in count.items() if n >= floor}
+
+
 def _surprise(t: int, c: int, toxic: int, clean: int) -> float:
     """Likelihood ratio statistic of a string in ``t`` of the toxic and ``c`` of the clean texts."""
     part = toxic / (toxic + clean)
@@ -228,19 +262,16 @@ def _surprise(t: int, c: int, toxic: int, clean: int) -> float:
 
 def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> dict[str, float]:
     """Strings of five to nine characters that toxic texts hold far more often than clean ones, and the logarithms of how much more."""
-    words = [[{w.strip(_EDGES) for w in t.lower().split()} for t in texts] for texts in (toxic, clean)]
-    often_toxic, often_clean = (Counter(w for some in texts for w in some) for texts in words)
+    often_toxic, often_clean = (Counter(w for t in texts for w in _different(t)) for texts in (toxic, clean))
     share = len(toxic) / max(1, len(clean))
-    count: Counter[str] = Counter()
-    parts = {w: _substrings(START + w) for w, n in often_toxic.items() if n > 2 * share * often_clean[w]}
-    for some in words[0]:
-        count.update(set().union(*[parts[w] for w in some if w in parts]))
-    floor = max(3, len(toxic) // 200)
-    count = Counter({s: n for s, n in count.items() if n >= floor})
+    telling = {w for w, n in often_toxic.items() if n > 2 * share * often_clean[w]}
+    del often_toxic
+    count = _counted(toxic, telling, max(3, len(toxic) // 200))
     in_clean: Counter[str] = Counter()  # how often words of clean texts hold them, counted word by word
     for w, n in often_clean.items():
         for s in _substrings(START + w) & count.keys():
             in_clean[s] += n
+    del often_clean, telling
     likely = sorted((s for s, n in count.items() if n >= RATIO / 2 * share * in_clean[s]), key=lambda s: (-count[s], -len(s), s))[:1000]
     whole = sorted({max((x for x in likely if s in x and count[x] >= 0.75 * count[s]), key=lambda x: (len(x), x)) for s in likely})
     low_toxic, low_clean = [_marked(t) for t in toxic], [_marked(t) for t in clean]
